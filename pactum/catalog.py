@@ -1,0 +1,4 @@
+"""Registered queries and the SQL that they are compared with."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
