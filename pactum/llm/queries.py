@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm import secrets
+from pactum.llm import idfiles, packing, secrets
 
 ORACLES: dict[str, str] = {}
 
@@ -14,8 +14,16 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op6_secret_scan,)}
+def op7_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.read_ids(idfiles.written_ids(_documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op6_secret_scan, op7_token_id_files)}
