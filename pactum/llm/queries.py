@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm import idfiles, packing, secrets
+from pactum.llm import idfiles, neardup, packing, secrets
 
 ORACLES: dict[str, str] = {}
 
@@ -18,6 +18,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir))
 
 
+def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_documents(spark, sf_dir), shingle_words=2, percent=80)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_documents(spark, sf_dir))
 
@@ -26,4 +30,4 @@ def op7_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_ids(idfiles.written_ids(_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op6_secret_scan, op7_token_id_files)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_minhash_neardup, op6_secret_scan, op7_token_id_files)}
