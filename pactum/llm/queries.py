@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm import idfiles, neardup, packing, secrets
+from pactum.llm import idfiles, neardup, packing, secrets, treeweight
 
 ORACLES: dict[str, str] = {}
 
@@ -30,4 +30,8 @@ def op7_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_ids(idfiles.written_ids(_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_minhash_neardup, op6_secret_scan, op7_token_id_files)}
+def op10_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treeweight.score_documents(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_minhash_neardup, op6_secret_scan, op7_token_id_files, op10_context_tree_scores)}
