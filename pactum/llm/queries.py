@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm import idfiles, neardup, packing, secrets, treeweight
+from pactum.llm import idfiles, mixing, neardup, packing, quality, secrets, treeweight
+from pactum.llm.rowkeys import TEXT_HASH
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_quality_rules": quality.SQL, "op8_source_mixing": mixing.SQL}
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir), shingle_words=2, percent=80)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_documents(spark, sf_dir)).drop(TEXT_HASH)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_documents(spark, sf_dir))
 
@@ -30,8 +35,12 @@ def op7_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_ids(idfiles.written_ids(_documents(spark, sf_dir)))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir)).drop(TEXT_HASH)
+
+
 def op10_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treeweight.score_documents(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_minhash_neardup, op6_secret_scan, op7_token_id_files, op10_context_tree_scores)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_minhash_neardup, op5_quality_rules, op6_secret_scan, op7_token_id_files, op8_source_mixing, op10_context_tree_scores)}
