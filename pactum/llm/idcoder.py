@@ -24,183 +24,179 @@ import numpy as np
 BLOCK_IDS = 2048
 
 _NONE = 65535
-_W, _TOP, _BOT, _MASK = 48, 1 << 32, 1 << 24, (1 << 48) - 1
-_STRETCH = np.array([round(256 * math.log((i + 0.5) / (4095.5 - i))) for i in range(4096)], dtype=np.int64)
+_TOP, _BOT, _MASK = 1 << 32, 1 << 24, (1 << 48) - 1
+_STRETCH = np.array([round(256 * math.log((i + 0.5) / (4095.5 - i))) for i in range(4096)], dtype=np.int32)
 _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], dtype=np.int64)
-_SLOTS = 4096
+_SLOTS = 2048
 
 
-class Encoder:
-    def __init__(self, lanes: int, room: int):
+class _Coder:
+    """Ranges of all lanes: ``low`` and ``range`` within 48 bits, moved on 16 bits at a time."""
+
+    def __init__(self, lanes: int):
         self.low = np.zeros(lanes, np.int64)
         self.range = np.full(lanes, _MASK, np.int64)
-        self.out = np.zeros((lanes, room), np.uint16)
-        self.at = np.zeros(lanes, np.int64)
 
-    def _settle(self, i: np.ndarray) -> None:
-        low, size = self.low[i], self.range[i]
-        while True:
+    def _settle(self) -> None:
+        lane = np.flatnonzero(self.range < _TOP)
+        while len(lane):
+            low, size = self.low[lane], self.range[lane]
             same = (low ^ (low + size)) < _TOP
-            go = np.flatnonzero(same | (size < _BOT))
-            if not len(go):
-                break
-            lo, sz = low[go], size[go]
-            sz = np.where(same[go], sz, -lo & (_BOT - 1))
-            lane = i[go]
-            self.out[lane, self.at[lane]] = (lo >> 32).astype(np.uint16)
-            self.at[lane] += 1
-            low[go], size[go] = (lo << 16) & _MASK, sz << 16
-        self.low[i], self.range[i] = low, size
-
-    def bit(self, i: np.ndarray, p16: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        size = self.range[i]
-        one = (size >> 16) * p16
-        self.low[i] += np.where(bit, 0, one)
-        self.range[i] = np.where(bit, one, size - one)
-        self._settle(i)
+            go = same | (size < _BOT)
+            lane, low, size, same = lane[go], low[go], size[go], same[go]
+            self._move(lane, low)
+            size = np.where(same, size, -low & (_BOT - 1)) << 16
+            self.low[lane] = (low << 16) & _MASK
+            self.range[lane] = size
+            lane = lane[size < _TOP]
+
+    def _flag(self, one: np.ndarray, bit: np.ndarray) -> None:
+        self.low += np.where(bit, 0, one)
+        self.range = np.where(bit, one, self.range - one)
+        self._settle()
+
+    def _byte(self, part: np.ndarray, value: np.ndarray) -> None:
+        self.low += part * value
+        self.range = part
+        self._settle()
+
+
+class Encoder(_Coder):
+    def __init__(self, lanes: int, room: int):
+        super().__init__(lanes)
+        self.room = room
+        self.out = np.zeros(lanes * room, np.uint16)
+        self.at = np.arange(lanes) * room
+
+    def _move(self, lane: np.ndarray, low: np.ndarray) -> None:
+        at = self.at[lane]
+        self.out[at] = low >> 32
+        self.at[lane] = at + 1
+
+    def flag(self, p16: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        self._flag((self.range >> 16) * p16, bit)
         return bit
 
-    def byte(self, i: np.ndarray, value: np.ndarray) -> np.ndarray:
-        part = self.range[i] >> 8
-        self.low[i] += part * value
-        self.range[i] = part
-        self._settle(i)
+    def byte(self, live: np.ndarray, value: np.ndarray) -> np.ndarray:
+        self._byte(np.where(live, self.range >> 8, self.range), value)
         return value
 
     def finish(self) -> list[bytes]:
-        lane = np.arange(len(self.low))
         for shift in (32, 16, 0):
-            self.out[lane, self.at] = ((self.low >> shift) & 0xFFFF).astype(np.uint16)
+            self.out[self.at] = (self.low >> shift) & 0xFFFF
             self.at += 1
-        return [row[:n].astype("<u2").tobytes() for row, n in zip(self.out, self.at, strict=True)]
+        raw = self.out.astype("<u2")
+        return [raw[k * self.room : n].tobytes() for k, n in enumerate(self.at)]
 
 
-class Decoder:
+class Decoder(_Coder):
     def __init__(self, payload: list[bytes]):
-        lanes, most = len(payload), max(map(len, payload)) // 2 + 8
-        self.data = np.zeros((lanes, most), np.int64)
-        for row, p in zip(self.data, payload, strict=True):
-            row[: len(p) // 2] = np.frombuffer(p, "<u2")
-        self.low = np.zeros(lanes, np.int64)
-        self.range = np.full(lanes, _MASK, np.int64)
-        self.code = (self.data[:, 0] << 32) | (self.data[:, 1] << 16) | self.data[:, 2]
-        self.at = np.full(lanes, 3, np.int64)
-
-    def _settle(self, i: np.ndarray) -> None:
-        low, size = self.low[i], self.range[i]
-        while True:
-            same = (low ^ (low + size)) < _TOP
-            go = np.flatnonzero(same | (size < _BOT))
-            if not len(go):
-                break
-            lo, sz = low[go], size[go]
-            sz = np.where(same[go], sz, -lo & (_BOT - 1))
-            lane = i[go]
-            self.code[lane] = ((self.code[lane] << 16) & _MASK) | self.data[lane, self.at[lane]]
-            self.at[lane] += 1
-            low[go], size[go] = (lo << 16) & _MASK, sz << 16
-        self.low[i], self.range[i] = low, size
-
-    def bit(self, i: np.ndarray, p16: np.ndarray, bit: None) -> np.ndarray:
-        size, low = self.range[i], self.low[i]
-        one = (size >> 16) * p16
-        got = self.code[i] - low < one
-        self.low[i] = low + np.where(got, 0, one)
-        self.range[i] = np.where(got, one, size - one)
-        self._settle(i)
+        super().__init__(len(payload))
+        sizes = np.array([len(p) // 2 for p in payload]) + 4
+        self.data = np.frombuffer(b"".join(p + bytes(8) for p in payload), "<u2").astype(np.int64)
+        at = np.cumsum(sizes) - sizes
+        self.code = (self.data[at] << 32) | (self.data[at + 1] << 16) | self.data[at + 2]
+        self.at = at + 3
+
+    def _move(self, lane: np.ndarray, low: np.ndarray) -> None:
+        at = self.at[lane]
+        self.code[lane] = ((self.code[lane] << 16) & _MASK) | self.data[at]
+        self.at[lane] = at + 1
+
+    def flag(self, p16: np.ndarray, bit: None) -> np.ndarray:
+        one = (self.range >> 16) * p16
+        got = self.code - self.low < one
+        self._flag(one, got)
         return got
 
-    def byte(self, i: np.ndarray, value: None) -> np.ndarray:
-        part = self.range[i] >> 8
-        low = self.low[i]
-        got = np.minimum((self.code[i] - low) // part, 255)
-        self.low[i] = low + part * got
-        self.range[i] = part
-        self._settle(i)
+    def byte(self, live: np.ndarray, value: None) -> np.ndarray:
+        part = np.where(live, self.range >> 8, self.range)
+        got = np.minimum((self.code - self.low) // part, 255)
+        self._byte(part, got)
         return got
 
 
-class Models:
-    """The adaptive state of all lanes."""
+class _Flag:
+    """The chance that one kind of prediction holds, in all lanes."""
 
     def __init__(self, lanes: int):
-        self.next2 = np.full(lanes * _SLOTS, _NONE, np.uint16)
-        self.next1 = np.full(lanes * _SLOTS, _NONE, np.uint16)
-        self.sure2 = np.zeros(lanes * _SLOTS, np.uint8)
-        self.sure1 = np.zeros(lanes * _SLOTS, np.uint8)
-        self.high = np.full(lanes * 256, 255, np.uint8)
-        self.chance = np.full(lanes * 96, 1 << 15, np.int32)  # 3 predictions x 2 inputs x 16 contexts
-        self.weight = np.full(lanes * 6, 28_000, np.int32)
-        self.history = np.zeros(lanes * 3, np.int64)
-
-    def flag(self, coder, i: np.ndarray, kind: int, sure: np.ndarray, held: np.ndarray | None) -> np.ndarray:
-        """Code whether prediction ``kind`` holds in lanes ``i``."""
-        past = i * 3 + kind
-        a = i * 96 + kind * 32 + sure
-        b = i * 96 + kind * 32 + 16 + self.history[past]
-        pa, pb = self.chance[a], self.chance[b]
-        sa, sb = _STRETCH[pa >> 4], _STRETCH[pb >> 4]
-        wa_at = i * 6 + kind * 2
-        wa, wb = self.weight[wa_at], self.weight[wa_at + 1]
-        p = _SQUASH[np.clip((wa * sa + wb * sb) >> 16, -2047, 2047) + 2047]
-        bit = coder.bit(i, p << 4, held)
-        err = ((bit.astype(np.int64) << 12) - p) * 6
-        self.weight[wa_at] = wa + ((sa * err + 0x8000) >> 16)
-        self.weight[wa_at + 1] = wb + ((sb * err + 0x8000) >> 16)
-        goal = bit.astype(np.int32) * 65535
-        self.chance[a] = pa + ((goal - pa) >> 5)
-        self.chance[b] = pb + ((goal - pb) >> 5)
-        self.history[past] = ((self.history[past] << 1) | bit) & 15
+        self.lane = np.arange(lanes)
+        self.by_sure = np.full(17 * lanes, 1 << 15, np.int32)
+        self.by_past = np.full(16 * lanes, 1 << 15, np.int32)
+        self.w_sure = np.full(lanes, 28_000, np.int32)
+        self.w_past = np.full(lanes, 28_000, np.int32)
+        self.past = np.zeros(lanes, np.int64)
+
+    def code(self, coder, sure: np.ndarray, live: np.ndarray, held: np.ndarray | None) -> np.ndarray:
+        """Whether the prediction holds, in lanes ``live``; true in others, at no cost."""
+        n = len(self.lane)
+        at_s, at_p = sure * n + self.lane, self.past * n + self.lane
+        ps, pp = self.by_sure[at_s], self.by_past[at_p]
+        ss, sp = _STRETCH[ps >> 4], _STRETCH[pp >> 4]
+        p = _SQUASH.take(((self.w_sure * ss + self.w_past * sp) >> 16) + 2047, mode="clip")
+        bit = coder.flag(np.where(live, p << 4, 65536), None if held is None else held | ~live)
+        err = np.where(live, (bit.astype(np.int32) << 12) - p.astype(np.int32), 0) * 6
+        self.w_sure += (ss * err + 0x8000) >> 16
+        self.w_past += (sp * err + 0x8000) >> 16
+        goal = bit * np.int32(65535)
+        self.by_sure[at_s] = np.where(live, ps + ((goal - ps) >> 5), ps)
+        self.by_past[at_p] = np.where(live, pp + ((goal - pp) >> 5), pp)
+        self.past = np.where(live, ((self.past << 1) | bit) & 15, self.past)
         return bit
 
-    @staticmethod
-    def learn(following: np.ndarray, sure: np.ndarray, at: np.ndarray, was: np.ndarray, conf: np.ndarray, ids: np.ndarray) -> None:
-        right = was == ids
-        following[at] = ids
-        sure[at] = np.where(right, np.minimum(conf + 1, 15), 0)
 
+class _Follow:
+    """What last followed each context of one order: id and confidence, in one number."""
 
-def _run(coder, sizes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Code lanes of ``sizes`` ids (descending); ``ids`` [step, lane] when encoding."""
-    lanes, steps = len(sizes), int(sizes[0])
+    def __init__(self, lanes: int):
+        self.lane = np.arange(lanes)
+        self.table = np.full(_SLOTS * lanes, _NONE << 4, np.int32)
+        self.flag = _Flag(lanes)
+
+    def look(self, context: np.ndarray) -> None:
+        self.at = (context & (_SLOTS - 1)) * len(self.lane) + self.lane
+        was = self.table[self.at].astype(np.int64)
+        self.id, conf = was >> 4, was & 15
+        self.none = self.id == _NONE
+        self.conf = conf
+        self.sure = np.where(self.none, 16, conf)
+
+    def learn(self, ids: np.ndarray, live: np.ndarray) -> None:
+        conf = np.where(self.id == ids, np.minimum(self.conf + 1, 15), 0)
+        self.table[self.at] = np.where(live, ids << 4 | conf, self.id << 4 | self.conf)
+
+
+def _run(coder: Encoder | Decoder, sizes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+    """Code lanes of ``sizes`` ids; ``ids`` [step, lane] when encoding."""
+    lanes, steps = len(sizes), int(sizes.max())
     out = np.zeros((steps, lanes), np.int64)
-    model = Models(lanes)
+    two, one, zero = _Follow(lanes), _Follow(lanes), _Flag(lanes)
+    lane = np.arange(lanes)
+    high = np.full(256 * lanes, 255, np.int64)
     a, b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    every = np.arange(lanes)
-    active = np.searchsorted(-sizes, -np.arange(steps), side="left")  # lanes longer than the step
     for t in range(steps):
-        n = int(active[t])
-        i = every[:n]
-        now = None if ids is None else ids[t, :n]
-        got = np.full(n, -1, np.int64)
-        at2 = i * _SLOTS + ((a[:n] * 40503 + b[:n] * 2654435) >> 7) % _SLOTS
-        at1 = i * _SLOTS + (a[:n] * 40503 >> 5) % _SLOTS
-        p2, p1 = model.next2[at2].astype(np.int64), model.next1[at1].astype(np.int64)
-        c2, c1 = model.sure2[at2].astype(np.int64), model.sure1[at1].astype(np.int64)
-        k = np.flatnonzero(p2 != _NONE)
-        if len(k):
-            hit = model.flag(coder, k, 0, c2[k], None if now is None else now[k] == p2[k])
-            got[k[hit]] = p2[k[hit]]
-        k = np.flatnonzero((got < 0) & (p1 != _NONE) & (p1 != p2))
-        if len(k):
-            hit = model.flag(coder, k, 1, c1[k], None if now is None else now[k] == p1[k])
-            got[k[hit]] = p1[k[hit]]
-        k = np.flatnonzero(got < 0)
-        if len(k):
-            low = coder.byte(k, None if now is None else now[k] & 255)
-            slot = k * 256 + low
-            guess = model.high[slot].astype(np.int64)
-            hit = model.flag(coder, k, 2, (low >> 4).astype(np.int64), None if now is None else now[k] >> 8 == guess)
-            high = guess
-            miss = np.flatnonzero(~hit)
-            if len(miss):
-                high[miss] = coder.byte(k[miss], None if now is None else now[k[miss]] >> 8)
-            model.high[slot] = high
-            got[k] = (high << 8) | low
-        model.learn(model.next2, model.sure2, at2, p2, c2, got)
-        model.learn(model.next1, model.sure1, at1, p1, c1, got)
-        out[t, :n] = got
-        b[:n], a[:n] = a[:n], got
+        going = sizes > t
+        now = None if ids is None else ids[t]
+        mixed = a * 40503
+        two.look((mixed + b * 26544) >> 5)
+        one.look(mixed >> 5)
+        live = going & ~two.none
+        hit2 = two.flag.code(coder, two.sure, live, None if now is None else now == two.id) & live
+        live = going & ~hit2 & ~one.none & (one.id != two.id)
+        hit1 = one.flag.code(coder, one.sure, live, None if now is None else now == one.id) & live
+        live = going & ~hit2 & ~hit1
+        low = coder.byte(live, None if now is None else np.where(live, now & 255, 0))
+        slot = low * lanes + lane
+        guess = high[slot]
+        hit0 = zero.code(coder, low >> 4, live, None if now is None else now >> 8 == guess)
+        miss = live & ~hit0
+        top = np.where(miss, coder.byte(miss, None if now is None else np.where(miss, now >> 8, 0)), guess)
+        high[slot] = np.where(live, top, guess)
+        got = np.where(hit2, two.id, np.where(hit1, one.id, top << 8 | low))
+        two.learn(got, going)
+        one.learn(got, going)
+        out[t] = got
+        a, b = got, a
     return out
 
 

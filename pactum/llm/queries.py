@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm import idfiles, mixing, neardup, packing, quality, secrets, treeweight
+from pactum.llm import idfiles, linededup, mixing, neardup, packing, quality, secrets, topk, treeweight
 from pactum.llm.rowkeys import TEXT_HASH
 
-ORACLES: dict[str, str] = {"op5_quality_rules": quality.SQL, "op8_source_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": linededup.SQL, "op5_quality_rules": quality.SQL, "op8_source_mixing": mixing.SQL, "op9_bit_sliced_topk": topk.SQL}
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.duplicate_lines(_documents(spark, sf_dir))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir))
 
@@ -39,8 +43,13 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).drop(TEXT_HASH)
 
 
+def op9_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op10_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treeweight.score_documents(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_minhash_neardup, op5_quality_rules, op6_secret_scan, op7_token_id_files, op8_source_mixing, op10_context_tree_scores)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_minhash_neardup, op5_quality_rules, op6_secret_scan, op7_token_id_files, op8_source_mixing, op9_bit_sliced_topk, op10_context_tree_scores)}
