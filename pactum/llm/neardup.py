@@ -278,3 +278,20 @@ def _between(pairs: DataFrame, parents: DataFrame) -> DataFrame:
         p = parents.select(F.col("node").alias("_n"), F.col("parent").alias(f"_{end}"))
         out = out.join(p.hint("merge"), out[end] == p["_n"], "left").drop("_n")
     return out.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
+def deduplicated(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` whose document is the smallest of its component; of repeated rows one.
+
+    Rows of null doc_id stand for themselves: they are kept unless an equal set
+    belongs to a document that has an id.
+    """
+    kept = near_duplicates(docs, **settings).filter("kept").select("doc_id").distinct()
+    k = small(written(kept.select(F.col("doc_id").alias("_k_id")), "kept"))
+    rows = docs.join(k, docs["doc_id"].cast("long").eqNullSafe(k["_k_id"]), "left_semi")
+    repeated = not docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty()
+    if not repeated:
+        return rows
+    # equal rows of one doc_id are one document
+    text = F.coalesce("text", F.lit(""))
+    return rows.withColumn("_h1", F.xxhash64(text)).withColumn("_h2", F.xxhash64(F.lit(1), text)).dropDuplicates(["doc_id", "_h1", "_h2"]).drop("_h1", "_h2")

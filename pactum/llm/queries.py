@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm import idfiles, linededup, mixing, neardup, packing, quality, secrets, topk, treeweight
+from pactum.llm import idfiles, licenses, linededup, mixing, neardup, packing, quality, secrets, topk, treeweight
 from pactum.llm.rowkeys import TEXT_HASH
 
-ORACLES: dict[str, str] = {"op1_line_dedup": linededup.SQL, "op5_quality_rules": quality.SQL, "op8_source_mixing": mixing.SQL, "op9_bit_sliced_topk": topk.SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": linededup.SQL, "op4_license_scan": licenses.SQL, "op5_quality_rules": quality.SQL, "op8_source_mixing": mixing.SQL, "op9_bit_sliced_topk": topk.SQL}
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,13 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir), shingle_words=2, percent=80)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's path is its source, language and id."""
+    docs = _documents(spark, sf_dir)
+    files = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
+    return licenses.scan_licenses(files).select("doc_id", "license", F.round("cosine", 6).alias("cosine"), "origin", "n_headers", F.array_join("licenses", ",").alias("licenses"), "license_dir")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_documents(spark, sf_dir)).drop(TEXT_HASH)
 
@@ -52,4 +59,4 @@ def op10_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treeweight.score_documents(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_minhash_neardup, op5_quality_rules, op6_secret_scan, op7_token_id_files, op8_source_mixing, op9_bit_sliced_topk, op10_context_tree_scores)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_minhash_neardup, op4_license_scan, op5_quality_rules, op6_secret_scan, op7_token_id_files, op8_source_mixing, op9_bit_sliced_topk, op10_context_tree_scores)}
