@@ -102,7 +102,7 @@ def _signatures(size: int):
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in textbytes.slices(whole)):
             sets = shingle_sets(batch.column("text").to_pylist(), size)
             ones, twos = [], []
             with np.errstate(over="ignore"):
@@ -119,7 +119,7 @@ def _sketches(size: int):
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in textbytes.slices(whole)):
             sets = shingle_sets(batch.column("text").to_pylist(), size)
             place, keys, sketches = [], [], []
             for i, s in enumerate(sets):
@@ -142,7 +142,7 @@ def _sets(size: int):
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in textbytes.slices(whole)):
             sets = shingle_sets(batch.column("text").to_pylist(), size)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
@@ -288,10 +288,10 @@ def deduplicated(docs: DataFrame, **settings) -> DataFrame:
     """
     kept = near_duplicates(docs, **settings).filter("kept").select("doc_id").distinct()
     k = small(written(kept.select(F.col("doc_id").alias("_k_id")), "kept"))
-    rows = docs.join(k, docs["doc_id"].cast("long").eqNullSafe(k["_k_id"]), "left_semi")
-    repeated = not docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty()
-    if not repeated:
-        return rows
-    # equal rows of one doc_id are one document
-    text = F.coalesce("text", F.lit(""))
-    return rows.withColumn("_h1", F.xxhash64(text)).withColumn("_h2", F.xxhash64(F.lit(1), text)).dropDuplicates(["doc_id", "_h1", "_h2"]).drop("_h1", "_h2")
+    rows = docs.select(F.struct("*").alias("_row"))
+    rows = rows.join(k, F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_k_id")), "left_semi")
+    if not docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
+        # equal rows of one doc_id are one document
+        text = F.coalesce("_row.text", F.lit(""))
+        rows = rows.select("_row", F.col("_row.doc_id").alias("_id"), F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(1), text).alias("_h2")).dropDuplicates(["_id", "_h1", "_h2"])
+    return rows.select("_row.*")

@@ -66,6 +66,24 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(at, start, side="right") - 1
 
 
+#: Characters of text that are scanned at a time; a longer text is scanned alone.
+SLICE_CHARS = 1 << 20
+
+
+def slices(batch, column: str = "text"):
+    """Runs of rows of an Arrow batch or table with about SLICE_CHARS of text each."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+    ends = np.cumsum(np.asarray(sizes.combine_chunks() if hasattr(sizes, "combine_chunks") else sizes, dtype=np.int64)) if batch.num_rows else np.empty(0, np.int64)
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + SLICE_CHARS, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def groups(owner: np.ndarray, n: int) -> np.ndarray:
     """Bounds of each owner's run in a sorted ``owner`` column: owner i has [b[i], b[i+1])."""
     return np.searchsorted(owner, np.arange(n + 1))
