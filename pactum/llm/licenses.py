@@ -52,6 +52,9 @@ WORD = r"[\p{L}\p{N}]+(?:[.+-]+[\p{L}\p{N}]+)*"
 
 THRESHOLD = 0.75
 
+#: Columns of the result; columns of the files with these names are left out.
+RESULT = ("license", "cosine", "origin", "n_headers", "licenses", "license_dir")
+
 
 def line_words(line: Column) -> Column:
     """Distinct lower-cased words of a line."""
@@ -109,13 +112,13 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRE
     Only (row number, path, matches) are shuffled, never texts: the result is
     keyed by the columns other than the text.
     """
-    own = [c for c in files.columns if c != "text"]
-    keyed = files.withColumn("_file", F.struct(*(F.xxhash64(F.lit(k), F.to_json(F.struct(*own)), F.coalesce("text", F.lit(""))).alias(f"h{k}") for k in (1, 2))))
+    own = F.struct(*(F.col(f"`{c}`") for c in files.columns if c != "text"))
+    keyed = files.select(own.alias("_row"), "text").withColumn("_file", F.struct(*(F.xxhash64(F.lit(k), F.to_json("_row"), F.coalesce("text", F.lit(""))).alias(f"h{k}") for k in (1, 2))))
     found = written(headers(keyed, templates, threshold), "headers")
     best = found.groupBy("_file").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("_m"), F.count("*").alias("n_headers"), F.array_sort(F.collect_set("license")).alias("licenses"))
     best = written(best, "best")
     lines = F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda s: s.rlike(r"[\p{L}\p{N}]"))), F.lit(0))
-    rows = keyed.select(*own, "_file", lines.alias("_lines"))
+    rows = keyed.select("_row", F.col("_row.path").alias("path"), "_file", lines.alias("_lines"))
     rows = written(rows.join(best.hint("merge"), "_file", "left"), "files")
     name = F.regexp_extract("path", "[^/]*$", 0)
     is_license = F.col("_m").isNotNull() & (name.rlike(LICENSE_FILE) | (F.col("n_headers") == F.col("_lines")))
@@ -125,18 +128,18 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRE
     asking = written(rows.select(directory(F.col("path")).alias("_from")).filter("_from is not null").distinct(), "asking")
     steps = asking.select("_from", F.explode(ancestors(F.concat("_from", F.lit("/")))).alias("_a")).select("_from", "_a.depth", "_a.dir")
     nearest = steps.join(dirs, steps["dir"] == dirs["_dir"]).groupBy("_from").agg(F.max(F.struct("depth", "dir", "_license")).alias("_n"))
-    nearest = small(written(nearest.select("_from", F.col("_n.dir").alias("license_dir"), F.col("_n._license").alias("_inherited")), "nearest"))
+    nearest = small(written(nearest.select("_from", F.col("_n.dir").alias("_license_dir"), F.col("_n._license").alias("_inherited")), "nearest"))
     out = rows.join(nearest, directory(rows["path"]) == nearest["_from"], "left")
     has = F.col("_m").isNotNull()
     discard(found)
     return out.select(
-        *own,
+        *(F.col(f"_row.`{c}`") for c in files.columns if c not in RESULT and c != "text"),
         F.when(has, F.col("_m.license")).otherwise(F.col("_inherited")).alias("license"),
         F.when(has, -F.col("_m.c")).alias("cosine"),
         F.when(has, "header").when(F.col("_inherited").isNotNull(), "inherited").alias("origin"),
         F.coalesce("n_headers", F.lit(0)).alias("n_headers"),
         F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"),
-        F.when(~has, F.col("license_dir")).alias("license_dir"),
+        F.when(~has, F.col("_license_dir")).alias("license_dir"),
     )
 
 

@@ -138,15 +138,18 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed lines, all columns as they were; emptied documents are dropped."""
     kept = _kept_by_doc(docs)
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
-    joined = keyed.join(kept.hint("merge"), "_doc", "left")
+    rows = docs.select(F.struct("*").alias("_row")).withColumn("_doc", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(_LAST)))
+    joined = rows.join(kept.hint("merge"), "_doc", "left")
     none = F.array().cast("array<struct<line_no:int,hash:bigint>>")
-    stay = lambda k: F.filter(F.transform(F.split("text", "\n"), lambda s, i: F.struct(i.alias("i"), s.alias("s"), normal_line(s).alias("n"))), lambda r: (F.length(r["n"]) < MIN_CHARS) | F.array_contains(k, F.struct(r["i"].alias("line_no"), F.xxhash64(r["n"]).alias("hash"))))
-    text = F.array_join(F.transform(let(F.coalesce("_kept", none), stay), lambda r: r["s"]), "\n")
+    text = F.col("_row.text")
+    stay = lambda k: F.filter(F.transform(F.split(text, "\n"), lambda s, i: F.struct(i.alias("i"), s.alias("s"), normal_line(s).alias("n"))), lambda r: (F.length(r["n"]) < MIN_CHARS) | F.array_contains(k, F.struct(r["i"].alias("line_no"), F.xxhash64(r["n"]).alias("hash"))))
+    left = F.array_join(F.transform(let(F.coalesce("_kept", none), stay), lambda r: r["s"]), "\n")
     words = lambda c: F.length(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, "")) > 0
-    out = joined.withColumn("_new", F.when(F.col("text").isNotNull(), text)).filter(words(F.col("_new")) | ~words(F.col("text")))
-    columns = [F.col("_new").alias("text") if c == "text" else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    out = joined.select("_row", F.when(text.isNotNull(), left).alias("_new")).filter(words(F.col("_new")) | ~words(text))
+    row = F.col("_row").withField("text", F.col("_new"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(F.col("_new") == text, F.col("_row.n_chars")).otherwise(F.length("_new").cast(docs.schema["n_chars"].dataType)))
+    return out.select(row.alias("_row")).select("_row.*")
 
 
 SQL = r"""

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactum.llm.rowkeys import TEXT_HASH, only_rows, text_hash, words
+from pactum.llm.rowkeys import TEXT_HASH, text_hash, words
 from pactum.plans.scratch import small, written
 
 MAX_REPEAT = 3
@@ -92,8 +92,9 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it takes it."""
     taken = written(mix(docs, **settings).filter("copies > 0").groupBy("doc_id", TEXT_HASH).agg(F.max("copies").alias("_copies")), "taken")
     k = small(taken.select(F.col("doc_id").alias("_k_id"), F.col(TEXT_HASH).alias("_k_hash"), "_copies"))
-    out = docs.join(k, docs["doc_id"].eqNullSafe(k["_k_id"]) & (text_hash(docs["text"]) == k["_k_hash"]))
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+    rows = docs.select(F.struct("*").alias("_row"))
+    out = rows.join(k, F.col("_row.doc_id").eqNullSafe(F.col("_k_id")) & (text_hash(F.col("_row.text")) == F.col("_k_hash")))
+    return out.select("_row", F.explode(F.sequence(F.lit(1), "_copies"))).select("_row.*")
 
 
 SQL = r"""

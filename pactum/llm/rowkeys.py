@@ -35,4 +35,5 @@ def let(value: Column, body) -> Column:
 def only_rows(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of ``docs`` whose (doc_id, text) is among ``keys`` (a written table of doc_id, _text_hash)."""
     k = small(keys.select(F.col("doc_id").alias("_k_id"), F.col(TEXT_HASH).alias("_k_hash")))
-    return docs.join(k, docs["doc_id"].eqNullSafe(k["_k_id"]) & (text_hash(docs["text"]) == k["_k_hash"]), how)
+    rows = docs.select(F.struct("*").alias("_row"))
+    return rows.join(k, F.col("_row.doc_id").eqNullSafe(F.col("_k_id")) & (text_hash(F.col("_row.text")) == F.col("_k_hash")), how).select("_row.*")
