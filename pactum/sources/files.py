@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 
 def list_files(spark: SparkSession, roots: list[str], glob: str = "*", missing_ok: bool = True) -> DataFrame:
-    """(path, length) below the roots, in path order; contents are not read; missing roots are skipped."""
+    """(path, length) below the roots, in path order; contents are not read; missing roots are skipped.
+
+    Spark's file sources leave out files of no bytes.
+    """
     parts = []
     for root in roots:
         try:
