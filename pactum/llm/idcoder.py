@@ -4,12 +4,13 @@ Each block is coded on its own: its models and its range coder begin afresh, and
 its CRC-32 is kept beside it. Blocks of a segment are the lanes of NumPy vectors,
 so one step codes the next id of all blocks at once.
 
-An id is predicted by the id that last followed the two ids before it (order 2),
-by the one that last followed the id before it (order 1), and by the last id with
-the same low byte in the block (order 0). For each prediction the coder writes
-whether it holds. The chance of that is a logistic mix of two adaptive estimates,
-one for the confidence of the prediction and one for the recent history of hits;
-the weights are learned as coding goes. What no prediction gives is coded evenly.
+An id is predicted by the id that last followed the two ids before it (order 2)
+or, if these are new, by the one that last followed the id before it (order 1).
+The chance that the prediction holds is a logistic mix of two adaptive estimates,
+one by the order and confidence of the prediction, one by whether order 1 agrees
+and by the recent history of hits; the weights are learned as coding goes. An id
+that is not predicted is coded by its low byte and, by order 0, by whether it is
+the last id of the block with that low byte. What nothing predicts is coded evenly.
 All arithmetic is on integers, so the decoder repeats the encoder exactly.
 """
 
@@ -24,20 +25,23 @@ import numpy as np
 BLOCK_IDS = 2048
 
 _NONE = 65535
-_TOP, _BOT, _MASK = 1 << 32, 1 << 24, (1 << 48) - 1
+_TOP, _BOT, _MASK = 1 << 46, 1 << 38, (1 << 62) - 1
 _STRETCH = np.array([round(256 * math.log((i + 0.5) / (4095.5 - i))) for i in range(4096)], dtype=np.int32)
-_SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], dtype=np.int64)
+_SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], dtype=np.int32)
 _SLOTS = 2048
 
 
 class _Coder:
-    """Ranges of all lanes: ``low`` and ``range`` within 48 bits, moved on 16 bits at a time."""
+    """Ranges of all lanes: ``low`` and ``range`` within 62 bits, moved on 16 bits at a time.
+
+    After a settling a range has 38 bits at least, enough for one flag and one byte.
+    """
 
     def __init__(self, lanes: int):
         self.low = np.zeros(lanes, np.int64)
         self.range = np.full(lanes, _MASK, np.int64)
 
-    def _settle(self) -> None:
+    def settle(self) -> None:
         lane = np.flatnonzero(self.range < _TOP)
         while len(lane):
             low, size = self.low[lane], self.range[lane]
@@ -51,14 +55,8 @@ class _Coder:
             lane = lane[size < _TOP]
 
     def _flag(self, one: np.ndarray, bit: np.ndarray) -> None:
-        self.low += np.where(bit, 0, one)
+        self.low += one * ~bit
         self.range = np.where(bit, one, self.range - one)
-        self._settle()
-
-    def _byte(self, part: np.ndarray, value: np.ndarray) -> None:
-        self.low += part * value
-        self.range = part
-        self._settle()
 
 
 class Encoder(_Coder):
@@ -70,7 +68,7 @@ class Encoder(_Coder):
 
     def _move(self, lane: np.ndarray, low: np.ndarray) -> None:
         at = self.at[lane]
-        self.out[at] = low >> 32
+        self.out[at] = low >> 46
         self.at[lane] = at + 1
 
     def flag(self, p16: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -78,13 +76,17 @@ class Encoder(_Coder):
         return bit
 
     def byte(self, live: np.ndarray, value: np.ndarray) -> np.ndarray:
-        self._byte(np.where(live, self.range >> 8, self.range), value)
+        """Code ``value``, which is 0 where not ``live``; other lanes stay as they are."""
+        self.range >>= live * np.int64(8)
+        self.low += self.range * value
         return value
 
     def finish(self) -> list[bytes]:
-        for shift in (32, 16, 0):
+        for shift in (46, 30, 14):
             self.out[self.at] = (self.low >> shift) & 0xFFFF
             self.at += 1
+        self.out[self.at] = (self.low << 2) & 0xFFFF
+        self.at += 1
         raw = self.out.astype("<u2")
         return [raw[k * self.room : n].tobytes() for k, n in enumerate(self.at)]
 
@@ -92,15 +94,17 @@ class Encoder(_Coder):
 class Decoder(_Coder):
     def __init__(self, payload: list[bytes]):
         super().__init__(len(payload))
-        sizes = np.array([len(p) // 2 for p in payload]) + 4
-        self.data = np.frombuffer(b"".join(p + bytes(8) for p in payload), "<u2").astype(np.int64)
+        sizes = np.array([len(p) // 2 for p in payload]) + 8
+        self.data = np.frombuffer(b"".join(p + bytes(16) for p in payload), "<u2").astype(np.int64)
         at = np.cumsum(sizes) - sizes
-        self.code = (self.data[at] << 32) | (self.data[at + 1] << 16) | self.data[at + 2]
-        self.at = at + 3
+        # 62 bits are 3 words and 14 bits; the last two bits of a word go with the next
+        self.code = (self.data[at] << 46) | (self.data[at + 1] << 30) | (self.data[at + 2] << 14) | (self.data[at + 3] >> 2)
+        self.at = at + 4
 
     def _move(self, lane: np.ndarray, low: np.ndarray) -> None:
         at = self.at[lane]
-        self.code[lane] = ((self.code[lane] << 16) & _MASK) | self.data[at]
+        two = self.data[at - 1] & 3
+        self.code[lane] = ((self.code[lane] << 16) & _MASK) | (two << 14) | (self.data[at] >> 2)
         self.at[lane] = at + 1
 
     def flag(self, p16: np.ndarray, bit: None) -> np.ndarray:
@@ -110,93 +114,74 @@ class Decoder(_Coder):
         return got
 
     def byte(self, live: np.ndarray, value: None) -> np.ndarray:
-        part = np.where(live, self.range >> 8, self.range)
-        got = np.minimum((self.code - self.low) // part, 255)
-        self._byte(part, got)
+        got = np.zeros(len(live), np.int64)
+        lane = np.flatnonzero(live)
+        part = self.range[lane] >> 8
+        low = self.low[lane]
+        got[lane] = value = np.minimum((self.code[lane] - low) // part, 255)
+        self.range[lane] = part
+        self.low[lane] = low + part * value
         return got
 
 
-class _Flag:
-    """The chance that one kind of prediction holds, in all lanes."""
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.by_sure = np.full(17 * lanes, 1 << 15, np.int32)
-        self.by_past = np.full(16 * lanes, 1 << 15, np.int32)
-        self.w_sure = np.full(lanes, 28_000, np.int32)
-        self.w_past = np.full(lanes, 28_000, np.int32)
-        self.past = np.zeros(lanes, np.int64)
-
-    def code(self, coder, sure: np.ndarray, live: np.ndarray, held: np.ndarray | None) -> np.ndarray:
-        """Whether the prediction holds, in lanes ``live``; true in others, at no cost."""
-        n = len(self.lane)
-        at_s, at_p = sure * n + self.lane, self.past * n + self.lane
-        ps, pp = self.by_sure[at_s], self.by_past[at_p]
-        ss, sp = _STRETCH[ps >> 4], _STRETCH[pp >> 4]
-        p = _SQUASH.take(((self.w_sure * ss + self.w_past * sp) >> 16) + 2047, mode="clip")
-        bit = coder.flag(np.where(live, p << 4, 65536), None if held is None else held | ~live)
-        err = np.where(live, (bit.astype(np.int32) << 12) - p.astype(np.int32), 0) * 6
-        self.w_sure += (ss * err + 0x8000) >> 16
-        self.w_past += (sp * err + 0x8000) >> 16
-        goal = bit * np.int32(65535)
-        self.by_sure[at_s] = np.where(live, ps + ((goal - ps) >> 5), ps)
-        self.by_past[at_p] = np.where(live, pp + ((goal - pp) >> 5), pp)
-        self.past = np.where(live, ((self.past << 1) | bit) & 15, self.past)
-        return bit
-
-
-class _Follow:
-    """What last followed each context of one order: id and confidence, in one number."""
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.table = np.full(_SLOTS * lanes, _NONE << 4, np.int32)
-        self.flag = _Flag(lanes)
-
-    def look(self, context: np.ndarray) -> None:
-        self.at = (context & (_SLOTS - 1)) * len(self.lane) + self.lane
-        was = self.table[self.at].astype(np.int64)
-        self.id, conf = was >> 4, was & 15
-        self.none = self.id == _NONE
-        self.conf = conf
-        self.sure = np.where(self.none, 16, conf)
-
-    def learn(self, ids: np.ndarray, live: np.ndarray) -> None:
-        conf = np.where(self.id == ids, np.minimum(self.conf + 1, 15), 0)
-        self.table[self.at] = np.where(live, ids << 4 | conf, self.id << 4 | self.conf)
-
-
-def _run(coder: Encoder | Decoder, sizes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Code lanes of ``sizes`` ids; ``ids`` [step, lane] when encoding."""
-    lanes, steps = len(sizes), int(sizes.max())
-    out = np.zeros((steps, lanes), np.int64)
-    two, one, zero = _Follow(lanes), _Follow(lanes), _Flag(lanes)
+def _run(coder: Encoder | Decoder, lanes: int, steps: int, ids: np.ndarray | None) -> np.ndarray:
+    """Code ``steps`` ids of each lane; ``ids`` [step, lane] when encoding."""
+    out = np.zeros((steps, lanes), np.int32)
     lane = np.arange(lanes)
-    high = np.full(256 * lanes, 255, np.int64)
+    next2 = np.full(_SLOTS * lanes, _NONE << 4, np.int32)  # what last followed, and how often in a row
+    next1 = np.full(_SLOTS * lanes, _NONE << 4, np.int32)
+    high = np.full(256 * lanes, 255, np.int32)  # of the last id with each low byte
+    best = np.full(64 * lanes, 1 << 15, np.int32)  # chance of the prediction by its order and confidence
+    also = np.full(64 * lanes, 1 << 15, np.int32)  # by whether order 1 agrees, and the last outcomes
+    zero = np.full(16 * lanes, 1 << 15, np.int32)
+    w_best, w_also = np.full(lanes, 28_000, np.int32), np.full(lanes, 28_000, np.int32)
+    past = np.zeros(lanes, np.int64)
     a, b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     for t in range(steps):
-        going = sizes > t
         now = None if ids is None else ids[t]
         mixed = a * 40503
-        two.look((mixed + b * 26544) >> 5)
-        one.look(mixed >> 5)
-        live = going & ~two.none
-        hit2 = two.flag.code(coder, two.sure, live, None if now is None else now == two.id) & live
-        live = going & ~hit2 & ~one.none & (one.id != two.id)
-        hit1 = one.flag.code(coder, one.sure, live, None if now is None else now == one.id) & live
-        live = going & ~hit2 & ~hit1
-        low = coder.byte(live, None if now is None else np.where(live, now & 255, 0))
+        at1 = ((mixed >> 5) & (_SLOTS - 1)) * lanes + lane
+        at2 = (((mixed + b * 26544) >> 5) & (_SLOTS - 1)) * lanes + lane
+        e1, e2 = next1[at1], next2[at2]
+        no2 = e2 >= _NONE << 4
+        pick = np.where(no2, e1, e2)
+        guess = pick >> 4
+        # order 2: 0-15, order 1: 16-31, none: 47
+        at_b = ((pick & 15) + no2 * 16 + (guess == _NONE) * 16).astype(np.int64) * lanes + lane
+        at_a = (((guess == e1 >> 4) * 32 + (past & 31)) * lanes) + lane
+        pb, pa = best[at_b], also[at_a]
+        sb, sa = _STRETCH[pb >> 4], _STRETCH[pa >> 4]
+        p = _SQUASH.take(((w_best * sb + w_also * sa) >> 16) + 2047, mode="clip")
+        hit = coder.flag(p << 4, None if now is None else now == guess)
+        err = ((hit * np.int32(4096)) - p) * np.int32(6)
+        w_best += (sb * err + 0x8000) >> 16
+        w_also += (sa * err + 0x8000) >> 16
+        goal = hit * np.int32(65535)
+        best[at_b] = pb + ((goal - pb) >> 5)
+        also[at_a] = pa + ((goal - pa) >> 5)
+        past = past << 1 | hit
+        lost = ~hit
+        low = coder.byte(lost, None if now is None else (now & 255) * lost)
+        coder.settle()
         slot = low * lanes + lane
-        guess = high[slot]
-        hit0 = zero.code(coder, low >> 4, live, None if now is None else now >> 8 == guess)
-        miss = live & ~hit0
-        top = np.where(miss, coder.byte(miss, None if now is None else np.where(miss, now >> 8, 0)), guess)
-        high[slot] = np.where(live, top, guess)
-        got = np.where(hit2, two.id, np.where(hit1, one.id, top << 8 | low))
-        two.learn(got, going)
-        one.learn(got, going)
+        was = high[slot]
+        at_z = (low >> 4) * lanes + lane
+        pz = zero[at_z]
+        same = coder.flag(np.where(hit, 65536, (pz >> 4 << 4) | 8), None if now is None else hit | (now >> 8 == was))
+        zero[at_z] = pz + (((same * np.int32(65535)) - pz) >> 5) * lost
+        miss = ~same
+        top = coder.byte(miss, None if now is None else (now >> 8) * miss)
+        coder.settle()
+        top = np.where(same, was, top).astype(np.int32)
+        high[slot] = np.where(hit, was, top)
+        got = np.where(hit, guess, top << 8 | low.astype(np.int32))
+        c1, c2 = e1 & 15, e2 & 15
+        up1, up2 = e1 >> 4 == got, e2 >> 4 == got
+        coded = got << 4
+        next1[at1] = coded | np.minimum(c1 + 1, 15) * up1
+        next2[at2] = coded | np.minimum(c2 + 1, 15) * up2
         out[t] = got
-        a, b = got, a
+        a, b = got.astype(np.int64), a
     return out
 
 
@@ -207,13 +192,12 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> tuple[list[bytes], li
     if int(ids.max()) >= _NONE:
         raise ValueError(f"ids from {_NONE} on have no code")
     blocks = -(-len(ids) // block_ids)
-    sizes = np.full(blocks, block_ids, np.int64)
-    sizes[-1] = len(ids) - block_ids * (blocks - 1)
-    grid = np.zeros(blocks * block_ids, np.int64)
+    steps = min(block_ids, len(ids))
+    # a last block that is short is filled up with zeros, which cost next to nothing
+    grid = np.zeros(blocks * steps, np.int32)
     grid[: len(ids)] = ids
-    coder = Encoder(blocks, 2 * block_ids + 16)
-    steps = int(sizes[0])
-    _run(coder, sizes, np.ascontiguousarray(grid.reshape(blocks, block_ids)[:, :steps].T))
+    coder = Encoder(blocks, 2 * steps + 16)
+    _run(coder, blocks, steps, np.ascontiguousarray(grid.reshape(blocks, steps).T))
     raw = ids.astype("<u4")
     return coder.finish(), [zlib.crc32(raw[a : a + block_ids].tobytes()) for a in range(0, len(ids), block_ids)]
 
@@ -222,11 +206,9 @@ def decode(payload: list[bytes], crcs: list[int], n_ids: int, block_ids: int = B
     """The ids again; a block whose checksum differs is an error."""
     if not payload:
         return np.empty(0, np.uint32)
-    sizes = np.full(len(payload), block_ids, np.int64)
-    sizes[-1] = n_ids - block_ids * (len(payload) - 1)
-    grid = _run(Decoder(payload), sizes, None)
-    ids = np.ascontiguousarray(grid.T).reshape(-1) if len(payload) == 1 else np.concatenate([grid.T[:-1].reshape(-1), grid.T[-1][: sizes[-1]]])
-    ids = ids[:n_ids].astype("<u4")
+    steps = min(block_ids, n_ids)
+    grid = _run(Decoder(payload), len(payload), steps, None)
+    ids = np.ascontiguousarray(grid.T).reshape(-1)[:n_ids].astype("<u4")
     for k, crc in enumerate(crcs):
         if zlib.crc32(ids[k * block_ids : (k + 1) * block_ids].tobytes()) != crc:
             raise ValueError(f"block {k}: checksum differs")
