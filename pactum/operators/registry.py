@@ -30,16 +30,17 @@ def short_name(label: Column) -> Column:
     return F.regexp_replace(label, r"\A:", "")
 
 
-def lookup_by_name(df: DataFrame, label: str, registry: DataFrame, name: str, kind: str | None = None) -> DataFrame:
+def lookup_by_name(df: DataFrame, label: str, registry: DataFrame, name: str, kind: str | None = None, listed: int = 100) -> DataFrame:
     """``df`` with the columns of the registered entity and an ``error`` for labels without one.
 
-    The error lists the names of the kind in order; it is computed once.
+    The error lists the names of the kind in order, the first ``listed`` of them,
+    so that the message stays small whatever the registry.
     """
     have = registry if kind is None else registry.filter(F.col("kind") == kind)
-    names = have.agg(F.array_join(F.array_sort(F.collect_set(name)), ",").alias("_available"))
+    names = have.select(name).distinct().orderBy(name).limit(listed).agg(F.array_join(F.array_sort(F.collect_list(name)), ",").alias("_available"))
     joined = df.withColumn("_name", short_name(F.col(label))).join(have.withColumn("_hit", F.lit(True)), F.col("_name") == have[name], "left")
     said = F.concat(F.lit("no "), F.col("_name"), F.lit("; available: "), F.coalesce("_available", F.lit("")))
-    # one row of names; the registry of a kind is a dimension
+    # one row of bounded size meets every row
     return joined.crossJoin(F.broadcast(names)).withColumn("error", F.when(F.col("_hit").isNull(), said)).drop("_name", "_hit", "_available")
 
 
