@@ -13,13 +13,11 @@ def _settled(parents: DataFrame) -> DataFrame:
     while True:
         up = parents.select(F.col("node").alias("_node"), F.col("parent").alias("_parent"))
         # both sides are written tables, so a parent that many nodes share is a splittable join key
-        moved = written(parents.join(up.hint("merge"), parents["parent"] == up["_node"], "left").select("node", F.coalesce("_parent", "parent").alias("parent"), F.col("_parent").isNotNull().alias("moved")), "jump")
-        again = not moved.filter("moved").isEmpty()
+        moved = written(parents.join(up.hint("merge"), parents["parent"] == up["_node"], "left").select("node", F.coalesce("_parent", "parent").alias("parent"), F.col("_parent").isNotNull().alias("moved")), "parents")
         discard(parents)
-        if not again:
+        if moved.filter("moved").isEmpty():
             return moved
-        parents = written(moved.select("node", "parent"), "parents")
-        discard(moved)
+        parents = moved
 
 
 def _roots(edges: DataFrame, parents: DataFrame) -> DataFrame:
