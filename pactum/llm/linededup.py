@@ -58,20 +58,26 @@ def _cuts(length: Column) -> Column:
     return F.when(own == longer, F.array(own)).otherwise(F.array(own, longer))
 
 
-def _open_pieces(line: Column) -> Column:
-    """(remainder key, open piece) of each cut of a line."""
-    length = F.length(line)
+def _remainders(line: Column) -> Column:
+    """(rest, i, m) of each cut of a line: a key of all pieces of m characters but the open one, i."""
+    n, closed = F.length(line), PIECES - 1
 
     def cut(m: Column) -> Column:
         m = m.cast("int")
+        left = [F.xxhash64(F.substring(line, m * k + 1, m)) for k in range(closed)]
+        right = [F.xxhash64(F.substring(line, n - m * (k + 1) + 1, m)) for k in range(closed)]
 
-        def one(i: int) -> Column:
-            left, right = F.substring(line, F.lit(1), m * i), F.substring(line, length - m * (PIECES - 1 - i) + 1, m * (PIECES - 1 - i))
-            return F.struct(F.xxhash64(F.lit(i), m, left, right).alias("rest"), F.substring(line, m * i + 1, length - m * (PIECES - 1)).alias("piece"))
+        def keys(a: Column) -> Column:
+            rest = lambda i: F.xxhash64(F.lit(i), m, *(a[k] for k in range(i)), *(a[closed + k] for k in range(closed - i)))
+            return F.array(*(F.struct(rest(i).alias("rest"), F.lit(i).alias("i"), m.alias("m")) for i in range(PIECES)))
 
-        return F.array(*(one(i) for i in range(PIECES)))
+        return let(F.array(*left, *right), keys)
 
-    return F.flatten(F.transform(_cuts(length), cut))
+    return F.flatten(F.transform(_cuts(n), cut))
+
+
+def _open_piece(line: Column, i: Column, m: Column) -> Column:
+    return F.substring(line, m * i + 1, F.length(line) - m * (PIECES - 1))
 
 
 def _variants(piece: Column) -> Column:
@@ -83,11 +89,11 @@ def _variants(piece: Column) -> Column:
 
 def near_pairs(distinct: DataFrame) -> DataFrame:
     """(place, earlier): places of distinct lines within one edit, for a written table (line, place)."""
-    cut = distinct.select("place", F.explode(_open_pieces(F.col("line"))).alias("_c")).select("place", "_c.rest", "_c.piece")
+    cut = distinct.select("place", "line", F.explode(_remainders(F.col("line"))).alias("_c")).select("place", "line", "_c.rest", "_c.i", "_c.m")
     shared = cut.groupBy("rest").agg(F.min("place").alias("_a"), F.max("place").alias("_b")).filter("_a <> _b").select(F.col("rest").alias("_rest"))
     shared = small(written(shared, "shared"))
-    joined = cut.join(shared, cut["rest"] == shared["_rest"], "left_semi")
-    keys = joined.select("place", "rest", F.length("piece").alias("size"), F.explode(_variants(F.col("piece"))).alias("_v")).select("place", "rest", "size", "_v.at", "_v.hash")
+    open_ = cut.join(shared, cut["rest"] == shared["_rest"], "left_semi").select("place", "rest", _open_piece(F.col("line"), F.col("i"), F.col("m")).alias("piece"))
+    keys = open_.select("place", "rest", F.length("piece").alias("size"), F.explode(_variants(F.col("piece"))).alias("_v")).select("place", "rest", "size", "_v.at", "_v.hash")
     same = Window.partitionBy("rest", "hash")
     own = F.min(F.when(F.col("at") < 0, F.col("place"))).over(same)
     shorter = F.min(F.when(F.col("at") >= 0, F.col("place"))).over(same)
