@@ -12,7 +12,8 @@ threshold, and documents are filtered by comparing hashes. Nothing is sorted but
 the bounded histograms. The hash depends on the doc_id only: reruns agree, and a
 larger budget takes a superset.
 
-Null texts have size 0. A null source is a source of its own, last in order.
+Sources are a dimension of the mix, one row each; only that table, never documents,
+is ranked in one task. Null texts have size 0. A null source is a source of its own, last in order.
 Null doc_ids share one hash. Repeated rows are taken alike.
 """
 
