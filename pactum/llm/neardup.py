@@ -15,7 +15,9 @@ one class; only one document of each class is compared further.
    whose ends are still in different components.
 4. Buckets that still hold several components are compared across components, in
    chunks of bounded size dealt over tasks, so a link between documents that both
-   differ from their bucket's smallest is found as well.
+   differ from their bucket's smallest is found as well. Documents that come near
+   another component there get a finer sketch, of four times the samples, and only
+   pairs that it does not rule out are confirmed.
 
 No group is gathered whole: buckets meet by joins whose hot keys adaptive
 execution splits, chunks are bounded, and components are found by joins.
@@ -43,11 +45,15 @@ BANDS, ROWS = 32, 5
 SKETCH_BITS = 1024
 #: Pairs whose sketches estimate less than the threshold minus this are not confirmed (over 6 standard deviations).
 MARGIN = 0.25
+#: The same for the finer sketch of FINE samples, over 4 standard deviations.
+FINE, FINE_BITS, FINE_MARGIN = 640, 4096, 0.07
 #: Documents of one bucket that meet in one task.
 CHUNK = 128
 
 _A = textbytes.random_words(BANDS * ROWS, 101) | np.uint64(1)
 _B = textbytes.random_words(BANDS * ROWS, 202)
+_FINE_A = textbytes.random_words(FINE, 303) | np.uint64(1)
+_FINE_B = textbytes.random_words(FINE, 404)
 _ONE, _TWO = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -74,28 +80,25 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     return out
 
 
-def minhash(shingles: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS MinHash values of a non-empty set."""
-    low = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
+def minhash(shingles: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
+    """MinHash values of a non-empty set, one for each pair of multiplier and addend."""
+    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 2048):
-            part = shingles[at : at + 2048]
-            np.minimum(low, (np.multiply.outer(_A, part) + _B[:, None]).min(axis=1), out=low)
+        for at in range(0, len(shingles), 1024):
+            part = shingles[at : at + 1024]
+            np.minimum(low, (np.multiply.outer(a, part) + b[:, None]).min(axis=1), out=low)
     return low
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
+def odd_sketch(samples: np.ndarray, salt: np.ndarray = _B, bits: int = SKETCH_BITS) -> np.ndarray:
     """Parity bitmap of the samples, as 64-bit words."""
-    with np.errstate(over="ignore"):
-        bit = textbytes.splitmix(samples ^ _B) % np.uint64(SKETCH_BITS)
-    return np.packbits(np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).view(np.int64)
+    at = textbytes.splitmix(samples ^ salt) % np.uint64(bits)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64)
 
 
-def _least_differing(percent: int) -> int:
+def _least_differing(percent: int, margin: float = MARGIN, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS) -> int:
     """Differing bits of two sketches above which a pair is ruled out."""
-    floor = percent / 100 - MARGIN
-    k, m = BANDS * ROWS, SKETCH_BITS
-    return int(m / 2 * (1 - np.exp(-4 * k * (1 - floor) / m)))
+    return int(bits / 2 * (1 - np.exp(-4 * samples * (1 - percent / 100 + margin) / bits)))
 
 
 def _signatures(size: int):
@@ -149,6 +152,19 @@ def _sets(size: int):
     return rows
 
 
+def _fine_sketches(size: int):
+    def rows(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in (part for whole in batches for part in textbytes.slices(whole)):
+            sets = shingle_sets(batch.column("text").to_pylist(), size)
+            place = [i for i, s in enumerate(sets) if len(s)]
+            fine = [odd_sketch(minhash(sets[i], _FINE_A, _FINE_B), _FINE_B, FINE_BITS).tolist() for i in place]
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(place, pa.int64())), pa.array(fine, pa.list_(pa.int64()))], names=["node", "sketch"])
+
+    return rows
+
+
 def _confirm(percent: int):
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -164,8 +180,8 @@ def _confirm(percent: int):
     return rows
 
 
-def _cross(most: int):
-    """Pairs of one chunk group in different components whose sketches agree well enough."""
+def _cross(most: int, pairs: bool):
+    """Of one chunk group: pairs in different components whose sketches agree well enough, or just their nodes."""
 
     def rows(key, table):
         import pyarrow as pa
@@ -174,16 +190,19 @@ def _cross(most: int):
         chunk = table.column("chunk").to_numpy()
         sketch = np.array(table.column("sketch").to_pylist(), np.int64).reshape(len(node), -1).view(np.uint64)
         first, second = key[1].as_py(), key[2].as_py()
+        keys = np.array(table.column("keys").to_pylist(), np.int64).reshape(len(node), BANDS) if pairs else None
         left, right = np.flatnonzero(chunk == first), np.flatnonzero(chunk == second)
-        a_out, b_out = [], []
+        a_out, b_out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for i in left:
             j = right[(part[right] != part[i]) & ((node[right] < node[i]) | (first != second))]
             if len(j):
                 j = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1) <= most]
+                if pairs:  # each pair is handed on by the first bucket that it shares
+                    j = j[keys[i][(keys[j] == keys[i]).argmax(axis=1)] == key[0].as_py()]
                 a_out.append(np.maximum(node[j], node[i]))
                 b_out.append(np.minimum(node[j], node[i]))
-        cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return pa.table({"a": pa.array(cat(a_out), pa.int64()), "b": pa.array(cat(b_out), pa.int64())})
+        a, b = np.concatenate(a_out), np.concatenate(b_out)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)}) if pairs else pa.table({"node": pa.array(np.unique(np.concatenate([a, b])))})
 
     return rows
 
@@ -237,7 +256,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         parents = components(_confirmed(rest, sets, percent), parents)
     discard(stars, best, rest, sets)
 
-    crossing = written(_crossing(buckets, sk, parents, most).join(near.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
+    crossing = written(_crossing(docs, shingle_words, percent, buckets, sketches, parents, once).join(near.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
     if not crossing.isEmpty():
         parents = components(_confirmed(crossing, full_sets(crossing), percent), parents)
     discard(buckets, near, crossing)
@@ -249,7 +268,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
-def _crossing(buckets: DataFrame, sketches: DataFrame, parents: DataFrame | None, most: int) -> DataFrame:
+def _crossing(docs: DataFrame, size: int, percent: int, buckets: DataFrame, sketches: DataFrame, parents: DataFrame | None, once) -> DataFrame:
     """Pairs of a bucket's documents in different components whose sketches agree well enough.
 
     The documents of a bucket's largest component meet only those outside it, so
@@ -262,13 +281,19 @@ def _crossing(buckets: DataFrame, sketches: DataFrame, parents: DataFrame | None
     chunks = lambda n: F.ceil(n / CHUNK).cast("int")
     mixed = written(mixed.select("key", F.col("_top.part").alias("major"), chunks(F.col("_n") - F.col("_top.n")).alias("minors"), chunks(F.col("_top.n")).alias("majors")), "mixed")
     left = written(part.join(mixed.hint("merge"), "key"), "left")
-    left = left.join(sketches.hint("merge"), "node")
     is_major = F.col("part") == F.col("major")
     h = F.xxhash64("node")
     left = left.withColumn("chunk", F.when(is_major, F.col("minors") + F.pmod(h, F.col("majors"))).otherwise(F.pmod(h, F.col("minors"))).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_major, F.col("minors") - 1).otherwise(F.col("minors") + F.col("majors") - 1))))
-    dealt = left.select("key", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "node", "part", "chunk", "sketch")
-    return dealt.groupBy("key", "c1", "c2").applyInArrow(_cross(most), "a long, b long").distinct()
+    dealt = written(left.select("key", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "node", "part", "chunk"), "dealt")
+    groups = ["key", "c1", "c2"]
+    close = dealt.join(sketches.select("node", "sketch").hint("merge"), "node").groupBy(*groups).applyInArrow(_cross(_least_differing(percent), False), "node long").distinct()
+    close = small(written(close, "close"))
+    texts = docs.join(close, docs["doc_id"] == close["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
+    fine = written(once(texts.mapInArrow(_fine_sketches(size), "node long, sketch array<long>"), "sketch"), "fine")
+    most = _least_differing(percent, FINE_MARGIN, FINE, FINE_BITS)
+    fine = written(fine.join(sketches.select("node", "keys").hint("merge"), "node"), "fine-keys")
+    return dealt.join(fine.hint("merge"), "node").groupBy(*groups).applyInArrow(_cross(most, True), "a long, b long").distinct()
 
 
 def _between(pairs: DataFrame, parents: DataFrame) -> DataFrame:
