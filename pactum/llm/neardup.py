@@ -16,7 +16,7 @@ one class; only one document of each class is compared further.
 4. Buckets that still hold several components are compared across components, in
    chunks of bounded size dealt over tasks, so a link between documents that both
    differ from their bucket's smallest is found as well. Documents that come near
-   another component there get a finer sketch, of four times the samples, and only
+   another component there get a finer sketch, of eight times the samples, and only
    pairs that it does not rule out are confirmed.
 
 No group is gathered whole: buckets meet by joins whose hot keys adaptive
@@ -46,7 +46,7 @@ SKETCH_BITS = 1024
 #: Pairs whose sketches estimate less than the threshold minus this are not confirmed (over 6 standard deviations).
 MARGIN = 0.25
 #: The same for the finer sketch of FINE samples, over 4 standard deviations.
-FINE, FINE_BITS, FINE_MARGIN = 640, 4096, 0.07
+FINE, FINE_BITS, FINE_MARGIN = 1280, 8192, 0.05
 #: Documents of one bucket that meet in one task.
 CHUNK = 128
 
