@@ -56,7 +56,7 @@ def op9_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return treeweight.score_documents(_documents(spark, sf_dir))
+    return treeweight.score_documents(_documents(spark, sf_dir), depth=5)
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_minhash_neardup, op4_license_scan, op5_quality_rules, op6_secret_scan, op7_token_id_files, op8_source_mixing, op9_bit_sliced_topk, op10_context_tree_scores)}

@@ -1,21 +1,26 @@
 """Language-model scores by context-tree weighting over bytes.
 
 Bytes are coded as eight binary decisions, from the most significant bit down.
-The decision at each node of that byte tree is modelled in contexts of zero, one
-and two bytes before it. A context's counts give a Krichevsky-Trofimov block
+The decision at each node of that byte tree is modelled in the contexts of zero
+to ``depth`` bytes before it. A context's counts give a Krichevsky-Trofimov block
 estimate; a context of less than full depth weights its own estimate and the
 product of its children's weighted estimates half and half, so all depths are
 mixed by how well they explain the training text. With the counts fixed, the
-mixture gives the chance of each byte in each two-byte context.
+mixture gives the chance of each byte in each context.
 
-Counts are gathered from every training document and grow with the corpus until
-all contexts are seen; the table of byte chances that scoring needs is bounded
-by 256 ** 2 contexts of 256 four-byte numbers, 67 MB, whatever the corpus.
+The counts are a table, a row for each string of a context and a byte, that grows
+with the corpus. A number stands for a string: the byte last, before it the
+context, the nearest byte first, so a shorter context is a prefix. Contexts of
+``ROOT`` bytes are the roots of subtrees, dealt into buckets and weighted bottom-up
+there; the contexts above are weighted by one aggregation for each depth. On the way
+down each node gets what the shorter contexts leave to it, and each string its
+chance. Strings that only occur in documents not learned from take part with a
+count of zero. Nothing of this reaches the driver but counts of rows.
 
 The base score is an add-one unigram model of whole words. Its word counts have
-no bound, so they are never broadcast: documents are dealt into blocks, the
-distinct words of each block meet the counts by a join, and each block is scored
-with its own words.
+no bound either, so nothing is broadcast: documents are dealt into blocks, the
+distinct words and strings of each block meet their counts and chances by a join,
+and each block is scored with its own.
 
 Null texts are empty: their only token is the end, their model score is 0.
 Repeated rows are counted and scored each.
@@ -33,14 +38,20 @@ from pyspark.sql import functions as F
 from pactum.llm import textbytes
 from pactum.plans.scratch import discard, written
 
-#: Bytes of context. The table of chances has 256 ** DEPTH rows at most.
-DEPTH = 2
+#: Bytes of context unless a caller gives more; a string of MOST_DEPTH + 2 bytes would not fit its number.
+DEPTH, MOST_DEPTH = 2, 6
+
+#: Bytes of context of the root of a subtree, and strings of a bucket of subtrees on average.
+ROOT, BUCKET_STRINGS = 3, 250_000
 
 #: Characters of text that a block of documents holds on average.
 BLOCK_CHARS = 8_000_000
 
 _END = np.uint64(0xE7037ED1A0B428DB)
 
+#: Kinds of the items that a block holds.
+_WORD, _STRING = 0, 1
+
 
 def held_out(doc_id: object, folds: int = 7, fold: int = 2) -> bool:
     """Documents whose id, as text, has CRC-32 ``fold`` modulo ``folds`` are not learned from. A null id counts as empty text."""
@@ -77,27 +88,6 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / y - shift
 
 
-def node_counts(byte_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 nodes (1..255) of the byte tree, from counts [..., 256]."""
-    n0, n1 = np.zeros(byte_counts.shape), np.zeros(byte_counts.shape)
-    for bit in range(8):
-        halves = byte_counts.reshape(*byte_counts.shape[:-1], 1 << bit, 2, -1).sum(axis=-1)
-        n0[..., 1 << bit : 2 << bit] = halves[..., 0]
-        n1[..., 1 << bit : 2 << bit] = halves[..., 1]
-    return n0, n1
-
-
-def byte_logs(one: np.ndarray) -> np.ndarray:
-    """log10 chance of each byte from the chance of a one at each node [..., 256]."""
-    out = np.zeros(one.shape)
-    value = np.arange(256)
-    for bit in range(8):
-        node = (1 << bit) | (value >> (8 - bit))
-        p = one[..., node]
-        out += np.log10(np.where((value >> (7 - bit)) & 1, p, 1 - p))
-    return out
-
-
 def _kt_one(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return (n1 + 0.5) / (n0 + n1 + 1)
 
@@ -111,117 +101,111 @@ def _weighted(own: np.ndarray, children: np.ndarray) -> np.ndarray:
     return np.logaddexp(own, children) - np.log(2)
 
 
-class Subtree:
-    """The contexts whose last byte is one byte: itself (depth 1) and those of two bytes seen."""
-
-    def __init__(self, before: np.ndarray, byte: np.ndarray, count: np.ndarray):
-        """``before``: the byte two back."""
-        self.seen, at = np.unique(before, return_inverse=True)
-        deep = np.zeros((len(self.seen), 256))
-        np.add.at(deep, (at, byte), count)
-        self.total = deep.sum(axis=0)
-        self.d0, self.d1 = node_counts(deep)
-        self.n0, self.n1 = node_counts(self.total)
-        self.own = _kt(self.n0, self.n1)
-        self.children = _kt(self.d0, self.d1).sum(axis=0)
-        self.log = _weighted(self.own, self.children)
-
-    def chances(self, share: np.ndarray, root_one: np.ndarray) -> np.ndarray:
-        """log10 chances [context, byte]: the contexts seen, then one for any other."""
-        own = _own_share(self.own, self.children)
-        deep = np.concatenate([_kt_one(self.d0, self.d1), np.full((1, 256), 0.5)])
-        here = own * _kt_one(self.n0, self.n1) + (1 - own) * deep
-        return byte_logs(share * root_one + (1 - share) * here)
-
-
-def _text_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(byte, context of two bytes as a number, offsets of the texts); texts begin after two zero bytes."""
+def _text_strings(texts: list[str | None], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(string of each byte as a number, offsets of the texts); texts begin after zero bytes."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
     at = np.concatenate([[0], np.cumsum(sizes)])
-    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)
-    one, two = np.zeros_like(data), np.zeros_like(data)
-    one[1:], two[2:] = data[:-1], data[:-2]
-    first = at[:-1][sizes > 0]
-    one[first] = two[first] = 0
-    second = first[sizes[sizes > 0] > 1] + 1
-    two[second] = 0
-    return data, one << 8 | two, at
-
-
-def _count_contexts(is_held: Callable):
-    def rows(batches: Iterator) -> Iterator:
+    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+    place = np.arange(len(data)) - np.repeat(at[:-1], sizes)
+    out = data.copy()
+    for j in range(1, min(depth, len(data) - 1) + 1):
+        out[j:] |= np.where(place[j:] >= j, data[:-j], 0) << 8 * (depth + 1 - j)
+    return out, at
+
+
+class Subtrees:
+    """Nodes of whole subtrees: for each depth from ``root`` on, the (context, node of the byte tree) that strings pass, as sorted numbers."""
+
+    def __init__(self, strings: np.ndarray, count: np.ndarray, depth: int, root: int):
+        byte = strings & 255
+        self.node = np.stack([1 << k | byte >> (8 - k) for k in range(8)])
+        self.bit = np.stack([byte >> (7 - k) & 1 for k in range(8)])
+        self.depths = range(root, depth + 1)
+        n = np.broadcast_to(count, self.bit.shape)
+        self.nodes, self.n0, self.n1, self.own, self.log, self.children, self.up = {}, {}, {}, {}, {}, {}, {}
+        for d in reversed(self.depths):
+            self.nodes[d], at = np.unique(((strings >> 8 * (depth + 1 - d)) << 8 | self.node).ravel(), return_inverse=True)
+            size = len(self.nodes[d])
+            self.n0[d] = np.bincount(at, weights=np.where(self.bit, 0, n).ravel(), minlength=size)
+            self.n1[d] = np.bincount(at, weights=np.where(self.bit, n, 0).ravel(), minlength=size)
+            self.own[d] = self.log[d] = _kt(self.n0[d], self.n1[d])
+            if d == depth:
+                self.at = at
+            else:
+                below = self.nodes[d + 1]
+                self.up[d + 1] = np.searchsorted(self.nodes[d], (below >> 16) << 8 | below & 255)
+                self.children[d] = np.bincount(self.up[d + 1], weights=self.log[d + 1], minlength=size)
+                self.log[d] = _weighted(self.own[d], self.children[d])
+
+    def logs(self, mixed: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """log10 chance of each string's byte, from what shorter contexts mixed and left to each node of the roots."""
+        for d in self.depths:
+            if d in self.up:
+                mixed, left = mixed[self.up[d]], left[self.up[d]]
+            share = _own_share(self.own[d], self.children[d]) if d in self.children else 1.0
+            mixed, left = mixed + left * share * _kt_one(self.n0[d], self.n1[d]), left * (1 - share)
+        p = mixed[self.at].reshape(self.bit.shape)
+        return np.log10(np.where(self.bit, p, 1 - p)).sum(axis=0)
+
+
+def _bucket_roots(depth: int, root: int):
+    def rows(table):
         import pyarrow as pa
 
-        total = np.zeros(1 << 24, np.int64)
-        for batch in (part for whole in batches for part in textbytes.slices(whole)):
-            ids = batch.column("doc_id").to_pylist()
-            data, context, _ = _text_codes([t for d, t in zip(ids, batch.column("text").to_pylist(), strict=True) if not is_held(d)])
-            code, n = np.unique(context << 8 | data, return_counts=True)
-            total[code] += n
-        code = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in ((code >> 16).astype(np.int32), (code >> 8 & 255).astype(np.int32), (code & 255).astype(np.int32), total[code])], names=["last", "before", "byte", "n"])
+        t = Subtrees(table.column("word").to_numpy(), table.column("count").to_numpy(), depth, root)
+        nodes = t.nodes[root]
+        return pa.table({"bucket": pa.array(np.full(len(nodes), table.column("bucket")[0].as_py(), np.int64)), "context": pa.array(nodes >> 8), "node": pa.array((nodes & 255).astype(np.int32)), "n0": pa.array(t.n0[root]), "n1": pa.array(t.n1[root]), "log": pa.array(t.log[root])})
 
     return rows
 
 
-def _subtree_logs(table):
-    import pyarrow as pa
-
-    t = Subtree(*(table.column(c).to_numpy() for c in ("before", "byte", "n")))
-    return pa.table({"last": pa.array(table.column("last").to_numpy()[:1], pa.int32()), "total": pa.array([t.total.tolist()], pa.list_(pa.float64())), "log": pa.array([t.log.tolist()], pa.list_(pa.float64()))})
-
-
-def _subtree_chances(share: np.ndarray, root_one: np.ndarray):
-    def rows(table):
+def _bucket_logs(depth: int, root: int):
+    def rows(strings, above):
         import pyarrow as pa
 
-        t = Subtree(*(table.column(c).to_numpy() for c in ("before", "byte", "n")))
-        p = t.chances(share, root_one).astype("<f4")
-        before = [*t.seen.tolist(), -1]
-        return pa.table({"last": pa.array([int(table.column("last")[0].as_py())] * len(before), pa.int32()), "before": pa.array(before, pa.int32()), "chances": pa.array([r.tobytes() for r in p], pa.binary())})
+        words = strings.column("word").to_numpy()
+        t = Subtrees(words, strings.column("count").to_numpy(), depth, root)
+        # the rows above are those of the roots' nodes
+        order = np.argsort(above.column("context").to_numpy() << 8 | above.column("node").to_numpy())
+        return pa.table({"word": pa.array(words), "value": pa.array(t.logs(above.column("mixed").to_numpy()[order], above.column("left").to_numpy()[order]))})
 
     return rows
 
 
-class ByteModel:
-    """log10 chance of each byte in each context of two bytes."""
-
-    def __init__(self, rows: list[tuple[int, int, bytes]], fallback: np.ndarray):
-        self.table = np.concatenate([fallback[None].astype(np.float32), np.frombuffer(b"".join(r[2] for r in rows), "<f4").reshape(-1, 256)]) if rows else fallback[None].astype(np.float32)
-        self.row = np.zeros(1 << 16, np.int32)
-        for k, (last, before, _) in enumerate(rows, 1):
-            if before < 0:
-                self.row[last << 8 : (last + 1) << 8] = k
-        for k, (last, before, _) in enumerate(rows, 1):
-            if before >= 0:
-                self.row[last << 8 | before] = k
-
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        """log10 probability of each text."""
-        data, context, at = _text_codes(texts)
-        logs = self.table[self.row[context], data].astype(np.float64)
-        sums = np.concatenate([[0.0], np.cumsum(logs)])
-        return sums[at[1:]] - sums[at[:-1]]
-
+def _weigh(batches: Iterator) -> Iterator:
+    import pyarrow as pa
 
-def train(docs: DataFrame, is_held: Callable = held_out) -> ByteModel:
-    """Fit the model on the documents that are not held out."""
-    counts = docs.select("doc_id", "text").mapInArrow(_count_contexts(is_held), "last int, before int, byte int, n long")
-    counts = written(counts.groupBy("last", "before", "byte").agg(F.sum("n").alias("n")), "contexts")
-    # 256 subtrees at most, each of at most 65,536 counts
-    logs = counts.groupBy("last").applyInArrow(_subtree_logs, "last int, total array<double>, log array<double>").collect()
-    total = np.array([r["total"] for r in logs]).reshape(-1, 256).sum(axis=0)
-    n0, n1 = node_counts(total)
-    share = _own_share(_kt(n0, n1), np.array([r["log"] for r in logs]).reshape(-1, 256).sum(axis=0))
-    root_one = _kt_one(n0, n1)
-    # bounded: 256 ** 2 contexts seen, and one row for each last byte
-    rows = counts.groupBy("last").applyInArrow(_subtree_chances(share, root_one), "last int, before int, chances binary").collect()
-    discard(counts)
-    return ByteModel([(r["last"], r["before"], bytes(r["chances"])) for r in rows], byte_logs(share * root_one + (1 - share) * 0.5))
+    for batch in batches:
+        n0, n1, children = (batch.column(c).to_numpy() for c in ("n0", "n1", "children"))
+        own = _kt(n0, n1)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("context", "node", "n0", "n1")), pa.array(_weighted(own, children)), pa.array(_own_share(own, children)), pa.array(_kt_one(n0, n1))], names=["context", "node", "n0", "n1", "log", "share", "one"])
+
+
+def string_logs(counts: DataFrame, depth: int) -> DataFrame:
+    """word, value (log10 chance of the byte after its context) of each string of a written table (word, count)."""
+    root = min(ROOT, depth)
+    buckets = 12 + counts.count() // BUCKET_STRINGS
+    dealt = counts.select("word", "count", F.pmod(F.xxhash64(F.shiftright("word", 8 * (depth + 1 - root))), F.lit(buckets)).cast("long").alias("bucket"))
+    roots = written(dealt.groupBy("bucket").applyInArrow(_bucket_roots(depth, root), "bucket long, context long, node int, n0 double, n1 double, log double"), "roots")
+    levels, below = [], roots
+    for _ in range(root):
+        sums = below.groupBy(F.shiftright("context", 8).alias("context"), "node").agg(*(F.sum(a).alias(b) for a, b in (("n0", "n0"), ("n1", "n1"), ("log", "children"))))
+        below = written(sums.mapInArrow(_weigh, "context long, node int, n0 double, n1 double, log double, share double, one double"), "level")
+        levels.append(below)
+    # what the contexts so far mix, and the share that they leave to longer ones
+    above = levels[-1].select("context", "node", (F.col("share") * F.col("one")).alias("mixed"), (1 - F.col("share")).alias("left"))
+    join = lambda t, above: t.join(above.select(F.col("context").alias("_up"), F.col("node").alias("_node"), "mixed", "left"), (F.shiftright("context", 8) == F.col("_up")) & (F.col("node") == F.col("_node")))
+    for level in reversed(levels[:-1]):
+        own = F.col("left") * F.col("share")
+        above = join(level, above).select("context", "node", (F.col("mixed") + own * F.col("one")).alias("mixed"), (F.col("left") - own).alias("left"))
+    above = join(roots, above).select("bucket", "context", "node", "mixed", "left")
+    out = written(dealt.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(_bucket_logs(depth, root), "word long, value double"), "logs")
+    discard(roots, *levels)
+    return out
 
 
-# --- words -------------------------------------------------------------------------------------------------
+# --- words and scores -------------------------------------------------------------------------------------------------
 
 
 def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -232,36 +216,48 @@ def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([h, np.full(len(texts), _END, np.uint64)])[order], place[order]
 
 
-def _block_words(is_held: Callable):
+def _block_items(is_held: Callable, depth: int):
     def rows(table):
         import pyarrow as pa
 
-        words, counts = [np.empty(0, np.uint64)], [np.empty(0)]
+        found = {kind: ([np.empty(0, np.int64)], [np.empty(0)]) for kind in (_WORD, _STRING)}
         for part in textbytes.slices(table):
-            h, owner = _tokens(part.column("text").to_pylist())
+            texts = part.column("text").to_pylist()
             train = np.array([not is_held(d) for d in part.column("doc_id").to_pylist()], bool)
-            word, at = np.unique(h, return_inverse=True)
-            words.append(word)
-            counts.append(np.bincount(at, weights=train[owner], minlength=len(word)))
-        word, at = np.unique(np.concatenate(words), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate(counts), minlength=len(word)).astype(np.int64)
-        return pa.table({"block": pa.array(np.full(len(word), table.column("block")[0].as_py(), np.int64)), "word": pa.array(word.view(np.int64)), "n": pa.array(n)})
+            h, owner = _tokens(texts)
+            strings, at = _text_strings(texts, depth)
+            for kind, items, learned in ((_WORD, h.view(np.int64), train[owner]), (_STRING, strings, np.repeat(train, np.diff(at)))):
+                item, place = np.unique(items, return_inverse=True)
+                found[kind][0].append(item)
+                found[kind][1].append(np.bincount(place, weights=learned, minlength=len(item)))
+        parts = []
+        for kind, (items, counts) in found.items():
+            item, place = np.unique(np.concatenate(items), return_inverse=True)
+            n = np.bincount(place, weights=np.concatenate(counts), minlength=len(item)).astype(np.int64)
+            parts.append(pa.table({"block": pa.array(np.full(len(item), table.column("block")[0].as_py(), np.int64)), "kind": pa.array(np.full(len(item), kind, np.int32)), "word": pa.array(item), "n": pa.array(n)}))
+        return pa.concat_tables(parts)
 
     return rows
 
 
-def _score_block(model, total: int, distinct: int, is_held: Callable):
-    def rows(docs, words):
+def _score_block(depth: int, total: int, distinct: int, is_held: Callable):
+    def rows(docs, items):
         import pyarrow as pa
 
-        known = words.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(known)
-        known, count = known[order], words.column("count").to_numpy()[order]
+        kind, item, value = (items.column(c).to_numpy() for c in ("kind", "word", "value"))
+        known = {}
+        for k in (_WORD, _STRING):
+            order = np.flatnonzero(kind == k)
+            order = order[np.argsort(item[order])]
+            known[k] = item[order], value[order]
+        of = lambda k, x: known[k][1][np.searchsorted(known[k][0], x)]
         parts = []
         for part in textbytes.slices(docs) if docs.num_rows else [docs]:
             ids, texts = part.column("doc_id"), part.column("text").to_pylist()
             h, owner = _tokens(texts)
-            c, n = count[np.searchsorted(known, h)], len(texts)
+            c, n = of(_WORD, h.view(np.int64)), len(texts)
+            strings, at = _text_strings(texts, depth)
+            score = np.bincount(np.repeat(np.arange(n), np.diff(at)), weights=of(_STRING, strings), minlength=n)
             parts.append(
                 pa.table(
                     {
@@ -271,7 +267,7 @@ def _score_block(model, total: int, distinct: int, is_held: Callable):
                         "n_known": pa.array(np.bincount(owner, weights=c > 0, minlength=n).astype(np.int64), pa.int64()),
                         "train_tokens": pa.array(np.full(n, total), pa.int64()),
                         "base_score": pa.array(np.bincount(owner, weights=np.log10((c + 1) / (total + distinct + 1)), minlength=n), pa.float64()),
-                        "score": pa.array(model.value.score(texts), pa.float64()),
+                        "score": pa.array(score, pa.float64()),
                     }
                 )
             )
@@ -283,17 +279,20 @@ def _score_block(model, total: int, distinct: int, is_held: Callable):
 SCHEMA = "doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, is_held: Callable = held_out) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    spark = docs.sparkSession
+def score_documents(docs: DataFrame, is_held: Callable = held_out, depth: int = DEPTH) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; contexts of up to ``depth`` bytes."""
+    if not 1 <= depth <= MOST_DEPTH:
+        raise ValueError(f"depth must lie between 1 and {MOST_DEPTH}")
     docs = docs.select("doc_id", "text")
-    model = spark.sparkContext.broadcast(train(docs, is_held))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 12 + int(chars // BLOCK_CHARS)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
-    words = written(dealt.groupBy("block").applyInArrow(_block_words(is_held), "block long, word long, n long"), "words")
-    counts = written(words.groupBy("word").agg(F.sum("n").alias("count")), "counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.when(F.col("count") > 0, 1))).first()
-    known = words.select("block", "word").join(counts.hint("merge"), "word").select("block", "word", "count")
+    items = written(dealt.groupBy("block").applyInArrow(_block_items(is_held, depth), "block long, kind int, word long, n long"), "items")
+    counts = written(items.groupBy("kind", "word").agg(F.sum("n").alias("count")), "counts")
+    words = counts.filter(F.col("kind") == _WORD)
+    total, distinct = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.when(F.col("count") > 0, 1))).first()
+    logs = string_logs(counts.filter(F.col("kind") == _STRING).select("word", "count"), depth)
+    values = words.select("kind", "word", F.col("count").cast("double").alias("value")).unionByName(logs.select(F.lit(_STRING).alias("kind"), "word", "value"))
+    known = items.select("block", "kind", "word").join(values.hint("merge"), ["kind", "word"]).select("block", "kind", "word", "value")
     schema = SCHEMA.format(kind=docs.schema["doc_id"].dataType.simpleString())
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score_block(model, total, distinct, is_held), schema)
+    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score_block(depth, total, distinct, is_held), schema)

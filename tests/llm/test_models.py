@@ -288,3 +288,59 @@ def test_model_predicts_held_out_text(docs, empty, clashing):
     assert got and all(-r.score * math.log2(10) / r.bytes < 6 for r in got)
     assert treeweight.score_documents(empty).count() == 0
     assert treeweight.score_documents(clashing).count() == docs.count()
+
+
+def brute_deep(train, text, depth):
+    """Context-tree weighting over depths 0 to ``depth``, one bit at a time, contexts as strings of the bytes before."""
+    counts = defaultdict(lambda: [0, 0])
+
+    def bits(data):
+        padded = b"\0" * depth + data
+        for i, byte in enumerate(data, depth):
+            for k in range(8):
+                yield [(padded[i - d : i], 1 << k | byte >> (8 - k)) for d in range(depth + 1)], byte >> (7 - k) & 1
+
+    for t in train:
+        for path, bit in bits(t.encode()):
+            for c in path:
+                counts[c][bit] += 1
+
+    def kt(n):
+        return math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(n[0] + n[1] + 1)
+
+    children = defaultdict(float)
+    for c, n in sorted(counts.items(), key=lambda x: -len(x[0][0])):
+        log = kt(n) if len(c[0]) == depth else np.logaddexp(kt(n), children[c]) - math.log(2)
+        if c[0]:
+            children[(c[0][1:], c[1])] += log
+    total = 0.0
+    for path, bit in bits(text.encode()):
+        p = 0.0
+        for c in reversed(path):
+            n = counts.get(c, (0, 0))
+            share = 1.0 if len(c[0]) == depth else 1 / (1 + math.exp(min(700, max(-700, children.get(c, 0.0) - kt(n)))))
+            p = share * (n[1] + 0.5) / (n[0] + n[1] + 1) + (1 - share) * p
+        total += math.log10(p if bit else 1 - p)
+    return total
+
+
+def test_deep_contexts_equal_brute_force(spark):
+    rng = random.Random(8)
+    words = ["alphabet", "alphabetic", "betting", "abet", "\0", "é"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 8)))) for i in range(40)] + [(41, None), (42, ""), (43, "a"), (44, "zzzzzzzz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = [t or "" for d, t in rows if not treeweight.held_out(d)]
+    for depth in (1, 5, 6):
+        got = {r.doc_id: r.score for r in treeweight.score_documents(df, depth=depth).collect()}
+        assert got == {d: pytest.approx(brute_deep(train, t or "", depth), rel=1e-9, abs=1e-9) for d, t in rows}
+
+
+def test_the_query_predicts_from_more_than_two_bytes(spark, tmp_path):
+    from pactum.llm.queries import op10_context_tree_scores
+
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice(["xabcd1", "yabcd2"]) for _ in range(40))
+    spark.createDataFrame([(i, text()) for i in range(60)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op10_context_tree_scores(spark, str(tmp_path)).filter("held_out").collect()
+    # the last byte follows from the first, five before it: one bit a word, where two bytes of context need two
+    assert got and all(-r.score * math.log2(10) / 40 < 1.5 for r in got)
