@@ -1,16 +1,24 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance by directory.
 
-Native DataFrame code. Every line of every whole text is a possible header. A
-line's features are its distinct words, weighted by inverse document frequency;
-the frequencies of the template words are counted over all lines of the corpus,
-and a word that no template has weighs as much as one seen once. The cosine of a
-line and a template is summed over the words they share, by a join with the
-templates' postings (a fixed table). A cosine of at least ``threshold`` is a
-match. A match needs at least threshold ** 2 of a line's words to be template
-words, since no word weighs more than a foreign one, so other lines go no further.
-
-A file that is named as a license file, or all of whose lines with words match,
-is a license file. A file's license is, in this order: that of its own best
+Native DataFrame code. Possible headers are, over every whole text, each line, each
+run of consecutive lines with words that consist mostly of header words, each part
+of a run of 2 to ``WINDOW`` lines, and the whole text. Lines are compared with the
+``TEMPLATES``, runs and their parts with these and the wrapped notices of
+``NOTICES``, whole texts with the full license texts in ``license_texts``. Lines without a word (blank, or a comment mark) do not end a
+run.
+
+Features are the distinct words, weighted by inverse document frequency; the
+frequencies of the template words are counted over all lines of the corpus (for
+whole texts: over all texts), and a word that no template has weighs as much as one
+seen once. The cosine of a header and a template is summed over the words they
+share, by a join with the templates' postings (a fixed table). A cosine of at least
+``threshold`` is a match. A match needs at least threshold ** 2 of a header's words
+to be template words, since no word weighs more than a foreign one, so others go no
+further. Runs are lines of which each meets that; a part of a run or a whole text counts as
+a header of its own only if it holds no smaller match, but all compete for the license.
+
+A file that is named as a license file, or all of whose lines with words match, or
+that matches a full text, is a license file. A file's license is, in this order: that of its own best
 header, or that of the nearest directory above it that holds a license file.
 Ancestor paths are exploded and joined with the directories that have one.
 
@@ -22,6 +30,7 @@ inherit; a null path has no directory. Repeated rows are answered each.
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,6 +54,22 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("Proprietary", "All rights reserved."),
 )
+# Usual notices that stand on several lines.
+NOTICES = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+)
+
+#: Lines of a part of a run.
+WINDOW = 8
+
 LICENSE_FILE = r"(?i)^(license|licence|copying|notice|unlicense)([.\-_].*)?$"
 
 #: A word: letters and digits, with . + - between them.
@@ -70,29 +95,68 @@ def _template_table(spark: SparkSession, templates) -> DataFrame:
     return rows.select("template", "license", F.explode(line_words(F.col("text"))).alias("word"))
 
 
-def headers(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """path, text hash, line_no, license, cosine of every matching line; best template first."""
-    spark = files.sparkSession
-    vocabulary = F.array(*map(F.lit, _vocabulary(templates)))
-    lines = files.select("_file", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select("_file", "line_no", line_words(F.col("line")).alias("_words")).filter(F.size("_words") > 0)
-    known = lines.select("_file", "line_no", F.size("_words").alias("n"), F.array_intersect("_words", vocabulary).alias("_known"))
-    # counted over all lines; at most one row for each template word and task is shuffled
-    seen = known.select(F.explode(F.concat("_known", F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    seen = written(seen, "line-frequency")
-    total = seen.filter("word = ''").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+def full_texts() -> tuple[tuple[str, str], ...]:
+    return tuple((p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+
+
+def _matches(known: DataFrame, seen: DataFrame, total: int, templates, threshold: float) -> DataFrame:
+    """_file, block, license, cosine for blocks (_file, block, n, _known) that match; best template first."""
     idf = lambda df: F.log((1.0 + total) / (1.0 + df)) + 1.0
     foreign = idf(F.lit(1.0))
-    words = _template_table(spark, templates).join(F.broadcast(seen), "word", "left").withColumn("w", F.least(idf(F.coalesce("df", F.lit(0)).cast("double")), foreign)).withColumn("w2", F.col("w") * F.col("w"))
+    words = _template_table(known.sparkSession, templates).join(F.broadcast(seen), "word", "left").withColumn("w", F.least(idf(F.coalesce("df", F.lit(0)).cast("double")), foreign)).withColumn("w2", F.col("w") * F.col("w"))
     norms = Window.partitionBy("template")
     # a fixed table: a row for each word of each template
     postings = words.select("template", "license", F.col("word").alias("_word"), "w2", F.sqrt(F.sum("w2").over(norms)).alias("template_norm"))
-    near = known.filter(F.size("_known") >= threshold * threshold * F.col("n")).select("_file", "line_no", "n", F.explode("_known").alias("word"))
+    near = known.filter(F.size("_known") >= threshold * threshold * F.col("n")).select("_file", "block", "n", F.explode("_known").alias("word"))
     near = near.distinct().join(F.broadcast(words.select(F.col("word").alias("_w"), F.col("w2").alias("_w2")).distinct()), F.col("word") == F.col("_w"))
-    size = near.groupBy("_file", "line_no").agg(F.sqrt(F.sum("_w2") + (F.max("n") - F.count("*")) * foreign * foreign).alias("norm"))
-    dots = near.select("_file", "line_no", "word").join(F.broadcast(postings), F.col("word") == F.col("_word")).groupBy("_file", "line_no", "template", "license", "template_norm").agg(F.sum("w2").alias("dot"))
-    scored = dots.join(size, ["_file", "line_no"]).withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("template_norm")), 9)).filter(F.col("cosine") >= threshold)
-    return scored.groupBy("_file", "line_no").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("_m")).select("_file", "line_no", F.col("_m.license").alias("license"), (-F.col("_m.c")).alias("cosine"))
+    size = near.groupBy("_file", "block").agg(F.sqrt(F.sum("_w2") + (F.max("n") - F.count("*")) * foreign * foreign).alias("norm"))
+    dots = near.select("_file", "block", "word").join(F.broadcast(postings), F.col("word") == F.col("_word")).groupBy("_file", "block", "template", "license", "template_norm").agg(F.sum("w2").alias("dot"))
+    scored = dots.join(size, ["_file", "block"]).withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("template_norm")), 9)).filter(F.col("cosine") >= threshold)
+    return scored.groupBy("_file", "block").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("_m")).select("_file", "block", F.col("_m.license").alias("license"), (-F.col("_m.c")).alias("cosine"))
+
+
+def _frequencies(known: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """(word, df) over all blocks, and their number; at most one row for each template word and task is shuffled."""
+    seen = written(known.select(F.explode(F.concat("_known", F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("df")), name)
+    return seen, seen.filter("word = ''").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+
+
+def _run_parts(near: DataFrame) -> DataFrame:
+    """(_file, block, words): every run of two lines or more of (_file, line_no, _words), and its parts of up to WINDOW lines."""
+    run = F.col("line_no") - F.row_number().over(Window.partitionBy("_file").orderBy("line_no"))
+    runs = near.distinct().withColumn("_run", run).groupBy("_file", "_run").agg(F.array_sort(F.collect_list(F.struct("line_no", "_words"))).alias("_r")).filter(F.size("_r") > 1)
+    size = F.size("_r")
+    parts = F.flatten(F.transform(F.sequence(F.lit(0), size - 2), lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(WINDOW), size - i)), lambda k: F.struct(i.alias("at"), k.alias("k")))))
+    parts = F.array_union(parts, F.array(F.struct(F.lit(0).alias("at"), size.alias("k"))))
+    runs = runs.select("_file", "_r", F.explode(parts).alias("_p"))
+    first = F.element_at("_r", F.col("_p.at") + 1)["line_no"]
+    return runs.select("_file", F.struct(first.alias("first"), (first + F.col("_p.k") - 1).alias("last")).alias("block"), F.array_distinct(F.flatten(F.transform(F.slice("_r", F.col("_p.at") + 1, F.col("_p.k")), lambda x: x["_words"]))).alias("_words"))
+
+
+def headers(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, notices=NOTICES, texts=None) -> DataFrame:
+    """_file, first and last of the lines with words, whole, license, cosine, own of every match; own: it holds no smaller one."""
+    several = (*templates, *notices)
+    texts = full_texts() if texts is None else texts
+    among = lambda words, given: F.array_intersect(words, F.array(*map(F.lit, _vocabulary(given))))
+    split = files.select("_file", F.filter(F.transform(F.split("text", "\n"), line_words), lambda w: F.size(w) > 0).alias("_lines")).filter(F.size("_lines") > 0)
+    split = written(split, "line-words")
+    lines = split.select("_file", F.posexplode("_lines").alias("line_no", "_words"))
+    block = F.struct(F.col("line_no").alias("first"), F.col("line_no").alias("last")).alias("block")
+    known = lambda blocks, given: blocks.select("_file", "block", F.size("_words").alias("n"), among(F.col("_words"), given).alias("_known"))
+    seen, total = _frequencies(known(lines.select("_file", block, "_words"), several), "line-frequency")
+    single = written(_matches(known(lines.select("_file", block, "_words"), templates), seen, total, templates, threshold), "single")
+    near = lines.filter(F.size(among(F.col("_words"), several)) >= threshold * threshold * F.size("_words"))
+    runs = written(_matches(known(_run_parts(near), several), seen, total, several, threshold), "runs")
+    # a text of one line is a line; equal rows are one text
+    whole = split.filter(F.size("_lines") > 1).select("_file", F.struct(F.lit(0).alias("first"), (F.size("_lines") - 1).alias("last")).alias("block"), F.array_distinct(F.flatten("_lines")).alias("_words"))
+    whole = written(known(whole, texts), "text-words")
+    seen_whole, texts_total = _frequencies(whole, "text-frequency")
+    whole_found = written(_matches(whole, seen_whole, texts_total, texts, threshold), "whole")
+    found = [t.select("_file", "block.first", "block.last", F.lit(k == 2).alias("whole"), "license", "cosine") for k, t in enumerate((single, runs, whole_found))]
+    # the least match that begins at a line or later and ends first: an own match ends before any that holds it
+    order = Window.partitionBy("_file").orderBy(F.col("first").desc(), F.col("last"), "whole").rowsBetween(Window.unboundedPreceding, -1)
+    least = F.min("last").over(order)
+    return found[0].unionByName(found[1]).unionByName(found[2]).withColumn("own", least.isNull() | (least > F.col("last")))
 
 
 def directory(path: Column) -> Column:
@@ -115,13 +179,13 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRE
     own = F.struct(*(F.col(f"`{c}`") for c in files.columns if c != "text"))
     keyed = files.select(own.alias("_row"), "text").withColumn("_file", F.struct(*(F.xxhash64(F.lit(k), F.to_json("_row"), F.coalesce("text", F.lit(""))).alias(f"h{k}") for k in (1, 2))))
     found = written(headers(keyed, templates, threshold), "headers")
-    best = found.groupBy("_file").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("_m"), F.count("*").alias("n_headers"), F.array_sort(F.collect_set("license")).alias("licenses"))
+    best = found.groupBy("_file").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("_m"), F.count_if("own").alias("n_headers"), F.count_if(F.col("first") == F.col("last")).alias("_single"), F.max("whole").alias("_whole"), F.array_sort(F.collect_set("license")).alias("licenses"))
     best = written(best, "best")
     lines = F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda s: s.rlike(r"[\p{L}\p{N}]"))), F.lit(0))
     rows = keyed.select("_row", F.col("_row.path").alias("path"), "_file", lines.alias("_lines"))
     rows = written(rows.join(best.hint("merge"), "_file", "left"), "files")
     name = F.regexp_extract("path", "[^/]*$", 0)
-    is_license = F.col("_m").isNotNull() & (name.rlike(LICENSE_FILE) | (F.col("n_headers") == F.col("_lines")))
+    is_license = F.col("_m").isNotNull() & (name.rlike(LICENSE_FILE) | (F.col("_single") == F.col("_lines")) | F.col("_whole"))
     dirs = rows.filter(is_license & F.col("path").isNotNull()).groupBy(directory(F.col("path")).alias("_dir")).agg(F.min(F.struct("path", F.col("_m.license").alias("license"))).alias("_d"))
     dirs = small(written(dirs.select("_dir", F.col("_d.license").alias("_license")), "dirs"))
     # each directory asks once, however many files it holds

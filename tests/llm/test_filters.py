@@ -222,3 +222,39 @@ def test_checksums_decide_and_redaction(spark):
 
 def test_secret_odd_rows(clashing, empty, docs):
     assert secrets.scan_secrets(clashing).count() == docs.count() and secrets.scan_secrets(empty).count() == 0
+
+
+def test_wrapped_headers_and_full_license_files(spark):
+    wrapped = "#!/usr/bin/python\n# This Source Code Form is subject to the\n# terms of the Mozilla Public\n#\n# License, v. 2.0. If a copy of the MPL was not distributed\n# with this file, You can obtain one at\n# http://mozilla.org/MPL/2.0/.\nimport sys\nprint(sys.argv)"
+    short = "x = 1\n// Released under\n// the MIT License.\ny = compute(x)"
+    # the two-clause licence is no template
+    bsd2 = """Copyright (c) 2001, Example Inc.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+    gpl = dict(licenses.full_texts())["GPL-3.0"].replace("\n", " \n> ")
+    plain = [(f"p/{i}.py", f"value {i} of the work\nin any case it runs\nand other lines follow") for i in range(30)]
+    rows = [("m/a.py", wrapped), ("s/b.c", short), ("b/text.txt", bsd2), ("b/c.py", "nothing"), ("g/COPYING", gpl), ("g/d.py", None), *plain]
+    got = {r.path: (r.license, r.origin) for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got.pop("m/a.py") == ("MPL-2.0", "header") and got.pop("s/b.c") == ("MIT", "header")
+    assert got.pop("b/text.txt") == ("BSD-3-Clause", "header") and got.pop("b/c.py") == ("BSD-3-Clause", "inherited")
+    assert got.pop("g/COPYING") == ("GPL-3.0", "header") and got.pop("g/d.py") == ("GPL-3.0", "inherited")
+    assert set(got.values()) == {(None, None)}
