@@ -82,6 +82,10 @@ def score_quality(docs: DataFrame, min_words: int = MIN_WORDS, repeat_percent: i
     # a repeated doc_id counts once; a null doc_id is named by its row
     name = F.coalesce(F.col("doc_id"), -1 - F.col("_row"))
     held = marks.select("source", name.alias("_doc"), F.explode(F.array_distinct(F.col("lines.h"))).alias("h"))
+    # rows that repeat a doc_id are few: only theirs are compared, the others hold each line once already
+    repeats = small(written(marks.filter("doc_id is not null").groupBy("source", "doc_id").agg(F.count("*").alias("_rows")).filter("_rows > 1").select(F.col("source").alias("_rs"), F.col("doc_id").alias("_rd")), "repeats"))
+    again = F.col("source").eqNullSafe(F.col("_rs")) & (F.col("_doc") == F.col("_rd"))
+    held = held.join(repeats, again, "left_anti").unionByName(held.join(repeats, again, "left_semi").distinct())
     hosts = marks.groupBy("source").agg(F.count_distinct(name).alias("_docs"))
     often = held.groupBy("source", "h").agg(F.count("*").alias("_n"), F.min("_doc").alias("_first")).filter(F.col("_n") > min_docs)
     often = written(often, "often")

@@ -258,3 +258,15 @@ OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
     assert got.pop("b/text.txt") == ("BSD-3-Clause", "header") and got.pop("b/c.py") == ("BSD-3-Clause", "inherited")
     assert got.pop("g/COPYING") == ("GPL-3.0", "header") and got.pop("g/d.py") == ("GPL-3.0", "inherited")
     assert set(got.values()) == {(None, None)}
+
+
+def test_repeated_rows_count_as_one_document(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    shared = "Some words of a passage that two documents of this host have in common"
+    rows = [(1, f"{own(1)}\n{shared}", "h")] * 13 + [(2, f"{shared}\n{shared}", "h"), (None, shared, "h"), (None, shared, "h")] + [(i, own(i), "h") for i in range(3, 20)]
+    got = {(r.doc_id, r.n_removed_words) for r in quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), repeat_percent=1000).collect()}
+    assert got == {(i, 0) for i in (*range(1, 20), None)}
+    # four distinct documents hold the passage: two ids and two rows without one
+    for limit, removed in ((3, 28), (4, 0)):
+        got = {r.doc_id: (r.kept, r.n_removed_words) for r in quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), repeat_percent=1000, min_docs=limit).collect() if r.doc_id is not None}
+        assert got[2] == (not removed, removed)
