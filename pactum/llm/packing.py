@@ -5,7 +5,7 @@ into as few sequences as possible. Only the number of pieces of each length
 matters for a plan, so the search runs on that histogram, whose size is bounded
 by the capacity whatever the data: bin completion fills a bin around the largest
 length left with an undominated filling, in order of waste, and uses the filling
-for as many bins as the counts allow. Best-fit decreasing gives the incumbent
+for as many bins as the counts allow, or for one and goes on. Best-fit decreasing gives the incumbent
 and the sum of lengths the lower bound; a branch stops once the waste spent
 rules out fewer bins than the incumbent has.
 
@@ -109,47 +109,53 @@ def _best_fit(lengths: _Lengths, capacity: int) -> tuple[tuple[int, int], ...]:
     return tuple(out)
 
 
+def _dominated(lengths: _Lengths, filling: dict[int, int], room: int) -> bool:
+    """Whether a length can be added, or one but the largest swapped for a longer one that is left and still fits."""
+    order, left = lengths.order, lengths.left
+    for length in [0, *filling]:
+        for i in range(bisect.bisect_right(order, length), bisect.bisect_right(order, length + room)):
+            if filling.get(order[i], 0) < left[order[i]]:
+                return True
+    return False
+
+
 def _fillings(lengths: _Lengths, capacity: int, most: int) -> list[tuple[tuple[int, int], ...]]:
     """Undominated fillings around the largest length, least waste first.
 
-    A filling is dominated if one of its lengths can be swapped for a longer one
-    that is left and still fits, or if a length can be added; only fillings that
-    end with less room than their smallest free addition are made. Enumeration goes from longer
-    to shorter lengths and stops after a bounded number of steps.
+    Each length is tried from as often as it fits down to not at all, from longer
+    to shorter. A filling that a single swap or addition improves is dominated and
+    left out. The enumeration stops after a bounded number of steps.
     """
     order, left = lengths.order, lengths.left
     top = order[-1]
     room = capacity - top
-    found: dict[tuple[tuple[int, int], ...], int] = {_best_fit(lengths, capacity): 0}
-    # exact completions by one or two more lengths are the strongest fillings; look them up first
+    # a piece that fills the room exactly: no other filling can do better
     if room in left and (room != top or left[top] > 1):
         return [((top, 1), (room, 1)) if room != top else ((top, 2),)]
+    first = _best_fit(lengths, capacity)
+    found: dict[tuple[tuple[int, int], ...], int] = {first: capacity - sum(a * n for a, n in first)}
     steps = 0
-    low = order[0]
-
-    def grow(chosen: list[tuple[int, int]], room: int, below: int) -> None:
-        nonlocal steps
+    # longest lengths first; (filling, room, lengths still below)
+    stack: list[tuple[tuple[tuple[int, int], ...], int, int]] = [(((top, 1),), room, len(order))]
+    while stack and steps < 32 * most and len(found) < 8 * most:
+        steps += 1
+        chosen, room, below = stack.pop()
         at = bisect.bisect_right(order, room, 0, below)
-        if not at or room < low:
-            found.setdefault(tuple(chosen), 0)
-            return
-        for i in range(at - 1, max(-1, at - 1 - most), -1):
-            steps += 1
-            if steps > 32 * most or len(found) > 8 * most:
-                return
-            length = order[i]
-            free = left[length] - (length == top)
-            if free <= 0:
-                continue
-            n = min(free, room // length)
-            same = [(top, n + 1)] if length == top else [*chosen, (length, n)]
-            grow(same, room - n * length, i)
-            if room - n * length == 0:
-                return
-
-    grow([(top, 1)], room, len(order))
-    waste = {f: capacity - sum(a * n for a, n in f) for f in found}
-    best = sorted(found, key=lambda f: (waste[f], len(f), [-a for a, _ in f]))
+        if not at:
+            if not _dominated(lengths, dict(chosen), room):
+                found.setdefault(chosen, room)
+            continue
+        length = order[at - 1]
+        free = left[length] - (length == top)
+        for n in range(min(free, room // length) + 1):
+            if not n:
+                more = chosen
+            elif length == top:
+                more = ((top, n + 1),)
+            else:
+                more = (*chosen, (length, n))
+            stack.append((more, room - n * length, at - 1))
+    best = sorted(found, key=lambda f: (found[f], len(f), [-a for a, _ in f]))
     return best[:most]
 
 
@@ -187,7 +193,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[t
             fresh = False
         if fresh:
             nodes += 1
-            frames.append(_fillings(lengths, capacity, FILLINGS))
+            # each for as many bins as it can fill, then each for one bin, after which all may follow again
+            tried = [(f, _times(lengths, f)) for f in _fillings(lengths, capacity, FILLINGS)]
+            frames.append(tried + [(f, 1) for f, n in tried if n > 1])
         else:
             if not done:
                 break
@@ -196,8 +204,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[t
             used, waste = used - n, waste - n * (capacity - sum(a * c for a, c in filling))
         fresh = False
         while frames[-1]:
-            filling = frames[-1].pop(0)
-            n = _times(lengths, filling)
+            filling, n = frames[-1].pop(0)
             more = n * (capacity - sum(a * c for a, c in filling))
             if waste + more > (bins - 1) * capacity - total:  # no longer better than the incumbent
                 continue

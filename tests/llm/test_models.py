@@ -344,3 +344,45 @@ def test_the_query_predicts_from_more_than_two_bytes(spark, tmp_path):
     got = op10_context_tree_scores(spark, str(tmp_path)).filter("held_out").collect()
     # the last byte follows from the first, five before it: one bit a word, where two bytes of context need two
     assert got and all(-r.score * math.log2(10) / 40 < 1.5 for r in got)
+
+
+def fewest_bins(counts, capacity):
+    """Exact optimum: the largest piece left with every filling around it."""
+    from functools import cache
+
+    lengths = sorted(counts, reverse=True)
+
+    @cache
+    def fewest(left):
+        if not any(left):
+            return 0
+        first = next(i for i, n in enumerate(left) if n)
+        best = [sum(left)]
+
+        def fill(i, room, now):
+            if i == len(left):
+                best[0] = min(best[0], 1 + fewest(tuple(now)))
+                return
+            for n in range(min(now[i], room // lengths[i]) + 1):
+                fill(i + 1, room - n * lengths[i], [*now[:i], now[i] - n, *now[i + 1 :]])
+
+        fill(first, capacity - lengths[first], [*left[:first], left[first] - 1, *left[first + 1 :]])
+        return best[0]
+
+    return fewest(tuple(counts[a] for a in lengths))
+
+
+def bins(counts, capacity):
+    return sum(n for _, n in packing.plan(counts, capacity))
+
+
+def test_fewer_copies_of_a_length_are_tried():
+    assert bins({8: 1, 3: 4, 2: 5}, 15) == 2 == fewest_bins({8: 1, 3: 4, 2: 5}, 15)
+    assert bins({2185: 5, 819: 20, 546: 25}, 4096) == 10
+
+
+def test_plans_equal_the_exact_optimum():
+    rng = random.Random(6)
+    for _ in range(300):
+        counts = {rng.randint(2, 12): rng.randint(1, 4) for _ in range(rng.randint(1, 4))}
+        assert bins(counts, 15) == fewest_bins(counts, 15), counts
