@@ -1,26 +1,37 @@
 """Written intermediate tables and size-checked broadcasts.
 
 Intermediate results that are read more than once, or that must survive lost
-executors, are written as Parquet below ``spark.checkpoint.dir`` (a folder that
-driver and executors share). Only where the setting is absent, as in local
-tests, a temporary folder takes its place.
+executors, are written as Parquet below ``spark.checkpoint.dir``, a folder that
+driver and executors share. Only a local session may do without the setting: a
+temporary folder then takes its place.
 """
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a table of a few numbers per row is broadcast; beyond it both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table is broadcast; beyond it both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
+
+#: Bytes that a row of a broadcast table takes beside its values.
+ROW_BYTES = 48
+
+_scopes: list[list[DataFrame]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -32,6 +43,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
@@ -42,10 +55,42 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of a written table when its counted rows stay within ``rows``.
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Delete what is written inside when the block ends; its results must be read or written elsewhere before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        discard(*_scopes.pop())
+
+
+def _value_bytes(column: Column, kind: T.DataType) -> int | Column:
+    """Bytes of a value: a number if the type alone tells, else a Column."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        each = _value_bytes(F.lit(None), kind.elementType)
+        if isinstance(each, int):
+            return F.coalesce(F.size(column), F.lit(0)) * each + 24
+        return F.aggregate(F.coalesce(column, F.array().cast(kind)), F.lit(24).cast("long"), lambda s, x: s + _value_bytes(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return sum((_value_bytes(column[f.name], f.dataType) for f in kind.fields), 16)
+    return 16
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes that the rows of ``df`` take in memory; a count alone if all its columns are of fixed width."""
+    each = ROW_BYTES + sum((_value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), 0)
+    if isinstance(each, int):
+        return df.count() * each
+    return df.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0]
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of a written table when its rows, counted and measured, stay within ``most`` bytes.
 
-    The count comes from Parquet footers. Larger tables are joined by a shuffle
-    of both sides, which adaptive execution can split at hot keys.
+    Larger tables are joined by a shuffle of both sides, which adaptive execution
+    can split at hot keys.
     """
-    return F.broadcast(df) if df.count() <= rows else df.hint("merge")
+    return F.broadcast(df) if table_bytes(df) <= most else df.hint("merge")
