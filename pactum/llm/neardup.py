@@ -10,17 +10,21 @@ one class; only one document of each class is compared further.
    parity of the samples hashed to each bit. The bits in which two sketches
    differ estimate the similarity, most precisely where it is high, and rule out
    pairs far below the threshold.
-3. Each document meets the smallest document of each of its buckets. The star of
-   each document's best pair is confirmed on full sets first; then other pairs
+3. Each document meets the smallest document, the pivot, of each of its buckets. The
+   star of each document's best pair is confirmed on full sets first; then other pairs
    whose ends are still in different components.
-4. Buckets that still hold several components are compared across components, in
-   chunks of bounded size dealt over tasks, so a link between documents that both
-   differ from their bucket's smallest is found as well. Documents that come near
-   another component there get a finer sketch, of eight times the samples, and only
-   pairs that it does not rule out are confirmed.
-
-No group is gathered whole: buckets meet by joins whose hot keys adaptive
-execution splits, chunks are bounded, and components are found by joins.
+4. Members of one pivot that are still in different components may be linked although
+   both differ from the pivot. They are compared by how they differ from it: for sets
+   x and y with differences dx and dy from the pivot, x and y differ in
+   |dx| + |dy| - 2 |dx & dy| shingles, so a link needs a stated number of common
+   shingles in dx and dy. What a hot group shares is in no difference. An exact prefix
+   join finds the pairs: shingles of a difference are ordered by how many members
+   have them, and pairs meet only at a shingle after which enough others are left. If no
+   common shingle is needed, both are linked with the member of least need at once.
+   All other pairs that meet are confirmed on full sets.
+
+No group is gathered whole: members meet by joins whose hot keys adaptive
+execution splits, and components are found by joins.
 
 Null or empty texts have an empty set and are linked with nothing. Null doc_ids
 count as larger than all; a set that only rows of null doc_id have is compared no
@@ -33,7 +37,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactum.llm import textbytes
@@ -45,15 +49,9 @@ BANDS, ROWS = 32, 5
 SKETCH_BITS = 1024
 #: Pairs whose sketches estimate less than the threshold minus this are not confirmed (over 6 standard deviations).
 MARGIN = 0.25
-#: The same for the finer sketch of FINE samples, over 4 standard deviations.
-FINE, FINE_BITS, FINE_MARGIN = 1280, 8192, 0.05
-#: Documents of one bucket that meet in one task.
-CHUNK = 128
 
 _A = textbytes.random_words(BANDS * ROWS, 101) | np.uint64(1)
 _B = textbytes.random_words(BANDS * ROWS, 202)
-_FINE_A = textbytes.random_words(FINE, 303) | np.uint64(1)
-_FINE_B = textbytes.random_words(FINE, 404)
 _ONE, _TWO = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -80,25 +78,25 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     return out
 
 
-def minhash(shingles: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
-    """MinHash values of a non-empty set, one for each pair of multiplier and addend."""
-    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+def minhash(shingles: np.ndarray) -> np.ndarray:
+    """The BANDS * ROWS MinHash values of a non-empty set."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(shingles), 1024):
             part = shingles[at : at + 1024]
-            np.minimum(low, (np.multiply.outer(a, part) + b[:, None]).min(axis=1), out=low)
+            np.minimum(low, (np.multiply.outer(_A, part) + _B[:, None]).min(axis=1), out=low)
     return low
 
 
-def odd_sketch(samples: np.ndarray, salt: np.ndarray = _B, bits: int = SKETCH_BITS) -> np.ndarray:
+def odd_sketch(samples: np.ndarray) -> np.ndarray:
     """Parity bitmap of the samples, as 64-bit words."""
-    at = textbytes.splitmix(samples ^ salt) % np.uint64(bits)
-    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64)
+    at = textbytes.splitmix(samples ^ _B) % np.uint64(SKETCH_BITS)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).view(np.int64)
 
 
-def _least_differing(percent: int, margin: float = MARGIN, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS) -> int:
+def _least_differing(percent: int) -> int:
     """Differing bits of two sketches above which a pair is ruled out."""
-    return int(bits / 2 * (1 - np.exp(-4 * samples * (1 - percent / 100 + margin) / bits)))
+    return int(SKETCH_BITS / 2 * (1 - np.exp(-4 * BANDS * ROWS * (1 - percent / 100 + MARGIN) / SKETCH_BITS)))
 
 
 def _signatures(size: int):
@@ -152,19 +150,6 @@ def _sets(size: int):
     return rows
 
 
-def _fine_sketches(size: int):
-    def rows(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in (part for whole in batches for part in textbytes.slices(whole)):
-            sets = shingle_sets(batch.column("text").to_pylist(), size)
-            place = [i for i, s in enumerate(sets) if len(s)]
-            fine = [odd_sketch(minhash(sets[i], _FINE_A, _FINE_B), _FINE_B, FINE_BITS).tolist() for i in place]
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(place, pa.int64())), pa.array(fine, pa.list_(pa.int64()))], names=["node", "sketch"])
-
-    return rows
-
-
 def _confirm(percent: int):
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -180,29 +165,20 @@ def _confirm(percent: int):
     return rows
 
 
-def _cross(most: int, pairs: bool):
-    """Of one chunk group: pairs in different components whose sketches agree well enough, or just their nodes."""
+def _differences(percent: int):
+    """Of each pair (a, b): the shingles in which a and b differ, and what a needs of shared ones."""
 
-    def rows(key, table):
+    def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        node, part = table.column("node").to_numpy(), table.column("part").to_numpy()
-        chunk = table.column("chunk").to_numpy()
-        sketch = np.array(table.column("sketch").to_pylist(), np.int64).reshape(len(node), -1).view(np.uint64)
-        first, second = key[1].as_py(), key[2].as_py()
-        keys = np.array(table.column("keys").to_pylist(), np.int64).reshape(len(node), BANDS) if pairs else None
-        left, right = np.flatnonzero(chunk == first), np.flatnonzero(chunk == second)
-        a_out, b_out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i in left:
-            j = right[(part[right] != part[i]) & ((node[right] < node[i]) | (first != second))]
-            if len(j):
-                j = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1) <= most]
-                if pairs:  # each pair is handed on by the first bucket that it shares
-                    j = j[keys[i][(keys[j] == keys[i]).argmax(axis=1)] == key[0].as_py()]
-                a_out.append(np.maximum(node[j], node[i]))
-                b_out.append(np.minimum(node[j], node[i]))
-        a, b = np.concatenate(a_out), np.concatenate(b_out)
-        return pa.table({"a": pa.array(a), "b": pa.array(b)}) if pairs else pa.table({"node": pa.array(np.unique(np.concatenate([a, b])))})
+        for batch in batches:
+            need, differ = [], []
+            for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                d = np.setxor1d(x, y, assume_unique=True).view(np.int64)
+                need.append((100 + percent) * len(d) - (100 - percent) * len(x))
+                differ.append(d)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(need, pa.int64()), pa.array(differ, pa.list_(pa.int64()))], names=["node", "pivot", "need", "differs"])
 
     return rows
 
@@ -211,13 +187,25 @@ def _differing(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The written pairs (a, b) whose full sets are similar enough."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     out = pairs
     for end in ("a", "b"):
         side = sets.select(F.col("node").alias("_n"), F.col("shingles").alias(f"set_{end}"))
         out = out.join(side.hint("merge"), out[end] == side["_n"]).drop("_n")
-    return written(out.mapInArrow(_confirm(percent), "a long, b long"), "links")
+    return out.select("a", "b", "set_a", "set_b")
+
+
+def _linked(pairs: DataFrame, best: DataFrame, sets: DataFrame, percent: int, parents: DataFrame | None) -> DataFrame | None:
+    """Components by the pairs (a, b) whose full sets are similar enough: of ``best`` first, then of those still between components."""
+    rest = best
+    for k in range(2):
+        links = written(_with_sets(rest, sets).mapInArrow(_confirm(percent), "a long, b long"), "links")
+        parents = components(links, parents)
+        if k == 0:
+            rest = written(pairs.select("a", "b") if parents is None else _between(pairs.select("a", "b"), parents), "rest")
+        discard(links)
+    discard(rest)
+    return parents
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,31 +223,22 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     members = sketches.select("node", F.explode("keys").alias("key"))
     pivots = written(members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).filter("pivot <> _last").select("key", "pivot"), "pivots")
-    buckets = written(members.join(pivots.hint("merge"), "key"), "buckets")
-    stars = written(buckets.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
-    most = _least_differing(percent)
+    stars = written(members.join(pivots.hint("merge"), "key").filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     sk = sketches.select("node", "sketch")
     a, b = sk.select(F.col("node").alias("_na"), F.col("sketch").alias("_sa")), sk.select(F.col("node").alias("_nb"), F.col("sketch").alias("_sb"))
     near = stars.join(a.hint("merge"), stars["a"] == a["_na"]).join(b.hint("merge"), stars["b"] == b["_nb"]).select("a", "b", _differing(F.col("_sa"), F.col("_sb")).alias("differing"))
-    near = written(near.filter(F.col("differing") <= most), "near")
-
-    def full_sets(pairs: DataFrame) -> DataFrame:
-        keep = small(written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted"))
-        found = docs.join(keep, docs["doc_id"] == keep["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
-        return written(once(found.mapInArrow(_sets(shingle_words), "node long, shingles binary"), "shingles"), "sets")
+    near = written(near.filter(F.col("differing") <= _least_differing(percent)), "near")
+    wanted = written(stars.select("a").union(pivots.select("pivot")).toDF("node").distinct(), "wanted")
+    keep = small(wanted)
+    found = docs.join(keep, docs["doc_id"] == keep["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
+    sets = written(once(found.mapInArrow(_sets(shingle_words), "node long, shingles binary"), "shingles"), "sets")
+    discard(wanted, pivots, sketches)
 
     best = written(near.groupBy("a").agg(F.min(F.struct("differing", "b")).alias("_b")).select("a", F.col("_b.b").alias("b")), "best")
-    sets = full_sets(near.select("a", "b"))
-    parents = components(_confirmed(best, sets, percent))
-    rest = written(near.select("a", "b") if parents is None else _between(near.select("a", "b"), parents), "rest")
-    if not rest.isEmpty():
-        parents = components(_confirmed(rest, sets, percent), parents)
-    discard(stars, best, rest, sets)
-
-    crossing = written(_crossing(docs, shingle_words, percent, buckets, sketches, parents, once).join(near.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
-    if not crossing.isEmpty():
-        parents = components(_confirmed(crossing, full_sets(crossing), percent), parents)
-    discard(buckets, near, crossing)
+    parents = _linked(near, best, sets, percent, None)
+    discard(near, best)
+    parents = _crossing(stars, sets, percent, parents)
+    discard(stars, sets)
 
     named = nodes if parents is None else nodes.join(parents.select("node", "parent").hint("merge"), "node", "left")
     named = written(named.select(*by_set, "node", (F.col("node") if parents is None else F.coalesce("parent", "node")).alias("component")), "named")
@@ -268,32 +247,50 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
-def _crossing(docs: DataFrame, size: int, percent: int, buckets: DataFrame, sketches: DataFrame, parents: DataFrame | None, once) -> DataFrame:
-    """Pairs of a bucket's documents in different components whose sketches agree well enough.
+def _parts(members: DataFrame, parents: DataFrame | None) -> DataFrame:
+    """``members`` with the component, ``part``, of each node."""
+    if parents is None:
+        return members.withColumn("part", F.col("node"))
+    return members.join(parents.select("node", "parent").hint("merge"), "node", "left").withColumn("part", F.coalesce("parent", "node")).drop("parent")
+
+
+def _crossing(stars: DataFrame, sets: DataFrame, percent: int, parents: DataFrame | None) -> DataFrame | None:
+    """Components, carried on with the links between members of one pivot.
 
-    The documents of a bucket's largest component meet only those outside it, so
-    a hot group that is one component already costs nothing more.
+    With need(x) = (100 + percent) |dx| - (100 - percent) |x|, members x and y are
+    linked when 2 (100 + percent) |dx & dy| >= need(x) + need(y).
     """
-    part = buckets if parents is None else buckets.join(parents.select("node", "parent").hint("merge"), "node", "left")
-    part = part.select("node", "key", (F.col("node") if parents is None else F.coalesce("parent", "node")).alias("part"))
-    sizes = written(part.groupBy("key", "part").agg(F.count("*").alias("n")), "sizes")
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("_top"), F.sum("n").alias("_n"), F.count("*").alias("_parts")).filter("_parts > 1")
-    chunks = lambda n: F.ceil(n / CHUNK).cast("int")
-    mixed = written(mixed.select("key", F.col("_top.part").alias("major"), chunks(F.col("_n") - F.col("_top.n")).alias("minors"), chunks(F.col("_top.n")).alias("majors")), "mixed")
-    left = written(part.join(mixed.hint("merge"), "key"), "left")
-    is_major = F.col("part") == F.col("major")
-    h = F.xxhash64("node")
-    left = left.withColumn("chunk", F.when(is_major, F.col("minors") + F.pmod(h, F.col("majors"))).otherwise(F.pmod(h, F.col("minors"))).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_major, F.col("minors") - 1).otherwise(F.col("minors") + F.col("majors") - 1))))
-    dealt = written(left.select("key", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "node", "part", "chunk"), "dealt")
-    groups = ["key", "c1", "c2"]
-    close = dealt.join(sketches.select("node", "sketch").hint("merge"), "node").groupBy(*groups).applyInArrow(_cross(_least_differing(percent), False), "node long").distinct()
-    close = small(written(close, "close"))
-    texts = docs.join(close, docs["doc_id"] == close["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
-    fine = written(once(texts.mapInArrow(_fine_sketches(size), "node long, sketch array<long>"), "sketch"), "fine")
-    most = _least_differing(percent, FINE_MARGIN, FINE, FINE_BITS)
-    fine = written(fine.join(sketches.select("node", "keys").hint("merge"), "node"), "fine-keys")
-    return dealt.join(fine.hint("merge"), "node").groupBy(*groups).applyInArrow(_cross(most, True), "a long, b long").distinct()
+    members = _parts(stars.select(F.col("a").alias("node"), F.col("b").alias("pivot")), parents)
+    mixed = members.groupBy("pivot").agg(F.min("part").alias("_p"), F.max("part").alias("_q")).filter("_p <> _q").select("pivot")
+    mixed = written(mixed, "mixed")
+    asked = stars.join(small(mixed), stars["b"] == mixed["pivot"], "left_semi")
+    each = 2 * (100 + percent)
+    differ = written(_with_sets(asked, sets).mapInArrow(_differences(percent), "node long, pivot long, need long, differs array<long>"), "differences")
+    least = written(differ.groupBy("pivot").agg(F.min(F.struct("need", "node")).alias("_l")).select("pivot", F.col("_l.need").alias("least"), F.col("_l.node").alias("first")), "least")
+    rows = differ.join(least.hint("merge"), "pivot")
+    sure = rows.filter((F.col("need") + F.col("least") <= 0) & (F.col("node") != F.col("first"))).select(F.greatest("node", "first").alias("a"), F.least("node", "first").alias("b")).distinct()
+    sure = written(sure if parents is None else _between(sure, parents), "sure")
+    parents = components(sure, parents)
+
+    # members that need a shared shingle with whatever other, and the least need among them
+    far = F.col("need") + F.col("least") > 0
+    other = written(rows.filter(far).groupBy("pivot").agg(F.min("need").alias("least_far")), "least-far")
+    shingles = _parts(rows.join(other.hint("merge"), "pivot"), parents).select("pivot", "node", "part", "need", "least", "least_far", F.explode("differs").alias("shingle"))
+    shingles = written(shingles, "difference-shingles")
+    often = shingles.groupBy("pivot", "shingle").agg(F.count("*").alias("n"), F.min("part").alias("_p"), F.max("part").alias("_q")).filter("_p <> _q").select("pivot", "shingle", "n")
+    often = written(often, "common")
+    common = shingles.join(often.hint("merge"), ["pivot", "shingle"])
+    after = F.row_number().over(Window.partitionBy("pivot", "node").orderBy(F.col("n").desc(), F.col("shingle").desc())) - 1
+    common = written(common.withColumn("after", after).filter(each * (1 + F.col("after")) >= F.col("need") + F.least("least", "least_far")), "prefixes")
+    reach = lambda limit: each * (1 + F.col("after")) >= F.col("need") + F.col(limit)
+    x = common.filter(far & reach("least")).select("pivot", "shingle", *(F.col(c).alias(f"_{c}") for c in ("node", "part", "need", "after")))
+    y = common.filter(reach("least_far")).select("pivot", "shingle", "node", "part", "need", "after")
+    met = x.hint("merge").join(y, ["pivot", "shingle"]).filter((F.col("part") != F.col("_part")) & (each * (1 + F.least("after", "_after")) >= F.col("need") + F.col("_need")))
+    met = written(met.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct(), "crossing")
+    best = written(met.groupBy("a").agg(F.min("b").alias("b")), "best")
+    parents = _linked(met, best, sets, percent, parents)
+    discard(mixed, differ, least, sure, other, shingles, often, common, met, best)
+    return parents
 
 
 def _between(pairs: DataFrame, parents: DataFrame) -> DataFrame:
