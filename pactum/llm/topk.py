@@ -8,11 +8,19 @@ shifted, into counters of bitmaps, by carry-save additions. The top rows are
 selected from the most significant slice of the sums downward, and rows that tie
 at the boundary are resolved by their exact scores and ids.
 
-Blocks of queries meet blocks of rows, and each pair of blocks hands on k rows a
-query. The best of all blocks are then ranked. Vectors that are null or hold a
-null or non-finite component take no part, neither do vectors of another length
-than the query's. Repeated rows are candidates each; rows with the query's own id
-are not. A null id is an ordinary candidate, last among ties.
+Each row is shuffled once, into its block, whose slices are built once and written.
+Queries are sent to the blocks and stream past each index one by one, so a task
+holds one block and one batch of queries, however many there are. Each block hands on
+k rows a query; the best of all blocks are then ranked.
+
+Vectors that are null or empty, or hold a null or non-finite component or one whose
+quantised form is ``LIMIT`` or more in size, take no part, neither do vectors of
+another length than the query's. With these limits scores of up to 512 components
+fit their type. Repeated rows are candidates each; rows with the query's own id are
+not. Equal query rows are asked once; different vectors under one query id are ranked
+each for itself. A null id is an ordinary candidate, last among ties, and asks
+nothing. Ties go to the smaller id. An empty table gives an empty result. Other
+columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -23,65 +31,72 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactum.plans.scratch import written
+from pactum.plans.scratch import discard, written
 
-#: Rows of a block of the index, and queries that meet it in one task.
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 128
+#: Rows of a block of the index at most and, so that small tables keep all cores busy, at least.
+BLOCK_ROWS, LEAST_ROWS = 65_536, 2_048
+
+#: Quantised components lie below this in size.
+LIMIT = 1 << 27
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component as a double; null unless all are finite numbers."""
-    d = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~bad, d)
+    """floor(scale * x) of each component; null unless all are numbers within the limit."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double") * scale) >= LIMIT))
+    return F.when(~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
+
+
+def _pack(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps [bitmap, word] of 0 and 1 [bitmap, row]."""
+    words = -(-bits.shape[1] // 64)
+    padded = np.zeros((bits.shape[0], words * 64), np.uint8)
+    padded[:, : bits.shape[1]] = bits
+    return np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
 
 
 class SlicedBlock:
-    """Bitmaps of a block of integer vectors [row, dimension]."""
-
-    def __init__(self, rows: np.ndarray):
-        self.n, self.dims = rows.shape
-        self.least = rows.min(axis=0)
-        up = (rows - self.least).astype(np.uint64)
-        self.words = -(-self.n // 64)
-        self.slices: list[list[np.ndarray]] = []
-        for d in range(self.dims):
-            column = up[:, d]
-            self.slices.append([self._pack((column >> np.uint64(k)) & np.uint64(1)) for k in range(int(column.max()).bit_length())])
-
-    def _pack(self, bits: np.ndarray) -> np.ndarray:
-        padded = np.zeros(self.words * 64, np.uint8)
-        padded[: self.n] = bits
-        return np.packbits(padded, bitorder="little").view(np.uint64)
+    """Bitmaps of a block of ``n`` integer vectors: ``slices`` [slice, word], the dimension and the digit of each slice."""
+
+    def __init__(self, n: int, least: np.ndarray, dim: np.ndarray, digit: np.ndarray, slices: np.ndarray):
+        self.n, self.least, self.dim, self.digit, self.slices = n, least, dim, digit, slices
+        self.words = -(-n // 64)
+
+    @classmethod
+    def of(cls, rows: np.ndarray) -> SlicedBlock:
+        """Of vectors [row, dimension]."""
+        least = rows.min(axis=0)
+        up = np.ascontiguousarray((rows - least).T)
+        digits = [int(x).bit_length() for x in up.max(axis=1)]
+        dim = np.repeat(np.arange(len(digits)), digits)
+        digit = np.concatenate([np.arange(k) for k in digits]) if sum(digits) else np.empty(0, np.int64)
+        slices = [_pack((up[d] >> np.arange(k)[:, None] & 1).astype(np.uint8)) for d, k in enumerate(digits) if k]
+        return cls(len(rows), least, dim, digit, np.concatenate(slices) if slices else np.empty((0, -(-len(rows) // 64)), np.uint64))
 
     def _sum(self, query: np.ndarray, sign: int) -> list[np.ndarray]:
         """Bit-sliced sum over the dimensions with ``sign`` of |q| times the component above the least."""
-        waiting: list[list[np.ndarray]] = []
-
-        def put(weight: int, bitmap: np.ndarray) -> None:
-            while len(waiting) <= weight:
-                waiting.append([])
-            waiting[weight].append(bitmap)
-
-        for d in np.flatnonzero(query * sign > 0):
-            q = abs(int(query[d]))
-            for j in range(q.bit_length()):
-                if q >> j & 1:
-                    for k, s in enumerate(self.slices[d]):
-                        put(j + k, s)
+        size = np.where(query * sign > 0, np.abs(query), 0)[self.dim]
+        waiting: dict[int, list[np.ndarray]] = {}
+        for j in range(int(size.max(initial=0)).bit_length()):
+            set_ = np.flatnonzero(size >> j & 1)
+            for k in np.unique(self.digit[set_]).tolist():
+                waiting.setdefault(j + k, []).append(self.slices[set_[self.digit[set_] == k]])
         out, w = [], 0
-        while w < len(waiting):
-            column = waiting[w]
-            while len(column) > 2:  # three bitmaps of one weight make one of it and one of the next
-                x, y, z = column.pop(), column.pop(), column.pop()
-                t = x ^ y
-                put(w + 1, (x & y) | (t & z))
-                column.append(t ^ z)
-            if len(column) == 2:
-                x, y = column
-                put(w + 1, x & y)
-                column = [x ^ y]
-            out.append(column[0] if column else np.zeros(self.words, np.uint64))
+        while waiting:
+            column = np.concatenate(waiting.pop(w, [self.slices[:0]]))
+            carried = waiting.setdefault(w + 1, [])
+            while len(column) > 1:  # three bitmaps of one weight make one of it and one of the next; a last two likewise
+                m = len(column) // 3
+                if m:
+                    x, y, z = column[:m], column[m : 2 * m], column[2 * m : 3 * m]
+                    t = x ^ y
+                    carried.append((x & y) | (t & z))
+                    column = np.concatenate([t ^ z, column[3 * m :]])
+                else:
+                    carried.append(column[:1] & column[1:])
+                    column = column[:1] ^ column[1:]
+            out.append(column[0] if len(column) else np.zeros(self.words, np.uint64))
+            if not carried:
+                del waiting[w + 1]
             w += 1
         return out
 
@@ -123,57 +138,91 @@ class SlicedBlock:
         return rows, score
 
     def everything(self) -> np.ndarray:
-        return self._pack(np.ones(self.n, np.uint64))
+        return _pack(np.ones((1, self.n), np.uint8))[0]
+
+INDEX = "dims int, block int, kind int, query long, id long, v array<long>, ids array<long>, least array<long>, dim array<int>, digit array<int>, slices binary"
+
+
+def _build(key, table):
+    """The index row of one block."""
+    import pyarrow as pa
 
+    n = table.num_rows
+    block = SlicedBlock.of(np.asarray(table.column("v").combine_chunks().flatten()).reshape(n, -1))
+    lists = [pa.array([x], t) for x, t in ((table.column("id").to_pylist(), pa.list_(pa.int64())), (block.least, pa.list_(pa.int64())), (block.dim, pa.list_(pa.int32())), (block.digit, pa.list_(pa.int32())))]
+    none = pa.nulls(1, pa.int64())
+    columns = [pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([0], pa.int32()), none, none, pa.nulls(1, pa.list_(pa.int64())), *lists, pa.array([block.slices.tobytes()], pa.binary())]
+    return pa.Table.from_arrays(columns, names=["dims", "block", "kind", "query", "id", "v", "ids", "least", "dim", "digit", "slices"])
 
-def _search(k: int, id_col: str):
-    def rows(queries, block):
+
+def _search(k: int):
+    """Of a partition in which each block's index is followed by its queries: (query, query_id, id, score)."""
+
+    def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        out = {"query_id": [], id_col: [], "score": []}
-        if queries.num_rows and block.num_rows:
-            ids = block.column("id").to_pylist()
-            vectors = block.column("v").combine_chunks()
-            index = SlicedBlock(np.asarray(vectors.flatten()).reshape(len(ids), -1))
-            every = index.everything()
-            place: dict = {}
-            for at, i in enumerate(ids):
-                place.setdefault(i, []).append(at)
-            last = lambda i: (ids[i] is None, ids[i] or 0)
-            for q, v in zip(queries.column("id").to_pylist(), queries.column("v").to_pylist(), strict=True):
-                allowed = every
+        index = ids = None
+        place: dict = {}
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            kinds = batch.column("kind").to_pylist()
+            for at, kind in enumerate(kinds):
+                value = lambda c, at=at: batch.column(c)[at].as_py()  # noqa: B023, E731
+                if kind == 0:
+                    ids, place = value("ids"), {}
+                    slices = np.frombuffer(value("slices"), np.uint64).reshape(-1, -(-len(ids) // 64))
+                    index = SlicedBlock(len(ids), *(np.array(value(c), np.int64) for c in ("least", "dim", "digit")), slices)
+                    for row, i in enumerate(ids):
+                        place.setdefault(i, []).append(row)
+                    every = index.everything()
+                    continue
+                q, allowed = value("id"), every
                 if q in place:
                     allowed = every.copy()
-                    for at in place[q]:
-                        allowed[at >> 6] &= ~np.uint64(1 << (at & 63))
-                found, score = index.top(np.array(v, np.int64), k, allowed)
-                for at in sorted(range(len(found)), key=lambda x: (-score[x], last(found[x])))[:k]:
-                    out["query_id"].append(q)
-                    out[id_col].append(ids[found[at]])
-                    out["score"].append(int(score[at]))
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in out.items()})
+                    for row in place[q]:
+                        allowed[row >> 6] &= ~np.uint64(1 << (row & 63))
+                found, score = index.top(np.array(value("v"), np.int64), k, allowed)
+                for row in sorted(range(len(found)), key=lambda x: (-score[x], ids[found[x]] is None, ids[found[x]] or 0))[:k]:
+                    for c, x in zip(out, (value("query"), q, ids[found[row]], int(score[row])), strict=True):
+                        c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query", "query_id", "id", "score"])
 
     return rows
 
 
+def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
+    """The written index of ``vectors``: a row for each block of rows of one length."""
+    rows = written(_read(vectors, id_col, vector_col, scale).withColumn("_row", F.monotonically_increasing_id()), "vectors")
+    each = min(BLOCK_ROWS, max(LEAST_ROWS, rows.count() // (2 * vectors.sparkSession.sparkContext.defaultParallelism)))
+    blocks = -(-max(1, rows.count()) // each)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int"))
+    index = written(dealt.groupBy("dims", "block").applyInArrow(_build, INDEX), "index")
+    discard(rows)
+    return index
+
+
+def _read(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).filter("v is not null and size(v) > 0").withColumn("dims", F.size("v"))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """query_id, rank, ``id_col``, score: the k best rows of ``vectors`` for each row of ``queries``."""
-    read = lambda df: df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).filter("v is not null and size(v) > 0").withColumn("dims", F.size("v"))
-    rows, asked = written(read(vectors), "vectors"), written(read(queries).filter("id is not null"), "queries")
-    n_rows, n_asked = rows.count(), asked.count()
-    row_blocks, query_blocks = max(1, -(-n_rows // BLOCK_ROWS)), max(1, -(-n_asked // BLOCK_QUERIES))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # each side is dealt once to every block of the other
-    r = rows.withColumn("rb", F.pmod(F.xxhash64("id", "v"), F.lit(row_blocks)).cast("int")).withColumn("qb", numbers(query_blocks))
-    q = asked.withColumn("qb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int")).withColumn("rb", numbers(row_blocks))
-    found = q.groupBy("dims", "qb", "rb").cogroup(r.groupBy("dims", "qb", "rb")).applyInArrow(_search(k, id_col), f"query_id long, {id_col} long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col).asc_nulls_last()))
-    return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
+    index = build_index(vectors, id_col, vector_col, scale)
+    asked = _read(queries, id_col, vector_col, scale).filter("id is not null").dropDuplicates(["id", "v"])
+    asked = written(asked.withColumn("query", F.monotonically_increasing_id()), "queries")
+    # a few numbers for each block
+    blocks = index.select("dims", "block").groupBy("dims").agg(F.collect_list("block").alias("_blocks"))
+    sent = asked.join(F.broadcast(blocks), "dims").withColumn("block", F.explode("_blocks"))
+    met = index.unionByName(sent.select("dims", "block", F.lit(1).alias("kind"), "query", "id", "v"), allowMissingColumns=True)
+    met = met.repartition(max(1, 2 * index.count()), "dims", "block").sortWithinPartitions("dims", "block", "kind")
+    found = met.mapInArrow(_search(k), "query long, query_id long, id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last()))
+    return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
 SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
- WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(256 * x::DOUBLE) >= 134217728)) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
 QUALIFY rank <= 5
