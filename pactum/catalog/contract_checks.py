@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pactum.catalog._base import query
 from pactum.contracts import abstract, boolean, derive, field, floating, integer, mapping, record, string, tuple_of, vector
-from pactum.operators import checks, labels, modes
+from pactum.operators import canonical, checks, labels, modes, registry
 from pactum.sources.values import Location, location_violation
 
 LINE = ["l_orderkey", "l_linenumber"]
@@ -90,10 +90,13 @@ def check_required_fields(t):
     return modes.all_violations(df, checks.row_rules(df, need), "doc_id").select("doc_id", "rule", "message")
 
 
-@query("SELECT event_id, 'k' AS extra, CASE WHEN event_type = 'click' THEN 'unit' ELSE 'unit,z' END AS missing FROM events")
+@query("""SELECT event_id, 'props' AS path, 'extra' AS rule, 'k' AS message FROM events WHERE json_exists(props, '$.k')
+ UNION ALL SELECT event_id, 'props', 'missing', 'unit' FROM events""")
 def check_strict_fields(t):
-    wanted = F.when(F.col("event_type") == "click", checks.missing_keys(F.col("props"), "unit")).otherwise(checks.missing_keys(F.col("props"), "z", "unit"))
-    return t.events.select("event_id", F.array_join(checks.extra_keys(F.col("props"), "unit", "z"), ",").alias("extra"), F.array_join(wanted, ",").alias("missing"))
+    """A strict record contract over each event's own keys: ``unit`` must be there, ``z`` may, others may not."""
+    contract = record(field("unit", string()), field("z", string(), mandatory=False), strict=True)
+    df = t.events.select("event_id", F.from_json("props", "map<string,string>").alias("props"))
+    return modes.all_violations(df, checks.column_rules(df, props=contract), "event_id").select("event_id", "path", "rule", "message")
 
 
 @query("SELECT d.doc_id, 'quality' AS path, 'min' AS rule FROM documents d JOIN labels l USING (doc_id) WHERE l.quality < 1")
@@ -165,14 +168,17 @@ def check_location(t):
 
 @query("SELECT page_id FROM pages WHERE NOT (url LIKE 'https://m.%' OR url LIKE 'http://th%')")
 def check_location_predicate(t):
-    return t.pages.filter(~labels.filter_paths(F.col("url"), ("https://m.", "http://th"))).select("page_id")
+    """A location contract without fixed attributes but with a predicate over the whole address."""
+    open_to = lambda a: labels.filter_paths(F.concat(a["scheme"], F.lit("://"), a["host"]), ("https://m.", "http://th"))
+    differs = location_violation(address(F.col("url")), F.lit("web"), Location("web", {}), open_to)
+    return t.pages.filter(differs == "predicate").select("page_id")
 
 
 @query("""SELECT l_orderkey, list(l_partkey ORDER BY l_partkey) AS wrong FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem l WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)) GROUP BY l_orderkey""")
 def check_ref_kind(t):
     kinds = t.part.select(F.col("p_partkey").alias("ref"), F.when(F.col("p_size") > 10, "value").otherwise("action").alias("kind"))
-    items = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("ref")).distinct()
-    wrong = items.join(kinds, "ref", "left").filter(~F.col("kind").eqNullSafe(F.lit("value")))
+    items = t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("refs"))
+    wrong = registry.wrong_kind(items, "l_orderkey", "refs", kinds, "ref", "kind", "value")
     return wrong.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("ref")).alias("wrong"))
 
 
@@ -203,11 +209,13 @@ def check_power_of_two(t):
 
 @query("SELECT doc_id FROM (SELECT d.doc_id, (l.quality = 1)::INT + (l.toxic = 1)::INT + (d.lang = 'en')::INT AS n FROM documents d JOIN labels l USING (doc_id)) WHERE n = 1")
 def exactly_one_of(t):
-    df = t.documents.join(t.labels, "doc_id")
-    given = [F.when(F.col("quality") == 1, 1), F.when(F.col("toxic") == 1, 1), F.when(F.col("lang") == "en", 1)]
-    return df.filter(sum((g.isNotNull().cast("int") for g in given), F.lit(0)) == 1).select("doc_id")
+    one = lambda c: F.when(c, 1)
+    df = t.documents.join(t.labels, "doc_id").select("doc_id", one(F.col("quality") == 1).alias("good"), one(F.col("toxic") == 1).alias("toxic"), one(F.col("lang") == "en").alias("english"))
+    contract = record(exactly_one=("good", "toxic", "english"))
+    return modes.flag(df, checks.row_rules(df, contract)).filter("_valid").select("doc_id")
 
 
 @query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, 0) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
 def apply_defaults(t):
-    return t.documents.join(t.labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
+    contract = record(field("doc_id", integer()), field("quality", integer(), default=-1), field("toxic", integer(), default=0))
+    return canonical.with_defaults(t.documents.join(t.labels, "doc_id", "left").select("doc_id", "quality", "toxic"), contract)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pactum.catalog._base import query
 from pactum.operators import closure, labels, refs, registry
+from pactum.plans.scratch import written
 
 
 @query("""SELECT c_custkey, n_name, CASE WHEN n_name IS NULL THEN 'no ' || (c_nationkey + 3) || '; available: ' || (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT n_nationkey::VARCHAR AS k FROM nation)) END AS error
@@ -81,7 +82,7 @@ def resolve_ref_exact(t):
     return refs.exact_matches(wanted(t), order_refs_listing(t))
 
 
-@query(f"WITH {_REFS}, {_WANT}, {_PREFIX} SELECT want, n_ids, ids FROM pre")
+@query(f"WITH {_REFS}, {_WANT}, {_PREFIX} SELECT want, unnest(ids) AS sha FROM pre")
 def resolve_ref_prefix(t):
     return refs.prefix_matches(wanted(t), order_refs_listing(t))
 
@@ -95,9 +96,13 @@ def local_refs(t):
     return wanted(t).filter(F.col("want").startswith("local")).select("want", F.sha1("want").alias("sha"))
 
 
-@query(f"WITH {_REFS}, {_WANT}, {_NAMED}, {_PREFIX}, {_RESOLVED} SELECT want, status, sha, candidates FROM done")
+@query(f"""WITH {_REFS}, {_WANT}, {_NAMED}, {_PREFIX}, {_RESOLVED} SELECT want, status, sha, len(candidates)::BIGINT AS n_candidates, NULL AS candidate FROM done
+ UNION ALL SELECT want, 'candidate', NULL, NULL, unnest(candidates) FROM done WHERE status = 'ambiguous'""")
 def resolve_ref(t):
-    return refs.resolve_refs(wanted(t), order_refs_listing(t), local_refs(t))
+    """A row for each request, and one for each candidate of an ambiguous one."""
+    resolved = written(refs.resolve_refs(wanted(t), order_refs_listing(t), local_refs(t)), "resolved")
+    listed = refs.candidates(resolved, order_refs_listing(t)).select("want", F.lit("candidate").alias("status"), F.col("sha").alias("candidate"))
+    return resolved.unionByName(listed, allowMissingColumns=True)
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey NOT IN (SELECT o_custkey FROM orders) THEN 'miss' WHEN c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN 'corrupt' ELSE 'hit' END AS status FROM customer""")
@@ -152,11 +157,11 @@ def import_closure(t):
     return closure.closure(supply_edges(t))
 
 
-@query(f"WITH RECURSIVE {_EDGES}, {_REACH} SELECT node AS changed, list(DISTINCT start ORDER BY start) AS affected FROM r WHERE NOT cycle GROUP BY node")
+@query(f"WITH RECURSIVE {_EDGES}, {_REACH} SELECT node AS changed, start AS affected, min(depth)::INT AS depth FROM r GROUP BY node, start")
 def impact_closure(t):
+    """Whom a change reaches, each once and with the length of a shortest chain; on a cycle a supplier reaches itself."""
     back = supply_edges(t).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    found = closure.closure(back)
-    return found.filter("not cycle").groupBy(F.col("start").alias("changed")).agg(F.array_sort(F.collect_set("node")).alias("affected"))
+    return closure.reach(back).select(F.col("start").alias("changed"), F.col("node").alias("affected"), "depth")
 
 
 def type_table(t):
@@ -172,8 +177,8 @@ _UP = """up(type, ancestor, depth) AS (SELECT type, type, 0 FROM types
 
 def ancestry(t):
     types = type_table(t)
-    found = closure.closure(types.filter("base is not null").select(F.col("type").alias("src"), F.col("base").alias("dst")))
-    up = found.filter("not cycle").select(F.col("start").alias("type"), F.col("node").alias("ancestor"), "depth")
+    found = closure.reach(types.filter("base is not null").select(F.col("type").alias("src"), F.col("base").alias("dst")))
+    up = found.select(F.col("start").alias("type"), F.col("node").alias("ancestor"), "depth")
     return up.unionByName(types.select("type", F.col("type").alias("ancestor"), F.lit(0).alias("depth")))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pactum.catalog._base import query
 from pactum.contracts import floating, integer, string
 from pactum.operators import checks, modes
+from pactum.plans.scratch import written
 
 LINE = ["l_orderkey", "l_linenumber"]
 
@@ -61,10 +64,13 @@ def failure_report(t):
     return modes.report(found, F.concat("event_type", F.lit(": "), F.col("n").cast("string")))
 
 
-@query("SELECT l_returnflag, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_returnflag")
+@query("""SELECT l_returnflag, sum(l_quantity) AS quantity, (SELECT count(*) FROM lineitem)::BIGINT AS rows,
+ (SELECT count(*) FROM lineitem WHERE l_quantity > 30 OR l_discount < 0.02 OR l_returnflag NOT IN ('A', 'N'))::BIGINT AS violating FROM lineitem GROUP BY l_returnflag""")
 def observe_quality(t):
-    df, seen = modes.observed(t.lineitem, line_rules(t.lineitem))
-    return df.groupBy("l_returnflag").agg(F.sum("l_quantity").alias("quantity"))
+    """The sums are written, and the counts that this pass observed come with them."""
+    df, seen = modes.observed(t.lineitem, line_rules(t.lineitem), f"quality-{uuid.uuid4().hex}")
+    sums = written(df.groupBy("l_returnflag").agg(F.sum("l_quantity").alias("quantity")), "sums")
+    return sums.withColumns({k: F.lit(v).cast("long") for k, v in seen.get.items()})
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_tax * 100 % 2 > 0.5 AND l_tax * 100 % 2 < 1.5")

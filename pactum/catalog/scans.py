@@ -49,10 +49,13 @@ def parse_ref_listing(t):
     return refs.parse_ref_listing(lines).unionByName(refs.parse_tracking_refs(tracked))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN (props->>'$.k')::BIGINT END AS k, CASE WHEN event_id % 4 = 0 THEN 'ParseError' END AS error_class FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 4 <> 0 AND event_id % 8 NOT IN (1, 3, 5) THEN (props->>'$.k')::BIGINT END AS k,
+ CASE WHEN event_id % 4 = 0 THEN 'ParseError' WHEN event_id % 8 IN (1, 3, 5) THEN 'TypeError' END AS error_class FROM events""")
 def read_permissive(t):
-    broken = t.events.select("event_id", F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props")).alias("props"))
-    good, bad = files.read_permissive(broken, "props", "k long")
+    """Broken text, JSON that is no object, and a value of another type fail each in its way; none stops the others."""
+    k = F.col("event_id")
+    said = F.when(k % 4 == 0, F.concat(F.lit("{"), "props")).when(k % 8 == 1, F.concat(F.lit("["), "props", F.lit("]"))).when(k % 8 == 3, F.concat(F.lit('{"k":"'), k, F.lit('x"}'))).when(k % 8 == 5, k.cast("string")).otherwise(F.col("props"))
+    good, bad = files.read_permissive(t.events.select("event_id", said.alias("props")), "props", "k long")
     return good.select("event_id", "parsed.k", F.lit(None).cast("string").alias("error_class")).unionByName(bad.select("event_id", F.lit(None).cast("long").alias("k"), "error_class"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pactum.catalog._base import query
 from pactum.contracts import derive, string
-from pactum.operators import canonical, labels, refs
+from pactum.operators import canonical, labels, refs, text
 
 EMAIL = derive("email", string(), canonical=lambda c: F.lower(canonical.stripped(c)))
 
@@ -35,7 +35,8 @@ def canonical_inherit(t):
 @query("SELECT n_nationkey, r_name AS region_name, n_regionkey AS second FROM nation JOIN region ON n_regionkey = r_regionkey")
 def struct_build(t):
     df = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    built = df.select("n_nationkey", F.struct(F.struct("r_regionkey", "r_name").alias("region"), F.array("n_nationkey", "n_regionkey").alias("pair")).alias("s"))
+    region = canonical.record_of(r_regionkey=F.col("r_regionkey"), r_name=F.col("r_name"))
+    built = df.select("n_nationkey", canonical.record_of(region=region, pair=F.array("n_nationkey", "n_regionkey")).alias("s"))
     return built.select("n_nationkey", F.col("s.region.r_name").alias("region_name"), F.col("s.pair")[1].alias("second"))
 
 
@@ -129,11 +130,13 @@ def parse_label(t):
     return t.part.select("p_partkey", labels.parse_label(label).alias("p")).select("p_partkey", "p.ref", F.col("p.inner").alias("inner_label"), "p.error")
 
 
-@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'roots/a/pkg/f' WHEN 1 THEN 'pkg/f' WHEN 2 THEN 'src/d/f' WHEN 3 THEN 'src/f' END AS resolved,
- CASE page_id % 6 WHEN 4 THEN 'unknown root' WHEN 5 THEN 'above the root' END AS load_error FROM pages""")
+@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'roots/a/' || p || '/f' WHEN 1 THEN 'pkg/' || p WHEN 2 THEN 'src/d/' || p WHEN 3 THEN 'src/' || p END AS resolved,
+ CASE page_id % 6 WHEN 4 THEN 'unknown root' WHEN 5 THEN 'above the root' END AS load_error FROM (SELECT page_id, regexp_replace(url, '[^a-z0-9]+', '_', 'g') AS p FROM pages)""")
 def resolve_load_path(t):
-    k = F.col("page_id") % 6
-    path = F.when(k == 0, "@A//pkg:f").when(k == 1, "//pkg:f").when(k == 2, ":f").when(k == 3, "./x/../../f").when(k == 4, "@Z//p:f").otherwise("../../../f")
+    """A load of each form, with a name made of the page's address."""
+    k, name = F.col("page_id") % 6, F.regexp_replace("url", "[^a-z0-9]+", "_")
+    said = lambda before, after="": F.concat(F.lit(before), name, F.lit(after))
+    path = F.when(k == 0, said("@A//", ":f")).when(k == 1, said("//pkg:")).when(k == 2, said(":")).when(k == 3, said("./x/../../")).when(k == 4, said("@Z//p:")).otherwise(said("../../../"))
     df = t.pages.select("page_id", path.alias("path"), F.lit("src/d/here").alias("file"))
     roots = t.region.filter("r_regionkey < 2").select(F.upper(F.element_at(F.split("r_name", ""), 1)).alias("name")).filter("name = 'A'").distinct().withColumn("path", F.lit("roots/a"))
     return labels.resolve_load_path(df, "path", "file", roots).select("page_id", "resolved", "load_error")
@@ -153,4 +156,4 @@ def named_group_extract(t):
     number, ids = r"(0|[1-9]\d*)", r"([0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*)"
     pattern = rf"\A{number}\.{number}\.{number}(?:-{ids})?(?:\+{ids})?\z"
     names = ("major", "minor", "patch", "prerelease", "build")
-    return t.orders.select("o_orderkey", version.alias("v")).select("o_orderkey", *(F.regexp_extract("v", pattern, i).alias(n) for i, n in enumerate(names, 1)))
+    return t.orders.select("o_orderkey", version.alias("v")).select("o_orderkey", text.named_groups(F.col("v"), pattern, *names).alias("g")).select("o_orderkey", "g.*")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from pactum.catalog._base import query
-from pactum.catalog.texts import turn_edits
+from pactum.catalog.texts import EDITED, turn_edits
 from pactum.contracts import floating, string
 from pactum.operators import checks
 from pactum.plans.scratch import scratch_dir
@@ -34,26 +34,27 @@ def stream_validate(t):
     return out.select("event_id", F.size("_violations").alias("n_violations"))
 
 
-@query("""WITH e AS (SELECT user_id, event_id, event_id % 3 AS version, event_id % 11 = 0 AS gone FROM events),
+@query("""WITH e AS (SELECT user_id, event_id, event_id % 3 AS version, event_id % 11 = 0 AS gone, props FROM events),
 p AS (SELECT *, lag(version) OVER w AS was, lag(gone) OVER w AS was_gone FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-SELECT user_id::VARCHAR AS key, event_id AS seq, CASE WHEN gone THEN 'removed' WHEN was IS NULL OR was_gone THEN 'added' ELSE 'replaced' END AS change FROM p
+SELECT user_id::VARCHAR AS key, event_id AS seq, CASE WHEN gone THEN was ELSE version END AS version, CASE WHEN gone THEN 'removed' WHEN was IS NULL OR was_gone THEN 'added' ELSE 'replaced' END AS change, CASE WHEN NOT gone THEN props END AS text FROM p
  WHERE CASE WHEN gone THEN was IS NOT NULL AND NOT was_gone ELSE was IS NULL OR was_gone OR was <> version END""")
 def stream_versioned_state(t):
     k = F.col("event_id")
     s = keyed(t, "events", [F.col("user_id").cast("string").alias("key"), k.alias("seq"), (k % 3).alias("version"), F.when(k % 11 == 0, "remove").otherwise("update").alias("op"), F.col("props").alias("text")], "versions-in")
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = streams.run_once(streams.versioned(s, "key"), fresh(t, "versions-out"), fresh(t, "versions-at"))
-    return out.select("key", "seq", "change")
+    return streams.run_once(streams.versioned(s, "key"), fresh(t, "versions-out"), fresh(t, "versions-at"))
 
 
-@query("SELECT conv_id::VARCHAR AS key, count(*)::BIGINT AS edits FROM conversations WHERE turn < 2 GROUP BY conv_id")
+@query(f"SELECT conv_id::VARCHAR AS key, edits, text FROM ({EDITED})")
 def stream_edit_fold(t):
+    """All turns of all conversations that begin with the first one; the last text of each is kept."""
     at = fresh(t, "edits-in")
-    turn_edits(t).filter("seq < 2").withColumn("key", F.col("conv_id").cast("string")).drop("conv_id").write.parquet(at)
+    begun = t.conversations.filter("turn = 0").select("conv_id").distinct()
+    turn_edits(t).join(begun, "conv_id", "left_semi").withColumn("key", F.col("conv_id").cast("string")).drop("conv_id").write.parquet(at)
     s = t.spark.readStream.schema(t.spark.read.parquet(at).schema).parquet(at)
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out = streams.run_batches(streams.edit_folded(s, "key"), fresh(t, "edits-out"), fresh(t, "edits-at"))
-    return out.groupBy("key").agg(F.max("edits").alias("edits"))
+    return out.groupBy("key").agg(F.max("edits").alias("edits"), F.max_by("text", "edits").alias("text"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
@@ -62,12 +63,20 @@ def stream_skip_seen(t):
     return streams.run_once(streams.skip_seen(s, "user_id", "event_type"), fresh(t, "seen-out"), fresh(t, "seen-at"))
 
 
-@query("SELECT count(*)::BIGINT AS n, count(DISTINCT event_id)::BIGINT AS ids FROM events")
+@query("SELECT user_id, count(*)::BIGINT AS n, max(event_id) AS last FROM events GROUP BY user_id")
 def stream_new_files(t):
-    at = fresh(t, "files-in")
-    t.events.select("event_id").repartition(6).write.parquet(at)
+    """Files arrive two at a time; with each arrival the registry of users is rebuilt from what has come so far."""
+    at, seen = fresh(t, "files-in"), fresh(t, "files-seen")
+    t.events.select("event_id", "user_id").repartition(6).write.parquet(at)
     s = streams.new_files(t.spark, at, t.spark.read.parquet(at).schema, per_batch=2)
-    return streams.run_once(s, fresh(t, "files-out"), fresh(t, "files-at")).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+    latest = streams.LatestRegistry(lambda rows: rows.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last")))
+
+    def arrived(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{seen}/epoch={epoch}")
+        latest.batch(t.spark.read.schema(batch.schema).option("basePath", seen).parquet(*(f"{seen}/epoch={k}" for k in range(epoch + 1))), epoch)
+
+    s.writeStream.foreachBatch(arrived).option("checkpointLocation", fresh(t, "files-at")).trigger(availableNow=True).start().awaitTermination()
+    return latest.current
 
 
 @query("SELECT event_id, c_name, c_name IS NOT NULL AS found FROM events LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = user_id")

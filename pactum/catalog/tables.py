@@ -16,8 +16,7 @@ def available_names(t):
 
 @query("SELECT substr(sha1(o_custkey::VARCHAR), 1, 2) AS prefix, count(DISTINCT sha1(o_custkey::VARCHAR))::BIGINT AS n_ids FROM orders GROUP BY 1")
 def ambiguity_count(t):
-    sha = F.sha1(F.col("o_custkey").cast("string"))
-    return t.orders.groupBy(F.substring(sha, 1, 2).alias("prefix")).agg(F.count_distinct(sha).alias("n_ids"))
+    return registry.ambiguity_count(t.orders.select(F.sha1(F.col("o_custkey").cast("string")).alias("sha")), "sha", 2)
 
 
 @query("""SELECT o_orderkey, '[' || '{"kind":"build","image":"img' || o_orderkey || '"}' || CASE WHEN o_orderkey % 2 = 0 THEN ',{"kind":"run","command":"' || o_orderstatus || '"}' ELSE '' END || ']' AS json FROM orders""")
@@ -47,7 +46,7 @@ def delta_encode_positions(t):
 
 @query("SELECT min(doc_id) AS doc_id, md5(text) AS digest FROM documents GROUP BY text")
 def resume_skip_loaded(t):
-    return registry.first_seen(t.documents.select("doc_id", "text"), ["text"], "doc_id").select("doc_id", F.md5("text").alias("digest"))
+    return registry.first_of_each_text(t.documents.select("doc_id", "text"), "text", "doc_id").select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("SELECT url FROM pages ORDER BY url")

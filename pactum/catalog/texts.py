@@ -9,15 +9,18 @@ from pactum.operators import text
 
 
 def sources(t):
-    """A source file for each document: loads, assignments and functions named by its number."""
+    """A source file for each document: loads, assignments and functions named by its number, and from line 9 on its text."""
     k = F.col("doc_id")
     body = F.concat(
-        F.lit('"""doc"""\nload("//lib/l'), k % 7, F.lit('.x", "A'), k % 3, F.lit('",\n  "B", own="C")\nX'), k, F.lit(" = 1\n  Y = 2\ndef f"), k % 5, F.lit("(a):\n  return a == X\nX"), k, F.lit(" = 3\nZ == 4\n")
+        F.lit('"""doc"""\nload("//lib/l'), k % 7, F.lit('.x", "A'), k % 3, F.lit('",\n  "B", own="C")\nX'), k, F.lit(" = 1\n  Y = 2\ndef f"), k % 5, F.lit("(a):\n  return a == X\nX"), k, F.lit(" = 3\nZ == 4\n"), F.coalesce("text", F.lit(""))
     )
     return t.documents.select("doc_id", body.alias("text"))
 
 
-@query("""SELECT doc_id, 'X' || doc_id AS symbol, 3 AS line_no FROM documents UNION ALL SELECT doc_id, 'f' || doc_id % 5, 5 FROM documents""")
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) + 9 AS n FROM documents),
+s AS (SELECT doc_id, regexp_extract(l, '^([A-Za-z_][A-Za-z0-9_]*)\s*=([^=]|$)', 1) AS a, regexp_extract(l, '^def\s+([A-Za-z_][A-Za-z0-9_]*)', 1) AS f, n FROM l),
+every AS (SELECT doc_id, CASE WHEN a <> '' THEN a ELSE f END AS symbol, n FROM s WHERE a <> '' OR f <> '' UNION ALL SELECT doc_id, 'X' || doc_id, 3 FROM documents UNION ALL SELECT doc_id, 'f' || doc_id % 5, 5 FROM documents)
+SELECT doc_id, symbol, min(n)::INT AS line_no FROM every GROUP BY doc_id, symbol""")
 def symbol_index(t):
     return text.symbol_index(sources(t), "doc_id", "text")
 
@@ -53,8 +56,13 @@ def turn_edits(t):
     return t.conversations.select("conv_id", F.col("turn").alias("seq"), at(0).alias("start_line"), at(2).alias("start_col"), at(0).alias("end_line"), at(99).alias("end_col"), body.alias("text"))
 
 
-@query("""SELECT conv_id, 'ab' || coalesce(string_agg('<' || length(text), '' ORDER BY turn) FILTER (turn = 1), '') AS head FROM conversations GROUP BY conv_id HAVING min(turn) = 0""")
+#: The texts after all edits: each later edit takes the rest of line 0 and leaves its own number before what was there.
+EDITED = """SELECT conv_id, count(*)::BIGINT AS edits, 'ab' || CASE WHEN max(turn) > 0 THEN '<' || arg_max(length(text), turn) FILTER (turn > 0) || chr(10) || string_agg(turn || '>', chr(10) ORDER BY turn DESC) FILTER (turn > 0) ELSE '' END
+ || chr(10) || 'cd' || conv_id AS text FROM conversations GROUP BY conv_id HAVING min(turn) = 0"""
+
+
+@query(f"SELECT conv_id, text FROM ({EDITED})")
 def apply_edit_log(t):
-    """The first line is 'ab' and, once a second turn comes, its length; later edits push on behind column 2."""
-    done = text.apply_edit_log(turn_edits(t).filter("seq < 2"), "conv_id")
-    return done.filter(F.col("text").startswith("ab")).select("conv_id", F.split("text", "\n")[0].alias("head"))
+    """All turns of all conversations that begin with the first one."""
+    begun = t.conversations.filter("turn = 0").select("conv_id").distinct()
+    return text.apply_edit_log(turn_edits(t).join(begun, "conv_id", "left_semi"), "conv_id")

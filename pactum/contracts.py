@@ -21,7 +21,7 @@ ATTRIBUTES = {
     "string": ("min_length", "max_length", "pattern"),
     "vector": ("element", "min_length", "max_length"),
     "tuple": ("elements",),
-    "map": ("key", "value", "fields", "strict"),
+    "map": ("key", "value", "fields", "strict", "exactly_one"),
     "any": (),
 }
 
@@ -31,6 +31,7 @@ class Field:
     name: str
     type: "Type"
     mandatory: bool = True
+    default: Any = None
 
 
 @dataclass(frozen=True)
@@ -118,12 +119,14 @@ def mapping(**attrs) -> Type:
     return Type("map", own=attrs)
 
 
-def record(*fields: Field, strict: bool = False, predicate=None, canonical=None, name: str | None = None) -> Type:
-    return Type("map", name=name, own={"fields": tuple(fields), "strict": strict}, predicate=predicate, canonical=canonical)
+def record(*fields: Field, strict: bool = False, exactly_one: tuple[str, ...] = (), predicate=None, canonical=None, name: str | None = None) -> Type:
+    """A record; of the fields named by ``exactly_one`` a row gives one and leaves the others null."""
+    return Type("map", name=name, own={"fields": tuple(fields), "strict": strict} | ({"exactly_one": exactly_one} if exactly_one else {}), predicate=predicate, canonical=canonical)
 
 
-def field(name: str, type: Type, mandatory: bool = True) -> Field:
-    return Field(name, type, mandatory)
+def field(name: str, type: Type, mandatory: bool = True, default: Any = None) -> Field:
+    """A field with a default may be left out."""
+    return Field(name, type, mandatory and default is None, default)
 
 
 def derive(name: str | None, base: Type, predicate=None, canonical=None, abstract: bool = False, **attrs) -> Type:

@@ -20,6 +20,21 @@ def canonicalize_record(df: DataFrame, **forms: Callable[[Column], Column]) -> D
     return df.withColumns({n: f(F.col(n)) for n, f in forms.items()})
 
 
+def with_defaults(df: DataFrame, contract: Type) -> DataFrame:
+    """``df`` with the default of each field of a record contract where its column is null or lacking."""
+    filled = {}
+    for fields in contract.enforced().get("fields", []):
+        for f in fields:
+            if f.default is not None:
+                filled[f.name] = F.coalesce(F.col(f"`{f.name}`"), F.lit(f.default)) if f.name in df.columns else F.lit(f.default)
+    return df.withColumns(filled)
+
+
+def record_of(**fields: Column) -> Column:
+    """A record of the given fields in the given order; it may hold records and arrays."""
+    return F.struct(*(c.alias(n) for n, c in fields.items()))
+
+
 def stripped(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")

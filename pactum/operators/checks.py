@@ -102,6 +102,7 @@ def entries(t: Type, c: Column, dtype: T.DataType, path: Column, inner: bool = F
     elif t.kind == "map":
         for fields in a.get("fields", []):
             out += record_entries(fields, a.get("strict", False), lambda n: c[n], dtype, path, c.isNotNull())
+        out += [F.when(c.isNotNull(), exactly_one(group, lambda n: c[n], dtype, path)) for group in a.get("exactly_one", [])]
     if t.kind != "tuple":
         out += [F.when(c.isNotNull() & (F.coalesce(p(c), F.lit(True)) == F.lit(False)), violation(path, "predicate", "ValueError", "predicate is false")) for p in t.predicates()]
     return out
@@ -154,6 +155,13 @@ def record_entries(fields, strict: bool, get, dtype: T.StructType, path: Column
     return [F.when(present, x) for x in out] if present is not None else out
 
 
+def exactly_one(names: tuple[str, ...], get, dtype: T.StructType, path: Column | None = None) -> Column:
+    """A violation unless one of the fields has a value; a field that ``dtype`` lacks has none."""
+    has = set(dtype.fieldNames())
+    given = F.array_compact(F.array(*(F.when(get(n).isNotNull() if n in has else F.lit(False), F.lit(n)) for n in names)))
+    return F.when(F.size(given) != 1, violation(path if path is not None else F.lit(""), "exactly_one", "ValueError", F.array_join(given, ",")))
+
+
 def first_of(found: list[Column]) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast(VIOLATION)
 
@@ -172,6 +180,7 @@ def row_rules(df: DataFrame, contract: Type) -> list[Column]:
     out: list[Column] = []
     for fields in contract.enforced().get("fields", []):
         out += record_entries(fields, contract.enforced().get("strict", False), F.col, df.schema)
+    out += [exactly_one(group, F.col, df.schema) for group in contract.enforced().get("exactly_one", [])]
     row = F.struct(*map(F.col, df.columns))
     return out + [F.when(F.coalesce(p(row), F.lit(True)) == F.lit(False), violation(F.lit(""), "predicate", "ValueError", "predicate is false")) for p in contract.predicates()]
 

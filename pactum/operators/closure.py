@@ -5,31 +5,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.plans.scratch import written
+from pactum.plans.scratch import discard, written
+
+
+def reach(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(start, node, depth): each node that a path leads to, once, with the length of a shortest path.
+
+    A node that a cycle leads back to reaches itself. Without ``starts`` all pairs are
+    found by doubling, so the rounds grow with the logarithm of the longest shortest
+    path; with ``starts`` each round follows the edges of what was new in the last one.
+    """
+    e = edges.select("src", "dst").distinct()
+    if starts is None:
+        found = written(e.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth")), "reach")
+        size = found.count()
+        while True:
+            on = found.select(F.col("start").alias("_via"), F.col("node").alias("_node"), F.col("depth").alias("_more"))
+            far = found.join(on, F.col("node") == F.col("_via")).select("start", F.col("_node").alias("node"), (F.col("depth") + F.col("_more")).alias("depth"))
+            longer = written(found.unionByName(far).groupBy("start", "node").agg(F.min("depth").alias("depth")), "reach")
+            discard(found)
+            # shortest paths of up to twice the length are known; no new pair, so none is longer
+            if longer.count() == size:
+                return longer
+            found, size = longer, longer.count()
+    step = lambda at, name: at.join(e, F.col(name) == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+    front = written(step(starts.select("start").distinct(), "start").withColumn("depth", F.lit(1)), "frontier")
+    found = written(front, "reach")
+    depth = 1
+    while not front.isEmpty():
+        depth += 1
+        new = step(front.select("start", "node"), "node").join(found, ["start", "node"], "left_anti")
+        new = written(new.withColumn("depth", F.lit(depth)), "frontier")
+        more = written(found.unionByName(new), "reach")
+        discard(front, found)
+        front, found = new, more
+    discard(front)
+    return found
 
 
 def closure(edges: DataFrame, starts: DataFrame | None = None, rounds: int = 10_000) -> DataFrame:
-    """(start, node, depth, path, cycle): everything reached from each start.
+    """(start, node, depth, path, cycle): every simple path from each start; there may be very many, ``reach`` gives each node once.
 
     ``edges`` is (src, dst). A path that comes back to one of its nodes is kept
     with ``cycle`` true and not followed. Each round joins the frontier with the
     edges and is written, so depth is limited by neither recursion nor lineage.
+    Paths left after ``rounds`` rounds are an error.
     """
     e = edges.select("src", "dst").distinct()
     first = (starts or edges.select(F.col("src").alias("start")).distinct()).select("start")
     front = first.join(e, F.col("start") == F.col("src")).select("start", F.col("dst").alias("node"), F.lit(1).alias("depth"), F.array("start", "dst").alias("path"), (F.col("start") == F.col("dst")).alias("cycle"))
     parts = []
-    for _ in range(rounds):
+    while True:
         front = written(front, "frontier")
         if front.isEmpty():
             break
+        if len(parts) == rounds:
+            raise RuntimeError(f"paths go on after {rounds} rounds")
         parts.append(front)
         on = front.filter("not cycle").join(e, F.col("node") == F.col("src"))
         front = on.select("start", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("dst")).alias("path"), F.array_contains("path", F.col("dst")).alias("cycle"))
-    out = front
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    # the rounds lie in folders of one schema: one scan, whatever their number
+    return edges.sparkSession.read.schema(front.schema).parquet(*(p._scratch_path for p in [*parts, front]))
 
 
 def recursive_closure(spark: SparkSession, edges: DataFrame, start: str) -> DataFrame:
@@ -41,9 +77,3 @@ def recursive_closure(spark: SparkSession, edges: DataFrame, start: str) -> Data
           UNION ALL
           SELECT r.start, e.dst, r.depth + 1, concat(r.path, array(e.dst)), array_contains(r.path, e.dst) FROM r JOIN _edges e ON r.node = e.src WHERE NOT r.cycle)
         SELECT * FROM r""")
-
-
-def with_self(found: DataFrame) -> DataFrame:
-    """(type, ancestor, depth) of an inheritance closure, each type its own ancestor at depth 0."""
-    selves = found.select(F.col("start").alias("type")).distinct()
-    return found.filter("not cycle").select(F.col("start").alias("type"), F.col("node").alias("ancestor"), "depth").unionByName(selves.select("type", F.col("type").alias("ancestor"), F.lit(0).alias("depth")))

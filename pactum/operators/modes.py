@@ -31,11 +31,6 @@ def split(df: DataFrame, rules: list[Column]) -> tuple[DataFrame, DataFrame]:
     return marked.filter(F.size("_violations") == 0).drop("_violations"), marked.filter(F.size("_violations") > 0)
 
 
-def write_split(df: DataFrame, rules: list[Column], path: str) -> None:
-    """Both outputs in one pass: folders _valid=true and _valid=false below ``path``."""
-    flag(df.withColumn("_violations", all_of(rules)), []).withColumn("_valid", F.size("_violations") == 0).write.partitionBy("_valid").parquet(path)
-
-
 def asserted(df: DataFrame, rules: list[Column]) -> DataFrame:
     """``df``; the job fails on the first row that does not conform."""
     first = first_of(rules)
@@ -54,6 +49,9 @@ def report(failures: DataFrame, line: Column) -> DataFrame:
 
 
 def observed(df: DataFrame, rules: list[Column], name: str = "quality") -> tuple[DataFrame, Observation]:
-    """``df`` that counts rows and violating rows while it is processed, without a further pass."""
+    """``df`` that counts rows and violating rows while it is processed, without a further pass.
+
+    ``observation.get`` has the counts once an action on what is made of ``df`` is done.
+    """
     o = Observation(name)
     return df.observe(o, F.count(F.lit(1)).alias("rows"), F.count_if(first_of(rules).isNotNull()).alias("violating")), o

@@ -38,33 +38,40 @@ def exact_matches(requests: DataFrame, refs: DataFrame, want: str = "want") -> D
 
 
 def prefix_matches(requests: DataFrame, ids: DataFrame, want: str = "want", sha: str = "sha") -> DataFrame:
-    """(want, n_ids, ids): distinct ids that begin with each request; ids in order."""
+    """(want, sha): each distinct id that begins with each request, a row each."""
     w = requests.select(want).distinct()
     i = ids.select(F.col(sha).alias("_sha")).distinct()
     long = w.filter(F.length(want) >= PREFIX).join(i, F.substring(want, 1, PREFIX) == F.substring("_sha", 1, PREFIX)).filter(F.startswith(F.col("_sha"), F.col(want)))
     # the ids offer their own short prefixes, the empty one among them
     offered = i.select("_sha", F.explode(F.array(*(F.substring("_sha", 1, n) if n else F.lit("") for n in range(PREFIX)))).alias("_p"))
     short = w.filter(F.length(want) < PREFIX).join(offered, F.col(want) == F.col("_p")).drop("_p")
-    return long.unionByName(short).groupBy(want).agg(F.count("*").alias("n_ids"), F.array_sort(F.collect_list("_sha")).alias("ids"))
+    return long.unionByName(short).select(want, F.col("_sha").alias("sha"))
 
 
 def resolve_refs(requests: DataFrame, refs: DataFrame, local: DataFrame | None = None, want: str = "want") -> DataFrame:
-    """(want, status, sha, candidates) for each distinct request.
+    """(want, status, sha, n_candidates) for each distinct request.
 
     Order: a branch and a tag of the name collide; branch or tag; a unique id
-    prefix; several ids are ambiguous; the local fallback (want, sha); unknown.
+    prefix; several ids are ambiguous, ``n_candidates`` of them, which ``candidates``
+    lists; the local fallback (want, sha); unknown.
     """
     w = requests.select(want).distinct()
-    out = w.join(exact_matches(w, refs, want), want, "left").join(prefix_matches(w, refs, want), want, "left")
+    # sums with partial results: a short prefix that most ids share gathers nothing
+    pre = prefix_matches(w, refs, want).groupBy(want).agg(F.count("*").alias("_n"), F.min("sha").alias("_sha"))
+    out = w.join(exact_matches(w, refs, want), want, "left").join(pre, want, "left")
     if local is not None:
         out = out.join(local.select(want, F.col("sha").alias("_local")), want, "left")
     else:
         out = out.withColumn("_local", F.lit(None).cast("string"))
     collide = F.col("branch").isNotNull() & F.col("tag").isNotNull()
-    named = F.coalesce("branch", "tag")
-    status = F.when(collide, "collision").when(F.col("branch").isNotNull(), "branch").when(F.col("tag").isNotNull(), "tag").when(F.col("n_ids") == 1, "prefix").when(F.col("n_ids") > 1, "ambiguous").when(F.col("_local").isNotNull(), "local").otherwise("unknown")
-    sha = F.when(status.isin("branch", "tag"), named).when(status == "prefix", F.get("ids", 0)).when(status == "local", F.col("_local"))
-    return out.select(want, status.alias("status"), sha.alias("sha"), F.when(status == "ambiguous", F.col("ids")).alias("candidates"))
+    status = F.when(collide, "collision").when(F.col("branch").isNotNull(), "branch").when(F.col("tag").isNotNull(), "tag").when(F.col("_n") == 1, "prefix").when(F.col("_n") > 1, "ambiguous").when(F.col("_local").isNotNull(), "local").otherwise("unknown")
+    sha = F.when(status.isin("branch", "tag"), F.coalesce("branch", "tag")).when(status == "prefix", F.col("_sha")).when(status == "local", F.col("_local"))
+    return out.select(want, status.alias("status"), sha.alias("sha"), F.when(status == "ambiguous", F.col("_n")).alias("n_candidates"))
+
+
+def candidates(resolved: DataFrame, refs: DataFrame, want: str = "want") -> DataFrame:
+    """(want, sha): the ids of each ambiguous request of ``resolve_refs``, a row each."""
+    return prefix_matches(resolved.filter("status = 'ambiguous'"), refs, want)
 
 
 def snapshot_status(keys: DataFrame, key: str, folders: DataFrame, sentinels: DataFrame) -> DataFrame:

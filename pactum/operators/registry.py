@@ -30,18 +30,19 @@ def short_name(label: Column) -> Column:
     return F.regexp_replace(label, r"\A:", "")
 
 
-def lookup_by_name(df: DataFrame, label: str, registry: DataFrame, name: str, kind: str | None = None, listed: int = 100) -> DataFrame:
+def lookup_by_name(df: DataFrame, label: str, registry: DataFrame, name: str, kind: str | None = None) -> DataFrame:
     """``df`` with the columns of the registered entity and an ``error`` for labels without one.
 
-    The error lists the names of the kind in order, the first ``listed`` of them,
-    so that the message stays small whatever the registry.
+    The error lists all names of the kind in order. They are one text that only rows
+    without a hit meet, by a key that is null in the others; for registries whose names
+    should not stand in one text, ``unresolved`` gives the labels alone.
     """
     have = registry if kind is None else registry.filter(F.col("kind") == kind)
-    names = have.select(name).distinct().orderBy(name).limit(listed).agg(F.array_join(F.array_sort(F.collect_list(name)), ",").alias("_available"))
+    names = have.agg(F.array_join(F.array_sort(F.collect_set(name)), ",").alias("_available")).withColumn("_miss", F.lit(True))
     joined = df.withColumn("_name", short_name(F.col(label))).join(have.withColumn("_hit", F.lit(True)), F.col("_name") == have[name], "left")
+    joined = joined.withColumn("_miss", F.when(F.col("_hit").isNull(), True)).join(names, "_miss", "left")
     said = F.concat(F.lit("no "), F.col("_name"), F.lit("; available: "), F.coalesce("_available", F.lit("")))
-    # one row of bounded size meets every row
-    return joined.crossJoin(F.broadcast(names)).withColumn("error", F.when(F.col("_hit").isNull(), said)).drop("_name", "_hit", "_available")
+    return joined.withColumn("error", F.when(F.col("_miss"), said)).drop("_name", "_hit", "_miss", "_available")
 
 
 def resolve_references(df: DataFrame, key: str, labels: str, registry: DataFrame, name: str, value: str) -> DataFrame:
@@ -51,6 +52,25 @@ def resolve_references(df: DataFrame, key: str, labels: str, registry: DataFrame
     return hit.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_value"))), lambda s: s["_value"]).alias("resolved"))
 
 
+def wrong_kind(df: DataFrame, key: str, refs: str, registry: DataFrame, name: str, kind: str, wanted: str) -> DataFrame:
+    """(key, ref, found): each distinct reference of an array column that names nothing of the wanted kind; ``found`` is its kind or null."""
+    named = df.select(key, F.explode(refs).alias("ref")).distinct()
+    r = registry.select(F.col(name).alias("_n"), F.col(kind).alias("found"))
+    return named.join(r, F.col("ref") == F.col("_n"), "left").filter(~F.col("found").eqNullSafe(F.lit(wanted))).select(key, "ref", "found")
+
+
+def ambiguity_count(ids: DataFrame, sha: str, length: int) -> DataFrame:
+    """(prefix, n_ids): distinct ids that share each prefix of ``length`` characters."""
+    return ids.groupBy(F.substring(sha, 1, length).alias("prefix")).agg(F.count_distinct(sha).alias("n_ids"))
+
+
+def first_of_each_text(df: DataFrame, text: str, seq: str) -> DataFrame:
+    """The row with the lowest ``seq`` of each distinct text. Only hashes of texts are shuffled, then the rows kept."""
+    key = [F.xxhash64(text).alias("_h1"), F.md5(text).alias("_h2"), F.octet_length(text).alias("_n")]
+    first = df.select(*key, F.col(seq).alias("_seq")).groupBy("_h1", "_h2", "_n").agg(F.min("_seq").alias("_first"))
+    return df.join(first.select(F.col("_first").alias(seq)).distinct(), seq, "left_semi")
+
+
 def unresolved(df: DataFrame, label: str, registry: DataFrame, name: str) -> DataFrame:
     return df.join(registry.select(F.col(name).alias("_n")), F.col(label) == F.col("_n"), "left_anti")
 

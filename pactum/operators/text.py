@@ -12,6 +12,12 @@ LOAD_CALL = r"(?s)\bload\(\s*(\"[^\"]*\"|'[^']*')(.*?)\)"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
 
 
+def named_groups(text: Column, pattern: str, *names: str) -> Column:
+    """A record of the groups of ``pattern`` by name, '' for one that takes no part; null where the pattern does not match."""
+    groups = F.struct(*(F.regexp_extract(text, pattern, i).alias(n) for i, n in enumerate(names, 1)))
+    return F.when(F.regexp_like(text, F.lit(pattern)), groups)
+
+
 def text_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no from 0, line)."""
     return df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))

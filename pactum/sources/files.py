@@ -30,8 +30,15 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_permissive(df: DataFrame, json: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(good, bad): rows whose JSON parses, with ``parsed``; the others with error_class and message. Never stops at the first."""
-    marked = df.withColumn("_ok", F.try_parse_json(F.col(json)).isNotNull())
-    good = marked.filter("_ok").withColumn("parsed", F.from_json(F.col(json), schema)).drop("_ok")
-    bad = marked.filter("not _ok").select(*df.columns, F.when(F.col(json).isNull(), "MissingInput").otherwise("ParseError").alias("error_class"), F.concat(F.lit("cannot parse "), F.coalesce(json, F.lit("null"))).alias("message"))
+    """(good, bad): rows whose JSON parses into the schema, with ``parsed``; the others with error_class and message.
+
+    Never stops at the first. Text that is no JSON is a ParseError; JSON that is no
+    object, or holds a value of another type than declared, is a TypeError.
+    """
+    parsed = F.from_json(F.col(json), f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    shape = F.schema_of_variant(F.try_parse_json(F.col(json)))
+    marked = df.withColumn("_parsed", parsed).withColumn("_error", F.when(F.col(json).isNull(), "MissingInput").when(shape.isNull(), "ParseError").when(~shape.startswith("OBJECT") | F.col("_parsed._corrupt").isNotNull(), "TypeError"))
+    good = marked.filter("_error is null").select(*df.columns, F.col("_parsed").dropFields("_corrupt").alias("parsed"))
+    said = F.when(F.col("_error") == "TypeError", F.concat(F.lit("not of the declared types: "), F.col(json))).otherwise(F.concat(F.lit("cannot parse "), F.coalesce(json, F.lit("null"))))
+    bad = marked.filter("_error is not null").select(*df.columns, F.col("_error").alias("error_class"), said.alias("message"))
     return good, bad

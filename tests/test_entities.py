@@ -1,6 +1,11 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
-from pactum.operators import canonical, closure, labels, refs, registry, text
+from pactum.contracts import boolean, field, floating, integer, record, string
+from pactum.operators import canonical, checks, closure, labels, modes, refs, registry, text
+from pactum.plans import scratch
 from pactum.plans.components import components
 from pactum.plans.scratch import written
 from pactum.sources import files, values
@@ -42,7 +47,11 @@ def test_ref_precedence(spark):
     listing = spark.createDataFrame([(sha("a"), "refs/heads/main"), (sha("b"), "refs/tags/v1"), (sha("c"), "refs/tags/v1^{}"), (sha("d"), "refs/heads/both"), (sha("d"), "refs/tags/both"), ("abc1234" + "0" * 33, "refs/heads/x"), ("abc1234" + "1" * 33, "refs/heads/y"), (sha("a"), "refs/heads/again")], "sha string, ref string")
     wants = spark.createDataFrame([(w,) for w in ("main", "v1", "both", "abc1234", "abc12340", "nope", "lo", "aaa", "")], "want string")
     local = spark.createDataFrame([("lo", sha("9"))], "want string, sha string")
-    got = {r.want: (r.status, r.sha) for r in refs.resolve_refs(wants, listing, local).collect()}
+    resolved = refs.resolve_refs(wants, listing, local).collect()
+    got = {r.want: (r.status, r.sha) for r in resolved}
+    listed = refs.candidates(spark.createDataFrame(resolved), listing).collect()
+    assert sorted(r.sha for r in listed if r.want == "abc1234") == ["abc1234" + "0" * 33, "abc1234" + "1" * 33]
+    assert {r.want: r.n_candidates for r in resolved if r.n_candidates} == {w: sum(r.want == w for r in listed) for w in {r.want for r in listed}}
     assert got["main"] == ("branch", sha("a")) and got["v1"] == ("tag", sha("c")) and got["both"] == ("collision", None)
     assert got["abc1234"] == ("ambiguous", None) and got["abc12340"] == ("prefix", "abc1234" + "0" * 33)
     assert got["nope"] == ("unknown", None) and got["lo"] == ("local", sha("9")) and got["aaa"] == ("prefix", sha("a")) and got[""][0] == "ambiguous"
@@ -73,6 +82,22 @@ def test_references_keep_their_order_and_strip_one_colon(spark):
     assert [tuple(r) for r in registry.resolve_references(df, "id", "refs", reg, "name", "v").collect()] == [(1, [20, 10, None, 10])]
     looked = registry.lookup_by_name(spark.createDataFrame([("::a",), (":a",)], "l string"), "l", reg, "name")
     assert {r.l: (r.v, r.error) for r in looked.collect()} == {"::a": (None, "no :a; available: a,b"), ":a": (10, None)}
+    many = spark.range(300).select(F.format_string("n%03d", "id").alias("name"), "id")
+    error = one(registry.lookup_by_name(spark.createDataFrame([("x",)], "l string"), "l", many, "name")).error
+    assert error == "no x; available: " + ",".join(f"n{i:03d}" for i in range(300))
+    nothing = registry.lookup_by_name(spark.createDataFrame([("x",)], "l string"), "l", many.limit(0), "name")
+    assert one(nothing).error == "no x; available: "
+
+
+def test_references_of_a_wrong_kind(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c", "b"]), (2, ["a"]), (3, []), (4, None)], "id int, refs array<string>")
+    reg = spark.createDataFrame([("a", "value"), ("b", "action")], "name string, kind string")
+    assert sorted(tuple(r) for r in registry.wrong_kind(df, "id", "refs", reg, "name", "kind", "value").collect()) == [(1, "b", "action"), (1, "c", None)]
+
+
+def test_first_row_of_each_text(spark):
+    df = spark.createDataFrame([(3, "x"), (1, "x"), (2, "y"), (5, None), (4, None)], "id int, text string")
+    assert sorted(tuple(r) for r in registry.first_of_each_text(df, "text", "id").collect()) == [(1, "x"), (2, "y"), (4, None)]
 
 
 def test_last_definition_wins_and_first_seen_stays(spark):
@@ -99,6 +124,26 @@ def test_closure_stops_at_cycles_and_goes_deep(spark):
     rec = closure.recursive_closure(spark, spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string"), "true")
     assert rec.count() == 4
     assert closure.closure(spark.createDataFrame([], "src string, dst string")).count() == 0
+    with pytest.raises(RuntimeError, match="after 3 rounds"):
+        closure.closure(spark.createDataFrame([(i, i + 1) for i in range(6)], "src int, dst int"), rounds=3)
+
+
+def test_reach_gives_each_node_once(spark):
+    # three layers of nine nodes, all joined: thousands of simple paths, few pairs; and a ring with a tail
+    edges = [(10 * layer + i, 10 * layer + 10 + j) for layer in range(3) for i in range(6) for j in range(6)]
+    edges += [(100 + i, 100 + (i + 1) % 7) for i in range(7)] + [(103, 200), (200, 201), (300, 300)]
+    want = {}
+    for start in {a for a, _ in edges}:
+        front, depth = {start}, 0
+        while front:
+            depth += 1
+            front = {b for a, b in edges if a in front and (start, b) not in want}
+            want |= {(start, b): depth for b in front}
+    df = spark.createDataFrame(edges, "src long, dst long")
+    assert {(r.start, r.node): r.depth for r in closure.reach(df).collect()} == want
+    some = closure.reach(df, spark.createDataFrame([(100,), (0,), (999,)], "start long"))
+    assert {(r.start, r.node): r.depth for r in some.collect()} == {k: d for k, d in want.items() if k[0] in (0, 100)}
+    assert closure.reach(df.limit(0)).count() == 0
 
 
 def test_components_of_chains_stars_and_nothing(spark):
@@ -123,9 +168,10 @@ def test_edits_refer_to_edited_text(spark):
 
 
 def test_permissive_json_and_listings(spark, tmp_path):
-    df = spark.createDataFrame([(1, '{"k": 1}'), (2, "{"), (3, None)], "id int, j string")
+    df = spark.createDataFrame([(1, '{"k": 1}'), (2, "{"), (3, None), (4, '{"k": "abc"}'), (5, "[1]"), (6, "7"), (7, '{"other": 2}'), (8, '{"k": null}'), (9, '{"k": 1.5}')], "id int, j string")
     good, bad = files.read_permissive(df, "j", "k int")
-    assert [(r.id, r.parsed.k) for r in good.collect()] == [(1, 1)] and {r.id: r.error_class for r in bad.collect()} == {2: "ParseError", 3: "MissingInput"}
+    assert sorted((r.id, r.parsed.k) for r in good.collect()) == [(1, 1), (7, None), (8, None)]
+    assert {r.id: r.error_class for r in bad.collect()} == {2: "ParseError", 3: "MissingInput", **dict.fromkeys((4, 5, 6, 9), "TypeError")}
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.def").write_text("é")
     (tmp_path / "y.def").write_text("x")
@@ -134,6 +180,73 @@ def test_permissive_json_and_listings(spark, tmp_path):
     assert {r.text for r in files.read_texts(spark, str(tmp_path / "a")).collect()} == {"é"}
 
 
+def test_reads_hold_the_declared_types(spark, tmp_path):
+    at = str(tmp_path / "v")
+    spark.createDataFrame([(1, "a", 2.5)], "k int, s string, x float").write.parquet(at)
+    value = lambda *fields: values.Value("v", record(*fields), values.Location("posix", {"path": at}))
+    read = values.read_value(spark, value(field("k", integer()), field("s", string()), field("x", floating()), field("more", integer(), mandatory=False)))
+    assert read.dtypes == [("k", "bigint"), ("s", "string"), ("x", "double"), ("more", "bigint")] and [tuple(r) for r in read.collect()] == [(1, "a", 2.5, None)]
+    with pytest.raises(TypeError, match="no column 'lost'"):
+        values.read_value(spark, value(field("k", integer()), field("lost", string())))
+    for wrong in (field("s", integer()), field("x", integer()), field("k", string()), field("k", boolean())):
+        with pytest.raises(TypeError, match="declared is"):
+            values.read_value(spark, value(wrong))
+
+
+def test_defaults_and_exactly_one(spark):
+    contract = record(field("a", integer(), default=7), field("b", integer(), mandatory=False), field("c", string(), default="x"), exactly_one=("a", "b", "lacking"))
+    df = spark.createDataFrame([(1, None), (None, None), (None, 2), (3, 4)], "a long, b long")
+    assert [tuple(r) for r in canonical.with_defaults(df, contract).collect()] == [(1, None, "x"), (7, None, "x"), (7, 2, "x"), (3, 4, "x")]
+    got = modes.all_violations(df, checks.row_rules(df, contract), "a", "b").collect()
+    assert {(r.a, r.b): (r.rule, r.message) for r in got} == {(None, None): ("exactly_one", ""), (3, 4): ("exactly_one", "a,b")}
+
+
+def test_location_predicates(spark):
+    df = spark.createDataFrame([("s3", "b", "p/x"), ("s3", "b", "q"), ("s3", None, "p"), ("posix", "b", "p")], "kind string, bucket string, prefix string")
+    differs = values.location_violation({"bucket": F.col("bucket"), "prefix": F.col("prefix")}, F.col("kind"), values.Location("s3", {"bucket": "b"}), lambda a: a["prefix"].startswith("p"))
+    assert [r.d for r in df.select(differs.alias("d")).collect()] == [None, "predicate", "bucket", "kind"]
+
+
+def test_named_groups(spark):
+    df = spark.createDataFrame([("1.2",), ("1",), ("x",), (None,)], "v string")
+    got = df.select(text.named_groups(F.col("v"), r"\A(\d+)(?:\.(\d+))?\z", "major", "minor").alias("g")).collect()
+    assert [r.g and tuple(r.g) for r in got] == [("1", "2"), ("1", ""), None, None]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return Conf()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.scratch_dir(Cluster())
+
+
+def test_broadcasts_are_measured_in_bytes(spark):
+    long = written(spark.range(50).select("id", F.repeat(F.lit("x"), 1000).alias("s"), F.array(F.lit("abc")).alias("a")), "long")
+    assert 50_000 < scratch.table_bytes(long) < 60_000
+    assert "broadcast" in scratch.small(long)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in scratch.small(long, 10_000)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_a_scope_deletes_what_it_wrote(spark):
+    outer = written(spark.range(3), "outer")
+    with scratch.scope():
+        inner = written(outer, "inner")
+        assert inner.count() == 3
+    assert outer.count() == 3 and not os.path.exists(inner._scratch_path.removeprefix("file://"))
+
+
 def test_locations():
     assert values.Location("s3", {"bucket": "b", "prefix": "/p"}).uri() == "s3a://b/p"
     assert values.Location("posix", {"path": "/x"}).uri() == "/x"
