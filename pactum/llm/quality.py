@@ -12,9 +12,13 @@ Native DataFrame code. Words are runs outside 0x20 and 0x09-0x0D. The rules:
   ``keep_percent`` percent of its words, or fewer than ``min_words``, is depleted
   and rejected.
 
-The host of a document is its source; null is a host of its own. Null texts have
-no words and fail the base. Repeated rows get equal results; rows that repeat a
-doc_id count as one document. Null doc_ids are documents of their own row.
+The host of a document is its source; null is a host of its own. The limit grows
+with the host: on a host of a million documents a line that 50,000 of them hold is
+not common yet. Null and empty texts have no words and fail the base; texts of any
+length are judged whole. Repeated rows get equal results; rows that repeat a doc_id
+count as one document. Rows of null doc_id are a document each, after all others.
+An empty table gives an empty result; columns other than doc_id, text and source
+play no part, whatever their names, and ``passing`` carries them as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.rowkeys import SPACE, TEXT_HASH, let, text_hash, words
+from pactum.llm.rowkeys import SPACE, TEXT_HASH, let, only_rows, text_hash, words
 from pactum.plans.scratch import discard, small, written
 
 WINDOW = 5
@@ -79,22 +83,23 @@ def quality_marks(docs: DataFrame) -> DataFrame:
 def score_quality(docs: DataFrame, min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, min_docs: int = MIN_DOCS, host_percent: int = HOST_PERCENT, keep_percent: int = KEEP_PERCENT) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words, and the text hash."""
     marks = written(quality_marks(docs.select("doc_id", "source", "text")).withColumn("_row", F.monotonically_increasing_id()), "quality")
-    # a repeated doc_id counts once; a null doc_id is named by its row
-    name = F.coalesce(F.col("doc_id"), -1 - F.col("_row"))
-    held = marks.select("source", name.alias("_doc"), F.explode(F.array_distinct(F.col("lines.h"))).alias("h"))
+    # a document is named by its doc_id, one without by its row
+    name = [F.col("doc_id").alias("_doc"), F.when(F.col("doc_id").isNull(), F.col("_row")).alias("_own")]
+    held = marks.select("source", *name, F.explode(F.array_distinct(F.col("lines.h"))).alias("h"))
     # rows that repeat a doc_id are few: only theirs are compared, the others hold each line once already
     repeats = small(written(marks.filter("doc_id is not null").groupBy("source", "doc_id").agg(F.count("*").alias("_rows")).filter("_rows > 1").select(F.col("source").alias("_rs"), F.col("doc_id").alias("_rd")), "repeats"))
     again = F.col("source").eqNullSafe(F.col("_rs")) & (F.col("_doc") == F.col("_rd"))
     held = held.join(repeats, again, "left_anti").unionByName(held.join(repeats, again, "left_semi").distinct())
-    hosts = marks.groupBy("source").agg(F.count_distinct(name).alias("_docs"))
-    often = held.groupBy("source", "h").agg(F.count("*").alias("_n"), F.min("_doc").alias("_first")).filter(F.col("_n") > min_docs)
+    hosts = marks.groupBy("source").agg((F.count_distinct("doc_id") + F.count_if(F.col("doc_id").isNull())).alias("_docs"))
+    often = held.groupBy("source", "h").agg(F.count("*").alias("_n"), F.min("_doc").alias("_first"), F.min("_own").alias("_first_own")).filter(F.col("_n") > min_docs)
     often = written(often, "often")
     hosts = written(hosts, "hosts")
     o, g = often.alias("o"), small(hosts).alias("g")
-    common = o.join(g, F.col("o.source").eqNullSafe(F.col("g.source"))).filter((F.col("_n") > min_docs) & (100 * F.col("_n") > host_percent * F.col("_docs")))
-    common = written(common.select(F.col("o.source").alias("_host"), F.col("h").alias("_h"), "_first"), "common")
-    lines = marks.select("_row", "source", name.alias("_doc"), F.explode("lines").alias("_l")).select("_row", "source", "_doc", "_l.h", "_l.words")
-    hit = lines.join(small(common), (F.col("h") == F.col("_h")) & F.col("source").eqNullSafe(F.col("_host"))).filter("_doc <> _first")
+    common = o.join(g, F.col("o.source").eqNullSafe(F.col("g.source"))).filter(100 * F.col("_n") > host_percent * F.col("_docs"))
+    common = written(common.select(F.col("o.source").alias("_host"), F.col("h").alias("_h"), "_first", "_first_own"), "common")
+    lines = marks.select("_row", "source", *name, F.explode("lines").alias("_l")).select("_row", "source", "_doc", "_own", "_l.h", "_l.words")
+    is_first = F.when(F.col("_first").isNull(), F.col("_own") == F.col("_first_own")).otherwise(F.col("_doc").eqNullSafe(F.col("_first")))
+    hit = lines.join(small(common), (F.col("h") == F.col("_h")) & F.col("source").eqNullSafe(F.col("_host"))).filter(~is_first)
     removed = written(hit.groupBy("_row").agg(F.sum("words").alias("n_removed_words")), "removed")
     discard(often, hosts)
     out = marks.drop("lines").join(removed.hint("merge"), "_row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
@@ -106,10 +111,9 @@ def score_quality(docs: DataFrame, min_words: int = MIN_WORDS, repeat_percent: i
 
 def passing(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns as they were."""
-    from pactum.llm.rowkeys import only_rows
-
-    kept = score_quality(docs, **limits).filter("kept").select("doc_id", TEXT_HASH).distinct()
-    return only_rows(docs, written(kept, "kept"))
+    # fewer rows are rejected than kept
+    rejected = score_quality(docs, **limits).filter("not kept").select("doc_id", TEXT_HASH).distinct()
+    return only_rows(docs, written(rejected, "rejected"), "left_anti")
 
 
 SQL = r"""
