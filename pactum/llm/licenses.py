@@ -4,8 +4,8 @@ Native DataFrame code. Possible headers are, over every whole text, each line, e
 run of consecutive lines with words that consist mostly of header words, each part
 of a run of 2 to ``WINDOW`` lines, and the whole text. Lines are compared with the
 ``TEMPLATES``, runs and their parts with these and the wrapped notices of
-``NOTICES``, whole texts with the full license texts in ``license_texts``. Lines without a word (blank, or a comment mark) do not end a
-run.
+``NOTICES``, whole texts with the full license texts in ``license_texts``. Lines
+without a word (blank, or a comment mark) do not end a run.
 
 Features are the distinct words, weighted by inverse document frequency; the
 frequencies of the template words are counted over all lines of the corpus (for
@@ -14,17 +14,20 @@ seen once. The cosine of a header and a template is summed over the words they
 share, by a join with the templates' postings (a fixed table). A cosine of at least
 ``threshold`` is a match. A match needs at least threshold ** 2 of a header's words
 to be template words, since no word weighs more than a foreign one, so others go no
-further. Runs are lines of which each meets that; a part of a run or a whole text counts as
-a header of its own only if it holds no smaller match, but all compete for the license.
+further. Runs are lines of which each meets that; a part of a run or a whole text
+counts as a header of its own only if it holds no smaller match, but all compete for
+the license.
 
 A file that is named as a license file, or all of whose lines with words match, or
-that matches a full text, is a license file. A file's license is, in this order: that of its own best
-header, or that of the nearest directory above it that holds a license file.
+that matches a full text, is a license file. A file's license is that of its own best
+header, else that of the nearest directory above it that holds a license file.
 Ancestor paths are exploded and joined with the directories that have one.
 
 Ties go to the higher cosine, then to the smaller name, and among license files of
 a directory to the smaller path. Null and empty texts have no header and can only
-inherit; a null path has no directory. Repeated rows are answered each.
+inherit; a null path has no directory. A text of any length is read whole; its lines
+are rows. Repeated rows are answered each. An empty table gives an empty result.
+Columns named like results are left out, other columns, whatever their names, carried.
 """
 
 from __future__ import annotations
@@ -225,9 +228,13 @@ sc AS (SELECT nr.doc_id, nr.line_no, license, round(sum(w * w) / (max(norm) * ma
 h AS (SELECT doc_id, line_no, arg_min(license, row(-cosine, license)) AS license, max(cosine) AS cosine FROM sc WHERE cosine >= {THRESHOLD} GROUP BY doc_id, line_no),
 b AS (SELECT doc_id, arg_min(license, row(-cosine, license)) AS license, max(cosine) AS cosine, count(*) AS n_headers, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM h GROUP BY doc_id),
 full_text AS (SELECT doc_id, count(*) FILTER (regexp_matches(l, '[\p{{L}}\p{{N}}]')) AS n FROM ls GROUP BY doc_id),
-f AS (SELECT d.doc_id, concat_ws('/', source, lang) AS dir, source AS up, b.*, (b.n_headers = full_text.n) AS is_file FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN full_text ON full_text.doc_id = d.doc_id),
-dl AS (SELECT dir, arg_min(license, dir || '/' || doc_id || '.txt') AS license FROM f WHERE is_file GROUP BY dir)
-SELECT f.doc_id, coalesce(f.license, dl.license) AS license, round(f.cosine, 6) AS cosine, CASE WHEN f.license IS NOT NULL THEN 'header' WHEN dl.license IS NOT NULL THEN 'inherited' END AS origin,
- coalesce(f.n_headers, 0)::BIGINT AS n_headers, coalesce(f.licenses, '') AS licenses, CASE WHEN f.license IS NULL AND dl.license IS NOT NULL THEN f.dir END AS license_dir
-FROM f LEFT JOIN dl USING (dir)
+f AS (SELECT d.doc_id, CASE d.doc_id % 3 WHEN 0 THEN concat_ws('/', source) WHEN 1 THEN concat_ws('/', source, lang) ELSE concat_ws('/', source, lang, 'k' || d.doc_id % 5) END AS dir, CASE WHEN d.doc_id % 4 = 1 THEN 'LICENSE-' ELSE '' END || d.doc_id || '.txt' AS name,
+ b.*, b.license IS NOT NULL AND (d.doc_id % 4 = 1 OR b.n_headers = full_text.n) AS is_file
+ FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN full_text ON full_text.doc_id = d.doc_id),
+dl AS (SELECT dir, arg_min(license, CASE WHEN dir = '' THEN '' ELSE dir || '/' END || name) AS license FROM f WHERE is_file GROUP BY dir),
+an AS (SELECT dir, depth, array_to_string(parts[1:depth], '/') AS up FROM (SELECT dir, parts, unnest(range(0, len(parts) + 1)) AS depth FROM (SELECT DISTINCT dir, string_split(dir, '/') AS parts FROM f))),
+ne AS (SELECT an.dir, arg_max(dl.license, depth) AS license, arg_max(dl.dir, depth) AS license_dir FROM an JOIN dl ON dl.dir = an.up GROUP BY an.dir)
+SELECT f.doc_id, coalesce(f.license, ne.license) AS license, round(f.cosine, 6) AS cosine, CASE WHEN f.license IS NOT NULL THEN 'header' WHEN ne.license IS NOT NULL THEN 'inherited' END AS origin,
+ coalesce(f.n_headers, 0)::BIGINT AS n_headers, coalesce(f.licenses, '') AS licenses, CASE WHEN f.license IS NULL THEN ne.license_dir END AS license_dir
+FROM f LEFT JOIN ne USING (dir)
 """

@@ -28,9 +28,11 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's path is its source, language and id."""
-    docs = _documents(spark, sf_dir)
-    files = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
+    """A document's path is its id below its source, below its language there, or a folder further down; every fourth is named as a license."""
+    docs, k = _documents(spark, sf_dir), F.col("doc_id")
+    name = F.concat(F.when(k % 4 == 1, "LICENSE-").otherwise(""), k, F.lit(".txt"))
+    path = F.when(k % 3 == 0, F.concat_ws("/", "source", name)).when(k % 3 == 1, F.concat_ws("/", "source", "lang", name)).otherwise(F.concat_ws("/", "source", "lang", F.concat(F.lit("k"), k % 5), name))
+    files = docs.select("doc_id", path.alias("path"), "text")
     return licenses.scan_licenses(files).select("doc_id", "license", F.round("cosine", 6).alias("cosine"), "origin", "n_headers", F.array_join("licenses", ",").alias("licenses"), "license_dir")
 
 
