@@ -56,13 +56,20 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def scope() -> Iterator[None]:
-    """Delete what is written inside when the block ends; its results must be read or written elsewhere before."""
+def scope() -> Iterator[list[DataFrame]]:
+    """Delete what is written inside when the block ends, but for the tables that are put into the list it gives.
+
+    What is built on the deleted tables must have been read or written before.
+    """
+    kept: list[DataFrame] = []
     _scopes.append([])
     try:
-        yield
+        yield kept
     finally:
-        discard(*_scopes.pop())
+        stay = {t._scratch_path for t in kept}
+        discard(*(t for t in _scopes.pop() if t._scratch_path not in stay))
+        if _scopes:
+            _scopes[-1].extend(kept)
 
 
 def _value_bytes(column: Column, kind: T.DataType) -> int | Column:
