@@ -9,12 +9,15 @@ and, for the rest, the documents whose hash lies below a threshold. Sizes are
 summed by source and hash bucket; running sums over the buckets find the bucket
 in which the rest ends, a second histogram of that bucket alone refines the
 threshold, and documents are filtered by comparing hashes. Nothing is sorted but
-the bounded histograms. The hash depends on the doc_id only: reruns agree, and a
-larger budget takes a superset.
+the bounded histograms. The hash depends on the doc_id alone, on the text where the
+id is null: reruns agree, and a larger budget takes a superset. Documents that share
+a hash at the threshold are taken or left together.
 
 Sources are a dimension of the mix, one row each; only that table, never documents,
-is ranked in one task. Null texts have size 0. A null source is a source of its own, last in order.
-Null doc_ids share one hash. Repeated rows are taken alike.
+is ranked in one task. Null and empty texts have size 0 and are taken by their hash
+like others; a text of any length counts whole. A null source is a source of its own,
+last in order. Repeated rows are taken alike. An empty table gives an empty result;
+other columns, whatever their names, are carried by ``mixed`` as they are.
 """
 
 from __future__ import annotations
@@ -32,9 +35,9 @@ WEIGHTS = (1, 2, 3)
 BUCKETS = 1024
 
 
-def hash_slot(doc_id: Column) -> Column:
-    """A number in [0, BUCKETS ** 2), from MD5 of the id as text."""
-    head = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 5)
+def hash_slot(doc_id: Column, text: Column) -> Column:
+    """A number in [0, BUCKETS ** 2), from MD5 of the id as text; of the text itself where the id is null."""
+    head = F.substring(F.md5(F.coalesce(doc_id.cast("string"), text, F.lit(""))), 1, 5)
     return F.conv(head, 16, 10).cast("int")
 
 
@@ -66,7 +69,7 @@ def _threshold(histogram: DataFrame, bucket: str, goal: str) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """doc_id, size, source, source_size, target, copies, taken, and the text hash, for each row of ``docs``."""
-    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), hash_slot(F.col("doc_id")).alias("_slot"), text_hash(F.col("text")).alias(TEXT_HASH))
+    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), hash_slot(F.col("doc_id"), F.col("text")).alias("_slot"), text_hash(F.col("text")).alias(TEXT_HASH))
     sized = written(sized, "sizes")
     sizes = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     # one row for each source; a number stands for it from here on
@@ -100,7 +103,7 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
 
 SQL = r"""
 WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
- ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 5))::INT AS slot FROM documents),
+ ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 5))::INT AS slot FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, (source_size * 3)::DOUBLE AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level,
