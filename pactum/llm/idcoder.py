@@ -6,12 +6,13 @@ so one step codes the next id of all blocks at once.
 
 An id is predicted by the id that last followed the two ids before it (order 2)
 or, if these are new, by the one that last followed the id before it (order 1).
-The chance that the prediction holds is a logistic mix of two adaptive estimates,
-one by the order and confidence of the prediction, one by whether order 1 agrees
-and by the recent history of hits; the weights are learned as coding goes. An id
-that is not predicted is coded by its low byte and, by order 0, by whether it is
-the last id of the block with that low byte. What nothing predicts is coded evenly.
-All arithmetic is on integers, so the decoder repeats the encoder exactly.
+The chance that the prediction holds is a logistic mix of three estimates: one by the
+order and confidence of the prediction, one by whether order 1 agrees and by the
+recent history of hits, both adaptive, and the predicted id's frequency (order 0);
+the weights are learned as coding goes. An id that is not predicted is coded by
+order 0. These frequencies, counted over the segment and rounded to quarter powers of
+two, stand once before its blocks: a block of a few thousand ids is too short to learn
+them. All arithmetic is on integers, so the decoder repeats the encoder exactly.
 """
 
 from __future__ import annotations
@@ -24,17 +25,52 @@ import numpy as np
 #: Ids in a block. Each block can be decoded without any other.
 BLOCK_IDS = 2048
 
-_NONE = 65535
+#: Ids lie below this; the number itself stands for no id.
+MOST_ID = _NONE = 65535
 _TOP, _BOT, _MASK = 1 << 46, 1 << 38, (1 << 62) - 1
 _STRETCH = np.array([round(256 * math.log((i + 0.5) / (4095.5 - i))) for i in range(4096)], dtype=np.int32)
 _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], dtype=np.int32)
 _SLOTS = 2048
 
+#: Order-0 frequencies of a segment add up to 1 << _UNIT.
+_UNIT = 18
+
+
+class Frequencies:
+    """Order-0 chances of the ids of a segment, in units of 1 / (1 << _UNIT)."""
+
+    def __init__(self, ids: np.ndarray, classes: np.ndarray):
+        weight = np.array([16, 19, 23, 27], np.int64)[classes & 3] << (classes >> 2).astype(np.int64)
+        size = 1 + weight * ((1 << _UNIT) - len(ids)) // max(1, int(weight.sum()))
+        if len(ids):
+            size[size.argmax()] += (1 << _UNIT) - size.sum()
+        self.ids, self.classes = ids, classes
+        self.size, self.start = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.size[ids], self.start[ids] = size, np.cumsum(size) - size
+        self.id_at = np.repeat(ids, size).astype(np.int32)
+        self.stretched = _STRETCH[np.minimum(self.size >> (_UNIT - 12), 4095)]
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Frequencies:
+        count = np.bincount(ids, minlength=1)
+        found = np.flatnonzero(count)
+        steps = np.array([w << k for k in range(40) for w in (16, 19, 23, 27)], np.int64)
+        return cls(found, (np.searchsorted(steps, count[found] * 16, side="right") - 1).astype(np.uint8))
+
+    def to_bytes(self) -> bytes:
+        return zlib.compress(np.diff(self.ids, prepend=0).astype("<u2").tobytes() + self.classes.tobytes())
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Frequencies:
+        raw = zlib.decompress(data)
+        n = len(raw) // 3
+        return cls(np.cumsum(np.frombuffer(raw, "<u2", n).astype(np.int64)), np.frombuffer(raw, np.uint8, n, 2 * n))
+
 
 class _Coder:
     """Ranges of all lanes: ``low`` and ``range`` within 62 bits, moved on 16 bits at a time.
 
-    After a settling a range has 38 bits at least, enough for one flag and one byte.
+    After a settling a range has 38 bits at least, enough for one flag and one id.
     """
 
     def __init__(self, lanes: int):
@@ -75,10 +111,11 @@ class Encoder(_Coder):
         self._flag((self.range >> 16) * p16, bit)
         return bit
 
-    def byte(self, live: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Code ``value``, which is 0 where not ``live``; other lanes stay as they are."""
-        self.range >>= live * np.int64(8)
-        self.low += self.range * value
+    def ids(self, lane: np.ndarray, order0: Frequencies, value: np.ndarray) -> np.ndarray:
+        """Code ``value`` in the lanes ``lane`` by order 0."""
+        part = self.range[lane] >> _UNIT
+        self.low[lane] += part * order0.start[value]
+        self.range[lane] = part * order0.size[value]
         return value
 
     def finish(self) -> list[bytes]:
@@ -113,28 +150,24 @@ class Decoder(_Coder):
         self._flag(one, got)
         return got
 
-    def byte(self, live: np.ndarray, value: None) -> np.ndarray:
-        got = np.zeros(len(live), np.int64)
-        lane = np.flatnonzero(live)
-        part = self.range[lane] >> 8
+    def ids(self, lane: np.ndarray, order0: Frequencies, value: None) -> np.ndarray:
+        part = self.range[lane] >> _UNIT
         low = self.low[lane]
-        got[lane] = value = np.minimum((self.code[lane] - low) // part, 255)
-        self.range[lane] = part
-        self.low[lane] = low + part * value
+        got = order0.id_at[np.minimum((self.code[lane] - low) // part, (1 << _UNIT) - 1)]
+        self.low[lane] = low + part * order0.start[got]
+        self.range[lane] = part * order0.size[got]
         return got
 
 
-def _run(coder: Encoder | Decoder, lanes: int, steps: int, ids: np.ndarray | None) -> np.ndarray:
+def _run(coder: Encoder | Decoder, order0: Frequencies, lanes: int, steps: int, ids: np.ndarray | None) -> np.ndarray:
     """Code ``steps`` ids of each lane; ``ids`` [step, lane] when encoding."""
     out = np.zeros((steps, lanes), np.int32)
     lane = np.arange(lanes)
     next2 = np.full(_SLOTS * lanes, _NONE << 4, np.int32)  # what last followed, and how often in a row
     next1 = np.full(_SLOTS * lanes, _NONE << 4, np.int32)
-    high = np.full(256 * lanes, 255, np.int32)  # of the last id with each low byte
     best = np.full(64 * lanes, 1 << 15, np.int32)  # chance of the prediction by its order and confidence
     also = np.full(64 * lanes, 1 << 15, np.int32)  # by whether order 1 agrees, and the last outcomes
-    zero = np.full(16 * lanes, 1 << 15, np.int32)
-    w_best, w_also = np.full(lanes, 28_000, np.int32), np.full(lanes, 28_000, np.int32)
+    w_best, w_also, w_zero = (np.full(lanes, w, np.int32) for w in (26_000, 26_000, 8_000))
     past = np.zeros(lanes, np.int64)
     a, b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     for t in range(steps):
@@ -150,31 +183,21 @@ def _run(coder: Encoder | Decoder, lanes: int, steps: int, ids: np.ndarray | Non
         at_b = ((pick & 15) + no2 * 16 + (guess == _NONE) * 16).astype(np.int64) * lanes + lane
         at_a = (((guess == e1 >> 4) * 32 + (past & 31)) * lanes) + lane
         pb, pa = best[at_b], also[at_a]
-        sb, sa = _STRETCH[pb >> 4], _STRETCH[pa >> 4]
-        p = _SQUASH.take(((w_best * sb + w_also * sa) >> 16) + 2047, mode="clip")
+        sb, sa, sz = _STRETCH[pb >> 4], _STRETCH[pa >> 4], order0.stretched[guess]
+        p = _SQUASH.take(((w_best * sb + w_also * sa + w_zero * sz) >> 16) + 2047, mode="clip")
         hit = coder.flag(p << 4, None if now is None else now == guess)
         err = ((hit * np.int32(4096)) - p) * np.int32(6)
         w_best += (sb * err + 0x8000) >> 16
         w_also += (sa * err + 0x8000) >> 16
+        w_zero += (sz * err + 0x8000) >> 16
         goal = hit * np.int32(65535)
         best[at_b] = pb + ((goal - pb) >> 5)
         also[at_a] = pa + ((goal - pa) >> 5)
         past = past << 1 | hit
-        lost = ~hit
-        low = coder.byte(lost, None if now is None else (now & 255) * lost)
-        coder.settle()
-        slot = low * lanes + lane
-        was = high[slot]
-        at_z = (low >> 4) * lanes + lane
-        pz = zero[at_z]
-        same = coder.flag(np.where(hit, 65536, (pz >> 4 << 4) | 8), None if now is None else hit | (now >> 8 == was))
-        zero[at_z] = pz + (((same * np.int32(65535)) - pz) >> 5) * lost
-        miss = ~same
-        top = coder.byte(miss, None if now is None else (now >> 8) * miss)
+        got = guess.copy()
+        lost = np.flatnonzero(~hit)
+        got[lost] = coder.ids(lost, order0, None if now is None else now[lost])
         coder.settle()
-        top = np.where(same, was, top).astype(np.int32)
-        high[slot] = np.where(hit, was, top)
-        got = np.where(hit, guess, top << 8 | low.astype(np.int32))
         c1, c2 = e1 & 15, e2 & 15
         up1, up2 = e1 >> 4 == got, e2 >> 4 == got
         coded = got << 4
@@ -185,29 +208,30 @@ def _run(coder: Encoder | Decoder, lanes: int, steps: int, ids: np.ndarray | Non
     return out
 
 
-def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> tuple[list[bytes], list[int]]:
-    """Coded blocks of ``ids`` (below 65,535) and the CRC-32 of each block's ids."""
+def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> tuple[bytes, list[bytes], list[int]]:
+    """Order-0 frequencies, coded blocks of ``ids`` (below 65,535) and the CRC-32 of each block's ids."""
     if not len(ids):
-        return [], []
+        return b"", [], []
     if int(ids.max()) >= _NONE:
         raise ValueError(f"ids from {_NONE} on have no code")
     blocks = -(-len(ids) // block_ids)
     steps = min(block_ids, len(ids))
-    # a last block that is short is filled up with zeros, which cost next to nothing
-    grid = np.zeros(blocks * steps, np.int32)
+    # a last block that is short is filled up with its own first id
+    grid = np.full(blocks * steps, ids[(blocks - 1) * block_ids], np.int32)
     grid[: len(ids)] = ids
+    order0 = Frequencies.of(ids)
     coder = Encoder(blocks, 2 * steps + 16)
-    _run(coder, blocks, steps, np.ascontiguousarray(grid.reshape(blocks, steps).T))
+    _run(coder, order0, blocks, steps, np.ascontiguousarray(grid.reshape(blocks, steps).T))
     raw = ids.astype("<u4")
-    return coder.finish(), [zlib.crc32(raw[a : a + block_ids].tobytes()) for a in range(0, len(ids), block_ids)]
+    return order0.to_bytes(), coder.finish(), [zlib.crc32(raw[a : a + block_ids].tobytes()) for a in range(0, len(ids), block_ids)]
 
 
-def decode(payload: list[bytes], crcs: list[int], n_ids: int, block_ids: int = BLOCK_IDS) -> np.ndarray:
+def decode(order0: bytes, payload: list[bytes], crcs: list[int], n_ids: int, block_ids: int = BLOCK_IDS) -> np.ndarray:
     """The ids again; a block whose checksum differs is an error."""
     if not payload:
         return np.empty(0, np.uint32)
     steps = min(block_ids, n_ids)
-    grid = _run(Decoder(payload), len(payload), steps, None)
+    grid = _run(Decoder(payload), Frequencies.from_bytes(order0), len(payload), steps, None)
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n_ids].astype("<u4")
     for k, crc in enumerate(crcs):
         if zlib.crc32(ids[k * block_ids : (k + 1) * block_ids].tobytes()) != crc:

@@ -2,13 +2,15 @@
 
 Format: a folder of Parquet parts written by Spark's own committer (so retried
 or speculative tasks leave no half files, on any store that Spark reaches). A
-row is a segment: the documents in it, how many ids each has, and the coded
-blocks of their ids with a checksum each (see ``idcoder``). Documents are never
-split between segments; a segment closes with the document that fills it.
+row is a segment: the documents in it, how many ids each has, the order-0 frequencies
+of its ids and the coded blocks of its ids with a checksum each (see ``idcoder``).
+Documents are never split between segments; a segment closes with the document that
+fills it, so a task holds the ids of one segment and of its last document.
 
 Documents are dealt by ranges of (doc_id, text hash), so part p precedes part
-p + 1 and equal doc_ids may still part. Null doc_ids come first; null texts
-hold the end id only; repeated rows are written each.
+p + 1 and rows of one doc_id may still part. Null doc_ids come first; null, empty and
+blank texts hold the end id only; repeated rows are written each. An empty table gives
+files without rows. Other columns, whatever their names, are not written.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pactum.llm import textbytes
 from pactum.llm.rowkeys import text_hash
 from pactum.llm.tokens import END_ID, default_tokenizer
 from pactum.plans.scratch import written
@@ -27,7 +30,7 @@ from pactum.plans.scratch import written
 #: Ids after which a segment closes with the document that reached it.
 SEGMENT_IDS = 1 << 22
 
-FILE_SCHEMA = "part int, segment int, doc_ids array<long>, n_tokens array<long>, n_ids long, block_bytes array<int>, block_crcs array<long>, payload binary"
+FILE_SCHEMA = "part int, segment int, doc_ids array<long>, n_tokens array<long>, n_ids long, order0 binary, block_bytes array<int>, block_crcs array<long>, payload binary"
 READ_SCHEMA = "doc_id long, part int, segment int, row int, before long, n_tokens long, ids_crc32 long"
 
 
@@ -40,26 +43,30 @@ def _encode(tokenizer: str):
         from pactum.llm.tokens import encoder
 
         enc, part, segment = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        docs, sizes, held = [], [], []
+        docs, sizes, held, n_held = [], [], [], 0
 
         def close():
-            nonlocal segment
+            nonlocal segment, n_held
             ids = np.concatenate(held)
-            blocks, crcs = idcoder.encode(ids)
-            row = {"part": [part], "segment": [segment], "doc_ids": [docs[:]], "n_tokens": [sizes[:]], "n_ids": [len(ids)], "block_bytes": [[len(b) for b in blocks]], "block_crcs": [crcs], "payload": [b"".join(blocks)]}
-            types = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
-            segment += 1
+            order0, blocks, crcs = idcoder.encode(ids)
+            row = {"part": [part], "segment": [segment], "doc_ids": [docs[:]], "n_tokens": [sizes[:]], "n_ids": [len(ids)], "order0": [order0], "block_bytes": [[len(b) for b in blocks]], "block_crcs": [crcs], "payload": [b"".join(blocks)]}
+            types = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
+            segment, n_held = segment + 1, 0
             for x in (docs, sizes, held):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                ids = np.append(enc.encode(text.as_py()), np.uint32(END_ID)).astype(np.uint16)
-                docs.append(doc.as_py())
-                sizes.append(len(ids))
-                held.append(ids)
-                if sum(sizes) >= SEGMENT_IDS:
+        for batch in (slice_ for whole in batches for slice_ in textbytes.slices(whole)):
+            ids, ends = enc.encode_all(batch.column("text").to_pylist())
+            if len(ids) and int(ids.max()) >= idcoder.MOST_ID:
+                raise ValueError(f"the tokenizer's id {int(ids.max())} has no code; ids end before {idcoder.MOST_ID}")
+            ids = ids.astype(np.uint16)
+            for doc, a, b in zip(batch.column("doc_id").to_pylist(), [0, *ends.tolist()], ends.tolist(), strict=False):
+                docs.append(doc)
+                sizes.append(b - a + 1)
+                held.append(np.append(ids[a:b], np.uint16(END_ID)))
+                n_held += b - a + 1
+                if n_held >= SEGMENT_IDS:
                     yield close()
         if docs:
             yield close()
@@ -75,7 +82,7 @@ def _decode(batches: Iterator) -> Iterator:
     for batch in batches:
         for r in batch.to_pylist():
             ends = np.cumsum(r["block_bytes"])
-            ids = idcoder.decode([r["payload"][e - n : e] for e, n in zip(ends, r["block_bytes"], strict=True)], r["block_crcs"], r["n_ids"])
+            ids = idcoder.decode(r["order0"], [r["payload"][e - n : e] for e, n in zip(ends, r["block_bytes"], strict=True)], r["block_crcs"], r["n_ids"])
             n = np.array(r["n_tokens"], np.int64)
             last = np.cumsum(n)
             crc = [zlib.crc32(ids[e - k : e].tobytes()) for e, k in zip(last, n, strict=True)]

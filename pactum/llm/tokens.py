@@ -1,21 +1,30 @@
 """Token ids of whole texts by a public tokenizer.
 
-The tokenizer drops white space and encodes each piece between white space on
-its own, so a text's ids are the ids of its white-space separated words in
+The tokenizer of the queries drops white space and encodes each piece between white
+space on its own, so a text's ids are the ids of its white-space separated words in
 order. Each Python worker encodes a word once and keeps the ids of at most
-``CACHE_WORDS`` words.
+``CACHE_WORDS`` words and those of one run of text. Whether a tokenizer works like
+that is read from its file; by any other, texts are encoded whole.
+
+Null and empty texts, and texts of white space alone, have no ids. A long text is
+taken in runs of about a million bytes that end before white space.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
 #: Words whose ids a worker keeps; beyond it the kept ids are dropped and gathered anew.
 CACHE_WORDS = 1_000_000
 
+#: Bytes of a text that are split at a time.
+RUN_BYTES = 1 << 20
+
 #: The id that ends each document.
 END_ID = 1
 
@@ -26,30 +35,45 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# How a tokenizer's file states that it lower-cases and encodes pieces between white space.
+_BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 #: A stop that the tokenizer makes a piece of its own: after a letter, before white space.
 _FULL_STOP = re.compile(rb"[.,](?:(?<=[a-z].)|(?<=\xc3[\xa0-\xb6].))(?=\s|\Z)")
 
+_SPACE = re.compile(rb"\s")
+
 
 class _Index(dict):
-    """word -> number; new words are numbered on first sight."""
+    """word -> number; new words are numbered on first sight and listed in ``fresh``."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
+        self.fresh.append(word)
         return n
 
 
 class _Grown:
-    """int64 values that grow at the end, from a first 0."""
+    """Values that grow at the end."""
 
-    def __init__(self):
-        self.values, self.n = np.zeros(1 << 16, np.int64), 1
-
-    def __getitem__(self, i: int) -> int:
-        return self.values[self.n - 1 if i == -1 else i]
+    def __init__(self, dtype: type):
+        self.values, self.n = np.zeros(1 << 16, dtype), 0
 
-    def append_all(self, more: np.ndarray) -> None:
+    def append(self, more: np.ndarray) -> None:
         if self.n + len(more) > len(self.values):
-            self.values = np.concatenate([self.values[: self.n], np.zeros(max(self.n, len(more)), np.int64)])
+            self.values = np.concatenate([self.values[: self.n], np.zeros(max(self.n, len(more)), self.values.dtype)])
         self.values[self.n : self.n + len(more)] = more
         self.n += len(more)
 
@@ -60,51 +84,71 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        described = json.loads(self.tokenizer.to_str())
+        self.by_words = all(described[k] == v for k, v in _BY_WORDS.items())
         self.clear()
 
     def clear(self) -> None:
-        self.index = _Index()
-        self.ids = np.empty(0, np.uint32)
-        self.ends = _Grown()
+        self.index, self.ids, self.ends = _Index(), _Grown(np.uint32), _Grown(np.int64)
+        self.ends.append(np.zeros(1, np.int64))
 
     def encode(self, text: str | None) -> np.ndarray:
         """uint32 ids of the whole text, without an end id."""
-        raw = (text or "").encode("utf-8", "surrogatepass")
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """uint32 ids of whole texts one after the other, and where each text's ids end."""
+        if not self.by_words:
+            each = [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, np.uint32) for t in texts]
+            return np.concatenate([np.empty(0, np.uint32), *each]), np.cumsum([len(x) for x in each], dtype=np.int64)
+        out, sizes, words, ends = [np.empty(0, np.uint32)], np.zeros(len(texts), np.int64), [], []
+        held = 0
+        for k, text in enumerate(texts):
+            for run in self._runs((text or "").encode("utf-8", "surrogatepass")):
+                words += run.split()
+                ends.append((k, len(words)))
+                held += len(run)
+                if held > RUN_BYTES:
+                    out.append(self._ids(words, ends, sizes))
+                    words, ends, held = [], [], 0
+        out.append(self._ids(words, ends, sizes))
+        return np.concatenate(out), np.cumsum(sizes)
+
+    @staticmethod
+    def _runs(raw: bytes) -> Iterator[bytes]:
         if b"<|" not in raw:  # the tokenizer lower-cases all but its special tokens
             raw = raw.lower()
-        words = _FULL_STOP.sub(rb" \g<0>", raw).split()
-        if not words:
-            return np.empty(0, np.uint32)
-        index = self.index
-        seen = len(index)
-        at = np.array(list(map(index.__getitem__, words)), dtype=np.int64)
-        if len(index) > seen:
-            self._learn([w.decode("utf-8", "replace") for w in self._tail(words, at, seen)])
-        ends = self.ends.values
-        sizes = ends[at + 1] - ends[at]
-        out = np.repeat(ends[at] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-        out = self.ids[out + np.arange(len(out))]
-        if len(index) > CACHE_WORDS:
+        at = 0
+        while at < len(raw):
+            space = _SPACE.search(raw, at + RUN_BYTES) if len(raw) - at > RUN_BYTES else None
+            end = space.start() if space else len(raw)
+            yield _FULL_STOP.sub(rb" \g<0>", raw[at:end])
+            at = end
+
+    def _ids(self, words: list[bytes], ends: list[tuple[int, int]], sizes: np.ndarray) -> np.ndarray:
+        """Ids of the words; ``sizes`` of text k grows by those of its words, which end at word n for each (k, n) of ``ends``."""
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.fresh:
+            self._learn([w.decode("utf-8", "replace") for w in self.index.fresh])
+            self.index.fresh = []
+        start = self.ends.values
+        n = start[at + 1] - start[at]
+        total = np.concatenate([[0], np.cumsum(n)])
+        out = self.ids.values[np.repeat(start[at] - total[:-1], n) + np.arange(total[-1])]
+        if ends:
+            text, last = np.array(ends).T
+            np.add.at(sizes, text, np.diff(total[last], prepend=0))
+        if len(self.index) > CACHE_WORDS:
             self.clear()
         return out
 
-    @staticmethod
-    def _tail(words: list[bytes], at: np.ndarray, seen: int) -> list[bytes]:
-        fresh, place = np.unique(at, return_index=True)
-        return [words[i] for i in place[fresh >= seen]]
-
     def _learn(self, new: list[str]) -> None:
         """Encode new words as one text; a token belongs to the word that its offset lies in."""
         got = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        more = len(got.ids)
         word_at = np.concatenate([[0], np.cumsum(np.fromiter((len(w) + 1 for w in new), dtype=np.int64, count=len(new)))])
-        start = np.fromiter((o[0] for o in got.offsets), dtype=np.int64, count=more)
-        ends = np.searchsorted(start, word_at[1:])
-        used = int(self.ends[-1])
-        if used + more > len(self.ids):
-            self.ids = np.concatenate([self.ids[:used], np.empty(max(used, more, 1 << 16), np.uint32)])
-        self.ids[used : used + more] = got.ids
-        self.ends.append_all(used + ends)
+        start = np.fromiter((o[0] for o in got.offsets), dtype=np.int64, count=len(got.ids))
+        self.ends.append(self.ids.n + np.searchsorted(start, word_at[1:]))
+        self.ids.append(np.array(got.ids, np.uint32))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
