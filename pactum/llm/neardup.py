@@ -29,7 +29,10 @@ execution splits, and components are found by joins.
 Null or empty texts have an empty set and are linked with nothing. Null doc_ids
 count as larger than all; a set that only rows of null doc_id have is compared no
 further and has a null component_id. Repeated rows are equal sets. A doc_id with
-several texts is linked with what any of them is linked with.
+several texts is linked with what any of them is linked with. A text of any length is
+shingled whole; its set is a value of one row. Ties of candidates go to the smaller
+doc_id, as does the name of a component. An empty table gives an empty result. Other
+columns, whatever their names, are carried by ``deduplicated`` as they are.
 """
 
 from __future__ import annotations
