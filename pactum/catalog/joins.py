@@ -152,8 +152,15 @@ _REACH = """r(start, node, depth, path, cycle) AS (SELECT src, dst, 1, [src, dst
  UNION ALL SELECT r.start, e.dst, r.depth + 1, list_append(r.path, e.dst), list_contains(r.path, e.dst) FROM r JOIN edges e ON r.node = e.src WHERE NOT r.cycle)"""
 
 
-@query(f"WITH RECURSIVE {_EDGES}, {_REACH} SELECT start, node, depth, path, cycle FROM r")
+@query(f"WITH RECURSIVE {_EDGES}, {_REACH} SELECT start, node, min(depth)::INT AS depth, start = node AS cycle FROM r GROUP BY start, node")
 def import_closure(t):
+    """What each supplier loads, directly or not, once each; one that loads itself stands on a cycle."""
+    return closure.reach(supply_edges(t)).withColumn("cycle", F.col("start") == F.col("node"))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_REACH} SELECT start, node, depth, path, cycle FROM r")
+def import_paths(t):
+    """Every chain of loads from each supplier, with its path."""
     return closure.closure(supply_edges(t))
 
 
