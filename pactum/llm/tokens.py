@@ -20,7 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Words whose ids a worker keeps; beyond it the kept ids are dropped and gathered anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
+
+#: New words that are encoded at a time: the tokenizer takes many bytes for each one of a text.
+LEARN_WORDS = 4096
 
 #: Bytes of a text that are split at a time.
 RUN_BYTES = 1 << 20
@@ -129,8 +132,9 @@ class WordEncoder:
         """Ids of the words; ``sizes`` of text k grows by those of its words, which end at word n for each (k, n) of ``ends``."""
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if self.index.fresh:
-            self._learn([w.decode("utf-8", "replace") for w in self.index.fresh])
-            self.index.fresh = []
+            for k in range(0, len(self.index.fresh), LEARN_WORDS):
+                self._learn([w.decode("utf-8", "replace") for w in self.index.fresh[k : k + LEARN_WORDS]])
+            self.index.fresh.clear()
         start = self.ends.values
         n = start[at + 1] - start[at]
         total = np.concatenate([[0], np.cumsum(n)])
