@@ -7,14 +7,19 @@ by the capacity whatever the data: bin completion fills a bin around the largest
 length left with an undominated filling, in order of waste, and uses the filling
 for as many bins as the counts allow, or for one and goes on. Best-fit decreasing gives the incumbent
 and the sum of lengths the lower bound; a branch stops once the waste spent
-rules out fewer bins than the incumbent has.
-
-Pieces then find their places without meeting in one task: each is numbered
-among the pieces of its length (bucket by bucket, with offsets between buckets),
-and a range of numbers belongs to a row of the plan.
-
-Null texts are empty documents of one end id. Repeated rows are packed each for
-itself. An empty table gives an empty result.
+rules out fewer bins than the incumbent has. A plan is known to be best if it meets the
+bound, or if the search ended by itself and no enumeration of fillings was cut short;
+``plan`` says so.
+
+Pieces then find their places without meeting in one task: the task that tokenizes
+them numbers those of each length as it goes, sums over the tasks give the numbers that
+come before, and a range of numbers belongs to a row of the plan.
+
+Null and empty texts are documents of one end id. A text of any length is tokenized in
+runs and cut; only its ids are held. Repeated rows are packed each for itself, and ids
+play no part in the order, so null or repeated ones cost nothing. Ties of lengths go by
+the order of the tasks. An empty table gives an empty result. Columns other than doc_id
+and text, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -27,49 +32,52 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pactum.llm import textbytes
 from pactum.llm.tokens import END_ID, default_tokenizer
-from pactum.plans.scratch import written
+from pactum.plans.scratch import small, written
 
 CAPACITY = 4096
 
 #: Branch-and-bound limits per search: bins entered, and fillings tried for one bin.
 SEARCH_NODES, FILLINGS = 2_000, 8
 
-#: Buckets in which pieces of one length are numbered; a hot length is spread over all of them.
-BUCKETS = 256
-
 
 def _pieces(tokenizer: str, capacity: int):
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
         from pactum.llm.tokens import encoder
 
-        enc = encoder(tokenizer)
-        for batch in batches:
-            row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column("_text")):
-                ids = np.append(enc.encode(text.as_py()), np.uint32(END_ID)).astype("<u4")
-                for p, a in enumerate(range(0, len(ids), capacity)):
-                    part = ids[a : a + capacity]
+        enc, part_id = encoder(tokenizer), TaskContext.get().partitionId()
+        given: dict[int, int] = {}
+        for batch in (part for whole in batches for part in textbytes.slices(whole, "_text")):
+            ids, ends = enc.encode_all(batch.column("_text").to_pylist())
+            row, piece, start, length, crc, number = [], [], [], [], [], []
+            for i, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)):
+                mine = np.append(ids[a:b], np.uint32(END_ID)).astype("<u4")
+                for p, at in enumerate(range(0, len(mine), capacity)):
+                    part = mine[at : at + capacity]
                     row.append(i)
                     piece.append(p)
-                    start.append(a)
+                    start.append(at)
                     length.append(len(part))
-                    crc.append(zlib.crc32(part.tobytes()))
+                    crc.append(zlib.crc32(part))
+                    number.append(given.get(len(part), 0))
+                    given[len(part)] = number[-1] + 1
             kept = [n for n in batch.schema.names if n != "_text"]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n).take(pa.array(row, pa.int64())) for n in kept), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
-                names=[*kept, "piece", "start", "length", "ids_crc32"],
+                [*(batch.column(n).take(pa.array(row, pa.int64())) for n in kept), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([part_id] * len(row), pa.int32()), pa.array(number, pa.int64())],
+                names=[*kept, "piece", "start", "length", "ids_crc32", "task", "number"],
             )
 
     return rows
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, and the task and its number among that task's pieces of the length."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, number long")
 
 
 # --- the plan on the histogram of lengths -------------------------------------------------------------
@@ -119,8 +127,8 @@ def _dominated(lengths: _Lengths, filling: dict[int, int], room: int) -> bool:
     return False
 
 
-def _fillings(lengths: _Lengths, capacity: int, most: int) -> list[tuple[tuple[int, int], ...]]:
-    """Undominated fillings around the largest length, least waste first.
+def _fillings(lengths: _Lengths, capacity: int, most: int) -> tuple[list[tuple[tuple[int, int], ...]], bool]:
+    """Undominated fillings around the largest length, least waste first, and whether these are all.
 
     Each length is tried from as often as it fits down to not at all, from longer
     to shorter. A filling that a single swap or addition improves is dominated and
@@ -131,7 +139,7 @@ def _fillings(lengths: _Lengths, capacity: int, most: int) -> list[tuple[tuple[i
     room = capacity - top
     # a piece that fills the room exactly: no other filling can do better
     if room in left and (room != top or left[top] > 1):
-        return [((top, 1), (room, 1)) if room != top else ((top, 2),)]
+        return [((top, 1), (room, 1)) if room != top else ((top, 2),)], True
     first = _best_fit(lengths, capacity)
     found: dict[tuple[tuple[int, int], ...], int] = {first: capacity - sum(a * n for a, n in first)}
     steps = 0
@@ -156,7 +164,7 @@ def _fillings(lengths: _Lengths, capacity: int, most: int) -> list[tuple[tuple[i
                 more = (*chosen, (length, n))
             stack.append((more, room - n * length, at - 1))
     best = sorted(found, key=lambda f: (found[f], len(f), [-a for a, _ in f]))
-    return best[:most]
+    return best[:most], not stack and len(best) <= most
 
 
 def _times(lengths: _Lengths, filling: tuple[tuple[int, int], ...]) -> int:
@@ -174,8 +182,8 @@ def _decreasing(lengths: _Lengths, capacity: int) -> list[tuple[tuple[tuple[int,
     return out
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Fillings and how many bins use each, for ``counts`` pieces of each length."""
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[tuple[tuple[int, int], ...], int]], bool]:
+    """Fillings and how many bins use each, for ``counts`` pieces of each length, and whether fewer bins are ruled out."""
     total = sum(k * v for k, v in counts.items())
     bound = -(-total // capacity)
     best = _decreasing(_Lengths(counts), capacity)
@@ -185,7 +193,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[t
     # one frame for each bin that is open: the fillings still to try
     frames: list[list] = []
     used, waste, nodes = 0, 0, 0
-    fresh = True
+    fresh = whole = True
     while bins > bound and nodes < SEARCH_NODES + 2 * capacity:
         if fresh and not lengths.order:
             if used < bins:
@@ -194,7 +202,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[t
         if fresh:
             nodes += 1
             # each for as many bins as it can fill, then each for one bin, after which all may follow again
-            tried = [(f, _times(lengths, f)) for f in _fillings(lengths, capacity, FILLINGS)]
+            found, all_ = _fillings(lengths, capacity, FILLINGS)
+            tried, whole = [(f, _times(lengths, f)) for f in found], whole and all_
             frames.append(tried + [(f, 1) for f, n in tried if n > 1])
         else:
             if not done:
@@ -215,15 +224,15 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[t
         if not fresh:
             frames.pop()
             if not frames:
-                break
-    return best
+                return best, bins == bound or whole
+    return best, bins == bound
 
 
 def plan_rows(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first number, end number, first sequence, pieces of it in a sequence, offset) rows of a plan."""
     given: dict[int, int] = {}
     out, sequence = [], 0
-    for filling, times in plan(counts, capacity):
+    for filling, times in plan(counts, capacity)[0]:
         at = 0
         for length, n in filling:
             first = given.get(length, 0)
@@ -234,23 +243,22 @@ def plan_rows(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """``pieces`` (a written table with a ``length`` column) with sequence_id and offset."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``pieces`` (a written table with columns length, task, number) with sequence_id and offset."""
     spark = pieces.sparkSession
+    per_task = written(pieces.groupBy("length", "task").agg(F.count("*").alias("_n")), "counts")
     # at most ``capacity`` rows reach the driver, whatever the data
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     rows = plan_rows(counts, capacity)
     table = spark.createDataFrame(rows, "p_length long, p_first long, p_end long, p_sequence long, p_each long, p_offset long")
-    bucketed = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)))
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bucketed.groupBy("length", "_bucket").agg(F.count("*").alias("_n")).select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    numbered = bucketed.withColumn("_at", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*order)) - 1)
-    numbered = numbered.join(offsets, ["length", "_bucket"]).withColumn("_at", F.col("_at") + F.col("_before"))
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = written(per_task.select("length", "task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "offsets")
+    numbered = pieces.join(small(offsets), ["length", "task"]).withColumn("_at", F.col("number") + F.col("_before"))
     # a plan has at most a few rows for each length, so the range of numbers is found by a hash join on the length
     per_length = table.groupBy("p_length").agg(F.array_sort(F.collect_list(F.struct("p_first", "p_end", "p_sequence", "p_each", "p_offset"))).alias("_plan"))
     placed = numbered.join(F.broadcast(per_length), F.col("length") == F.col("p_length")).withColumn("_row", F.element_at(F.filter("_plan", lambda r: (r["p_first"] <= F.col("_at")) & (F.col("_at") < r["p_end"])), 1))
     within = F.col("_at") - F.col("_row.p_first")
-    return placed.withColumn("sequence_id", F.col("_row.p_sequence") + F.floor(within / F.col("_row.p_each"))).withColumn("offset", F.col("_row.p_offset") + F.pmod(within, F.col("_row.p_each")) * F.col("length")).drop("_bucket", "_at", "_before", "p_length", "_plan", "_row")
+    return placed.withColumn("sequence_id", F.col("_row.p_sequence") + F.floor(within / F.col("_row.p_each"))).withColumn("offset", F.col("_row.p_offset") + F.pmod(within, F.col("_row.p_each")) * F.col("length")).drop("task", "number", "_before", "_at", "p_length", "_plan", "_row")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
