@@ -23,6 +23,11 @@ ODD = [
     (5006, "Á é ẞ İ ﬁ \x85 \xa0 \U0001f600 <|endoftext|> it's 12", "xx", "src1", 40),
     (5007, "same row repeated, with a line that is long enough", "en", "src0", 50),
     (5007, "same row repeated, with a line that is long enough", "en", "src0", 50),
+    (None, "another row without an id, and this line is long enough as well", "en", "src1", 50),
+    (None, None, None, "src2", None),
+    (5008, "the first text of an id that stands there with two texts", "en", "src0", 50),
+    (5008, "and quite another text of that id, which has other words", "en", "src0", 50),
+    (-7, "a negative id is an id like any other and comes first", "en", "src0", 50),
 ]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pactum.llm import licenses, linededup, mixing, quality, secrets
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -68,16 +69,18 @@ def near(a, b):
     return len(a) == len(b) + 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
 
 
-def brute_lines(rows):
-    every = sorted({(r[0] if r[0] is not None else (1 << 63) - 1, i, normal(x)) for r in rows if r[1] is not None for i, x in enumerate(r[1].split("\n")) if len(normal(x)) >= 20})
+def brute_lines(rows, min_chars=20):
+    """(row, line number) of removed lines; a row is (null id, doc_id, text hash): equal rows are one."""
+    every = sorted({(*row_key(r), i, normal(x)) for r in rows if r[1] is not None for i, x in enumerate(r[1].split("\n")) if normal(x)})
     gone = set()
     first: dict[str, tuple] = {}
-    for d, i, x in every:
-        first.setdefault(x, (d, i))
-    for x, p in first.items():
-        if any(q < p and near(x, y) for y, q in first.items() if y != x):
+    for *p, x in every:
+        first.setdefault(x, tuple(p))
+    long = {x: p for x, p in first.items() if len(x) >= min_chars}
+    for x, p in long.items():
+        if any(q < p and near(x, y) for y, q in long.items() if y != x):
             gone.add(p)
-    return {(d, i, x) for d, i, x in every if first[x] != (d, i) or (d, i) in gone}
+    return {(tuple(p[:3]), p[3]) for *p, x in every if first[x] != tuple(p) or tuple(p) in gone}
 
 
 LINES = [
@@ -90,21 +93,68 @@ LINES = [
 ]
 
 
-def test_line_dedup_equals_brute_force(spark, rows):
-    SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+TEXT_ORDER: dict[str, int] = {}
 
-    every = rows + LINES
-    docs = spark.createDataFrame(every, SCHEMA)
-    want = defaultdict(set)
-    for d, i, _ in brute_lines(every):
-        want[d].add(i)
-    got = {(r.doc_id if r.doc_id is not None else (1 << 63) - 1): set(r.removed) for r in linededup.duplicate_lines(docs).collect()}
-    assert {d: s for d, s in got.items() if s} == dict(want)
 
+def row_key(r):
+    """The order of rows: by doc_id, null last, then by the text's hash as Spark has it."""
+    return r[0] is None, r[0] or 0, TEXT_ORDER.get(r[1], 0)
 
-def test_dedup_rebuilds_texts_and_drops_emptied(spark, clashing, empty):
-    SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
+def learn_text_order(spark, rows):
+    texts = spark.createDataFrame([(x,) for x in {r[1] for r in rows if r[1] is not None}], "t string")
+    TEXT_ORDER.clear()
+    TEXT_ORDER.update({r.t: r.h for r in texts.select("t", F.xxhash64("t").alias("h")).collect()})
+
+
+def brute_removed(spark, rows, min_chars=20):
+    """(doc_id, text, removed line numbers) of each row."""
+    learn_text_order(spark, rows)
+    removed = defaultdict(list)
+    for key, i in sorted(brute_lines(rows, min_chars)):
+        removed[key].append(i)
+    return Counter((r[0], tuple(removed[row_key(r)]) if r[1] is not None else ()) for r in rows)
+
+
+def edited(rows, rng):
+    """Rows with many null ids, and ids that several texts share; some lines one edit apart."""
+    out = list(rows)
+    for _ in range(60):
+        r = rng.choice(rows)
+        x = r[1]
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(x))
+            x = rng.choice([x[:at] + x[at + 1 :], x[:at] + "q" + x[at:], x[:at] + "z" + x[at + 1 :]])
+        out.append((rng.choice([None, None, 7, -3, r[0]]), x, *r[2:]))
+    return out
+
+
+@pytest.mark.parametrize("min_chars", [20, 1])
+def test_line_dedup_equals_brute_force(spark, rows, min_chars):
+    import random
+
+    from conftest_corpus import corpus
+
+    rows = edited(corpus(40, seed=9), random.Random(3)) + rows + LINES + [(None, None, None, None, None), (None, "", "en", "s", 0)]
+    got = Counter((r.doc_id, tuple(r.removed)) for r in linededup.duplicate_lines(spark.createDataFrame(rows, SCHEMA), min_chars).collect())
+    assert got == brute_removed(spark, rows, min_chars)
+
+
+def test_lines_of_null_and_repeated_ids_are_their_own(spark):
+    names = "alpha beta gamma delta epsilon zet"
+    for other in (None, 7):
+        rows = [(1, names + "a", "en", "s", 0), (other, names + "b", "en", "s", 0), (other, "completely different unique line of text here", "en", "s", 0), (other, "short\nshort\nshort", "en", "s", 0)]
+        out = linededup.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert Counter((r.doc_id, r.text) for r in out) == Counter([(1, names + "a"), (other, rows[2][1]), (other, "short")])
+
+
+def test_a_text_of_many_lines_is_rebuilt(spark):
+    text = "\n".join(f"line {i % 60000} of a very long text" for i in range(120_000))
+    out = linededup.deduplicated(spark.createDataFrame([(1, text, "en", "s", 0)], SCHEMA), min_chars=1000).collect()
+    assert out[0].text == "\n".join(text.split("\n")[:60000])
+
+
+def test_dedup_rebuilds_texts_and_drops_emptied(spark, clashing, empty):
     rows = [(1, "keep this one line, it is first\nshort", "en", "s", 36), (2, "keep this one line, it is first", "en", "s", 31), (3, None, "en", "s", None), (4, "", "en", "s", 0), (5, "Keep this one line, it is firs!\nnew", "en", "s", 35)]
     out = {r.doc_id: (r.text, r.n_chars) for r in linededup.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert out == {1: (rows[0][1], 36), 3: (None, None), 4: ("", 0), 5: ("new", 3)}
@@ -206,7 +256,7 @@ def test_base_spans_equal_plain_regular_expressions(spark, rows):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in secrets.scan_secrets(df).collect():
         want = brute_spans(texts[r.doc_id])
-        assert [s for s in r.spans.split(",") if s and not s.startswith("checked")] == want
+        assert [s for s in r.spans.split(",") if s and not s.startswith(("checked", "extended"))] == want
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in want) for k in BASE)
 
@@ -220,8 +270,51 @@ def test_checksums_decide_and_redaction(spark):
     assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {1: f"x [secret] y {bad} z", 2: None}
 
 
+def extended_key(rng):
+    raw = bytes.fromhex(rng.choice(["0488ADE4", "04358394"])) + rng.randbytes(74)
+    n, out = int.from_bytes(raw + hashlib.sha256(hashlib.sha256(raw).digest()).digest()[:4], "big"), ""
+    while n:
+        n, d = divmod(n, 58)
+        out = secrets.BASE_58[d] + out
+    return out
+
+
+def test_checked_spans_equal_a_plain_scan(spark):
+    """Every pattern over whole texts, and the checksums worked out the other way round."""
+    import random
+    import string
+
+    rng = random.Random(11)
+    good, letters = set(), string.ascii_letters + string.digits
+
+    def token():
+        kind = rng.randrange(6)
+        body = "".join(rng.choice(letters) for _ in range(30))
+        n, crc = zlib.crc32(body.encode()), ""
+        for k in range(5, -1, -1):
+            crc += secrets.BASE_62[n // 62**k % 62]
+        x = rng.choice(["ghp_", "gho_", "npm_"]) + body + crc if kind < 2 else extended_key(rng) if kind < 4 else rng.choice(["ghp_", "xprv", "word", "ghs_" + body])
+        if kind < 4:
+            good.add(x)
+            if rng.random() < 0.4:  # one character more, less or other
+                at = rng.randrange(4, len(x))
+                x = rng.choice([x[:at] + rng.choice(letters) + x[at + 1 :], x[:at] + x[at + 1 :], x + rng.choice(letters)])
+        return x
+
+    texts = ["".join(token() + rng.choice(["", " ", "\n", "é"]) for _ in range(rng.randint(1, 12))) for _ in range(150)]
+    patterns = (("checked", r"(?:gh[pousr]_|npm_)[A-Za-z0-9]{36}(?![A-Za-z0-9])"), ("extended", r"[xt]prv[1-9A-HJ-NP-Za-km-z]{107}(?![1-9A-HJ-NP-Za-km-z])"))
+    found = 0
+    for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        want = sorted((m.start(), f"{kind}:{m.start()}:{m.end()}") for kind, p in patterns for m in re.finditer(p, texts[r.doc_id]) if m[0] in good)
+        assert [x for x in r.spans.split(",") if x.startswith(("checked", "extended"))] == [x for _, x in want]
+        assert (r.n_checked, r.n_extended) == tuple(sum(x.startswith(kind) for _, x in want) for kind, _ in patterns)
+        found += len(want)
+    assert found > 100
+
+
 def test_secret_odd_rows(clashing, empty, docs):
-    assert secrets.scan_secrets(clashing).count() == docs.count() and secrets.scan_secrets(empty).count() == 0
+    assert Counter(secrets.scan_secrets(clashing).collect()) == Counter(secrets.scan_secrets(docs).collect()) and secrets.scan_secrets(empty).count() == 0
+    assert secrets.redact(clashing).columns == clashing.columns
 
 
 def test_wrapped_headers_and_full_license_files(spark):
@@ -270,3 +363,42 @@ def test_repeated_rows_count_as_one_document(spark):
     for limit, removed in ((3, 28), (4, 0)):
         got = {r.doc_id: (r.kept, r.n_removed_words) for r in quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), repeat_percent=1000, min_docs=limit).collect() if r.doc_id is not None}
         assert got[2] == (not removed, removed)
+
+
+def test_hosts_count_documents_not_rows(spark):
+    """Repeated rows, null ids and negative ids: each line's documents and its first one by plain counting."""
+    import random
+
+    rng = random.Random(5)
+    shared = [f"shared line number {k} of a host with some words" for k in range(6)]
+    rows = []
+    for i in range(80):
+        text = "\n".join([*rng.sample(shared, 3), f"own words of document {i} and more so that it stays", f"further own words {i} {i + 1} {i + 2} which stand here too"])
+        rows += [(rng.choice([None, -1, -2, -3, i, i + 1]), text, f"h{i % 2}", "en")] * rng.choice([1, 1, 1, 2, 9])
+    name = lambda k: (rows[k][0] is None, rows[k][0] if rows[k][0] is not None else k)
+    held, docs = defaultdict(set), defaultdict(set)
+    for k, r in enumerate(rows):
+        docs[r[2]].add(name(k))
+        for x in r[1].split("\n"):
+            held[(r[2], normal(x))].add(name(k))
+    common = {key: min(v) for key, v in held.items() if len(v) > 10 and 100 * len(v) > 40 * len(docs[key[0]])}
+    assert common and any(n[0] is False and n[1] < 0 for n in common.values())
+    # the rows of null ids are told apart by their order alone, so only what does not depend on it is compared
+    want = Counter((r[0], r[1], sum(len(words(x)) for x in r[1].split("\n") if common.get((r[2], normal(x)), name(k)) != name(k))) for k, r in enumerate(rows) if r[0] is not None)
+    got = quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), host_percent=40)
+    hashes = {r.h: r.t for r in spark.createDataFrame([(x,) for x in {r[1] for r in rows}], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    assert Counter((r.doc_id, hashes[r["_text_hash"]], r.n_removed_words) for r in got.filter("doc_id is not null").collect()) == want
+
+
+def test_null_ids_are_mixed_by_their_texts(spark):
+    rows = [(None, " ".join(f"w{i}x{k}" for k in range(1 + i % 3)), f"s{i % 3}", "en", 1) for i in range(900)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()
+    assert len(out) == 3 and all(abs(r.t - r.g) <= 0.02 * r.g for r in out)
+
+
+def test_other_columns_change_nothing(clashing, docs):
+    for f in (linededup.duplicate_lines, quality.score_quality, mixing.mix):
+        assert Counter(map(str, f(clashing).collect())) == Counter(map(str, f(docs).collect())), f
+    for f in (linededup.deduplicated, quality.passing, mixing.mixed):
+        got = f(clashing)
+        assert got.columns == clashing.columns and Counter(got.select(docs.columns).collect()) == Counter(f(docs).collect()), f

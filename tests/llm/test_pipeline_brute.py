@@ -7,21 +7,22 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from pactum.llm import tokens
-from test_filters import base_marks, brute_lines, normal, words
+from test_filters import base_marks, brute_lines, learn_text_order, normal, row_key, words
 from test_models import brute_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def quality(rows):
-    docs, held = Counter(), defaultdict(set)
-    for r in {x[0]: x for x in rows}.values():
-        docs[r[3]] += 1
-    for r in rows:
+    """A null id is a document of its own row, after all others; the tests give such rows no common line."""
+    docs, held = defaultdict(set), defaultdict(set)
+    for k, r in enumerate(rows):
+        name = (r[0] is None, k if r[0] is None else r[0])
+        docs[r[3]].add(name)
         for x in (r[1] or "").split("\n"):
             if words(x):
-                held[(r[3], normal(x))].add(r[0])
-    common = {k: min(v) for k, v in held.items() if len(v) > 10 and 100 * len(v) > 5 * docs[k[0]]}
+                held[(r[3], normal(x))].add(name)
+    common = {k: min(v)[1] for k, v in held.items() if len(v) > 10 and 100 * len(v) > 5 * len(docs[k[0]])}
     out = []
     for r in rows:
         n, *_, failed = base_marks(r[1])
@@ -33,27 +34,36 @@ def quality(rows):
 
 def lines(rows):
     removed = defaultdict(set)
-    for d, i, _ in brute_lines(rows):
-        removed[d].add(i)
+    for key, i in brute_lines(rows):
+        removed[key].add(i)
     out = []
     for r in rows:
-        kept = "\n".join(x for i, x in enumerate((r[1] or "").split("\n")) if i not in removed[r[0]])
+        kept = "\n".join(x for i, x in enumerate((r[1] or "").split("\n")) if i not in removed[row_key(r)])
         if words(kept) or not words(r[1]):
             out.append((r[0], kept if r[1] is not None else None, *r[2:4], len(kept)))
     return out
 
 
 def near(rows):
-    keep = {d for d, _, c in brute_components(rows, 5, 80) if d == c} | {r[0] for r in rows if not words(r[1])}
-    return [r for r in rows if r[0] in keep]
+    """Of the rows of a document one, rows of null id each, unless a document has the same set."""
+    known = [r for r in rows if r[0] is not None]
+    keep = {d for d, _, c in brute_components(known, 5, 80) if d == c} | {r[0] for r in known if not words(r[1])}
+    sets = {tuple(sorted(shingles(r[1]))) for r in known}
+    return [r for r in dict.fromkeys(known) if r[0] in keep] + [r for r in rows if r[0] is None and tuple(sorted(shingles(r[1]))) not in sets]
+
+
+def shingles(text, size=5):
+    w = [x.lower() for x in words(text)]
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
 
 
 def mix(rows):
-    size, slot = {r[0]: len(words(r[1])) for r in rows}, {r[0]: int(hashlib.md5(str(r[0]).encode()).hexdigest()[:5], 16) for r in rows}
+    name = lambda r: str(r[1] if r[0] is None else r[0])
+    size, slot = {name(r): len(words(r[1])) for r in rows}, {name(r): int(hashlib.md5(name(r).encode()).hexdigest()[:5], 16) for r in rows}
     total, ids = Counter(), defaultdict(list)
     for r in rows:
-        total[r[3]] += size[r[0]]
-        ids[r[3]].append(r[0])
+        total[r[3]] += size[name(r)]
+        ids[r[3]].append(name(r))
     order = sorted(total)
     weight, capped = {s: 1 + i % 3 for i, s in enumerate(order)}, set()
     while True:
@@ -77,7 +87,7 @@ def mix(rows):
             before += by_slot[k]
         for d in ids[s]:
             copies[d] = whole + (slot[d] < end)
-    return [r for r in rows for _ in range(copies[r[0]])]
+    return [r for r in rows for _ in range(copies[name(r)])]
 
 
 def test_pipeline_equals_plain_python(spark, tmp_path):
@@ -88,6 +98,9 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
     rows = corpus(150, seed=4, words=120)
     menu = "Home and news and search and terms and help and about and login and more of it"
     rows += [(2000 + i, "\n".join([menu, menu.upper(), f"own words of page {i} that nobody else has so far here"][: 2 + i % 2]), "en", "src0", 1) for i in range(24)]
+    rows += [(None, f"words of a row without id {i} that are its own and enough of them to stay {i * i} here", "en", "src1", 1) for i in range(6)]
+    rows += [(None, None, "en", "src0", None), (3000, None, None, "src1", None), *[(3001, "one row that stands there three times with more than ten words", "en", "src2", 9)] * 3]
+    learn_text_order(spark, rows)
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     left = mix(near(lines(quality(rows))))
     t = Tokenizer.from_file(tokens.default_tokenizer())
