@@ -111,9 +111,9 @@ def score_quality(docs: DataFrame, min_words: int = MIN_WORDS, repeat_percent: i
 
 def passing(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns as they were."""
-    # fewer rows are rejected than kept
-    rejected = score_quality(docs, **limits).filter("not kept").select("doc_id", TEXT_HASH).distinct()
-    return only_rows(docs, written(rejected, "rejected"), "left_anti")
+    # fewer rows are rejected than kept; of equal rows without an id one may hold a common line first, then all stay
+    rejected = score_quality(docs, **limits).groupBy("doc_id", TEXT_HASH).agg(F.bool_or("kept").alias("_any")).filter("not _any")
+    return only_rows(docs, written(rejected.drop("_any"), "rejected"), "left_anti")
 
 
 SQL = r"""

@@ -390,6 +390,15 @@ def test_hosts_count_documents_not_rows(spark):
     assert Counter((r.doc_id, hashes[r["_text_hash"]], r.n_removed_words) for r in got.filter("doc_id is not null").collect()) == want
 
 
+def test_equal_rows_without_an_id_stay_or_go_together(spark):
+    text = "a line of a dozen words that very many rows of one host share entirely"
+    rows = [(None, text, "h", "en", 1)] * 20 + [(i, f"{text}\n{i}", "h", "en", 1) for i in range(3)]
+    schema = "doc_id long, text string, source string, lang string, n_chars long"
+    assert quality.score_quality(spark.createDataFrame(rows, schema)).filter("kept").count() == 1
+    assert Counter(r.doc_id for r in quality.passing(spark.createDataFrame(rows, schema)).collect()) == {0: 1}
+    assert quality.passing(spark.createDataFrame(rows[:20], schema)).count() == 20
+
+
 def test_null_ids_are_mixed_by_their_texts(spark):
     rows = [(None, " ".join(f"w{i}x{k}" for k in range(1 + i % 3)), f"s{i % 3}", "en", 1) for i in range(900)]
     out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()
