@@ -44,6 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactum.llm import textbytes
+from pactum.llm.rowkeys import TEXT_HASH, only_rows, text_hash
 from pactum.plans.components import components
 from pactum.plans.scratch import discard, small, written
 
@@ -114,7 +115,7 @@ def _signatures(size: int):
                     # two sums over independent mixes name the set
                     ones.append(int(textbytes.splitmix(s).sum(dtype=np.uint64).view(np.int64)))
                     twos.append(int(textbytes.splitmix(s * _TWO + _ONE).sum(dtype=np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64())], names=["doc_id", "n_shingles", "set_1", "set_2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(TEXT_HASH), pa.array([len(s) for s in sets], pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64())], names=["doc_id", TEXT_HASH, "n_shingles", "set_1", "set_2"])
 
     return rows
 
@@ -213,8 +214,13 @@ def _linked(pairs: DataFrame, best: DataFrame, sets: DataFrame, percent: int, pa
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id: one row per row of ``docs``."""
+    return _classified(docs, shingle_words, percent, id_col, text_col).drop(TEXT_HASH)
+
+
+def _classified(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marks = written(docs.mapInArrow(_signatures(shingle_words), "doc_id long, n_shingles long, set_1 long, set_2 long"), "marks")
+    hashed = docs.withColumn(TEXT_HASH, text_hash(F.col("text")))
+    marks = written(hashed.mapInArrow(_signatures(shingle_words), f"doc_id long, {TEXT_HASH} long, n_shingles long, set_1 long, set_2 long"), "marks")
     repeats = not marks.groupBy("doc_id").count().filter("count > 1").isEmpty()
     once = lambda df, what: df.dropDuplicates(["node", what]) if repeats else df
     # a node is a class of equal sets, named by its smallest doc_id
@@ -247,7 +253,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     named = written(named.select(*by_set, "node", (F.col("node") if parents is None else F.coalesce("parent", "node")).alias("component")), "named")
     out = marks.join(named.hint("merge"), by_set, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("class_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("class_id"), TEXT_HASH)
 
 
 def _parts(members: DataFrame, parents: DataFrame | None) -> DataFrame:
@@ -306,17 +312,18 @@ def _between(pairs: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component; of repeated rows one.
+    """The rows of ``docs`` whose text's component has their doc_id as its smallest; of repeated rows one.
 
     Rows of null doc_id stand for themselves: they are kept unless an equal set
     belongs to a document that has an id.
     """
-    kept = near_duplicates(docs, **settings).filter("kept").select("doc_id").distinct()
-    k = small(written(kept.select(F.col("doc_id").alias("_k_id")), "kept"))
-    rows = docs.select(F.struct("*").alias("_row"))
-    rows = rows.join(k, F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_k_id")), "left_semi")
+    # fewer rows go than stay
+    gone = written(_classified(docs, **settings).filter("not kept").select("doc_id", TEXT_HASH).distinct(), "gone")
+    rows = only_rows(docs, gone, "left_anti")
     if not docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
-        # equal rows of one doc_id are one document
+        # equal rows of one doc_id are one document; rows without one are not
+        row = rows.select(F.struct("*").alias("_row"))
         text = F.coalesce("_row.text", F.lit(""))
-        rows = rows.select("_row", F.col("_row.doc_id").alias("_id"), F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(1), text).alias("_h2")).dropDuplicates(["_id", "_h1", "_h2"])
-    return rows.select("_row.*")
+        key = {"_id": F.col("_row.doc_id"), "_own": F.when(F.col("_row.doc_id").isNull(), F.monotonically_increasing_id()), "_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text)}
+        rows = row.withColumns(key).dropDuplicates(list(key)).select("_row.*")
+    return rows

@@ -190,6 +190,13 @@ def test_one_of_each_group_stays(docs, clashing, empty, rows):
     assert neardup.near_duplicates(empty).count() == 0 and neardup.deduplicated(empty).count() == 0
 
 
+def test_rows_without_an_id_stay_for_themselves(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(12))
+    rows = [(5, text(1)), (None, text(1)), (None, text(2)), (None, text(2)), (5, text(1)), (6, text(3)), (3, text(3)), (None, None), (None, "")]
+    got = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(5, text(1)), (None, text(2)), (None, text(2)), (3, text(3)), (None, None), (None, "")])
+
+
 # --- id files ---
 
 
