@@ -6,13 +6,13 @@ so one step codes the next id of all blocks at once.
 
 An id is predicted by the id that last followed the two ids before it (order 2)
 or, if these are new, by the one that last followed the id before it (order 1).
-The chance that the prediction holds is a logistic mix of three estimates: one by the
-order and confidence of the prediction, one by whether order 1 agrees and by the
-recent history of hits, both adaptive, and the predicted id's frequency (order 0);
-the weights are learned as coding goes. An id that is not predicted is coded by
-order 0. These frequencies, counted over the segment and rounded to quarter powers of
-two, stand once before its blocks: a block of a few thousand ids is too short to learn
-them. All arithmetic is on integers, so the decoder repeats the encoder exactly.
+The chance that the prediction holds is a logistic mix of an adaptive estimate, by the
+order and confidence of the prediction and by whether order 1 agrees with it, and of
+the predicted id's frequency (order 0); the weights are learned as coding goes. An id
+that is not predicted is coded by order 0. These frequencies, counted over the segment
+and rounded to quarter powers of two, stand once before its blocks: a block of a few
+thousand ids is too short to learn them.
+All arithmetic is on integers, so the decoder repeats the encoder exactly.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ import numpy as np
 #: Ids in a block. Each block can be decoded without any other.
 BLOCK_IDS = 2048
 
+#: Blocks that are coded in step; of a longer segment they are taken lot by lot.
+LANES = 4096
+
 #: Ids lie below this; the number itself stands for no id.
 MOST_ID = _NONE = 65535
 _TOP, _BOT, _MASK = 1 << 46, 1 << 38, (1 << 62) - 1
@@ -161,50 +164,44 @@ class Decoder(_Coder):
 
 def _run(coder: Encoder | Decoder, order0: Frequencies, lanes: int, steps: int, ids: np.ndarray | None) -> np.ndarray:
     """Code ``steps`` ids of each lane; ``ids`` [step, lane] when encoding."""
-    out = np.zeros((steps, lanes), np.int32)
+    out = np.empty((steps, lanes), np.int32)
     lane = np.arange(lanes)
+    n = np.int32(lanes)
     next2 = np.full(_SLOTS * lanes, _NONE << 4, np.int32)  # what last followed, and how often in a row
     next1 = np.full(_SLOTS * lanes, _NONE << 4, np.int32)
-    best = np.full(64 * lanes, 1 << 15, np.int32)  # chance of the prediction by its order and confidence
-    also = np.full(64 * lanes, 1 << 15, np.int32)  # by whether order 1 agrees, and the last outcomes
-    w_best, w_also, w_zero = (np.full(lanes, w, np.int32) for w in (26_000, 26_000, 8_000))
-    past = np.zeros(lanes, np.int64)
-    a, b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    chance = np.full(64 * lanes, 1 << 15, np.int32)  # by confidence, order and agreement of the prediction
+    w_chance, w_zero = (np.full(lanes, w, np.int32) for w in (52_000, 14_000))
+    a = b = np.zeros(lanes, np.int32)
     for t in range(steps):
         now = None if ids is None else ids[t]
-        mixed = a * 40503
-        at1 = ((mixed >> 5) & (_SLOTS - 1)) * lanes + lane
-        at2 = (((mixed + b * 26544) >> 5) & (_SLOTS - 1)) * lanes + lane
+        mixed = a * np.int32(40503)
+        at1 = ((mixed >> 5) & (_SLOTS - 1)) * n + lane
+        at2 = (((mixed + b * np.int32(26544)) >> 5) & (_SLOTS - 1)) * n + lane
         e1, e2 = next1[at1], next2[at2]
-        no2 = e2 >= _NONE << 4
+        g1, no2 = e1 >> 4, e2 >= _NONE << 4
         pick = np.where(no2, e1, e2)
         guess = pick >> 4
-        # order 2: 0-15, order 1: 16-31, none: 47
-        at_b = ((pick & 15) + no2 * 16 + (guess == _NONE) * 16).astype(np.int64) * lanes + lane
-        at_a = (((guess == e1 >> 4) * 32 + (past & 31)) * lanes) + lane
-        pb, pa = best[at_b], also[at_a]
-        sb, sa, sz = _STRETCH[pb >> 4], _STRETCH[pa >> 4], order0.stretched[guess]
-        p = _SQUASH.take(((w_best * sb + w_also * sa + w_zero * sz) >> 16) + 2047, mode="clip")
+        at_c = ((pick & 15) | no2 * np.int32(16) | (g1 == guess) * np.int32(32)) * n + lane
+        pc = chance[at_c]
+        sc, sz = _STRETCH[pc >> 4], order0.stretched[guess]
+        p = _SQUASH.take(((w_chance * sc + w_zero * sz) >> 16) + 2047, mode="clip")
         hit = coder.flag(p << 4, None if now is None else now == guess)
         err = ((hit * np.int32(4096)) - p) * np.int32(6)
-        w_best += (sb * err + 0x8000) >> 16
-        w_also += (sa * err + 0x8000) >> 16
+        w_chance += (sc * err + 0x8000) >> 16
         w_zero += (sz * err + 0x8000) >> 16
-        goal = hit * np.int32(65535)
-        best[at_b] = pb + ((goal - pb) >> 5)
-        also[at_a] = pa + ((goal - pa) >> 5)
-        past = past << 1 | hit
-        got = guess.copy()
+        chance[at_c] = pc + ((hit * np.int32(65535) - pc) >> 5)
         lost = np.flatnonzero(~hit)
-        got[lost] = coder.ids(lost, order0, None if now is None else now[lost])
+        if now is None:
+            guess[lost] = coder.ids(lost, order0, None)
+            now = guess
+        else:
+            coder.ids(lost, order0, now[lost])
         coder.settle()
-        c1, c2 = e1 & 15, e2 & 15
-        up1, up2 = e1 >> 4 == got, e2 >> 4 == got
-        coded = got << 4
-        next1[at1] = coded | np.minimum(c1 + 1, 15) * up1
-        next2[at2] = coded | np.minimum(c2 + 1, 15) * up2
-        out[t] = got
-        a, b = got.astype(np.int64), a
+        coded = now << 4
+        next1[at1] = coded | np.minimum((e1 & 15) + 1, 15) * (g1 == now)
+        next2[at2] = coded | np.minimum((e2 & 15) + 1, 15) * (e2 >> 4 == now)
+        out[t] = now
+        a, b = now, a
     return out
 
 
@@ -219,11 +216,13 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> tuple[bytes, list[byt
     # a last block that is short is filled up with its own first id
     grid = np.full(blocks * steps, ids[(blocks - 1) * block_ids], np.int32)
     grid[: len(ids)] = ids
-    order0 = Frequencies.of(ids)
-    coder = Encoder(blocks, 2 * steps + 16)
-    _run(coder, order0, blocks, steps, np.ascontiguousarray(grid.reshape(blocks, steps).T))
+    order0, out = Frequencies.of(ids), []
+    for part in np.split(grid.reshape(blocks, steps), range(LANES, blocks, LANES)):
+        coder = Encoder(len(part), 2 * steps + 16)
+        _run(coder, order0, len(part), steps, np.ascontiguousarray(part.T))
+        out += coder.finish()
     raw = ids.astype("<u4")
-    return order0.to_bytes(), coder.finish(), [zlib.crc32(raw[a : a + block_ids].tobytes()) for a in range(0, len(ids), block_ids)]
+    return order0.to_bytes(), out, [zlib.crc32(raw[a : a + block_ids].tobytes()) for a in range(0, len(ids), block_ids)]
 
 
 def decode(order0: bytes, payload: list[bytes], crcs: list[int], n_ids: int, block_ids: int = BLOCK_IDS) -> np.ndarray:
@@ -231,8 +230,8 @@ def decode(order0: bytes, payload: list[bytes], crcs: list[int], n_ids: int, blo
     if not payload:
         return np.empty(0, np.uint32)
     steps = min(block_ids, n_ids)
-    grid = _run(Decoder(payload), Frequencies.from_bytes(order0), len(payload), steps, None)
-    ids = np.ascontiguousarray(grid.T).reshape(-1)[:n_ids].astype("<u4")
+    frequencies, lots = Frequencies.from_bytes(order0), [payload[a : a + LANES] for a in range(0, len(payload), LANES)]
+    ids = np.concatenate([_run(Decoder(lot), frequencies, len(lot), steps, None).T.ravel() for lot in lots])[:n_ids].astype("<u4")
     for k, crc in enumerate(crcs):
         if zlib.crc32(ids[k * block_ids : (k + 1) * block_ids].tobytes()) != crc:
             raise ValueError(f"block {k}: checksum differs")
