@@ -22,8 +22,12 @@ no bound either, so nothing is broadcast: documents are dealt into blocks, the
 distinct words and strings of each block meet their counts and chances by a join,
 and each block is scored with its own.
 
-Null texts are empty: their only token is the end, their model score is 0.
-Repeated rows are counted and scored each.
+Null and empty texts hold the end as their only token, their model score is 0 and their
+code length null; texts of any length are read whole, in slices of whole texts. Rows that
+are equal in doc_id and text are counted each, scored once and returned each, so however
+many they are they stand in a block once. A null id counts as empty text for the fold. A
+table without words or without training rows has N = V = 0. An empty table gives an
+empty result. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -36,21 +40,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactum.llm import textbytes
-from pactum.plans.scratch import discard, written
+from pactum.plans.scratch import discard, small, written
 
 #: Bytes of context unless a caller gives more; a string of MOST_DEPTH + 2 bytes would not fit its number.
 DEPTH, MOST_DEPTH = 2, 6
 
 #: Bytes of context of the root of a subtree, and strings of a bucket of subtrees on average.
-ROOT, BUCKET_STRINGS = 3, 250_000
+ROOT, BUCKET_STRINGS = 3, 100_000
 
-#: Characters of text that a block of documents holds on average.
-BLOCK_CHARS = 8_000_000
+#: Characters of text that a block of documents holds on average, and blocks at least. The larger a
+#: block, the fewer of its strings are sent to it again and again.
+BLOCK_CHARS, LEAST_BLOCKS = 32_000_000, 20
+
+#: Slices of a block whose distinct items are merged at a time.
+MERGE_SLICES = 2
 
 _END = np.uint64(0xE7037ED1A0B428DB)
 
-#: Kinds of the items that a block holds.
-_WORD, _STRING = 0, 1
+#: An item of a block is a string's number or, with this bit, a word's hash.
+_WORD_BIT = np.uint64(1 << 63)
 
 
 def held_out(doc_id: object, folds: int = 7, fold: int = 2) -> bool:
@@ -209,33 +217,77 @@ def string_logs(counts: DataFrame, depth: int) -> DataFrame:
 
 
 def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes, ordered by text, the end of each text included, and the text of each."""
+    """Token hashes as items, ordered by text, the end of each text included, and the text of each."""
     h, owner = textbytes.word_hashes(texts)
     place = np.concatenate([owner, np.arange(len(texts))])
     order = np.argsort(place, kind="stable")
-    return np.concatenate([h, np.full(len(texts), _END, np.uint64)])[order], place[order]
+    return np.concatenate([h, np.full(len(texts), _END, np.uint64)])[order] | _WORD_BIT, place[order]
+
+
+class _Values:
+    """Values of distinct items in a table with open addresses, for vectors of items that are all in it."""
+
+    def __init__(self, item: np.ndarray, value: np.ndarray):
+        bits = max(4, (3 * len(item) // 2).bit_length())
+        self.value, self.shift, self.mask = value, np.uint64(64 - bits), (1 << bits) - 1
+        self.item, self.place = np.zeros(1 << bits, np.int64), np.full(1 << bits, -1, np.int32)
+        at, left = self._home(item), np.arange(len(item))
+        while len(left):
+            slot = at[left]
+            free = self.place[slot] < 0
+            self.place[slot[free]] = left[free]  # of items that want one slot the last stays
+            won = self.place[slot] == left
+            self.item[slot[won]] = item[left[won]]
+            left = left[~won]
+            at[left] = (at[left] + 1) & self.mask
+
+    def _home(self, item: np.ndarray) -> np.ndarray:
+        return (item.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def __getitem__(self, item: np.ndarray) -> np.ndarray:
+        at = self._home(item)
+        miss = np.flatnonzero(self.item[at] != item)
+        while len(miss):
+            at[miss] = (at[miss] + 1) & self.mask
+            miss = miss[self.item[at[miss]] != item[miss]]
+        return self.value[self.place[at]]
+
+
+def _counted(items: np.ndarray, weights: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(distinct items, summed weights) for each weight, of which there are few: held out, learned once, learned more often."""
+    out = []
+    for w in np.unique(weights):
+        some = np.sort(items[weights == w])
+        first = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]])) if len(some) else np.empty(0, np.int64)
+        out.append((some[first], np.diff(first, append=len(some)) * w))
+    return out
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct items of (items, weights), ascending, and the sum of each one's weights."""
+    items = np.concatenate([p[0] for p in parts])
+    order = np.argsort(items)
+    items = items[order]
+    first = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]])) if len(items) else np.empty(0, np.int64)
+    weights = np.concatenate([p[1] for p in parts])[order]
+    return items[first], np.add.reduceat(weights, first) if len(first) else weights
 
 
 def _block_items(is_held: Callable, depth: int):
     def rows(table):
         import pyarrow as pa
 
-        found = {kind: ([np.empty(0, np.int64)], [np.empty(0)]) for kind in (_WORD, _STRING)}
+        found = [(np.empty(0, np.int64), np.empty(0))]
         for part in textbytes.slices(table):
             texts = part.column("text").to_pylist()
-            train = np.array([not is_held(d) for d in part.column("doc_id").to_pylist()], bool)
+            learned = np.array([0 if is_held(d) else n for d, n in zip(part.column("doc_id").to_pylist(), part.column("times").to_pylist(), strict=True)], float)
             h, owner = _tokens(texts)
             strings, at = _text_strings(texts, depth)
-            for kind, items, learned in ((_WORD, h.view(np.int64), train[owner]), (_STRING, strings, np.repeat(train, np.diff(at)))):
-                item, place = np.unique(items, return_inverse=True)
-                found[kind][0].append(item)
-                found[kind][1].append(np.bincount(place, weights=learned, minlength=len(item)))
-        parts = []
-        for kind, (items, counts) in found.items():
-            item, place = np.unique(np.concatenate(items), return_inverse=True)
-            n = np.bincount(place, weights=np.concatenate(counts), minlength=len(item)).astype(np.int64)
-            parts.append(pa.table({"block": pa.array(np.full(len(item), table.column("block")[0].as_py(), np.int64)), "kind": pa.array(np.full(len(item), kind, np.int32)), "word": pa.array(item), "n": pa.array(n)}))
-        return pa.concat_tables(parts)
+            found += _counted(h.view(np.int64), learned[owner]) + _counted(strings, np.repeat(learned, np.diff(at)))
+            if len(found) > 4 * MERGE_SLICES:
+                found = [_summed(found)]
+        item, n = _summed(found)
+        return pa.table({"block": pa.array(np.full(len(item), table.column("block")[0].as_py(), np.int32)), "item": pa.array(item), "n": pa.array(n.astype(np.int64))})
 
     return rows
 
@@ -244,30 +296,27 @@ def _score_block(depth: int, total: int, distinct: int, is_held: Callable):
     def rows(docs, items):
         import pyarrow as pa
 
-        kind, item, value = (items.column(c).to_numpy() for c in ("kind", "word", "value"))
-        known = {}
-        for k in (_WORD, _STRING):
-            order = np.flatnonzero(kind == k)
-            order = order[np.argsort(item[order])]
-            known[k] = item[order], value[order]
-        of = lambda k, x: known[k][1][np.searchsorted(known[k][0], x)]
+        of = _Values(items.column("item").to_numpy(), items.column("value").to_numpy())
         parts = []
         for part in textbytes.slices(docs) if docs.num_rows else [docs]:
             ids, texts = part.column("doc_id"), part.column("text").to_pylist()
             h, owner = _tokens(texts)
-            c, n = of(_WORD, h.view(np.int64)), len(texts)
+            c, n = of[h.view(np.int64)], len(texts)
             strings, at = _text_strings(texts, depth)
-            score = np.bincount(np.repeat(np.arange(n), np.diff(at)), weights=of(_STRING, strings), minlength=n)
+            size = np.diff(at)
+            score = np.bincount(np.repeat(np.arange(n), size), weights=of[strings], minlength=n)
             parts.append(
                 pa.table(
                     {
                         "doc_id": ids,
+                        "times": part.column("times"),
                         "held_out": pa.array([is_held(d) for d in ids.to_pylist()], pa.bool_()),
                         "n_tokens": pa.array(np.bincount(owner, minlength=n), pa.int64()),
                         "n_known": pa.array(np.bincount(owner, weights=c > 0, minlength=n).astype(np.int64), pa.int64()),
                         "train_tokens": pa.array(np.full(n, total), pa.int64()),
                         "base_score": pa.array(np.bincount(owner, weights=np.log10((c + 1) / (total + distinct + 1)), minlength=n), pa.float64()),
                         "score": pa.array(score, pa.float64()),
+                        "code_length_per_byte": pa.array(-score * np.log2(10) / np.maximum(size, 1), pa.float64(), mask=size == 0),
                     }
                 )
             )
@@ -276,23 +325,41 @@ def _score_block(depth: int, total: int, distinct: int, is_held: Callable):
     return rows
 
 
-SCHEMA = "doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCHEMA = "doc_id {kind}, times long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, code_length_per_byte double"
+
+
+def _once(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """doc_id, text, times: rows that are equal in both stand once, with how many they are."""
+    key = ["doc_id", "h1", "h2"]
+    repeats = written(marks.groupBy(*key).agg(F.count("*").alias("times")).filter("times > 1"), "repeats")
+    if repeats.isEmpty():
+        return docs.withColumn("times", F.lit(1).cast("long"))
+    r = small(repeats.select(*(F.col(c).alias(f"_{c}") for c in key)))
+    hashed = docs.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    same = hashed["doc_id"].eqNullSafe(r["_doc_id"]) & (hashed["h1"] == r["_h1"]) & (hashed["h2"] == r["_h2"])
+    again = hashed.join(r, same, "left_semi").groupBy(*key).agg(F.first("text").alias("text"), F.count("*").alias("times"))
+    single = hashed.join(r, same, "left_anti").withColumn("times", F.lit(1).cast("long"))
+    columns = ["doc_id", "text", "times"]
+    return written(single.select(*columns).unionByName(again.select(*columns)), "once")
 
 
 def score_documents(docs: DataFrame, is_held: Callable = held_out, depth: int = DEPTH) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; contexts of up to ``depth`` bytes."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, code_length_per_byte (bits; null without
+    a byte) for every row; contexts of up to ``depth`` bytes."""
     if not 1 <= depth <= MOST_DEPTH:
         raise ValueError(f"depth must lie between 1 and {MOST_DEPTH}")
     docs = docs.select("doc_id", "text")
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 12 + int(chars // BLOCK_CHARS)
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
-    items = written(dealt.groupBy("block").applyInArrow(_block_items(is_held, depth), "block long, kind int, word long, n long"), "items")
-    counts = written(items.groupBy("kind", "word").agg(F.sum("n").alias("count")), "counts")
-    words = counts.filter(F.col("kind") == _WORD)
+    marks = written(docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.length("text").alias("chars")), "marks")
+    chars = marks.agg(F.sum("chars")).first()[0] or 0
+    blocks = max(LEAST_BLOCKS, -(-chars // BLOCK_CHARS))
+    dealt = _once(docs, marks).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    items = written(dealt.groupBy("block").applyInArrow(_block_items(is_held, depth), "block int, item long, n long"), "items")
+    counts = written(items.groupBy("item").agg(F.sum("n").alias("count")), "counts")
+    words = counts.filter("item < 0")
     total, distinct = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.when(F.col("count") > 0, 1))).first()
-    logs = string_logs(counts.filter(F.col("kind") == _STRING).select("word", "count"), depth)
-    values = words.select("kind", "word", F.col("count").cast("double").alias("value")).unionByName(logs.select(F.lit(_STRING).alias("kind"), "word", "value"))
-    known = items.select("block", "kind", "word").join(values.hint("merge"), ["kind", "word"]).select("block", "kind", "word", "value")
+    logs = string_logs(counts.filter("item >= 0").select(F.col("item").alias("word"), "count"), depth)
+    values = words.select("item", F.col("count").cast("double").alias("value")).unionByName(logs.select(F.col("word").alias("item"), "value"))
+    known = items.select("block", "item").join(values.hint("merge"), "item").select("block", "item", "value")
     schema = SCHEMA.format(kind=docs.schema["doc_id"].dataType.simpleString())
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score_block(depth, total, distinct, is_held), schema)
+    scored = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score_block(depth, total, distinct, is_held), schema)
+    return scored.select("*", F.explode(F.sequence(F.lit(1), "times")).alias("_again")).drop("times", "_again")
