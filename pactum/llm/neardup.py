@@ -276,7 +276,7 @@ def _crossing(stars: DataFrame, sets: DataFrame, percent: int, parents: DataFram
     each = 2 * (100 + percent)
     differ = written(_with_sets(asked, sets).mapInArrow(_differences(percent), "node long, pivot long, need long, differs array<long>"), "differences")
     least = written(differ.groupBy("pivot").agg(F.min(F.struct("need", "node")).alias("_l")).select("pivot", F.col("_l.need").alias("least"), F.col("_l.node").alias("first")), "least")
-    rows = differ.join(least.hint("merge"), "pivot")
+    rows = differ.join(small(least), "pivot")
     sure = rows.filter((F.col("need") + F.col("least") <= 0) & (F.col("node") != F.col("first"))).select(F.greatest("node", "first").alias("a"), F.least("node", "first").alias("b")).distinct()
     sure = written(sure if parents is None else _between(sure, parents), "sure")
     parents = components(sure, parents)
@@ -284,7 +284,7 @@ def _crossing(stars: DataFrame, sets: DataFrame, percent: int, parents: DataFram
     # members that need a shared shingle with whatever other, and the least need among them
     far = F.col("need") + F.col("least") > 0
     other = written(rows.filter(far).groupBy("pivot").agg(F.min("need").alias("least_far")), "least-far")
-    shingles = _parts(rows.join(other.hint("merge"), "pivot"), parents).select("pivot", "node", "part", "need", "least", "least_far", F.explode("differs").alias("shingle"))
+    shingles = _parts(rows.join(small(other), "pivot"), parents).select("pivot", "node", "part", "need", "least", "least_far", F.explode("differs").alias("shingle"))
     shingles = written(shingles, "difference-shingles")
     often = shingles.groupBy("pivot", "shingle").agg(F.count("*").alias("n"), F.min("part").alias("_p"), F.max("part").alias("_q")).filter("_p <> _q").select("pivot", "shingle", "n")
     often = written(often, "common")
