@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm import centroids, idfiles, lexical, licenses, linededup, mixing, neardup, packing, quality, secrets, topk, treeweight
+from pactum.llm import centroids, idfiles, lexical, licenses, linededup, mixing, neardup, packing, quality, secrets, topk, toxicity, treeweight
 from pactum.llm.rowkeys import TEXT_HASH
 
 ORACLES: dict[str, str] = {"op1_line_dedup": linededup.SQL, "op4_license_scan": licenses.SQL, "op5_quality_rules": quality.SQL, "op8_source_mixing": mixing.SQL, "op9_bit_sliced_topk": topk.SQL, "op11_shared_term_search": lexical.SQL, "op13_simplex_clusters": centroids.SQL}
@@ -65,8 +65,12 @@ def op11_shared_term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_simplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_minhash_neardup, op4_license_scan, op5_quality_rules, op6_secret_scan, op7_token_id_files, op8_source_mixing, op9_bit_sliced_topk, op10_context_tree_scores, op11_shared_term_search, op13_simplex_clusters)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_minhash_neardup, op4_license_scan, op5_quality_rules, op6_secret_scan, op7_token_id_files, op8_source_mixing, op9_bit_sliced_topk, op10_context_tree_scores, op11_shared_term_search, op12_weak_toxicity, op13_simplex_clusters)}

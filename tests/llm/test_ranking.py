@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from pactum.llm import centroids, lexical
+from pactum.llm import centroids, lexical, toxicity
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
 
@@ -176,3 +178,110 @@ def test_bounds_hold_and_leave_centroids_out():
     cluster, distance, compared = centroids.nearest(rows, simplex.apexes(rows), simplex, ends)
     assert (cluster == true.argmin(axis=1)).all() and (distance == np.rint(true.min(axis=1) ** 2)).all()
     assert compared < 0.5 * true.size
+
+
+# --- toxicity ------------------------------------------------------------------------------------------------
+
+
+def spoken(n=700, seed=4):
+    """(doc_id, text), {doc_id: toxic}: invented words; toxic texts hold some of ten or, in another language, words of one stem."""
+    rng = random.Random(seed)
+    syllables = ["ba", "ko", "li", "mu", "ren", "sta", "vo", "zi", "tha", "ne"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+    bad = [f"grr{s}" for s in syllables]
+    docs, labels = [], {}
+    for i in range(n):
+        toxic, other = rng.random() < 0.2, rng.random() < 0.3
+        w = [word() for _ in range(rng.randint(5, 80))]
+        for _ in range(rng.randint(2, 5) if toxic else 0):
+            w.insert(rng.randrange(len(w)), "xolno" + word() if other else rng.choice(bad).capitalize() + ",")
+        docs.append((i, " ".join(w)))
+        if rng.random() < 0.8:
+            labels[i] = int(toxic) if rng.random() < 0.97 else int(not toxic)
+    return docs, labels
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def scored(spark, docs, labels, **settings):
+    d = spark.createDataFrame(docs, DOCS).repartition(4)
+    out = toxicity.score_documents(d, spark.createDataFrame(labels, LABELS), **settings)
+    assert out.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    return out.collect()
+
+
+def is_held_out(i):
+    return zlib.crc32(str(i if i is not None else "").encode()) % 5 == 0
+
+
+@pytest.fixture(scope="module")
+def toxic(spark):
+    docs, labels = spoken()
+    odd = [(None, "grrba grrko you"), (2000, None), (2001, ""), (2002, "\t ..."), (2003, docs[3][1]), (3, docs[3][1]), (2004, "ba ko " * 400_000 + "GRRLI grrmu"), (2005, "ba ko " * 400_000)]
+    more = [(i, 1, y) for i, y in labels.items()] + [(5000, 0, 1), (None, 1, 1), (3, 1, None), (2003, None, labels.get(3, 0))]
+    return labels, scored(spark, docs + odd, more), docs, more
+
+
+def test_held_out_labels_are_predicted(toxic):
+    labels, got, *_ = toxic
+    rows = [(r, labels[r["doc_id"]]) for r in got if r["doc_id"] in labels and r["held_out"]]
+    assert len(rows) > 80
+    assert sum(r["predicted"] == y for r, y in rows) >= 0.93 * len(rows)
+    pairs = [(a["score"], b["score"]) for a, x in rows for b, y in rows if x > y]
+    assert sum(p > q for p, q in pairs) >= 0.9 * len(pairs)
+
+
+def test_every_row_is_scored_and_folds_follow_the_id(toxic):
+    _, got, docs, _ = toxic
+    assert len(got) == len(docs) + 8
+    assert all(r["held_out"] == is_held_out(r["doc_id"]) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    of = {r["doc_id"]: r for r in got}
+    assert of[None]["predicted"] == 1 and of[2004]["predicted"] == 1  # the words stand at the very end of a long text
+    assert {of[i]["predicted"] for i in (2000, 2001, 2002, 2005)} == {0}
+    assert len({of[i]["score"] for i in (2000, 2001, 2002)}) == 1
+    assert len({r["score"] for r in got if r["doc_id"] in (3, 2003)}) == 1
+
+
+def test_held_out_labels_teach_nothing(spark, toxic):
+    _, got, docs, more = toxic
+    turned = [(i, q, 1 - y if y is not None and is_held_out(i) else y) for i, q, y in more]
+    sub = [d for d in docs if d[0] < 300]
+    keep = lambda rows: sorted((r["doc_id"], round(r["score"], 12)) for r in rows)
+    assert keep(scored(spark, sub, more)) == keep(scored(spark, sub, turned))
+
+
+def test_toxicity_without_labels_or_documents(spark):
+    docs = [(1, "a b"), (None, None)]
+    assert {r["score"] for r in scored(spark, docs, [])} == {0.5}
+    one = next(i for i in range(9) if not is_held_out(i))
+    assert {(r["score"], r["predicted"]) for r in scored(spark, [(one, "a b"), (77, "c")], [(one, 1, 0)])} == {(0.0, 0)}
+    assert scored(spark, [], [(1, 1, 1)]) == []
+
+
+def test_toxicity_among_other_columns(spark, clashing):
+    labels = [(i * 3 % 1009, "x", i % 2, 1) for i in range(60)]
+    got = toxicity.score_documents(clashing.withColumns({c: F.lit(c) for c in ("toxic", "id", "h", "held_out", "_first", "_labelled")}), spark.createDataFrame(labels, "doc_id long, text string, toxic int, id int"))
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == clashing.count()
+
+
+def test_label_model_finds_rates_and_correlations():
+    rng = np.random.default_rng(1)
+    n, prior = 200_000, 0.15
+    y = rng.random(n) < prior
+    toxic, clean = np.array([0.5, 0.4, 0.3, 0.35, 0.02, 0.45]), np.array([0.01, 0.02, 0.01, 0.03, 0.02, 0.02])
+    votes = rng.random((n, 6)) < np.where(y[:, None], toxic, clean)
+    votes[:, 5] = np.where(rng.random(n) < 0.8, votes[:, 0], votes[:, 5])  # mostly repeats the first
+    label = (y ^ (rng.random(n) < 0.03)).astype(float)
+    v = votes.astype(float)
+    model = toxicity.LabelModel.fit(n, v.T @ v, (v * label[:, None]).mean(axis=0) - v.mean(axis=0) * label.mean(), label.mean())
+    assert np.abs(model.toxic[1:4] - toxic[1:4]).max() < 0.06 and np.abs(model.clean[1:4] - clean[1:4]).max() < 0.02
+    assert {(0, 5)} <= {(i, j) for i, j, _ in model.correlated} and model.share[0] < 0.75 and model.share[2] > 0.85
+    assert model.chance([1, 2]) > model.chance([1]) > model.chance([]) > model.chance([], 0)
+
+
+def test_mined_words_leave_out_what_only_goes_along(spark):
+    rng = random.Random(9)
+    rows = [(int(i % 5 == 0), [*{f"w{rng.randrange(60)}" for _ in range(8)}, *(["scold", "after"] if i % 10 == 0 else ["blame"] if i % 5 == 0 else [])]) for i in range(400)]
+    got = toxicity.mined(spark.createDataFrame(rows, "toxic int, words array<string>"))
+    assert {"blame"} < set(got) and len({"scold", "after"} & set(got)) == 1
