@@ -116,6 +116,25 @@ def check_record(t):
     return modes.all_violations(t.customer, checks.row_rules(t.customer, c), "c_custkey").select("c_custkey", "path", "rule")
 
 
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 6 AS m, c_nationkey AS n, c_acctbal AS b FROM customer)
+SELECT k, 'doc' AS path, 'extra' AS rule, 'ValueError' AS error_class, 'z' AS message FROM c WHERE m = 5
+UNION ALL SELECT k, 'doc', 'missing', 'ValueError', 'nation' FROM c WHERE m = 1
+UNION ALL SELECT k, 'doc.nation', 'kind', 'TypeError', 'not integer' FROM c WHERE m IN (2, 3)
+UNION ALL SELECT k, 'doc.nation', 'max', 'ValueError', 'above 20' FROM c WHERE m IN (0, 4, 5) AND n > 20
+UNION ALL SELECT k, 'doc.lines[1].n', 'kind', 'TypeError', 'not integer' FROM c WHERE m = 4 AND n >= 3
+UNION ALL SELECT k, 'doc.lines[0].n', 'min', 'ValueError', 'below 3' FROM c WHERE n < 3
+UNION ALL SELECT k, 'doc', 'predicate', 'ValueError', 'predicate is false' FROM c WHERE m IN (0, 4, 5) AND n % 5 = 0""", "check_variant_record")
+def check_variant_record(t):
+    """A nested, strict record contract over JSON documents of customers: null, float and absent nations, lines of mixed kinds, unknown keys."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    nation = F.when(k % 6 == 1, "").when(k % 6 == 2, '"nation":null,').when(k % 6 == 3, F.concat(F.lit('"nation":'), n, F.lit(".0,"))).otherwise(F.concat(F.lit('"nation":'), n, F.lit(",")))
+    second = F.when(k % 6 == 4, "true").otherwise("7")
+    text = F.concat(F.lit("{"), nation, F.when(k % 6 == 5, '"z":1,').otherwise(""), F.lit('"lines":[{"n":'), n, F.lit('},{"n":'), second, F.lit("}]}"))
+    contract = record(field("nation", integer(max=20)), field("lines", vector(element=record(field("n", integer(min=3))))), strict=True, predicate=lambda r: r["nation"] % 5 != 0)
+    df = t.customer.select(k.alias("k"), F.parse_json(text).alias("doc"))
+    return modes.all_violations(df, checks.column_rules(df, doc=contract), "k")
+
+
 @query("SELECT p_partkey, p_size FROM part WHERE p_size % 2 <> 0")
 def check_predicate(t):
     even = derive("even", integer(), predicate=lambda c: F.pmod(c, F.lit(2)) == 0)

@@ -152,10 +152,33 @@ _REACH = """r(start, node, depth, path, cycle) AS (SELECT src, dst, 1, [src, dst
  UNION ALL SELECT r.start, e.dst, r.depth + 1, list_append(r.path, e.dst), list_contains(r.path, e.dst) FROM r JOIN edges e ON r.node = e.src WHERE NOT r.cycle)"""
 
 
-@query(f"WITH RECURSIVE {_EDGES}, {_REACH} SELECT start, node, min(depth)::INT AS depth, start = node AS cycle FROM r GROUP BY start, node")
+@query(f"""WITH RECURSIVE {_EDGES}, {_REACH}, back AS (SELECT start, path, min(start) OVER (PARTITION BY list_sort(list_distinct(path))) AS component FROM r WHERE start = node)
+ SELECT r.start, r.node, min(depth)::INT AS depth, r.start = r.node AS cycle, any_value(b.component) AS component, any_value(p.path) AS cycle_path
+ FROM r LEFT JOIN back b ON b.start = r.start LEFT JOIN back p ON p.start = b.component GROUP BY r.start, r.node""")
 def import_closure(t):
-    """What each supplier loads, directly or not, once each; one that loads itself stands on a cycle."""
-    return closure.reach(supply_edges(t)).withColumn("cycle", F.col("start") == F.col("node"))
+    """What each supplier loads, directly or not, once each; one that loads itself stands on a cycle, which is given."""
+    found = closure.reach(supply_edges(t))
+    members = written(closure.components_of(found), "members")
+    loops = closure.cycles_of(found, members).select("component", F.col("cycle").alias("cycle_path"))
+    named = members.join(loops, "component", "left").withColumnRenamed("node", "start")
+    return found.withColumn("cycle", F.col("start") == F.col("node")).join(named, "start", "left")
+
+
+def part_edges(t):
+    """Each part loads the one that its key leads to by a linear step within its block of 40, so chains end in cycles."""
+    k = F.col("p_partkey")
+    return t.part.select(k.alias("src"), (F.floor(k / 40) * 40 + (k % 40 * 7 + 3) % 37).cast("long").alias("dst")).join(t.part.select(k.alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
+@query("""WITH RECURSIVE edges AS (SELECT p_partkey AS src, p_partkey // 40 * 40 + (p_partkey % 40 * 7 + 3) % 37 AS dst FROM part WHERE p_partkey // 40 * 40 + (p_partkey % 40 * 7 + 3) % 37 IN (SELECT p_partkey FROM part)),
+r(start, node, path) AS (SELECT src, dst, [src, dst] FROM edges UNION ALL SELECT start, dst, list_append(path, dst) FROM r JOIN edges ON node = src WHERE node <> start AND NOT list_contains(path[2:], dst)),
+c AS (SELECT start AS node, path, min(start) OVER (PARTITION BY list_sort(list_distinct(path))) AS component FROM r WHERE node = start)
+SELECT c.node, c.component, (len(l.path) - 1)::INT AS length, l.path AS cycle FROM c JOIN c l ON l.node = c.component""")
+def import_cycles(t):
+    """Parts that stand on a cycle of loads, with their component and one shortest cycle of it."""
+    edges = written(part_edges(t), "loads")
+    members = written(closure.components(edges), "members")
+    return members.join(closure.cycles(edges, members), "component").select("node", "component", "length", "cycle")
 
 
 @query(f"WITH RECURSIVE {_EDGES}, {_REACH} SELECT start, node, depth, path, cycle FROM r")

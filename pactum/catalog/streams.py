@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import functions as F
@@ -19,6 +20,17 @@ def fresh(t, name: str) -> str:
 
 
 
+@contextlib.contextmanager
+def keyed_state(t):
+    """State of arbitrary kinds needs a store for it; the session's own setting is put back."""
+    name, own = "spark.sql.streaming.stateStore.providerClass", t.spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    t.spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        t.spark.conf.set(name, own) if own else t.spark.conf.unset(name)
+
+
 def keyed(t, table: str, columns: list, name: str):
     """A written projection of a table, read as a stream: Spark's own file source wants folders."""
     at = fresh(t, name)
@@ -41,8 +53,8 @@ SELECT user_id::VARCHAR AS key, event_id AS seq, CASE WHEN gone THEN was ELSE ve
 def stream_versioned_state(t):
     k = F.col("event_id")
     s = keyed(t, "events", [F.col("user_id").cast("string").alias("key"), k.alias("seq"), (k % 3).alias("version"), F.when(k % 11 == 0, "remove").otherwise("update").alias("op"), F.col("props").alias("text")], "versions-in")
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return streams.run_once(streams.versioned(s, "key"), fresh(t, "versions-out"), fresh(t, "versions-at"))
+    with keyed_state(t):
+        return streams.run_once(streams.versioned(s, "key"), fresh(t, "versions-out"), fresh(t, "versions-at"))
 
 
 @query(f"SELECT conv_id::VARCHAR AS key, edits, text FROM ({EDITED})")
@@ -52,8 +64,8 @@ def stream_edit_fold(t):
     begun = t.conversations.filter("turn = 0").select("conv_id").distinct()
     turn_edits(t).join(begun, "conv_id", "left_semi").withColumn("key", F.col("conv_id").cast("string")).drop("conv_id").write.parquet(at)
     s = t.spark.readStream.schema(t.spark.read.parquet(at).schema).parquet(at)
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = streams.run_batches(streams.edit_folded(s, "key"), fresh(t, "edits-out"), fresh(t, "edits-at"))
+    with keyed_state(t):
+        out = streams.run_batches(streams.edit_folded(s, "key"), fresh(t, "edits-out"), fresh(t, "edits-at"))
     return out.groupBy("key").agg(F.max("edits").alias("edits"), F.max_by("text", "edits").alias("text"))
 
 

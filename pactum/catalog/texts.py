@@ -49,15 +49,15 @@ def identifier_tokens(t):
 
 
 def turn_edits(t):
-    """Each conversation's turns as edits: the first replaces all, later ones put their length and number before line 0, column 2."""
+    """Each conversation's turns as edits: the first replaces all, later ones put a mark, their text and number before line 0, column 2, for the mark that is there."""
     first = F.col("turn") == 0
     at = lambda v: F.when(~first, F.lit(v))
-    body = F.when(first, F.concat(F.lit("ab\ncd"), F.col("conv_id"))).otherwise(F.concat(F.lit("<"), F.length("text"), F.lit("\n"), "turn", F.lit(">")))
-    return t.conversations.select("conv_id", F.col("turn").alias("seq"), at(0).alias("start_line"), at(2).alias("start_col"), at(0).alias("end_line"), at(99).alias("end_col"), body.alias("text"))
+    body = F.when(first, F.concat(F.lit("ab\ncd"), F.col("conv_id"))).otherwise(F.concat(F.lit("#"), F.coalesce("text", F.lit("")), F.lit("\n"), "turn", F.lit(">")))
+    return t.conversations.select("conv_id", F.col("turn").alias("seq"), at(0).alias("start_line"), at(2).alias("start_col"), at(0).alias("end_line"), at(3).alias("end_col"), body.alias("text"))
 
 
-#: The texts after all edits: each later edit takes the rest of line 0 and leaves its own number before what was there.
-EDITED = """SELECT conv_id, count(*)::BIGINT AS edits, 'ab' || CASE WHEN max(turn) > 0 THEN '<' || arg_max(length(text), turn) FILTER (turn > 0) || chr(10) || string_agg(turn || '>', chr(10) ORDER BY turn DESC) FILTER (turn > 0) ELSE '' END
+#: The texts after all edits: the turns' own texts, the last one first.
+EDITED = """SELECT conv_id, count(*)::BIGINT AS edits, 'ab' || CASE WHEN max(turn) > 0 THEN '#' || string_agg(coalesce(text, '') || chr(10) || turn || '>', '' ORDER BY turn DESC) FILTER (turn > 0) ELSE '' END
  || chr(10) || 'cd' || conv_id AS text FROM conversations GROUP BY conv_id HAVING min(turn) = 0"""
 
 

@@ -4,7 +4,8 @@ A check yields, for a value, structs (path, rule, error_class, message) in the
 order kind, min, max, elements, predicate. What a column's Spark type decides is
 decided once on the driver and costs nothing per row. NULL in a typed column is
 an absent value: it passes, unless a record makes the field mandatory. A null
-inside an array or map is a value of the wrong kind.
+inside an array or map is a value of the wrong kind. VARIANT columns and fields are
+checked node by node (``variants``).
 """
 
 from __future__ import annotations
@@ -59,6 +60,10 @@ def entries(t: Type, c: Column, dtype: T.DataType, path: Column, inner: bool = F
     """One Column for each rule of ``t``: a violation struct, or null where ``c`` conforms."""
     if t.abstract or t.kind == "any":
         return []
+    if isinstance(dtype, T.VariantType):
+        from pactum.operators import variants
+
+        return variants.entries(t, c, path, inner)
     a = t.enforced()
     out: list[Column] = []
     if not isinstance(dtype, _KINDS[t.kind]):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.plans.scratch import discard, written
+from pactum.plans.scratch import discard, scope, written
 
 
 def reach(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
@@ -77,3 +77,135 @@ def recursive_closure(spark: SparkSession, edges: DataFrame, start: str) -> Data
           UNION ALL
           SELECT r.start, e.dst, r.depth + 1, concat(r.path, array(e.dst)), array_contains(r.path, e.dst) FROM r JOIN _edges e ON r.node = e.src WHERE NOT r.cycle)
         SELECT * FROM r""")
+
+
+def components_of(found: DataFrame) -> DataFrame:
+    """(node, component) as ``components`` gives it, from a table of all pairs that ``reach`` found."""
+    back = found.select(F.col("node").alias("start"), F.col("start").alias("node"))
+    return found.select("start", "node").join(back, ["start", "node"]).groupBy(F.col("start").alias("node")).agg(F.min("node").alias("component"))
+
+
+def cycles_of(found: DataFrame, members: DataFrame) -> DataFrame:
+    """(component, length, cycle) as ``cycles`` gives it, from all pairs and their depths.
+
+    A path is halved at a node that lies in its middle, again and again, so the rounds grow
+    with the logarithm of the longest cycle.
+    """
+    to = lambda k: found.select(*(F.col(c).alias(f"_{c}{k}") for c in ("start", "node", "depth")))
+    whole = members.select("component").distinct().join(to(0), (F.col("component") == F.col("_start0")) & (F.col("component") == F.col("_node0")))
+    with scope() as kept:
+        parts = written(whole.select("component", F.lit(0).alias("place"), F.col("component").alias("a"), F.col("component").alias("b"), F.col("_depth0").alias("length")), "paths")
+        while not parts.filter("length > 1").isEmpty():
+            half = F.ceil(F.col("length") / 2).cast("int")
+            met = parts.filter("length > 1").withColumn("_h", half).join(to(1), (F.col("a") == F.col("_start1")) & (F.col("_h") == F.col("_depth1")))
+            met = met.join(to(2), (F.col("_node1") == F.col("_start2")) & (F.col("b") == F.col("_node2")) & (F.col("length") - F.col("_h") == F.col("_depth2")))
+            middle = written(met.groupBy("component", "place", "a", "b", "length", "_h").agg(F.min("_node1").alias("_m")), "middles")
+            left = middle.select("component", "place", "a", F.col("_m").alias("b"), F.col("_h").alias("length"))
+            right = middle.select("component", (F.col("place") + F.col("_h")).alias("place"), F.col("_m").alias("a"), "b", (F.col("length") - F.col("_h")).alias("length"))
+            parts = written(parts.filter("length <= 1").unionByName(left).unionByName(right), "paths")
+        nodes = F.transform(F.array_sort(F.collect_list(F.struct("place", "a"))), lambda s: s["a"])
+        out = parts.groupBy("component").agg(F.count("*").cast("int").alias("length"), nodes.alias("_nodes"))
+        out = written(out.select("component", "length", F.concat("_nodes", F.array("component")).alias("cycle")), "cycles")
+        kept.append(out)
+    return out
+
+
+# --- cycles --------------------------------------------------------------------------------------------------
+
+
+def _trimmed(edges: DataFrame, rounds: int) -> DataFrame:
+    """Edges whose ends are both entered and left; chains that lead to or from a cycle shrink by one a round."""
+    size = edges.count()
+    for _ in range(rounds):
+        left = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        left = written(left.select("src", "dst"), "trimmed")
+        discard(edges)
+        edges, before, size = left, size, left.count()
+        if size in (0, before):
+            break
+    return edges
+
+
+def _spread(values: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, color): the least color of all nodes from which a path leads to each node, its own among them. Only what fell is passed on."""
+    known, front = values, values
+    while True:
+        sent = front.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("_new"))
+        both = known.join(sent, "node", "left").select("node", F.least("color", "_new").alias("color"), (F.col("_new") < F.col("color")).alias("_fell"))
+        both = written(both, "colors")
+        front = both.filter("_fell").select("node", "color")
+        known = both.select("node", "color")
+        if front.isEmpty():
+            return known
+
+
+def components(edges: DataFrame, trim_rounds: int = 8) -> DataFrame:
+    """(node, component): the nodes that stand on a cycle, with the least node of their strongly connected component.
+
+    What can't be on a cycle is trimmed. Each node takes the least node that leads to it as
+    its pivot; from all pivots at once paths are followed backward, within the nodes of
+    one pivot, and what is met is the pivot's component. Edges within other nodes of one
+    pivot are split off and searched anew. All components of a round are found together,
+    and rounds pass on only what changed; nothing is listed path by path.
+    """
+    spark = edges.sparkSession
+    left = written(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "edges")
+    schema, parts = left.select(F.col("src").alias("node"), F.col("src").alias("component")).schema, []
+    with scope() as kept:
+        while True:
+            left = _trimmed(left, trim_rounds)
+            if left.isEmpty():
+                break
+            nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+            colors = _spread(written(nodes.withColumn("color", F.col("node")), "nodes"), left)
+            of = lambda name, to: colors.select(F.col("node").alias(name), F.col("color").alias(to))
+            within = written(left.join(of("src", "_a"), "src").join(of("dst", "_b"), "dst").filter("_a = _b").select("src", "dst", F.col("_a").alias("color")), "within")
+            # backward from the pivots
+            found = front = written(colors.filter("node = color"), "members")
+            while True:
+                before = front.join(within.select("src", "dst"), F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "color").distinct()
+                front = written(before.join(found.select("node"), "node", "left_anti"), "members")
+                if front.isEmpty():
+                    break
+                found = written(found.unionByName(front), "found")
+            inner = within.join(found.select(F.col("node").alias("src")), "src", "left_semi").join(found.select(F.col("node").alias("dst")), "dst", "left_semi")
+            cyclic = written(inner.select(F.col("src").alias("node"), F.col("color").alias("component")).distinct(), "component")
+            parts.append(cyclic)
+            kept.append(cyclic)
+            left = written(within.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "edges")
+    return spark.read.schema(schema).parquet(*(p._scratch_path for p in parts)) if parts else spark.createDataFrame([], schema)
+
+
+def cycles(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(component, length, cycle): a shortest cycle through the least node of each component of ``members``, closed by that node again.
+
+    A breadth-first search in all components at once; each node keeps the least of the
+    nodes that lead to it by a shortest path, and the cycle is read back from these.
+    """
+    e = edges.select("src", "dst").distinct()
+    e = e.join(members.select(F.col("node").alias("src"), "component"), "src").join(members.select(F.col("node").alias("dst"), F.col("component").alias("_c")), "dst").filter("component = _c").select("component", "src", "dst")
+    with scope() as kept:
+        e = written(e, "inner")
+        front = written(e.filter("src = component").groupBy("component", F.col("dst").alias("node")).agg(F.min("src").alias("parent")).withColumn("depth", F.lit(1)), "front")
+        parts = [front]
+        while True:
+            closed = front.filter("node = component").select("component")
+            seen = front.sparkSession.read.schema(front.schema).parquet(*(p._scratch_path for p in parts))
+            done = seen.filter("node = component").select("component").distinct()
+            far = front.join(closed, "component", "left_anti").join(e, (F.col("node") == F.col("src")) & (front["component"] == e["component"])).select(e["component"], F.col("dst").alias("node"), F.col("src").alias("parent"))
+            new = far.join(done, "component", "left_anti").groupBy("component", "node").agg(F.min("parent").alias("parent")).join(seen.select("component", "node"), ["component", "node"], "left_anti")
+            front = written(new.withColumn("depth", F.lit(len(parts) + 1)), "front")
+            if front.isEmpty():
+                break
+            parts.append(front)
+        # back from the end, one step a round
+        tree = front.sparkSession.read.schema(front.schema).parquet(*(p._scratch_path for p in parts))
+        walk = written(tree.filter("node = component").select("component", F.col("depth").alias("length"), F.col("parent").alias("at"), F.array("node").alias("cycle")), "walk")
+        back = tree.select(F.col("component").alias("_c"), F.col("node").alias("_n"), F.col("parent").alias("_p"))
+        for _ in range(len(parts) - 1):
+            on = walk.join(back, (F.col("component") == F.col("_c")) & (F.col("at") == F.col("_n")) & (F.col("at") != F.col("component")), "left")
+            going = F.col("_p").isNotNull()
+            walk = written(on.select("component", "length", F.when(going, F.col("_p")).otherwise(F.col("at")).alias("at"), F.when(going, F.concat(F.array("at"), "cycle")).otherwise(F.col("cycle")).alias("cycle")), "walk")
+        out = written(walk.select("component", "length", F.concat(F.array("component"), "cycle").alias("cycle")), "cycles")
+        kept.append(out)
+    return out

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pactum.operators.pieces import Pieces
 
 # The forms of definitions and loads in source text.
 ASSIGNMENT = r"^([A-Za-z_][A-Za-z0-9_]*)\s*=(?!=)"
@@ -54,24 +57,60 @@ def identifier_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(IDENTIFIER), F.lit(0))).alias("position", "token"))
 
 
-def offset_of(text: Column, line: Column, col: Column) -> Column:
-    """Characters before (line, column); places beyond a line or the text fall on its end."""
-    lines = F.split(text, "\n")
-    before = F.aggregate(F.slice(lines, F.lit(1), F.least(line, F.size(lines))), F.lit(0), lambda n, s: n + F.length(s) + 1)
-    within = F.least(col, F.length(F.coalesce(F.get(lines, line), F.lit(""))))
-    return F.least(before + within, F.length(text))
-
-
-def apply_edit(text: Column, e: Column) -> Column:
-    """``text`` after one edit: a range splice, or whole replacement where the range is null."""
-    a = offset_of(text, e["start_line"], e["start_col"])
-    b = F.greatest(a, offset_of(text, e["end_line"], e["end_col"]))
-    return F.when(e["start_line"].isNull(), e["text"]).otherwise(F.concat(F.substring(text, F.lit(1), a), e["text"], F.substring(text, b + 1, F.length(text))))
+#: Columns of an edit beside its key.
+EDIT = ("seq", "start_line", "start_col", "end_line", "end_col", "text")
+
+
+def edited(text: Pieces, edit: dict) -> None:
+    """One edit: a range splice, or whole replacement where the range is null; a null text counts as empty."""
+    if edit["start_line"] is None:
+        text.replace(edit["text"] or "")
+    else:
+        at = lambda line, col: (edit[line] or 0, edit[col] or 0)
+        text.splice(at("start_line", "start_col"), at("end_line", "end_col"), edit["text"] or "")
+
+
+def _folded(batches):
+    """Of partitions in which a key's rows stand together in order: (key, text) of each key with an edit."""
+    import pyarrow as pa
+
+    key = text = None
+    n, some = 0, False
+    kind = None
+    for batch in batches:
+        kind = batch.column("_key").type
+        done = []
+        for row in batch.to_pylist():
+            if not some or row["_key"] != key:
+                if n:
+                    done.append((key, text.text()))
+                key, text, n, some = row["_key"], Pieces(), 0, True
+            if row["_base"]:
+                text.replace(row["text"] or "")
+            else:
+                edited(text, row)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], kind), pa.array([x for _, x in done], pa.string())], names=["_key", "text"])
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([text.text()], pa.string())], names=["_key", "text"])
 
 
 def apply_edit_log(edits: DataFrame, key: str, base: DataFrame | None = None) -> DataFrame:
-    """(key, text): each document's edits in the order of ``seq``; later ranges refer to the edited text. A missing base is empty."""
-    names = ["seq", "start_line", "start_col", "end_line", "end_col", "text"]
-    logs = edits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("_log"))
-    logs = logs.join(base.select(key, F.col("text").alias("_base")), key, "left") if base is not None else logs.withColumn("_base", F.lit(""))
-    return logs.select(key, F.aggregate("_log", F.coalesce("_base", F.lit("")), apply_edit).alias("text"))
+    """(key, text): each document's edits in the order of ``seq``; later ranges refer to the edited text. A missing base is empty.
+
+    What stands before a key's last whole replacement is dropped by a window; the rest runs
+    through its partition in order, one document at a time held in pieces, so a document
+    costs what its edits change and its text is joined once. A null key is a document too.
+    """
+    kind = edits.schema[key].dataType
+    rows = edits.select(F.col(key).alias("_key"), F.lit(False).alias("_base"), *EDIT)
+    if base is not None:
+        first = base.select(F.col(key).cast(kind).alias("_key"), F.lit(True).alias("_base"), "text")
+        rows = rows.unionByName(first, allowMissingColumns=True)
+    whole = F.col("_base") | F.col("start_line").isNull()
+    later = Window.partitionBy("_key").orderBy("_base", *(F.col(c).desc_nulls_last() for c in EDIT)).rowsBetween(Window.unboundedPreceding, -1)
+    # a base that is replaced goes as well; its key is there with the replacement
+    left = rows.withColumn("_later", F.coalesce(F.sum(whole.cast("int")).over(later), F.lit(0))).filter("_later = 0")
+    order = left.sortWithinPartitions("_key", F.col("_base").desc(), *(F.col(c).asc_nulls_first() for c in EDIT))
+    out = T.StructType([T.StructField("_key", kind), T.StructField("text", T.StringType())])
+    return order.drop("_later").mapInArrow(_folded, out).withColumnRenamed("_key", key)

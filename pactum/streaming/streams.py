@@ -10,6 +10,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pactum.operators import modes
 from pactum.operators.checks import all_of
+from pactum.operators.pieces import Pieces
+from pactum.operators.text import EDIT, edited
 
 
 def validated(stream: DataFrame, rules: list[Column]) -> DataFrame:
@@ -73,46 +75,73 @@ def versioned(stream: DataFrame, key: str) -> DataFrame:
 
 
 class EditFold(StatefulProcessor):
-    """Per key the text after all edits so far; a key without text begins empty."""
+    """Per key the text after all edits so far; a key without text begins empty.
+
+    The state of a key is a list of its pieces, with their sizes, and the pieces, each under
+    its name. A batch reads the list and the pieces that its edits touch, and writes those
+    anew; the list has one short row for some thousand characters. With ``texts`` the whole
+    text is read and given out; without it only its size is.
+    """
+
+    def __init__(self, texts: bool = True):
+        self.texts = texts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("document", "text string, edits long")
+        self._list = handle.getValueState("pieces", "edits long, next long, names array<long>, chars array<long>, lines array<long>")
+        self._texts = handle.getMapState("texts", "name long", "text string")
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        text, n = self._state.get() if self._state.exists() else ("", 0)
-        for r in batch.itertuples(index=False):
-            text, n = spliced(text, r), n + 1
-        self._state.update((text, n))
-        yield pd.DataFrame([(key[0], n, text)], columns=["key", "edits", "text"])
+        n, next_name, names, chars, lines = self._list.get() if self._list.exists() else (0, 0, (), (), ())
+        text = Pieces(names, chars, lines, lambda name: self._texts.getValue((name,))[0], next_name)
+        stored = set(names)
+        for e in batch[list(EDIT)].astype(object).where(batch[list(EDIT)].notna(), None).to_dict("records"):
+            edited(text, {k: int(v) if k not in ("text", "seq") and v is not None else v for k, v in e.items()})
+            n += 1
+        for name in text.gone & stored:
+            self._texts.removeKey((name,))
+        for name in text.changed:
+            self._texts.updateValue((name,), (text.held[name],))
+        self._list.update((n, text.next_name, text.names, text.chars.tolist(), text.lines.tolist()))
+        yield pd.DataFrame([(key[0], n, int(text.chars.sum()), len(stored), len(text.changed), text.text() if self.texts else None)], columns=["key", "edits", "chars", "pieces_before", "pieces_written", "text"])
 
     def close(self) -> None:
         pass
 
 
-def spliced(text: str, e) -> str:
-    """``text`` after one edit; places beyond a line or the text fall on its end."""
-    import pandas as pd
+def edit_folded(stream: DataFrame, key: str, texts: bool = True) -> DataFrame:
+    """(key, edits, chars, pieces_before, pieces_written, text): each key's text after every micro-batch that edits it."""
+    out = "key string, edits long, chars long, pieces_before long, pieces_written long, text string"
+    return stream.groupBy(key).transformWithStateInPandas(EditFold(texts), outputStructType=out, outputMode="update", timeMode="none")
+
 
-    if pd.isna(e.start_line):
-        return e.text
+class FirstSeen(StatefulProcessor):
+    """Lets the first row of a key pass; forgets the key after a while."""
 
-    def offset(line: float, col: float) -> int:
-        lines = text.split("\n")
-        line = int(line)
-        before = sum(len(x) + 1 for x in lines[:line])
-        return min(before + (min(int(col), len(lines[line])) if line < len(lines) else 0), len(text))
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
 
-    a = offset(e.start_line, e.start_col)
-    b = max(a, offset(e.end_line, e.end_col))
-    return text[:a] + e.text + text[b:]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._seen = handle.getValueState("seen", "seen boolean", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        first = None
+        for part in rows:
+            if first is None and len(part):
+                first = part.iloc[:1]
+        if not self._seen.exists():
+            self._seen.update((True,))
+            yield first
+
+    def close(self) -> None:
+        pass
 
 
-def edit_folded(stream: DataFrame, key: str) -> DataFrame:
-    """(key, edits, text): each key's text after every micro-batch that edits it."""
-    return stream.groupBy(key).transformWithStateInPandas(EditFold(), outputStructType="key string, edits long, text string", outputMode="update", timeMode="none")
+def skip_seen_lately(stream: DataFrame, *keys: str, ttl_ms: int) -> DataFrame:
+    """First row of each key, and the first again once it was last let pass more than ``ttl_ms`` ago: the state holds no key longer."""
+    return stream.groupBy(*keys).transformWithStateInPandas(FirstSeen(ttl_ms), outputStructType=stream.schema, outputMode="append", timeMode="processingTime")
 
 
 def skip_seen(stream: DataFrame, *keys: str, watermark: tuple[str, str] | None = None) -> DataFrame:

@@ -1,7 +1,10 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from pactum.contracts import integer
-from pactum.operators import checks, modes
+from pactum.operators import checks, modes, text
 from pactum.streaming import streams
 
 
@@ -43,8 +46,51 @@ def test_a_failed_rebuild_leaves_no_registry(spark):
     assert latest.current is None
 
 
-def test_spliced_matches_the_batch_fold(spark):
-    from types import SimpleNamespace
+EDITS = "key string, seq long, start_line int, start_col int, end_line int, end_col int, text string"
+
+
+def fold(spark, tmp_path, batches, texts=True):
+    """The rows of each batch of edits, in order, over one checkpoint; every batch is a new query."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for batch in batches:
+        spark.createDataFrame(batch, EDITS).coalesce(1).write.mode("append").parquet(src)
+        got = streams.run_batches(streams.edit_folded(spark.readStream.schema(EDITS).parquet(src), "key", texts), out, str(tmp_path / "at"))
+    return got
+
+
+def test_edits_of_a_stream_equal_the_batch_over_restarts(spark, tmp_path):
+    rng = random.Random(3)
+    rows, batches = [], []
+    for b in range(3):
+        batch = [("k%d" % rng.randrange(3), 100 * b + i, rng.randrange(4), rng.randrange(9), rng.randrange(5), rng.randrange(9), rng.choice(["", "x", "ab\nc", None])) for i in range(12)]
+        if b:
+            batch.append(("k0", 100 * b + 50, None, None, None, None, "all\nnew"))
+        rows += batch
+        batches.append(batch)
+    got = fold(spark, tmp_path, batches)
+    last = {r["key"]: r["text"] for r in got.groupBy("key").agg(F.max_by("text", "edits").alias("text")).collect()}
+    assert last == {r["key"]: r["text"] for r in text.apply_edit_log(spark.createDataFrame(rows, EDITS), "key").collect()}
+
+
+def test_a_batch_writes_what_its_edits_change(spark, tmp_path):
+    long = "one line of the text\n" * 20_000
+    got = fold(spark, tmp_path, [[("k", 1, None, None, None, None, long)], [("k", 2, 10_000, 3, 10_000, 3, "X"), ("k", 3, 10_001, 0, 10_001, 3, "")]], texts=False)
+    first, second = sorted(got.collect(), key=lambda r: r["edits"])
+    assert (first["pieces_written"], first["chars"]) == (-(-len(long) // 4096), len(long))
+    assert second["pieces_before"] > 100 and second["pieces_written"] <= 3 and second["chars"] == len(long) - 2 and second["text"] is None
+
+
+def test_keys_seen_lately_are_skipped_and_forgotten(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src, out, at = (str(tmp_path / x) for x in ("in", "out", "at"))
+
+    def run(rows, ttl_ms):
+        spark.createDataFrame(rows, "k string, n long").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("k string, n long").parquet(src)
+        return sorted((r["k"], r["n"]) for r in streams.run_once(streams.skip_seen_lately(stream, "k", ttl_ms=ttl_ms), out, at).collect())
 
-    e = SimpleNamespace(start_line=0, start_col=1, end_line=1, end_col=1, text="X")
-    assert streams.spliced("ab\ncd", e) == "aXd"
+    assert run([("a", 1), ("b", 1)], 4000) == [("a", 1), ("b", 1)]
+    time.sleep(5)
+    assert run([("a", 2)], 4000) == [("a", 1), ("a", 2), ("b", 1)]
+    assert run([("a", 3), ("c", 3)], 600_000) == [("a", 1), ("a", 2), ("b", 1), ("c", 3)]
