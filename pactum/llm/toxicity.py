@@ -48,7 +48,7 @@ from pactum.llm.textbytes import slices
 from pactum.plans.scratch import discard, small, written
 
 #: Labelled rows that the classifier is trained on, about, at most.
-SAMPLE_ROWS = 16_384
+SAMPLE_ROWS = 8_192
 
 #: Words that are mined at most, rounds of mining, and what a word needs: documents labelled toxic, and standard errors above chance.
 MOST_WORDS, ROUNDS, LEAST_DOCUMENTS, LEAST_ERRORS = 48, 4, 5, 3.0
@@ -59,8 +59,8 @@ CANDIDATES = 200
 #: Lengths of the beginnings of words that are mined and hashed like words.
 STEMS = (4, 5, 6, 7, 8)
 
-#: Counts that a task gathers before it hands them on.
-GATHERED = 1 << 18
+#: Counts that a task gathers before it hands them on, and words of which it keeps what it worked out.
+GATHERED, KNOWN_WORDS = 1 << 19, 1 << 18
 
 #: Of words that are taken in one round no one is found together with another in more than this part of its documents.
 TOGETHER = 0.8
@@ -82,31 +82,66 @@ PHRASES = ("shut up", "get lost", "drop dead", "go to hell", "hate you", "kill y
 ADDRESS = "you your yours yourself u ur tu tú te ti usted ustedes toi vous votre du dich dir dein deine ihr euch"
 
 _LISTS = {lang: frozenset(words.split()) for lang, words in INSULTS.items()}
-_LISTED = frozenset().union(*_LISTS.values())
 _ADDRESS = frozenset(ADDRESS.split())
-_UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
-_EXCLAIMED, _MASKED, _STRETCHED = re.compile(rb"!{3}"), re.compile(rb"[A-Za-z][*#@$%]{2,}[A-Za-z]"), re.compile(rb"([A-Za-z])\1{3}")
+_UPPER, _LOWER, _SYMBOLS = bytes(range(65, 91)), bytes(range(97, 123)), b"*#@$%"
+_MASKED, _STRETCHED = re.compile(rb"[A-Za-z][*#@$%]{2,}[A-Za-z]"), re.compile(r"([a-z])\1{3}")
+#: A word of each phrase, by which texts without one are passed over.
+_PHRASE_WORDS = frozenset(max(p.split(), key=len).encode() for p in PHRASES)
 
 #: Patterns that need the text; the others need only its words.
-SPELLINGS = ("phrase", "shouting", "exclaiming", "masked", "stretched")
-OTHERS = ("list_en", "list_es", "list_fr", "list_de", "addressed", "nothing")
+SPELLINGS = ("phrase", "shouting", "exclaiming", "masked")
+OTHERS = ("stretched", "list_en", "list_es", "list_fr", "list_de", "addressed", "nothing")
 
 
-def described(raw: bytes | None) -> tuple[set[str], int]:
+class Known(dict):
+    """What is worked out for a word, once for the many texts that hold it; forgotten when there are many words."""
+
+    def __init__(self, work, most: int = KNOWN_WORDS):
+        self.work, self.most = work, most
+
+    def __missing__(self, word):
+        if len(self) >= self.most:
+            self.clear()
+        out = self[word] = self.work(word)
+        return out
+
+
+class Finder:
+    """What words stand for, of which few stand for anything: ``work`` gives it for a word, once for many texts."""
+
+    def __init__(self, work):
+        self.work, self.seen, self.hits = work, set(), {}
+        self.hit_words: set[bytes] = set()
+
+    def __call__(self, words: set[bytes]) -> set:
+        new = words - self.seen
+        if len(self.seen) > 4 * KNOWN_WORDS:
+            self.seen.clear()
+        for w in new:
+            if w not in self.hit_words and (out := self.work(w)):
+                self.hits[w] = out
+                self.hit_words.add(w)
+        self.seen |= new
+        return {x for w in words & self.hit_words for x in self.hits[w]}
+
+
+def described(raw: bytes | None) -> tuple[set[bytes], int]:
     """The distinct words of a text, and a bit for each of SPELLINGS that it shows."""
     raw, words, said = raw or b"", set(), False
     for run in term_runs(raw):
-        joined = b" ".join(run).decode("utf-8", "replace")
-        words.update(joined.split(" "))
-        said = said or any(p in joined for p in PHRASES)
-    upper, lower = (len(raw) - len(raw.translate(None, x)) for x in (_UPPER, _LOWER))
-    shows = (said, upper >= 20 and upper > 0.3 * (upper + lower), _EXCLAIMED.search(raw), _MASKED.search(raw), _STRETCHED.search(raw))
+        words.update(run)
+        if not (said or _PHRASE_WORDS.isdisjoint(run)):
+            joined = b" ".join(run)
+            said = any(p.encode() in joined for p in PHRASES)
+    upper, lower, symbols = (len(raw) - len(raw.translate(None, x)) for x in (_UPPER, _LOWER, _SYMBOLS))
+    shows = (said, upper >= 20 and upper > 0.3 * (upper + lower), b"!!!" in raw, symbols > 1 and _MASKED.search(raw))
     return words, sum(1 << i for i, x in enumerate(shows) if x)
 
 
-def stems(words: set[str]) -> set[str]:
-    """The beginnings, marked by a star, of words that go on after them."""
-    return {w[:k] + "*" for w in words for k in STEMS if k < len(w)}
+def entries_of(word: bytes) -> list[str]:
+    """A word, and its beginnings marked by a star."""
+    w = word.decode("utf-8", "replace")
+    return [w, *(w[:k] + "*" for k in STEMS if k < len(w))]
 
 
 class Voters:
@@ -115,23 +150,37 @@ class Voters:
     def __init__(self, lexicon: list[str]):
         self.lexicon = {w: i for i, w in enumerate(lexicon)}
         self.names = [*lexicon, *SPELLINGS, *OTHERS]
-        self.known = _LISTED | self.lexicon.keys()
+        self.spelled = len(lexicon)
+        self.others = self.spelled + len(SPELLINGS)
+        self.stems = {e[:-1]: i for e, i in self.lexicon.items() if e.endswith("*")}
+        self.lengths = sorted({len(e) for e in self.stems})
 
     def __len__(self) -> int:
         return len(self.names)
 
-    def fire(self, words: set[str], begun: set[str], spellings: int) -> list[int]:
-        """The numbers of the voters that fire, in order; ``begun`` are the stems of the words."""
-        found, marked = words & self.known, begun & self.known
-        mined = sorted(self.lexicon[w] for w in found | marked if w in self.lexicon)
-        # what is mined is its own voter, not one of a list's
-        listed = found - self.lexicon.keys()
-        n = len(self.lexicon)
-        out = mined + [n + i for i in range(len(SPELLINGS)) if spellings >> i & 1]
-        n += len(SPELLINGS)
-        some = bool(mined or listed)
-        others = (*(bool(listed & own) for own in _LISTS.values()), some and not words.isdisjoint(_ADDRESS), not (some or spellings & 1))
-        return out + [n + i for i, x in enumerate(others) if x]
+    def of(self, word: bytes) -> tuple[int, ...]:
+        """The voters that fire on a word; the one for address needs another word beside it."""
+        w = word.decode("utf-8", "replace")
+        out = [self.stems[w[:k]] for k in self.lengths if k < len(w) and w[:k] in self.stems]
+        if w in self.lexicon:  # what is mined is its own voter, not one of a list's
+            out.append(self.lexicon[w])
+        else:
+            out += [self.others + 1 + i for i, own in enumerate(_LISTS.values()) if w in own]
+        if _STRETCHED.search(w):
+            out.append(self.others)
+        if w in _ADDRESS:
+            out.append(self.others + 5)
+        return tuple(out)
+
+    def fire(self, by_words: set[int], spellings: int) -> list[int]:
+        """The numbers of the voters that fire; ``by_words`` are those of the words."""
+        out = by_words | {self.spelled + i for i in range(len(SPELLINGS)) if spellings >> i & 1}
+        some = any(v < self.spelled or self.others < v <= self.others + 4 for v in by_words)
+        if not some:
+            out.discard(self.others + 5)
+            if not spellings & 1:
+                out.add(self.others + 6)
+        return sorted(out)
 
 
 @dataclass(frozen=True)
@@ -191,34 +240,57 @@ class LabelModel:
 # --- features and the classifier -----------------------------------------------------------------------------
 
 
-def features(voters: Voters, words: set[str], spellings: int) -> tuple[list[int], list[int]]:
-    """Buckets of the words and their stems, and the voters that fire."""
-    begun = stems(words)
-    return [zlib.crc32(w.encode()) & (BUCKETS - 1) for s in (words, begun) for w in s], voters.fire(words, begun, spellings)
+def buckets_of(word: bytes) -> list[int]:
+    """The buckets of a word and of its stems."""
+    if word.isascii():
+        starts = [word[:k] for k in STEMS if k < len(word)]
+    else:
+        w = word.decode("utf-8", "replace")
+        starts = [w[:k].encode() for k in STEMS if k < len(w)]
+    crc = zlib.crc32
+    return [crc(word) & (BUCKETS - 1), *(crc(b"*", crc(x)) & (BUCKETS - 1) for x in starts)]
 
 
-def train(rows: list[tuple[list[int], list[int]]], chance: np.ndarray, voters: int, steps: int = 200, rate: float = 0.5, keep: float = 1e-4) -> np.ndarray:
-    """Weights of the buckets, the voters and a constant: logistic loss against chances, by full gradients with a step for each weight."""
+def train(rows: list[tuple[int, np.ndarray, list[int]]], chance: np.ndarray, voters: int, steps: int = 120, rate: float = 0.5, keep: float = 1e-4) -> np.ndarray:
+    """Weights of the buckets, the voters and a constant: logistic loss against chances, by full gradients with a step for each weight.
+
+    ``rows`` are (words, buckets, voters that fire); buckets weigh the less the more words there are.
+    """
     size = BUCKETS + voters + 1
-    index = [np.array([*b, *(BUCKETS + v for v in f), size - 1], np.int64) for b, f in rows]
-    value = [np.concatenate([np.full(len(b), max(1, len(b)) ** -0.5), np.ones(len(f) + 1)]) for b, f in rows]
-    n = np.array([len(x) for x in index])
-    index, value, first = np.concatenate(index), np.concatenate(value), np.concatenate([[0], np.cumsum(n)[:-1]])
+    index = [np.concatenate([b, np.array([*(BUCKETS + v for v in f), size - 1], np.int32)]) for _, b, f in rows]
+    value = np.concatenate([np.concatenate([np.full(len(b), max(1, n) ** -0.5), np.ones(len(f) + 1)]) for n, b, f in rows])
+    sizes = np.array([len(x) for x in index])
+    index, first = np.concatenate(index), np.concatenate([[0], np.cumsum(sizes)[:-1]])
     w, seen = np.zeros(size), np.zeros(size)
     for _ in range(steps):
         z = np.add.reduceat(w[index] * value, first)
         off = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - chance) / len(rows)
-        g = np.bincount(index, np.repeat(off, n) * value, size) + keep * w
+        g = np.bincount(index, np.repeat(off, sizes) * value, size) + keep * w
         seen += g * g
         w -= rate * g / np.sqrt(seen + 1e-12)
     return w
 
 
-def probability(weights: np.ndarray, buckets: list[int], fired: list[int]) -> float:
-    z = weights[-1] + sum(weights[BUCKETS + v] for v in fired)
-    if buckets:
-        z += weights[np.array(buckets)].sum() * len(buckets) ** -0.5
-    return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
+class Scorer:
+    """The probability of texts under trained weights; what a word adds is worked out once."""
+
+    def __init__(self, voters: Voters, weights: np.ndarray):
+        self.voters, self.weights = voters, weights.tolist()
+        self.hits: dict[bytes, tuple[int, ...]] = {}
+        self.hit_words: set[bytes] = set()
+        self.adds = Known(self._word, 2 * KNOWN_WORDS)
+
+    def _word(self, word: bytes) -> float:
+        if (fired := self.voters.of(word)) and word not in self.hit_words:
+            self.hits[word] = fired
+            self.hit_words.add(word)
+        return sum([self.weights[b] for b in buckets_of(word)])
+
+    def __call__(self, words: set[bytes], spellings: int) -> float:
+        z = math.fsum(map(self.adds.__getitem__, words)) * max(1, len(words)) ** -0.5
+        fired = self.voters.fire({v for w in words & self.hit_words for v in self.hits[w]}, spellings)
+        z += self.weights[-1] + math.fsum(self.weights[BUCKETS + v] for v in fired)
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
 # --- Spark jobs ----------------------------------------------------------------------------------------------
@@ -235,23 +307,24 @@ def _described_rows(batches: Iterator) -> Iterator:
 
     for batch in (part for whole in batches for part in slices(whole)):
         found = [described(x) for x in _raw(batch)]
-        words = pa.array([sorted(w) for w, _ in found], pa.list_(pa.string()))
+        words = pa.array([sorted(w) for w, _ in found], pa.list_(pa.binary()))
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), batch.column("toxic"), words, pa.array([s for _, s in found], pa.int32())], names=["id", "h", "toxic", "words", "spellings"])
 
 
-def _entries(batches: Iterator, without: list[str]) -> Iterator:
-    """The words and stems of each row that holds none of ``without``, and its label."""
-    gone = set(without)
+def _entry_sets(batches: Iterator, among: set[str]) -> Iterator:
+    """The words and stems of each row that are among some."""
+    find = Finder(lambda w: [e for e in entries_of(w) if e in among])
     for batch in batches:
-        for words, y in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            found = set(words)
-            found |= stems(found)
-            if found.isdisjoint(gone):
-                yield found, y
+        for words in batch.column("words").to_pylist():
+            yield find(set(words))
 
 
-def _counts(without: list[str]):
-    """(entry, a, b): rows labelled toxic and not that hold each word or stem; entry null counts rows."""
+def _counts(explained: list[str], newly: list[str]):
+    """(entry, a, b): rows labelled toxic and not that hold each word or stem; entry null counts rows.
+
+    Of all rows; or, if there is something ``newly`` taken, of the rows that hold something of
+    it and nothing of what was ``explained`` before.
+    """
 
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -262,27 +335,33 @@ def _counts(without: list[str]):
             held[0].clear(), held[1].clear()
             return out
 
-        held = (Counter(), Counter())
-        for found, y in _entries(batches, without):
-            held[y].update(found)
-            held[y][None] += 1
-            if len(held[0]) + len(held[1]) > GATHERED:
-                yield handed_on()
+        held, before, now = (Counter(), Counter()), set(explained), set(newly)
+        known, some_of = Known(entries_of), Finder(lambda w: [e for e in entries_of(w) if e in before or e in now])
+        for batch in batches:
+            for words, y in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                if now:
+                    some = some_of(set(words))
+                    if some.isdisjoint(now) or not some.isdisjoint(before):
+                        continue
+                held[y].update(set().union(*(known[w] for w in words)))
+                held[y][None] += 1
+                if len(held[0]) + len(held[1]) > GATHERED:
+                    yield handed_on()
         yield handed_on()
 
     return rows
 
 
-def _pairs(without: list[str], of: list[str]):
-    """(one, other, n): rows labelled toxic that hold both, of the entries ``of``."""
+def _pairs(explained: list[str], of: list[str]):
+    """(one, other, n): rows that hold both, of the entries ``of``, and nothing that is explained."""
 
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        wanted, n = set(of), Counter()
-        for found, y in _entries(batches, without):
-            if y:
-                n.update(permutations(sorted(found & wanted), 2))
+        before, n = set(explained), Counter()
+        for found in _entry_sets(batches, before | set(of)):
+            if found.isdisjoint(before):
+                n.update(permutations(sorted(found), 2))
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in n], pa.string()) for i in (0, 1)] + [pa.array(n.values(), pa.int64())], names=["one", "other", "n"])
 
     return rows
@@ -294,12 +373,12 @@ def _together(voters: Voters):
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        n, counts = 0, np.zeros((len(voters), len(voters)), np.int64)
+        n, counts, find = 0, np.zeros((len(voters), len(voters)), np.int64), Finder(voters.of)
         for batch in (part for whole in batches for part in slices(whole)):
             fired = np.zeros((batch.num_rows, len(voters)), np.float32)
             for i, x in enumerate(_raw(batch)):
                 words, s = described(x)
-                fired[i, voters.fire(words, stems(words), s)] = 1
+                fired[i, voters.fire(find(words), s)] = 1
             n += len(fired)
             counts += np.rint(fired.T @ fired).astype(np.int64)
         i, j = np.nonzero(counts)
@@ -314,10 +393,10 @@ def _with_label(voters: Voters):
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        n, toxic = np.zeros(len(voters), np.int64), np.zeros(len(voters), np.int64)
+        n, toxic, find = np.zeros(len(voters), np.int64), np.zeros(len(voters), np.int64), Finder(voters.of)
         for batch in batches:
             for words, s, y in zip(*(batch.column(c).to_pylist() for c in ("words", "spellings", "toxic")), strict=True):
-                fired = voters.fire(words := set(words), stems(words), s)
+                fired = voters.fire(find(set(words)), s)
                 n[fired] += 1
                 toxic[fired] += y
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(voters)), pa.int32()), pa.array(n), pa.array(toxic)], names=["voter", "n", "toxic"])
@@ -329,10 +408,11 @@ def _fit(voters: Voters, model: LabelModel):
     def rows(table):
         import pyarrow as pa
 
-        data, chance = [], []
+        data, chance, find, buckets = [], [], Finder(voters.of), Known(buckets_of)
         for words, s, y in zip(*(table.column(c).to_pylist() for c in ("words", "spellings", "toxic")), strict=True):
-            data.append(features(voters, set(words), s))
-            chance.append(model.chance(data[-1][1], y))
+            fired = voters.fire(find(set(words)), s)
+            data.append((len(words), np.fromiter((b for w in words for b in buckets[w]), np.int32), fired))
+            chance.append(model.chance(fired, y))
         weights = train(data, np.array(chance), len(voters))
         return pa.Table.from_arrays([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
 
@@ -343,8 +423,9 @@ def _scored(voters: Voters, weights: np.ndarray):
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        probability = Scorer(voters, weights)
         for batch in (part for whole in batches for part in slices(whole)):
-            score = [probability(weights, *features(voters, *described(x))) for x in _raw(batch)]
+            score = [probability(*described(x)) for x in _raw(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     return rows
@@ -357,31 +438,42 @@ def held_out(doc_id, folds: int = 5):
 def mined(labelled: DataFrame, most: int = MOST_WORDS) -> list[str]:
     """Words and stems of (toxic, words) rows that set the toxic ones apart, in the order in which they were taken."""
     out: list[str] = []
+    taken: list[str] = []
+    counts = None
     for _ in range(ROUNDS):
-        counts = written(labelled.mapInArrow(_counts(out), "entry string, a long, b long").groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "entries")
+        # all rows are counted once; from then on the rows that were newly explained are taken off
+        new = labelled.mapInArrow(_counts(out[: len(out) - len(taken)], taken), "entry string, a long, b long")
+        less = new if counts is None else counts.unionByName(new.select("entry", (-F.col("a")).alias("a"), (-F.col("b")).alias("b")))
+        sums = less.groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        # counts only fall, so what is too rare now stays so
+        left = written(sums.filter((F.col("a") >= LEAST_DOCUMENTS) | F.col("entry").isNull()), "entries")
+        if counts is not None:
+            discard(counts)
+        counts = left
         n = counts.filter("entry is null").first()
         if n is None:
             break
         a, b, n1, n0 = F.col("a"), F.col("b"), n["a"], n["b"]
         odds = F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n0 - b + 0.5))
         error = F.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
-        apart = counts.filter("entry is not null").filter((a >= LEAST_DOCUMENTS) & (a > b) & (odds / error >= LEAST_ERRORS))
+        apart = counts.filter("entry is not null").filter((a > b) & (odds / error >= LEAST_ERRORS))
         # of equal ones whole words, then longer stems, come first
         best = apart.orderBy((a - b).desc(), F.col("entry").endswith("*"), F.length("entry").desc(), "entry").limit(CANDIDATES).collect()
-        discard(counts)
         # lesser ones may follow from these; they wait for the next round, which leaves out what these explain
         found = {r["entry"]: r["a"] for r in best if 2 * (r["a"] - r["b"]) >= best[0]["a"] - best[0]["b"]}
         if not found:
             break
-        pairs = labelled.mapInArrow(_pairs(out, list(found)), "one string, other string, n long").groupBy("one", "other").agg(F.sum("n").alias("n"))
+        pairs = labelled.filter("toxic = 1").mapInArrow(_pairs(out, list(found)), "one string, other string, n long").groupBy("one", "other").agg(F.sum("n").alias("n"))
         along = {(r["one"], r["other"]): r["n"] for r in pairs.collect()}  # at most a number for each two candidates
-        taken: list[str] = []
+        taken = []
         for w in found:
-            if all(along.get((w, u), 0) <= TOGETHER * found[w] for u in taken):
+            if len(out) + len(taken) < most and all(along.get((w, u), 0) <= TOGETHER * found[w] for u in taken):
                 taken.append(w)
-        out += taken[: most - len(out)]
+        out += taken
         if len(out) >= most:
             break
+    if counts is not None:
+        discard(counts)
     return out
 
 
@@ -391,7 +483,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     one = written(one.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_labelled"), "toxic"), "labels")
     texts = docs.select("doc_id", "text").join(small(one), F.col("doc_id") == F.col("_labelled"))
     rows = texts.select(F.monotonically_increasing_id().alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.col("toxic").cast("int").alias("toxic"), "text")
-    found = written(rows.mapInArrow(_described_rows, "id long, h long, toxic int, words array<string>, spellings int"), "described")
+    found = written(rows.mapInArrow(_described_rows, "id long, h long, toxic int, words array<binary>, spellings int"), "described")
     first = written(found.groupBy("h").agg(F.min("id").alias("_first")).select("_first"), "first")
     return written(found.join(small(first), F.col("id") == F.col("_first"), "left_semi").drop("h"), "labelled")
 

@@ -283,5 +283,5 @@ def test_label_model_finds_rates_and_correlations():
 def test_mined_words_leave_out_what_only_goes_along(spark):
     rng = random.Random(9)
     rows = [(int(i % 5 == 0), [*{f"w{rng.randrange(60)}" for _ in range(8)}, *(["scold", "after"] if i % 10 == 0 else ["blame"] if i % 5 == 0 else [])]) for i in range(400)]
-    got = toxicity.mined(spark.createDataFrame(rows, "toxic int, words array<string>"))
+    got = toxicity.mined(spark.createDataFrame([(y, [w.encode() for w in x]) for y, x in rows], "toxic int, words array<binary>"))
     assert {"blame"} < set(got) and len({"scold", "after"} & set(got)) == 1
