@@ -53,6 +53,9 @@ SAMPLE_ROWS = 8_192
 #: Words that are mined at most, rounds of mining, and what a word needs: documents labelled toxic, and standard errors above chance.
 MOST_WORDS, ROUNDS, LEAST_DOCUMENTS, LEAST_ERRORS = 48, 4, 5, 3.0
 
+#: Slots into which words and stems are hashed to tell which of them toxic rows hold.
+SLOTS = 1 << 20
+
 #: Words and stems that are looked at in a round.
 CANDIDATES = 200
 
@@ -319,10 +322,14 @@ def _entry_sets(batches: Iterator, among: set[str]) -> Iterator:
             yield find(set(words))
 
 
-def _counts(explained: list[str], newly: list[str]):
+def _slot(entry: str) -> int:
+    return zlib.crc32(entry.encode()) & (SLOTS - 1)
+
+
+def _counts(explained: list[str], newly: list[str], slots: np.ndarray | None = None):
     """(entry, a, b): rows labelled toxic and not that hold each word or stem; entry null counts rows.
 
-    Of all rows; or, if there is something ``newly`` taken, of the rows that hold something of
+    Entries count whose slot is marked, if slots are given. Of all rows; or, if there is something ``newly`` taken, of the rows that hold something of
     it and nothing of what was ``explained`` before.
     """
 
@@ -336,7 +343,8 @@ def _counts(explained: list[str], newly: list[str]):
             return out
 
         held, before, now = (Counter(), Counter()), set(explained), set(newly)
-        known, some_of = Known(entries_of), Finder(lambda w: [e for e in entries_of(w) if e in before or e in now])
+        wanted = (lambda w: entries_of(w)) if slots is None else (lambda w: [e for e in entries_of(w) if slots[_slot(e)]])
+        known, some_of = Known(wanted), Finder(lambda w: [e for e in entries_of(w) if e in before or e in now])
         for batch in batches:
             for words, y in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 if now:
@@ -439,16 +447,23 @@ def mined(labelled: DataFrame, most: int = MOST_WORDS) -> list[str]:
     """Words and stems of (toxic, words) rows that set the toxic ones apart, in the order in which they were taken."""
     out: list[str] = []
     taken: list[str] = []
-    counts = None
+    schema = "entry string, a long, b long"
+    # the toxic rows tell which entries can matter; of the others only those are counted, and what shares a slot with them
+    often = labelled.filter("toxic = 1").mapInArrow(_counts([], []), schema).groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = written(often.filter((F.col("a") >= LEAST_DOCUMENTS) | F.col("entry").isNull()), "entries")
+    slots = np.zeros(SLOTS, bool)
+    marked = counts.filter("entry is not null").select(F.crc32(F.col("entry").cast("binary")).bitwiseAND(SLOTS - 1).cast("int").alias("slot")).distinct()
+    slots[[r["slot"] for r in marked.collect()]] = True  # at most SLOTS numbers
     for _ in range(ROUNDS):
         # all rows are counted once; from then on the rows that were newly explained are taken off
-        new = labelled.mapInArrow(_counts(out[: len(out) - len(taken)], taken), "entry string, a long, b long")
-        less = new if counts is None else counts.unionByName(new.select("entry", (-F.col("a")).alias("a"), (-F.col("b")).alias("b")))
-        sums = less.groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        if taken:
+            new = labelled.mapInArrow(_counts(out[: len(out) - len(taken)], taken, slots), schema).select("entry", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))
+        else:
+            new = labelled.filter("toxic = 0").mapInArrow(_counts([], [], slots), schema)
+        sums = counts.unionByName(new).groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         # counts only fall, so what is too rare now stays so
         left = written(sums.filter((F.col("a") >= LEAST_DOCUMENTS) | F.col("entry").isNull()), "entries")
-        if counts is not None:
-            discard(counts)
+        discard(counts)
         counts = left
         n = counts.filter("entry is null").first()
         if n is None:
@@ -472,8 +487,7 @@ def mined(labelled: DataFrame, most: int = MOST_WORDS) -> list[str]:
         out += taken
         if len(out) >= most:
             break
-    if counts is not None:
-        discard(counts)
+    discard(counts)
     return out
 
 
