@@ -100,8 +100,10 @@ def local_refs(t):
  UNION ALL SELECT want, 'candidate', NULL, NULL, unnest(candidates) FROM done WHERE status = 'ambiguous'""")
 def resolve_ref(t):
     """A row for each request, and one for each candidate of an ambiguous one."""
-    resolved = written(refs.resolve_refs(wanted(t), order_refs_listing(t), local_refs(t)), "resolved")
-    listed = refs.candidates(resolved, order_refs_listing(t)).select("want", F.lit("candidate").alias("status"), F.col("sha").alias("candidate"))
+    listing = written(order_refs_listing(t), "listing")
+    matches = written(refs.prefix_matches(wanted(t), listing), "matches")
+    resolved = written(refs.resolve_refs(wanted(t), listing, local_refs(t), matches=matches), "resolved")
+    listed = refs.candidates(resolved, listing, matches=matches).select("want", F.lit("candidate").alias("status"), F.col("sha").alias("candidate"))
     return resolved.unionByName(listed, allowMissingColumns=True)
 
 

@@ -42,7 +42,7 @@ def mode_all_violations(t):
 @query("""SELECT o_orderkey, 'valid' AS part, 0::INT AS n FROM orders WHERE o_totalprice <= 200000 AND o_orderstatus IN ('F', 'O')
  UNION ALL SELECT o_orderkey, 'quarantine', (o_totalprice > 200000)::INT + (o_orderstatus NOT IN ('F', 'O'))::INT FROM orders WHERE o_totalprice > 200000 OR o_orderstatus NOT IN ('F', 'O')""")
 def mode_split(t):
-    good, bad = modes.split(t.orders, checks.column_rules(t.orders, o_totalprice=floating(max=200000.0), o_orderstatus=string(pattern="[FO]")))
+    good, bad = modes.split_written(t.orders, checks.column_rules(t.orders, o_totalprice=floating(max=200000.0), o_orderstatus=string(pattern="[FO]")))
     return good.select("o_orderkey", F.lit("valid").alias("part"), F.lit(0).alias("n")).unionByName(bad.select("o_orderkey", F.lit("quarantine").alias("part"), F.size("_violations").alias("n")))
 
 
@@ -65,10 +65,13 @@ def failure_report(t):
 
 
 @query("""SELECT l_returnflag, sum(l_quantity) AS quantity, (SELECT count(*) FROM lineitem)::BIGINT AS rows,
- (SELECT count(*) FROM lineitem WHERE l_quantity > 30 OR l_discount < 0.02 OR l_returnflag NOT IN ('A', 'N'))::BIGINT AS violating FROM lineitem GROUP BY l_returnflag""")
+ (SELECT count(*) FROM lineitem WHERE l_quantity > 30 OR l_discount < 0.02 OR l_returnflag NOT IN ('A', 'N'))::BIGINT AS violating,
+ (SELECT count(*) FROM lineitem WHERE l_quantity > 30)::BIGINT AS quantity_max, (SELECT count(*) FROM lineitem WHERE l_discount < 0.02)::BIGINT AS discount_min FROM lineitem GROUP BY l_returnflag""")
 def observe_quality(t):
-    """The sums are written, and the counts that this pass observed come with them."""
-    df, seen = modes.observed(t.lineitem, line_rules(t.lineitem), f"quality-{uuid.uuid4().hex}")
+    """The sums are written, and the counts that this pass observed come with them, in all and for two of the rules."""
+    rules = line_rules(t.lineitem)
+    named = {"quantity_max": checks.column_rules(t.lineitem, l_quantity=floating(max=30.0))[0], "discount_min": checks.column_rules(t.lineitem, l_discount=floating(min=0.02))[0]}
+    df, seen = modes.observed(t.lineitem, rules, f"quality-{uuid.uuid4().hex}", **named)
     sums = written(df.groupBy("l_returnflag").agg(F.sum("l_quantity").alias("quantity")), "sums")
     return sums.withColumns({k: F.lit(v).cast("long") for k, v in seen.get.items()})
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pactum.catalog._base import query
@@ -9,7 +11,7 @@ from pactum.contracts import field, floating, integer, record, string
 from pactum.operators import refs, registry, text
 from pactum.operators.canonical import qualified_key
 from pactum.plans.scratch import scratch_dir
-from pactum.sources import files, values
+from pactum.sources import files, keyed, values
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
@@ -20,8 +22,6 @@ def read_value(t):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
 def write_value(t):
-    import uuid
-
     order = record(field("o_orderkey", integer()), field("o_totalprice", floating()))
     out = values.Value("finished", order, values.Location("posix", {"path": f"{scratch_dir(t.spark)}/finished-{uuid.uuid4().hex}"}))
     values.write_value(t.orders.filter("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice"), out)
@@ -49,12 +49,12 @@ def parse_ref_listing(t):
     return refs.parse_ref_listing(lines).unionByName(refs.parse_tracking_refs(tracked))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 <> 0 AND event_id % 8 NOT IN (1, 3, 5) THEN (props->>'$.k')::BIGINT END AS k,
- CASE WHEN event_id % 4 = 0 THEN 'ParseError' WHEN event_id % 8 IN (1, 3, 5) THEN 'TypeError' END AS error_class FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 4 <> 0 AND event_id % 8 NOT IN (1, 3, 5, 7) AND event_id % 16 <> 2 THEN (props->>'$.k')::BIGINT END AS k,
+ CASE WHEN event_id % 4 = 0 THEN 'ParseError' WHEN event_id % 8 IN (1, 3, 5, 7) THEN 'TypeError' END AS error_class FROM events""")
 def read_permissive(t):
-    """Broken text, JSON that is no object, and a value of another type fail each in its way; none stops the others."""
+    """Broken text, JSON that is no object, a value of another type and a null fail each in its way; none stops the others, and a field may be absent."""
     k = F.col("event_id")
-    said = F.when(k % 4 == 0, F.concat(F.lit("{"), "props")).when(k % 8 == 1, F.concat(F.lit("["), "props", F.lit("]"))).when(k % 8 == 3, F.concat(F.lit('{"k":"'), k, F.lit('x"}'))).when(k % 8 == 5, k.cast("string")).otherwise(F.col("props"))
+    said = F.when(k % 4 == 0, F.concat(F.lit("{"), "props")).when(k % 8 == 1, F.concat(F.lit("["), "props", F.lit("]"))).when(k % 8 == 3, F.concat(F.lit('{"k":"'), k, F.lit('x"}'))).when(k % 8 == 5, k.cast("string")).when(k % 8 == 7, '{"k":null}').when(k % 16 == 2, "{}").otherwise(F.col("props"))
     good, bad = files.read_permissive(t.events.select("event_id", said.alias("props")), "props", "k long")
     return good.select("event_id", "parsed.k", F.lit(None).cast("string").alias("error_class")).unionByName(bad.select("event_id", F.lit(None).cast("long").alias("k"), "error_class"))
 
@@ -67,7 +67,12 @@ def registry_to_json(t):
     return registry.registry_json(df, "nation", qualified_key(F.lit("geo/nation.def"), F.col("n_name")))
 
 
-@query("SELECT DISTINCT o_custkey AS c_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+@query("""SELECT c_custkey, c_name AS origin FROM customer WHERE c_acctbal > 0
+ UNION ALL SELECT DISTINCT o_custkey, 'orders' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
 def insert_if_absent(t):
-    have = t.customer.filter("c_acctbal > 0").select("c_custkey")
-    return registry.insert_if_absent(have, t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    """Customers in credit are in the table; whoever ordered is added unless there, twice over, and nothing there changes."""
+    table = keyed.KeyedTable(t.spark, f"{scratch_dir(t.spark)}/keyed-{uuid.uuid4().hex}", ["c_custkey"], "c_custkey long, origin string")
+    table.insert_if_absent(t.customer.filter("c_acctbal > 0").select("c_custkey", F.col("c_name").alias("origin")))
+    for _ in range(2):
+        table.insert_if_absent(t.orders.select(F.col("o_custkey").alias("c_custkey"), F.lit("orders").alias("origin")))
+    return table.rows()

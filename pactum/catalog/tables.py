@@ -92,3 +92,11 @@ def key_difference(t):
     missing = F.when(k, checks.missing_keys(props, "k")).otherwise(checks.missing_keys(props, "k", "a"))
     extra = F.when(k, checks.extra_keys(props, "k")).otherwise(checks.extra_keys(props, "a"))
     return t.events.select("event_id", F.array_join(missing, ",").alias("missing"), F.array_join(extra, ",").alias("extra"))
+
+
+@query("""SELECT kind, string_agg(name, ',' ORDER BY name) AS names, count(*)::BIGINT AS n FROM (SELECT DISTINCT c_mktsegment AS kind, c_name AS name FROM customer) GROUP BY kind""")
+def name_listing(t):
+    """The names of each segment in parts of some hundred characters, put together again in the order of the parts."""
+    parts = registry.listing(t.customer, "c_mktsegment", "c_name", part_chars=500)
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("part", "names"))), lambda s: s["names"])
+    return parts.groupBy(F.col("c_mktsegment").alias("kind")).agg(F.array_join(whole, ",").alias("names"), F.sum("n").alias("n"))

@@ -1,8 +1,7 @@
 """Version resolution: branches, tags and id prefixes; snapshot states.
 
-Prefixes of at least ``PREFIX`` characters meet ids by an equi-join on their
-first characters with the rest as a residual; only shorter ones, of which there
-are at most a few thousand distinct, are exploded from the ids' side.
+Ids offer their own prefixes, one for each length that is asked for, and requests meet
+them by an equi-join on the whole prefix: the join makes the matches and no other row.
 """
 
 from __future__ import annotations
@@ -10,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters on which prefixes and ids are joined.
-PREFIX = 4
-
+from pactum.plans.scratch import small, written
 
 def parse_ref_listing(lines: DataFrame, line: str = "line") -> DataFrame:
     """(sha, ref) of tab-separated lines; others are dropped."""
@@ -38,18 +35,24 @@ def exact_matches(requests: DataFrame, refs: DataFrame, want: str = "want") -> D
 
 
 def prefix_matches(requests: DataFrame, ids: DataFrame, want: str = "want", sha: str = "sha") -> DataFrame:
-    """(want, sha): each distinct id that begins with each request, a row each."""
-    w = requests.select(want).distinct()
-    i = ids.select(F.col(sha).alias("_sha")).distinct()
-    long = w.filter(F.length(want) >= PREFIX).join(i, F.substring(want, 1, PREFIX) == F.substring("_sha", 1, PREFIX)).filter(F.startswith(F.col("_sha"), F.col(want)))
-    # the ids offer their own short prefixes, the empty one among them
-    offered = i.select("_sha", F.explode(F.array(*(F.substring("_sha", 1, n) if n else F.lit("") for n in range(PREFIX)))).alias("_p"))
-    short = w.filter(F.length(want) < PREFIX).join(offered, F.col(want) == F.col("_p")).drop("_p")
-    return long.unionByName(short).select(want, F.col("_sha").alias("sha"))
+    """(want, sha): each distinct id that begins with each request, a row each; the empty request begins all.
+
+    The lengths that are asked for, up to that of the longest id, are few numbers. Where the
+    requests are few as well, they are broadcast and ids are not shuffled.
+    """
+    w = written(requests.select(want).filter(F.col(want).isNotNull()).distinct(), "wants")
+    i = ids.select(F.col(sha).alias("_sha")).filter("_sha is not null").distinct()
+    longest = i.agg(F.max(F.length("_sha"))).first()[0] or 0
+    lengths = sorted(r[0] for r in w.select(F.length(want)).distinct().filter(F.length(want) <= longest).collect())
+    if not lengths:
+        return w.select(want, F.lit(None).cast("string").alias("sha")).limit(0)
+    offered = F.array(*(F.when(F.length("_sha") >= n, F.substring("_sha", 1, n) if n else F.lit("")) for n in lengths))
+    keys = i.select("_sha", F.explode(F.array_compact(offered)).alias("_p"))
+    return keys.join(small(w), F.col(want) == F.col("_p")).select(want, F.col("_sha").alias("sha"))
 
 
-def resolve_refs(requests: DataFrame, refs: DataFrame, local: DataFrame | None = None, want: str = "want") -> DataFrame:
-    """(want, status, sha, n_candidates) for each distinct request.
+def resolve_refs(requests: DataFrame, refs: DataFrame, local: DataFrame | None = None, want: str = "want", matches: DataFrame | None = None) -> DataFrame:
+    """(want, status, sha, n_candidates) for each distinct request; ``matches`` are those of ``prefix_matches``, if they are known.
 
     Order: a branch and a tag of the name collide; branch or tag; a unique id
     prefix; several ids are ambiguous, ``n_candidates`` of them, which ``candidates``
@@ -57,7 +60,7 @@ def resolve_refs(requests: DataFrame, refs: DataFrame, local: DataFrame | None =
     """
     w = requests.select(want).distinct()
     # sums with partial results: a short prefix that most ids share gathers nothing
-    pre = prefix_matches(w, refs, want).groupBy(want).agg(F.count("*").alias("_n"), F.min("sha").alias("_sha"))
+    pre = (prefix_matches(w, refs, want) if matches is None else matches).groupBy(want).agg(F.count("*").alias("_n"), F.min("sha").alias("_sha"))
     out = w.join(exact_matches(w, refs, want), want, "left").join(pre, want, "left")
     if local is not None:
         out = out.join(local.select(want, F.col("sha").alias("_local")), want, "left")
@@ -69,9 +72,10 @@ def resolve_refs(requests: DataFrame, refs: DataFrame, local: DataFrame | None =
     return out.select(want, status.alias("status"), sha.alias("sha"), F.when(status == "ambiguous", F.col("_n")).alias("n_candidates"))
 
 
-def candidates(resolved: DataFrame, refs: DataFrame, want: str = "want") -> DataFrame:
+def candidates(resolved: DataFrame, refs: DataFrame, want: str = "want", matches: DataFrame | None = None) -> DataFrame:
     """(want, sha): the ids of each ambiguous request of ``resolve_refs``, a row each."""
-    return prefix_matches(resolved.filter("status = 'ambiguous'"), refs, want)
+    asked = resolved.filter("status = 'ambiguous'").select(want)
+    return prefix_matches(asked, refs, want) if matches is None else matches.join(asked, want, "left_semi")
 
 
 def snapshot_status(keys: DataFrame, key: str, folders: DataFrame, sentinels: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pactum.plans.scratch import written
+
 
 def latest_by_name(df: DataFrame, names: list[str], seq: str) -> DataFrame:
     """The row with the highest ``seq`` for each name. A hash aggregate with partial maxima, so hot names cost little."""
@@ -35,7 +37,8 @@ def lookup_by_name(df: DataFrame, label: str, registry: DataFrame, name: str, ki
 
     The error lists all names of the kind in order. They are one text that only rows
     without a hit meet, by a key that is null in the others; for registries whose names
-    should not stand in one text, ``unresolved`` gives the labels alone.
+    should not stand in one text, ``unresolved`` gives the labels alone and ``listing`` the
+    names in parts.
     """
     have = registry if kind is None else registry.filter(F.col("kind") == kind)
     names = have.agg(F.array_join(F.array_sort(F.collect_set(name)), ",").alias("_available")).withColumn("_miss", F.lit(True))
@@ -94,6 +97,27 @@ def available_names(df: DataFrame, kind: str, name: str) -> DataFrame:
     return df.groupBy(kind).agg(F.array_sort(F.collect_set(name)).alias("names"))
 
 
+def listing(df: DataFrame, kind: str, name: str, part_chars: int = 4096, sep: str = ",") -> DataFrame:
+    """(kind, part, first, n, names): the sorted distinct names of each kind, in texts of about ``part_chars`` characters.
+
+    For listings of any size: names are dealt to partitions by ranges of (kind, name); a
+    running count of characters within each range cuts it into parts, and the parts of the
+    ranges before are counted to number them from 0. No row holds more than one part, and
+    only the ranges themselves, a few for each partition, are counted in one place.
+    """
+    own = Window.partitionBy("_range", kind)
+    sorted_ = df.select(kind, name).filter(F.col(name).isNotNull()).distinct().repartitionByRange(kind, name).withColumn("_range", F.spark_partition_id())
+    names = written(sorted_, "names")
+    chars = F.sum(F.length(name) + len(sep)).over(own.orderBy(name).rowsBetween(Window.unboundedPreceding, -1))
+    cut = names.withColumn("_part", F.floor(F.coalesce(chars, F.lit(0)) / part_chars))
+    texts = F.array_join(F.array_sort(F.collect_list(name)), sep)
+    parts = written(cut.groupBy(kind, "_range", "_part").agg(F.min(name).alias("first"), F.count("*").alias("n"), texts.alias("names")), "parts")
+    before = Window.partitionBy(kind).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = parts.groupBy(kind, "_range").agg(F.count("*").alias("_parts")).withColumn("_before", F.coalesce(F.sum("_parts").over(before), F.lit(0)))
+    numbered = parts.withColumn("_place", F.row_number().over(own.orderBy("_part")) - 1).join(ranges.select(F.col(kind).alias("_k"), F.col("_range").alias("_r"), "_before"), F.col(kind).eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r")))
+    return numbered.select(kind, (F.col("_before") + F.col("_place")).cast("int").alias("part"), "first", "n", "names")
+
+
 def registry_union(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 

@@ -37,10 +37,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
+def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here. With ``partition_by`` a folder for each value."""
     path = f"{scratch_dir(df.sparkSession)}/pactum-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*partition_by or ()).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     if _scopes:

@@ -140,7 +140,12 @@ class FirstSeen(StatefulProcessor):
 
 
 def skip_seen_lately(stream: DataFrame, *keys: str, ttl_ms: int) -> DataFrame:
-    """First row of each key, and the first again once it was last let pass more than ``ttl_ms`` ago: the state holds no key longer."""
+    """First row of each key, and the first again once it was last let pass more than ``ttl_ms`` ago: the state holds no key longer.
+
+    A query that is to end when its data are drained needs
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` set to false: processing time alone
+    is reason for another batch.
+    """
     return stream.groupBy(*keys).transformWithStateInPandas(FirstSeen(ttl_ms), outputStructType=stream.schema, outputMode="append", timeMode="processingTime")
 
 

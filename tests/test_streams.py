@@ -90,7 +90,10 @@ def test_keys_seen_lately_are_skipped_and_forgotten(spark, tmp_path):
         stream = spark.readStream.schema("k string, n long").parquet(src)
         return sorted((r["k"], r["n"]) for r in streams.run_once(streams.skip_seen_lately(stream, "k", ttl_ms=ttl_ms), out, at).collect())
 
+    # else a query with processing time goes on without data
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     assert run([("a", 1), ("b", 1)], 4000) == [("a", 1), ("b", 1)]
     time.sleep(5)
     assert run([("a", 2)], 4000) == [("a", 1), ("a", 2), ("b", 1)]
     assert run([("a", 3), ("c", 3)], 600_000) == [("a", 1), ("a", 2), ("b", 1), ("c", 3)]
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
