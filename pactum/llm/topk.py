@@ -13,14 +13,15 @@ Queries are sent to the blocks and stream past each index one by one, so a task
 holds one block and one batch of queries, however many there are. Each block hands on
 k rows a query; the best of all blocks are then ranked.
 
-Vectors that are null or empty, or hold a null or non-finite component or one whose
-quantised form is ``LIMIT`` or more in size, take no part, neither do vectors of
-another length than the query's. With these limits scores of up to 512 components
-fit their type. Repeated rows are candidates each; rows with the query's own id are
-not. Equal query rows are asked once; different vectors under one query id are ranked
-each for itself. A null id is an ordinary candidate, last among ties, and asks
-nothing. Ties go to the smaller id. An empty table gives an empty result. Other
-columns, whatever their names, play no part.
+Vectors that are null or empty, or hold a null or non-finite component, take no part,
+neither do vectors of another length than the query's. All others do, whatever their
+size: scores are added up in as many slices as they need, and a component or a score
+among the best that is beyond a long is an error, never a loss. Repeated rows are
+candidates each; a query's own row is not, that is, one row of its id and vector. Equal
+query rows are asked once; different vectors under one query id are ranked each for
+itself, and are candidates for each other. A null id is an ordinary candidate, last among
+ties, and asks nothing. Ties go to the smaller id. An empty table gives an empty result.
+Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -36,14 +37,13 @@ from pactum.plans.scratch import discard, written
 #: Rows of a block of the index at most and, so that small tables keep all cores busy, at least.
 BLOCK_ROWS, LEAST_ROWS = 65_536, 2_048
 
-#: Quantised components lie below this in size.
-LIMIT = 1 << 27
-
 
 def quantised(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component; null unless all are numbers within the limit."""
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double") * scale) >= LIMIT))
-    return F.when(~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
+    """floor(scale * x) of each component; null unless all are finite numbers, and an error where one is beyond a long."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
+    far = F.exists(vector, lambda x: F.abs(x.cast("double") * scale) >= float(1 << 63))
+    beyond = F.raise_error(F.lit("a component is beyond the range of long")).cast("array<bigint>")
+    return F.when(~bad, F.when(far, beyond).otherwise(F.transform(vector, lambda x: F.floor(x.cast("double") * scale))))
 
 
 def _pack(bits: np.ndarray) -> np.ndarray:
@@ -65,19 +65,20 @@ class SlicedBlock:
     def of(cls, rows: np.ndarray) -> SlicedBlock:
         """Of vectors [row, dimension]."""
         least = rows.min(axis=0)
-        up = np.ascontiguousarray((rows - least).T)
+        # unsigned, as the range of a dimension may be beyond a long
+        up = np.ascontiguousarray((rows.astype(np.uint64) - least.astype(np.uint64)).T)
         digits = [int(x).bit_length() for x in up.max(axis=1)]
         dim = np.repeat(np.arange(len(digits)), digits)
         digit = np.concatenate([np.arange(k) for k in digits]) if sum(digits) else np.empty(0, np.int64)
-        slices = [_pack((up[d] >> np.arange(k)[:, None] & 1).astype(np.uint8)) for d, k in enumerate(digits) if k]
+        slices = [_pack((up[d] >> np.arange(k, dtype=np.uint64)[:, None] & np.uint64(1)).astype(np.uint8)) for d, k in enumerate(digits) if k]
         return cls(len(rows), least, dim, digit, np.concatenate(slices) if slices else np.empty((0, -(-len(rows) // 64)), np.uint64))
 
     def _sum(self, query: np.ndarray, sign: int) -> list[np.ndarray]:
         """Bit-sliced sum over the dimensions with ``sign`` of |q| times the component above the least."""
-        size = np.where(query * sign > 0, np.abs(query), 0)[self.dim]
+        size = np.where(query > 0 if sign > 0 else query < 0, np.abs(query).astype(np.uint64), np.uint64(0))[self.dim]
         waiting: dict[int, list[np.ndarray]] = {}
         for j in range(int(size.max(initial=0)).bit_length()):
-            set_ = np.flatnonzero(size >> j & 1)
+            set_ = np.flatnonzero(size >> np.uint64(j) & np.uint64(1))
             for k in np.unique(self.digit[set_]).tolist():
                 waiting.setdefault(j + k, []).append(self.slices[set_[self.digit[set_] == k]])
         out, w = [], 0
@@ -132,15 +133,18 @@ class SlicedBlock:
                     open_ = np.zeros_like(open_)
                     break
         rows = np.flatnonzero(np.unpackbits((sure | open_).view(np.uint8), bitorder="little")[: self.n])
-        score = np.full(len(rows), base, dtype=object if len(slices) > 62 else np.int64)
+        # beyond 62 slices in integers of any size
+        kind = object if len(slices) > 62 else np.int64
+        score = np.full(len(rows), base, dtype=kind)
         for w, s in enumerate(slices):
-            score += ((s[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << w
+            score += ((s[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64).astype(kind) << w
         return rows, score
 
     def everything(self) -> np.ndarray:
         return _pack(np.ones((1, self.n), np.uint8))[0]
 
-INDEX = "dims int, block int, kind int, query long, id long, v array<long>, ids array<long>, least array<long>, dim array<int>, digit array<int>, slices binary"
+
+INDEX = "dims int, block int, kind int, query long, id long, hash long, v array<long>, ids array<long>, hashes array<long>, least array<long>, dim array<int>, digit array<int>, slices binary"
 
 
 def _build(key, table):
@@ -149,43 +153,38 @@ def _build(key, table):
 
     n = table.num_rows
     block = SlicedBlock.of(np.asarray(table.column("v").combine_chunks().flatten()).reshape(n, -1))
-    lists = [pa.array([x], t) for x, t in ((table.column("id").to_pylist(), pa.list_(pa.int64())), (block.least, pa.list_(pa.int64())), (block.dim, pa.list_(pa.int32())), (block.digit, pa.list_(pa.int32())))]
+    lists = [pa.array([x], t) for x, t in ((table.column("id").to_pylist(), pa.list_(pa.int64())), (table.column("hash").to_pylist(), pa.list_(pa.int64())), (block.least, pa.list_(pa.int64())), (block.dim, pa.list_(pa.int32())), (block.digit, pa.list_(pa.int32())))]
     none = pa.nulls(1, pa.int64())
-    columns = [pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([0], pa.int32()), none, none, pa.nulls(1, pa.list_(pa.int64())), *lists, pa.array([block.slices.tobytes()], pa.binary())]
-    return pa.Table.from_arrays(columns, names=["dims", "block", "kind", "query", "id", "v", "ids", "least", "dim", "digit", "slices"])
+    columns = [pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([0], pa.int32()), none, none, none, pa.nulls(1, pa.list_(pa.int64())), *lists, pa.array([block.slices.tobytes()], pa.binary())]
+    return pa.Table.from_arrays(columns, names=["dims", "block", "kind", "query", "id", "hash", "v", "ids", "hashes", "least", "dim", "digit", "slices"])
 
 
 def _search(k: int):
-    """Of a partition in which each block's index is followed by its queries: (query, query_id, id, score)."""
+    """Of a partition in which each block's index is followed by its queries: (query, query_id, id, score, own) of k + 1 rows."""
 
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        index = ids = None
-        place: dict = {}
+        index = ids = hashes = None
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             kinds = batch.column("kind").to_pylist()
             for at, kind in enumerate(kinds):
                 value = lambda c, at=at: batch.column(c)[at].as_py()  # noqa: B023, E731
                 if kind == 0:
-                    ids, place = value("ids"), {}
+                    ids, hashes = value("ids"), value("hashes")
                     slices = np.frombuffer(value("slices"), np.uint64).reshape(-1, -(-len(ids) // 64))
                     index = SlicedBlock(len(ids), *(np.array(value(c), np.int64) for c in ("least", "dim", "digit")), slices)
-                    for row, i in enumerate(ids):
-                        place.setdefault(i, []).append(row)
                     every = index.everything()
                     continue
-                q, allowed = value("id"), every
-                if q in place:
-                    allowed = every.copy()
-                    for row in place[q]:
-                        allowed[row >> 6] &= ~np.uint64(1 << (row & 63))
-                found, score = index.top(np.array(value("v"), np.int64), k, allowed)
-                for row in sorted(range(len(found)), key=lambda x: (-score[x], ids[found[x]] is None, ids[found[x]] or 0))[:k]:
-                    for c, x in zip(out, (value("query"), q, ids[found[row]], int(score[row])), strict=True):
+                q, h = value("id"), value("hash")
+                # one more than k: one of them may be the query's own row
+                found, score = index.top(np.array(value("v"), np.int64), k + 1, every)
+                for row in sorted(range(len(found)), key=lambda x: (-score[x], ids[found[x]] is None, ids[found[x]] or 0))[: k + 1]:
+                    own = ids[found[row]] == q and hashes[found[row]] == h
+                    for c, x in zip(out, (value("query"), q, ids[found[row]], int(score[row]), own), strict=True):
                         c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query", "query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.bool_())], names=["query", "query_id", "id", "score", "own"])
 
     return rows
 
@@ -202,7 +201,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
 
 def _read(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).filter("v is not null and size(v) > 0").withColumn("dims", F.size("v"))
+    return df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).filter("v is not null and size(v) > 0").withColumn("dims", F.size("v")).withColumn("hash", F.xxhash64("v"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -213,17 +212,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     # a few numbers for each block
     blocks = index.select("dims", "block").groupBy("dims").agg(F.collect_list("block").alias("_blocks"))
     sent = asked.join(F.broadcast(blocks), "dims").withColumn("block", F.explode("_blocks"))
-    met = index.unionByName(sent.select("dims", "block", F.lit(1).alias("kind"), "query", "id", "v"), allowMissingColumns=True)
+    met = index.unionByName(sent.select("dims", "block", F.lit(1).alias("kind"), "query", "id", "hash", "v"), allowMissingColumns=True)
     met = met.repartition(max(1, 2 * index.count()), "dims", "block").sortWithinPartitions("dims", "block", "kind")
-    found = met.mapInArrow(_search(k), "query long, query_id long, id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last()))
-    return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    found = met.mapInArrow(_search(k), "query long, query_id long, id long, score long, own boolean")
+    asked_by = Window.partitionBy("query")
+    rank = F.row_number().over(asked_by.orderBy(F.col("score").desc(), F.col("id").asc_nulls_last(), F.col("own").desc()))
+    best = found.withColumn("rank", rank).filter(F.col("rank") <= k + 1).withColumn("_own", F.min(F.when(F.col("own"), F.col("rank"))).over(asked_by))
+    left = best.filter(~F.col("rank").eqNullSafe(F.col("_own"))).withColumn("rank", F.col("rank") - F.when(F.col("rank") > F.col("_own"), 1).otherwise(0))
+    return left.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
 
 
 SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
- WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(256 * x::DOUBLE) >= 134217728)) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
 QUALIFY rank <= 5
 """

@@ -285,12 +285,14 @@ def test_id_files_odd_rows(empty, clashing, docs):
 def test_top_k_equals_brute_force(spark):
     rng = random.Random(3)
     rows = [(i, [rng.choice([-1.0, -0.5, 0.0, 0.004, 0.25, 1.0, 3.7]) for _ in range(6)], 0) for i in range(150)]
-    rows += [(200, None, 0), (201, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (202, [float("nan")] * 6, 0), (250, [float("inf")] * 6, 0), (203, [], 0), (50, rows[50][1], 0), (100, [1.0, -1.0, 0.25, 3.7, 0.0, -0.5], 0), (204, [1e30] * 6, 0), (205, [600_000.0] * 6, 0)]
+    rows += [(200, None, 0), (201, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (202, [float("nan")] * 6, 0), (250, [float("inf")] * 6, 0), (203, [], 0), (50, rows[50][1], 0), (100, [1.0, -1.0, 0.25, 3.7, 0.0, -0.5], 0), (204, [1e12] * 6, 0), (205, [600_000.0] * 6, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
-    q = [(i, [math.floor(256 * np.float32(x).astype(float)) for x in v]) for i, v, _ in rows if v and all(x is not None and math.isfinite(x) and abs(x) < 2**19 for x in v)]
+    q = [(i, [math.floor(256 * np.float32(x).astype(float)) for x in v]) for i, v, _ in rows if v and all(x is not None and math.isfinite(x) for x in v)]
     want = Counter()
     for i, v in {(i, tuple(v)) for i, v in q if i % 50 == 0}:
-        best = sorted((-sum(x * y for x, y in zip(v, w)), j) for j, w in q if j != i)[:5]
+        others = q.copy()
+        others.remove((i, list(v)))  # its own row, and no other
+        best = sorted((-sum(x * y for x, y in zip(v, w)), j) for j, w in others)[:5]
         want.update((i, rank, j, -s) for rank, (s, j) in enumerate(best, 1))
     # 50 stands there twice and is asked once; 100 has two vectors, ranked each for itself
     got = topk.top_k(df, df.filter("vec_id % 50 = 0"), 5).collect()
@@ -495,3 +497,25 @@ def test_plans_equal_the_exact_optimum():
     for _ in range(300):
         counts = {rng.randint(2, 12): rng.randint(1, 4) for _ in range(rng.randint(1, 4))}
         assert bins(counts, 15) == fewest_bins(counts, 15), counts
+
+
+def test_top_k_of_large_components(spark):
+    """Finite vectors of any size take part; what is beyond a long is an error."""
+    schema = "vec_id long, embedding array<double>"
+    df = spark.createDataFrame([(50, [1.0, 2.0]), (1, [600000.0, 1.0]), (2, [500000.0, 1.0]), (3, [3.0, 4.0]), (4, [-1e12, 7.0])], schema)
+    asked = spark.createDataFrame([(100, [1.0, 2.0])], schema)
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, asked, 9).orderBy("rank").collect()]
+    wanted = sorted(((-(256 * int(256 * a) + 512 * int(256 * b)), i) for i, (a, b) in ((r["vec_id"], r["embedding"]) for r in df.collect())))
+    assert got == [(n, i, -s) for n, (s, i) in enumerate(wanted, 1)] and got[0] == (1, 1, 39_321_731_072)
+    for bad in ([1e300, 0.0], [3e16, 3e16]):
+        with pytest.raises(Exception, match="range of long|int too large|too big|int64|overflow"):
+            topk.top_k(df.union(spark.createDataFrame([(9, bad)], schema)), spark.createDataFrame([(100, [3e16, 3e16])], schema), 2).collect()
+
+
+def test_top_k_leaves_out_the_query_s_own_row_alone(spark):
+    schema = "vec_id long, embedding array<float>, own string, rank int, hash int"
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [2.0, 0.0]), (7, [1.0, 0.0]), (8, [1.0, 0.0])]
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], schema)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, df.filter("vec_id % 50 = 0"), 3).collect())
+    one, two = 256 * 256, 512 * 256
+    assert got == sorted([(50, 1, 50, two), (50, 2, 7, one), (50, 3, 8, one), (50, 1, 7, two), (50, 2, 8, two), (50, 3, 50, two)])
