@@ -147,6 +147,21 @@ def entries_of(word: bytes) -> list[str]:
     return [w, *(w[:k] + "*" for k in STEMS if k < len(w))]
 
 
+def among(entries: set[str]):
+    """Gives, for a word, those of some words and stems that it holds."""
+    begun = {e[:-1]: e for e in entries if e.endswith("*")}
+    lengths = sorted({len(b) for b in begun})
+
+    def of(word: bytes) -> list[str]:
+        w = word.decode("utf-8", "replace")
+        out = [begun[w[:k]] for k in lengths if k < len(w) and w[:k] in begun]
+        if w in entries:
+            out.append(w)
+        return out
+
+    return of
+
+
 class Voters:
     """The voters that a mined lexicon of words and stems gives: its entries, then SPELLINGS, then OTHERS."""
 
@@ -314,9 +329,9 @@ def _described_rows(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), batch.column("toxic"), words, pa.array([s for _, s in found], pa.int32())], names=["id", "h", "toxic", "words", "spellings"])
 
 
-def _entry_sets(batches: Iterator, among: set[str]) -> Iterator:
+def _entry_sets(batches: Iterator, some: set[str]) -> Iterator:
     """The words and stems of each row that are among some."""
-    find = Finder(lambda w: [e for e in entries_of(w) if e in among])
+    find = Finder(among(some))
     for batch in batches:
         for words in batch.column("words").to_pylist():
             yield find(set(words))
@@ -344,7 +359,7 @@ def _counts(explained: list[str], newly: list[str], slots: np.ndarray | None = N
 
         held, before, now = (Counter(), Counter()), set(explained), set(newly)
         wanted = (lambda w: entries_of(w)) if slots is None else (lambda w: [e for e in entries_of(w) if slots[_slot(e)]])
-        known, some_of = Known(wanted), Finder(lambda w: [e for e in entries_of(w) if e in before or e in now])
+        known, some_of = Known(wanted), Finder(among(before | now))
         for batch in batches:
             for words, y in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 if now:
