@@ -12,7 +12,7 @@ from pactum.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         p = f"{sf}/{t}.parquet"
         con.execute(f"create view {t} as select * from read_parquet('{p + '/*' if glob.glob(p + '/*') else p}')")
     df = queries.QUERIES[name](spark, sf)
@@ -24,11 +24,11 @@ def test_query_equals_its_sql(spark, sf, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in result.fetchall()), key=repr)
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near dedup", "source mix", "packing"]
 
 
