@@ -1,6 +1,8 @@
 """Quality, line dedup, mixing, licenses, secrets: brute force and awkward rows."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -189,6 +191,55 @@ def test_mix_meets_targets_within_a_document(docs, rows):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
 
 
+def _shares(sizes):
+    """Source to target by repeated rounds, sources in code point order and null last."""
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight, capped = {s: 1 + i % 3 for i, s in enumerate(order)}, set()
+    while True:
+        level = (sum(sizes.values()) - sum(3 * sizes[s] for s in capped)) / max(1e-9, sum(weight[s] for s in order if s not in capped))
+        over = {s for s in order if s not in capped and level * weight[s] > 3 * sizes[s]}
+        if not over:
+            return {s: 3 * sizes[s] if s in capped else level * weight[s] for s in order}
+        capped |= over
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_equal_rows_meet_targets(spark, seed):
+    rng = random.Random(seed)
+    texts = ["", *(" ".join(["w"] * rng.randint(1, 9)) for _ in range(3))]
+    rows = [(rng.choice([None, 7, 7, i]), rng.choice(texts), rng.choice(["a", "a", "b", None]), "en", i) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").repartition(5)
+    sizes = Counter()
+    for r in rows:
+        sizes[r[2]] += len(words(r[1]))
+    goal, want = _shares(sizes), Counter()
+    for s in sizes:
+        whole = math.floor(goal[s] / sizes[s])
+        rest, before = goal[s] - whole * sizes[s], 0
+        slot = lambda r: int(hashlib.md5((r[1] if r[0] is None else str(r[0])).encode()).hexdigest()[:5], 16)
+        for r in sorted((r for r in rows if r[2] == s), key=lambda r: (slot(r), r[0] is None, r[0] or 0, len(words(r[1])))):
+            n = len(words(r[1]))
+            want[(r[0], s, n, whole + (before < rest and 2 * before + n <= 2 * rest))] += 1
+            before += n
+    got = mixing.mix(df).collect()
+    assert Counter((r.doc_id, r.source, r.size, r.copies) for r in got) == want
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - goal[s]) <= 4.5 for s in sizes)
+    mixed = mixing.mixed(df).collect()
+    assert Counter((r.doc_id, r.source, len(words(r.text))) for r in mixed) == sum((Counter({(i, s, n): c * k}) for (i, s, n, c), k in want.items()), Counter())
+    assert {r.n_chars for r in mixed} <= set(range(600)) and max(Counter(r.n_chars for r in mixed).values()) <= 3
+
+
+def test_one_text_without_ids_is_mixed_to_the_target(spark):
+    rows = [(None, "one two three four", "a", "en", 1)] * 900 + [(i, "five six seven eight", "b", "en", 1) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").repartition(6)
+    out = {r.source: (r.t, r.g) for r in mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()}
+    assert out == {"a": (2400, 2400.0), "b": (4800, 4800.0)}
+    assert Counter(r.source for r in mixing.mixed(df).collect()) == {"a": 600, "b": 1200}
+
+
 def test_mixed_repeats_rows(docs, clashing, empty):
     copies = Counter()
     for r in mixing.mix(docs).collect():

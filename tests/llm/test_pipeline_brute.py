@@ -60,10 +60,9 @@ def shingles(text, size=5):
 def mix(rows):
     name = lambda r: str(r[1] if r[0] is None else r[0])
     size, slot = {name(r): len(words(r[1])) for r in rows}, {name(r): int(hashlib.md5(name(r).encode()).hexdigest()[:5], 16) for r in rows}
-    total, ids = Counter(), defaultdict(list)
+    total = Counter()
     for r in rows:
         total[r[3]] += size[name(r)]
-        ids[r[3]].append(name(r))
     order = sorted(total)
     weight, capped = {s: 1 + i % 3 for i, s in enumerate(order)}, set()
     while True:
@@ -72,22 +71,15 @@ def mix(rows):
         if not over:
             break
         capped |= over
-    copies = {}
+    out = []
     for s in order:
         goal = 3 * total[s] if s in capped else level * weight[s]
         whole = math.floor(goal / total[s]) if total[s] else 0
-        rest, before, end = goal - whole * total[s], 0, 0
-        by_slot = Counter()
-        for d in ids[s]:
-            by_slot[slot[d]] += size[d]
-        for k in sorted(by_slot):
-            if before >= rest:
-                break
-            end = k + (before + by_slot[k] - rest <= rest - before)
-            before += by_slot[k]
-        for d in ids[s]:
-            copies[d] = whole + (slot[d] < end)
-    return [r for r in rows for _ in range(copies[name(r)])]
+        rest, before = goal - whole * total[s], 0
+        for r in sorted((r for r in rows if r[3] == s), key=lambda r: (slot[name(r)], r[0] is None, r[0] or 0, size[name(r)])):
+            out += [r] * (whole + (before < rest and 2 * before + size[name(r)] <= 2 * rest))
+            before += size[name(r)]
+    return out
 
 
 def test_pipeline_equals_plain_python(spark, tmp_path):
