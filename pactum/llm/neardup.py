@@ -19,9 +19,11 @@ one class; only one document of each class is compared further.
    |dx| + |dy| - 2 |dx & dy| shingles, so a link needs a stated number of common
    shingles in dx and dy. What a hot group shares is in no difference. An exact prefix
    join finds the pairs: shingles of a difference are ordered by how many members
-   have them, and pairs meet only at a shingle after which enough others are left. If no
-   common shingle is needed, both are linked with the member of least need at once.
-   All other pairs that meet are confirmed on full sets.
+   have them, and pairs meet only at a shingle after which enough others are left. Such
+   a shingle allows a member partners whose need lies in an interval; an interval join
+   by blocks of powers of two makes only these, so rows grow with members and meetings,
+   not with their square. If no common shingle is needed, both are linked with the
+   member of least need at once. All other pairs that meet are confirmed on full sets.
 
 No group is gathered whole: members meet by joins whose hot keys adaptive
 execution splits, and components are found by joins.
@@ -37,6 +39,7 @@ columns, whatever their names, are carried by ``deduplicated`` as they are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -286,15 +289,15 @@ def _crossing(stars: DataFrame, sets: DataFrame, percent: int, parents: DataFram
     other = written(rows.filter(far).groupBy("pivot").agg(F.min("need").alias("least_far")), "least-far")
     shingles = _parts(rows.join(small(other), "pivot"), parents).select("pivot", "node", "part", "need", "least", "least_far", F.explode("differs").alias("shingle"))
     shingles = written(shingles, "difference-shingles")
-    often = shingles.groupBy("pivot", "shingle").agg(F.count("*").alias("n"), F.min("part").alias("_p"), F.max("part").alias("_q")).filter("_p <> _q").select("pivot", "shingle", "n")
+    often = shingles.groupBy("pivot", "shingle").agg(F.count("*").alias("n"), F.min("part").alias("_p"), F.max("part").alias("_q"), F.min("need").alias("low"), F.max("need").alias("high")).filter("_p <> _q").select("pivot", "shingle", "n", "low", "high")
     often = written(often, "common")
     common = shingles.join(often.hint("merge"), ["pivot", "shingle"])
     after = F.row_number().over(Window.partitionBy("pivot", "node").orderBy(F.col("n").desc(), F.col("shingle").desc())) - 1
     common = written(common.withColumn("after", after).filter(each * (1 + F.col("after")) >= F.col("need") + F.least("least", "least_far")), "prefixes")
     reach = lambda limit: each * (1 + F.col("after")) >= F.col("need") + F.col(limit)
-    x = common.filter(far & reach("least")).select("pivot", "shingle", *(F.col(c).alias(f"_{c}") for c in ("node", "part", "need", "after")))
-    y = common.filter(reach("least_far")).select("pivot", "shingle", "node", "part", "need", "after")
-    met = x.hint("merge").join(y, ["pivot", "shingle"]).filter((F.col("part") != F.col("_part")) & (each * (1 + F.least("after", "_after")) >= F.col("need") + F.col("_need")))
+    y = common.filter(far & reach("least"))
+    x = common.filter(reach("least_far"))
+    met = _within(x, y, percent).filter((F.col("part") != F.col("_part")) & (each * (1 + F.least("after", "_after")) >= F.col("need") + F.col("_need")))
     met = written(met.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct(), "crossing")
     best = written(met.groupBy("a").agg(F.min("b").alias("b")), "best")
     parents = _linked(met, best, sets, percent, parents)
@@ -302,6 +305,38 @@ def _crossing(stars: DataFrame, sets: DataFrame, percent: int, parents: DataFram
     return parents
 
 
+#: Members of one (pivot, shingle) up to which all of them meet.
+FEW = 8
+
+
+def _within(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``x`` beside rows ``_`` of ``y`` that share (pivot, shingle), need no less and no more than x allows.
+
+    The shared shingle allows x a partner of need up to 2 (100 + percent) (1 + after)
+    - need(x), and of two members the one of smaller need (of smaller node, if equal)
+    is x: y's need lies in an interval. Needs are counted in steps from the least,
+    ``low``, of the shingle. An interval is cut into the few whole blocks of a power
+    of two steps that make it up, and y stands in one block of each power, so rows
+    meet by an equi-join and only where the interval holds. Of few members all meet.
+    """
+    step = math.gcd(100 + percent, 100 - percent)
+    # powers up to the one whose block holds all needs; -1 for few members
+    depth = F.when(F.col("n") <= FEW, -1).otherwise(F.length(F.bin(F.expr(f"(high - low) div {step}")))).cast("int")
+    few = F.array(F.struct(F.lit(-1).alias("power"), F.lit(0).cast("long").alias("at")))
+    at = F.expr(f"transform(sequence(0, _depth), p -> struct(p as power, shiftright(_v, p) as at))")
+    y = y.withColumn("_depth", depth).withColumn("_v", F.expr(f"(need - low) div {step}"))
+    y = y.select("pivot", "shingle", *(F.col(c).alias(f"_{c}") for c in ("node", "part", "need", "after")), F.explode(F.when(F.col("_depth") < 0, few).otherwise(at)).alias("_b"))
+    most = F.least(2 * (100 + percent) * (1 + F.col("after")) - F.col("need"), F.col("high"))
+    x = x.withColumn("_depth", depth).withColumn("_most", most).filter(F.col("_most") >= F.col("need"))
+    # steps [_from, _to); at power p the blocks from ceil(_from / 2^p) to floor(_to / 2^p), of which odd ends stand alone
+    x = x.withColumn("_from", F.expr(f"(need - low) div {step}")).withColumn("_to", F.expr(f"(_most - low) div {step} + 1"))
+    ends = f"transform(sequence(0, _depth), p -> struct(p as power, shiftright(_from + shiftleft(1L, p) - 1, p) as l, shiftright(_to, p) as r))"
+    cover = F.expr(f"flatten(transform(filter({ends}, e -> e.l < e.r), e -> filter(array(if(e.l & 1 = 1, struct(e.power as power, e.l as at), null), if(e.r & 1 = 1, struct(e.power as power, e.r - 1 as at), null)), b -> b is not null)))")
+    x = x.select("pivot", "shingle", "node", "part", "need", "after", F.explode(F.when(F.col("_depth") < 0, few).otherwise(cover)).alias("_b"))
+    x, y = (t.select("*", "_b.power", "_b.at").drop("_b") for t in (x, y))
+    return x.hint("merge").join(y, ["pivot", "shingle", "power", "at"]).filter((F.col("need") < F.col("_need")) | ((F.col("need") == F.col("_need")) & (F.col("node") < F.col("_node"))))
+
+
 def _between(pairs: DataFrame, parents: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different components."""
     out = pairs

@@ -180,6 +180,43 @@ def test_links_between_members_that_differ_from_their_pivot(spark, monkeypatch):
     assert without != want and 1 < len(set(want.values())) < len(set(without.values()))
 
 
+def test_members_meet_where_their_needs_allow_it(spark):
+    rng = random.Random(5)
+    rows = [(p, sh, p * 10000 + k, 20 * rng.choice([rng.randrange(-40, 900), 77]), rng.randrange(60)) for p in range(2) for sh in range(3) for k in range([5, 9, 300][sh])]
+    df = spark.createDataFrame(rows, "pivot long, shingle long, node long, need long, after int").withColumn("part", F.col("node"))
+    df = df.join(df.groupBy("pivot", "shingle").agg(F.count("*").alias("n"), F.min("need").alias("low"), F.max("need").alias("high")), ["pivot", "shingle"])
+    want = set()
+    for p, sh, x, need, after in rows:
+        most = 360 * (1 + after) - need
+        want |= {(sh, x, y) for q, t, y, other, _ in rows if (q, t) == (p, sh) and (need, x) < (other, y) and other <= most}
+    got = [(r.shingle, r.node, r._node) for r in neardup._within(df, df, 80).select("shingle", "node", "_node").collect()]
+    few = [g for g in got if g[0] == 0]
+    assert len(got) == len(set(got)) and {g for g in got if g[0]} == {w for w in want if w[0]}
+    assert {w for w in want if not w[0]} <= set(few) and len(few) <= 2 * 10
+
+
+def test_pages_of_one_template_meet_where_needs_allow_it(spark, monkeypatch):
+    rng = random.Random(6)
+    template = [f"t{k}" for k in range(150)]
+    rows = [(i, " ".join(template + [f"o{i}x{k}" for k in range(rng.randint(15, 60))])) for i in range(600)]
+    rows += [(1000 + i, rows[rng.randrange(600)][1] + f" end{i}") for i in range(60)]
+    met, within = [], neardup._within
+
+    def counted(x, y, percent):
+        out = within(x, y, percent)
+        other = y.select("pivot", "shingle", F.col("node").alias("_node"))
+        every = x.join(other, ["pivot", "shingle"]).filter("node <> _node").count()
+        may = out.filter(360 * (1 + F.least("after", "_after")) >= F.col("need") + F.col("_need"))
+        met.append((every, out.count(), may.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "_within", counted)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 2).collect()}
+    assert got == {d: c for d, _, c in brute_components(rows, 2, 80)}
+    # no rows but those that the two needs allow: a fraction of all pairs at a shingle
+    assert met and all(rows <= 1.5 * may and 3 * rows <= every for every, rows, may in met), met
+
+
 def test_one_of_each_group_stays(docs, clashing, empty, rows):
     want = {d for d, n, c in brute_components(rows, 5, 80) if d == c and d is not None} | {r[0] for r in rows if r[0] is not None and not words(r[1])}
     out = neardup.deduplicated(clashing)
