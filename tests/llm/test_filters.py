@@ -4,13 +4,16 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from pactum.llm import licenses, linededup, mixing, quality, secrets
+from pactum.plans.scratch import scratch_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -371,7 +374,6 @@ def test_secret_odd_rows(clashing, empty, docs):
 def test_wrapped_headers_and_full_license_files(spark):
     wrapped = "#!/usr/bin/python\n# This Source Code Form is subject to the\n# terms of the Mozilla Public\n#\n# License, v. 2.0. If a copy of the MPL was not distributed\n# with this file, You can obtain one at\n# http://mozilla.org/MPL/2.0/.\nimport sys\nprint(sys.argv)"
     short = "x = 1\n// Released under\n// the MIT License.\ny = compute(x)"
-    # the two-clause licence is no template
     bsd2 = """Copyright (c) 2001, Example Inc.
 
 Redistribution and use in source and binary forms, with or without
@@ -399,7 +401,7 @@ OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
     rows = [("m/a.py", wrapped), ("s/b.c", short), ("b/text.txt", bsd2), ("b/c.py", "nothing"), ("g/COPYING", gpl), ("g/d.py", None), *plain]
     got = {r.path: (r.license, r.origin) for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got.pop("m/a.py") == ("MPL-2.0", "header") and got.pop("s/b.c") == ("MIT", "header")
-    assert got.pop("b/text.txt") == ("BSD-3-Clause", "header") and got.pop("b/c.py") == ("BSD-3-Clause", "inherited")
+    assert got.pop("b/text.txt") == ("BSD-2-Clause", "header") and got.pop("b/c.py") == ("BSD-2-Clause", "inherited")
     assert got.pop("g/COPYING") == ("GPL-3.0", "header") and got.pop("g/d.py") == ("GPL-3.0", "inherited")
     assert set(got.values()) == {(None, None)}
 
@@ -462,3 +464,75 @@ def test_other_columns_change_nothing(clashing, docs):
     for f in (linededup.deduplicated, quality.passing, mixing.mixed):
         got = f(clashing)
         assert got.columns == clashing.columns and Counter(got.select(docs.columns).collect()) == Counter(f(docs).collect()), f
+
+
+def _licenses(spark, texts, **options):
+    rows = [(name, text) for name, text in texts.items()]
+    return {r.path: (r.license, r.licenses) for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string"), **options).collect()}
+
+
+def _wrapped(text, mark="# ", width=60):
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def test_license_evidence(spark):
+    """The longest match names the license; its parts, and groups of which a member is found, name nothing."""
+    notice = lambda name, at: [t for n, t in licenses.TEMPLATES if n == name][at]
+    code = "import sys\n{}\nprint(sys.argv)"
+    full = dict(licenses.full_texts())
+    texts = {f"{name}/LICENSE": text for name, text in full.items()}
+    texts |= {
+        "gpl2/a.py": code.format(_wrapped(notice("GPL-2.0", 1))),
+        "gpl2only/a.py": code.format(_wrapped(notice("GPL-2.0", 2))),
+        "gpl3/a.py": code.format(_wrapped(notice("GPL-3.0", 1))),
+        "gpl3line/a.py": code.format(notice("GPL-3.0", 1)),
+        "agpl/a.py": code.format(_wrapped(notice("AGPL-3.0", 0))),
+        "lgpl/a.py": code.format(_wrapped(notice("LGPL-2.1", 0))),
+        "gpl/a.py": code.format("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+        "bsd/a.py": code.format("# Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+        "bsd3/a.c": code.format(_wrapped(full["BSD-3-Clause"].split("THIS SOFTWARE")[0], " * ")),
+        "isc/a.c": code.format(_wrapped(notice("ISC", 0), "// ")),
+        "cc/a.md": code.format("This text is licensed under a Creative Commons Attribution 4.0 International License."),
+        "cc/b.md": code.format("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+        "two/a.py": code.format("Released under the MIT License.\nx = 1\n" + _wrapped(notice("Apache-2.0", 2))),
+        "spdx/a.c": "// SPDX-License-Identifier: GPL-2.0-only\n" + code.format("x"),
+        "spdx/b.c": code.format("/* SPDX-License-Identifier: (mit OR Apache-2.0) */"),
+        "spdx/c.c": code.format("# SPDX-License-Identifier: GPL-3.0-or-later WITH GCC-exception-3.1"),
+        "spdx/d.c": code.format("# SPDX-License-Identifier: Zlib"),
+        "spdx/e.c": code.format("# SPDX-License-Identifier:"),
+    }
+    got = _licenses(spark, texts)
+    for name in full:
+        assert got[f"{name}/LICENSE"] == (name, [name])
+    want = {"gpl2": "GPL-2.0", "gpl2only": "GPL-2.0", "gpl3": "GPL-3.0", "gpl3line": "GPL-3.0", "agpl": "AGPL-3.0", "lgpl": "LGPL-2.1", "gpl": "GPL", "bsd": "BSD"}
+    for name, license in want.items():
+        assert got[f"{name}/a.py"] == (license, [license])
+    assert got["bsd3/a.c"] == ("BSD-3-Clause", ["BSD-3-Clause"]) and got["isc/a.c"] == ("ISC", ["ISC"])
+    assert got["cc/a.md"] == ("CC-BY-4.0", ["CC-BY-4.0"]) and got["cc/b.md"] == ("CC-BY-NC-4.0", ["CC-BY-NC-4.0"])
+    assert got["two/a.py"] == ("Apache-2.0", ["Apache-2.0", "MIT"])
+    assert got["spdx/a.c"] == ("GPL-2.0", ["GPL-2.0"]) and got["spdx/b.c"] == ("Apache-2.0", ["Apache-2.0", "MIT"])
+    assert got["spdx/c.c"] == ("GPL-3.0", ["GPL-3.0"]) and got["spdx/d.c"] == ("Zlib", ["Zlib"]) and got["spdx/e.c"][1] == []
+
+
+def test_license_parts_of_any_number_of_lines(spark):
+    """A notice wrapped over more lines than the window, inside a run of more header lines, is found without a window."""
+    notice = [t for n, t in licenses.TEMPLATES if n == "GPL-3.0"][1]
+    other = "the permission\nand the software\nof the copyright\nany of the files"
+    text = f"{other}\n" * 4 + _wrapped(notice, width=20) + f"\n{other}" * 4
+    assert len(_wrapped(notice, width=20).split("\n")) > licenses.WINDOW
+    plain = {f"p/{i}.py": "value of the work\nand other lines" for i in range(30)}
+    assert _licenses(spark, {"a.py": text, **plain}, window=None)["a.py"] == ("GPL-3.0", ["GPL-3.0"])
+
+
+def test_license_scan_leaves_only_what_its_result_reads(spark, docs):
+    tables = lambda: {p.name for p in Path(scratch_dir(spark).removeprefix("file:")).glob("pactum-*")}
+    before = tables()
+    assert licenses.scan_licenses(docs.withColumn("path", F.concat(F.lit("d/"), "doc_id"))).count() == docs.count()
+    assert sorted(name.split("-")[1] for name in tables() - before) == ["files", "nearest"]
+
+
+def test_license_of_a_very_long_text(spark):
+    """The last line of more than a million characters names the license."""
+    text = "value of the work in it\n" * 50_000 + "# Released under the MIT License."
+    assert len(text) > 1_048_576
+    assert _licenses(spark, {"a.py": text, "b.py": "x"})["a.py"] == ("MIT", ["MIT"])
