@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pactum.catalog._base import query
 from pactum.operators import closure, labels, refs, registry
-from pactum.plans.scratch import written
+from pactum.plans.scratch import small, written
 
 
 @query("""SELECT c_custkey, n_name, CASE WHEN n_name IS NULL THEN 'no ' || (c_nationkey + 3) || '; available: ' || (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT n_nationkey::VARCHAR AS k FROM nation)) END AS error
@@ -169,7 +169,7 @@ def import_closure(t):
 def part_edges(t):
     """Each part loads the one that its key leads to by a linear step within its block of 40, so chains end in cycles."""
     k = F.col("p_partkey")
-    return t.part.select(k.alias("src"), (F.floor(k / 40) * 40 + (k % 40 * 7 + 3) % 37).cast("long").alias("dst")).join(t.part.select(k.alias("dst")), "dst", "left_semi").select("src", "dst")
+    return t.part.select(k.alias("src"), (F.floor(k / 40) * 40 + (k % 40 * 7 + 3) % 37).cast("long").alias("dst")).join(t.part.select(k.alias("dst")).hint("merge"), "dst", "left_semi").select("src", "dst")
 
 
 @query("""WITH RECURSIVE edges AS (SELECT p_partkey AS src, p_partkey // 40 * 40 + (p_partkey % 40 * 7 + 3) % 37 AS dst FROM part WHERE p_partkey // 40 * 40 + (p_partkey % 40 * 7 + 3) % 37 IN (SELECT p_partkey FROM part)),
@@ -180,7 +180,7 @@ def import_cycles(t):
     """Parts that stand on a cycle of loads, with their component and one shortest cycle of it."""
     edges = written(part_edges(t), "loads")
     members = written(closure.components(edges), "members")
-    return members.join(closure.cycles(edges, members), "component").select("node", "component", "length", "cycle")
+    return members.join(small(closure.cycles(edges, members)), "component").select("node", "component", "length", "cycle")
 
 
 @query(f"WITH RECURSIVE {_EDGES}, {_REACH} SELECT start, node, depth, path, cycle FROM r")

@@ -112,26 +112,37 @@ def cycles_of(found: DataFrame, members: DataFrame) -> DataFrame:
 
 # --- cycles --------------------------------------------------------------------------------------------------
 
+#: Edges up to which Spark may broadcast a side of the joins in a loop. All that is broadcast
+#: passes through the driver, once for each join of each round, and the size of a compressed
+#: file tells little of its rows.
+LOOP_ROWS = 1 << 16
 
-def _trimmed(edges: DataFrame, rounds: int) -> DataFrame:
-    """Edges whose ends are both entered and left; chains that lead to or from a cycle shrink by one a round."""
+
+def _dealt(rows: int):
+    """What marks a side of a loop's joins: beyond ``LOOP_ROWS`` both sides are shuffled."""
+    return (lambda df: df.hint("merge")) if rows > LOOP_ROWS else (lambda df: df)
+
+
+def _trimmed(edges: DataFrame, rounds: int) -> tuple[DataFrame, int]:
+    """Edges whose ends are both entered and left, and their number; chains that lead to or from a cycle shrink by one a round."""
     size = edges.count()
     for _ in range(rounds):
-        left = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        deal = _dealt(size)
+        left = edges.join(deal(edges.select(F.col("dst").alias("src")).distinct()), "src", "left_semi").join(deal(edges.select(F.col("src").alias("dst")).distinct()), "dst", "left_semi")
         left = written(left.select("src", "dst"), "trimmed")
         discard(edges)
         edges, before, size = left, size, left.count()
         if size in (0, before):
             break
-    return edges
+    return edges, size
 
 
-def _spread(values: DataFrame, edges: DataFrame) -> DataFrame:
+def _spread(values: DataFrame, edges: DataFrame, deal) -> DataFrame:
     """(node, color): the least color of all nodes from which a path leads to each node, its own among them. Only what fell is passed on."""
     known, front = values, values
     while True:
-        sent = front.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("_new"))
-        both = known.join(sent, "node", "left").select("node", F.least("color", "_new").alias("color"), (F.col("_new") < F.col("color")).alias("_fell"))
+        sent = front.join(deal(edges), F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("_new"))
+        both = known.join(deal(sent), "node", "left").select("node", F.least("color", "_new").alias("color"), (F.col("_new") < F.col("color")).alias("_fell"))
         both = written(both, "colors")
         front = both.filter("_fell").select("node", "color")
         known = both.select("node", "color")
@@ -153,26 +164,28 @@ def components(edges: DataFrame, trim_rounds: int = 8) -> DataFrame:
     schema, parts = left.select(F.col("src").alias("node"), F.col("src").alias("component")).schema, []
     with scope() as kept:
         while True:
-            left = _trimmed(left, trim_rounds)
-            if left.isEmpty():
+            left, size = _trimmed(left, trim_rounds)
+            if not size:
                 break
+            deal = _dealt(size)
             nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
-            colors = _spread(written(nodes.withColumn("color", F.col("node")), "nodes"), left)
-            of = lambda name, to: colors.select(F.col("node").alias(name), F.col("color").alias(to))
+            colors = _spread(written(nodes.withColumn("color", F.col("node")), "nodes"), left, deal)
+            of = lambda name, to: deal(colors.select(F.col("node").alias(name), F.col("color").alias(to)))
             within = written(left.join(of("src", "_a"), "src").join(of("dst", "_b"), "dst").filter("_a = _b").select("src", "dst", F.col("_a").alias("color")), "within")
             # backward from the pivots
             found = front = written(colors.filter("node = color"), "members")
             while True:
-                before = front.join(within.select("src", "dst"), F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "color").distinct()
-                front = written(before.join(found.select("node"), "node", "left_anti"), "members")
+                before = front.join(deal(within.select("src", "dst")), F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "color").distinct()
+                front = written(before.join(deal(found.select("node")), "node", "left_anti"), "members")
                 if front.isEmpty():
                     break
                 found = written(found.unionByName(front), "found")
-            inner = within.join(found.select(F.col("node").alias("src")), "src", "left_semi").join(found.select(F.col("node").alias("dst")), "dst", "left_semi")
+            end = lambda name: deal(found.select(F.col("node").alias(name)))
+            inner = within.join(end("src"), "src", "left_semi").join(end("dst"), "dst", "left_semi")
             cyclic = written(inner.select(F.col("src").alias("node"), F.col("color").alias("component")).distinct(), "component")
             parts.append(cyclic)
             kept.append(cyclic)
-            left = written(within.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "edges")
+            left = written(within.join(end("src"), "src", "left_anti").join(end("dst"), "dst", "left_anti").select("src", "dst"), "edges")
     return spark.read.schema(schema).parquet(*(p._scratch_path for p in parts)) if parts else spark.createDataFrame([], schema)
 
 
@@ -182,18 +195,20 @@ def cycles(edges: DataFrame, members: DataFrame) -> DataFrame:
     A breadth-first search in all components at once; each node keeps the least of the
     nodes that lead to it by a shortest path, and the cycle is read back from these.
     """
+    deal = _dealt(members.count())
     e = edges.select("src", "dst").distinct()
-    e = e.join(members.select(F.col("node").alias("src"), "component"), "src").join(members.select(F.col("node").alias("dst"), F.col("component").alias("_c")), "dst").filter("component = _c").select("component", "src", "dst")
+    e = e.join(deal(members.select(F.col("node").alias("src"), "component")), "src").join(deal(members.select(F.col("node").alias("dst"), F.col("component").alias("_c"))), "dst").filter("component = _c").select("component", "src", "dst")
     with scope() as kept:
         e = written(e, "inner")
+        deal = _dealt(e.count())
         front = written(e.filter("src = component").groupBy("component", F.col("dst").alias("node")).agg(F.min("src").alias("parent")).withColumn("depth", F.lit(1)), "front")
         parts = [front]
         while True:
             closed = front.filter("node = component").select("component")
             seen = front.sparkSession.read.schema(front.schema).parquet(*(p._scratch_path for p in parts))
             done = seen.filter("node = component").select("component").distinct()
-            far = front.join(closed, "component", "left_anti").join(e, (F.col("node") == F.col("src")) & (front["component"] == e["component"])).select(e["component"], F.col("dst").alias("node"), F.col("src").alias("parent"))
-            new = far.join(done, "component", "left_anti").groupBy("component", "node").agg(F.min("parent").alias("parent")).join(seen.select("component", "node"), ["component", "node"], "left_anti")
+            far = front.join(deal(closed), "component", "left_anti").join(deal(e), (F.col("node") == F.col("src")) & (front["component"] == e["component"])).select(e["component"], F.col("dst").alias("node"), F.col("src").alias("parent"))
+            new = far.join(deal(done), "component", "left_anti").groupBy("component", "node").agg(F.min("parent").alias("parent")).join(deal(seen.select("component", "node")), ["component", "node"], "left_anti")
             front = written(new.withColumn("depth", F.lit(len(parts) + 1)), "front")
             if front.isEmpty():
                 break
@@ -201,7 +216,7 @@ def cycles(edges: DataFrame, members: DataFrame) -> DataFrame:
         # back from the end, one step a round
         tree = front.sparkSession.read.schema(front.schema).parquet(*(p._scratch_path for p in parts))
         walk = written(tree.filter("node = component").select("component", F.col("depth").alias("length"), F.col("parent").alias("at"), F.array("node").alias("cycle")), "walk")
-        back = tree.select(F.col("component").alias("_c"), F.col("node").alias("_n"), F.col("parent").alias("_p"))
+        back = deal(tree.select(F.col("component").alias("_c"), F.col("node").alias("_n"), F.col("parent").alias("_p")))
         for _ in range(len(parts) - 1):
             on = walk.join(back, (F.col("component") == F.col("_c")) & (F.col("at") == F.col("_n")) & (F.col("at") != F.col("component")), "left")
             going = F.col("_p").isNotNull()

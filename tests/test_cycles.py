@@ -77,3 +77,22 @@ def test_layers_with_many_paths_stay_small(spark):
     component, cycles = found(spark, [*edges, (53, 0)])
     assert set(component.values()) == {0} and len(component) == 52
     assert cycles[0][0] == 27
+
+
+def test_large_loops_broadcast_nothing(spark, monkeypatch):
+    """Beyond LOOP_ROWS every join of a loop is shuffled, so that its rounds send nothing through the driver."""
+    df = spark.createDataFrame([(1, 2), (2, 1)], "src long, dst long")
+    plan = lambda hint: df.join(hint(df.select("src")), "src")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan(closure._dealt(closure.LOOP_ROWS + 1))
+    joins = []
+    written = closure.written
+
+    def kept(table, *name):
+        joins.append(table._jdf.queryExecution().executedPlan().toString())
+        return written(table, *name)
+
+    monkeypatch.setattr(closure, "written", kept)
+    monkeypatch.setattr(closure, "LOOP_ROWS", 0)
+    component, cycles = found(spark, [(5, 6), (6, 7), (7, 5), (7, 8), (8, 9), (9, 9)])
+    assert component == {5: 5, 6: 5, 7: 5, 9: 9} and {c: n for c, (n, _) in cycles.items()} == {5: 3, 9: 1}
+    assert any("SortMergeJoin" in p for p in joins) and not any("BroadcastHashJoin" in p for p in joins)
