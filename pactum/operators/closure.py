@@ -126,7 +126,7 @@ def _dealt(rows: int):
 def _trimmed(edges: DataFrame, rounds: int) -> tuple[DataFrame, int]:
     """Edges whose ends are both entered and left, and their number; chains that lead to or from a cycle shrink by one a round."""
     size = edges.count()
-    for _ in range(rounds):
+    for _ in range(rounds if size else 0):
         deal = _dealt(size)
         left = edges.join(deal(edges.select(F.col("dst").alias("src")).distinct()), "src", "left_semi").join(deal(edges.select(F.col("src").alias("dst")).distinct()), "dst", "left_semi")
         left = written(left.select("src", "dst"), "trimmed")
