@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.plans.scratch import discard, scope, written
+from pactum.plans.scratch import discard, scope, small, written
 
 
 def reach(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
@@ -13,21 +13,29 @@ def reach(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
 
     A node that a cycle leads back to reaches itself. Without ``starts`` all pairs are
     found by doubling, so the rounds grow with the logarithm of the longest shortest
-    path; with ``starts`` each round follows the edges of what was new in the last one.
+    path: a round joins the longest pairs it knows with those that go on from their ends,
+    and writes the new ones only. With ``starts`` each round follows the edges of what was new in the last one.
     """
     e = edges.select("src", "dst").distinct()
     if starts is None:
-        found = written(e.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth")), "reach")
-        size = found.count()
+        parts = [written(e.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth")), "reach")]
+        span = 1
         while True:
-            on = found.select(F.col("start").alias("_via"), F.col("node").alias("_node"), F.col("depth").alias("_more"))
-            far = found.join(on, F.col("node") == F.col("_via")).select("start", F.col("_node").alias("node"), (F.col("depth") + F.col("_more")).alias("depth"))
-            longer = written(found.unionByName(far).groupBy("start", "node").agg(F.min("depth").alias("depth")), "reach")
-            discard(found)
-            # shortest paths of up to twice the length are known; no new pair, so none is longer
-            if longer.count() == size:
-                return longer
-            found, size = longer, longer.count()
+            # all pairs up to ``span`` steps are known; a longer shortest path begins with one of just that length
+            found = e.sparkSession.read.schema(parts[0].schema).parquet(*(p._scratch_path for p in parts))
+            front = parts[-1].filter(F.col("depth") == span).select("start", F.col("node").alias("_via"), "depth")
+            vias = written(front.select("_via").distinct(), "vias")
+            if vias.isEmpty():
+                discard(vias)
+                return found
+            on = found.select(F.col("start").alias("_via"), F.col("node"), F.col("depth").alias("_more")).join(small(vias), "_via", "left_semi")
+            on = written(on, "onward")
+            far = front.join(small(on), "_via").select("start", "node", (F.col("depth") + F.col("_more")).alias("depth"))
+            # known pairs are no deeper than ``span``, what goes on from them is
+            least = found.unionByName(far).groupBy("start", "node").agg(F.min("depth").alias("depth"))
+            parts.append(written(least.filter(F.col("depth") > span), "reach"))
+            discard(vias, on)
+            span *= 2
     step = lambda at, name: at.join(e, F.col(name) == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
     front = written(step(starts.select("start").distinct(), "start").withColumn("depth", F.lit(1)), "frontier")
     found = written(front, "reach")

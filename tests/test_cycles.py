@@ -96,3 +96,23 @@ def test_large_loops_broadcast_nothing(spark, monkeypatch):
     component, cycles = found(spark, [(5, 6), (6, 7), (7, 5), (7, 8), (8, 9), (9, 9)])
     assert component == {5: 5, 6: 5, 7: 5, 9: 9} and {c: n for c, (n, _) in cycles.items()} == {5: 3, 9: 1}
     assert any("SortMergeJoin" in p for p in joins) and not any("BroadcastHashJoin" in p for p in joins)
+
+
+def test_doubling_writes_each_pair_once(spark, monkeypatch):
+    """A chain of 16, a cycle and edges from and to null: no pair is written in two rounds."""
+    edges = [*((i, i + 1) for i in range(16)), (20, 21), (21, 22), (22, 20), (None, 20), (16, None)]
+    rows = []
+    written = closure.written
+
+    def kept(table, name):
+        out = written(table, name)
+        if name == "reach":
+            rows.extend((r["start"], r["node"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(closure, "written", kept)
+    got = {(r["start"], r["node"]): r["depth"] for r in closure.reach(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert len(rows) == len(set(rows)) == len(got)
+    chain = {(i, j): j - i for i in range(17) for j in range(i + 1, 17)} | {(i, None): 17 - i for i in range(17)}
+    loop = {(20 + a, 20 + b): (b - a) % 3 or 3 for a in range(3) for b in range(3)} | {(None, 20 + b): b + 1 for b in range(3)}
+    assert got == chain | loop
