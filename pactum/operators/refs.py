@@ -6,11 +6,20 @@ them by an equi-join on the whole prefix: the join makes the matches and no othe
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactum.plans.scratch import small, written
 
+#: Characters by which requests that no id begins with are told; ids share few such beginnings.
+HEAD = 2
+
+#: Requests that are broadcast together, if they take as few bytes as ``small`` allows.
+FEW = 250_000
+
+
 def parse_ref_listing(lines: DataFrame, line: str = "line") -> DataFrame:
     """(sha, ref) of tab-separated lines; others are dropped."""
     parts = F.split(F.col(line), "\t", 2)
@@ -37,18 +46,30 @@ def exact_matches(requests: DataFrame, refs: DataFrame, want: str = "want") -> D
 def prefix_matches(requests: DataFrame, ids: DataFrame, want: str = "want", sha: str = "sha") -> DataFrame:
     """(want, sha): each distinct id that begins with each request, a row each; the empty request begins all.
 
-    The lengths that are asked for, up to that of the longest id, are few numbers. Where the
-    requests are few as well, they are broadcast and ids are not shuffled.
+    Requests whose first characters no id has go first. The lengths that are then asked for,
+    up to that of the longest id, are few numbers. Requests of the lengths that have few are
+    broadcast, and for these ids are not shuffled; the others' lengths alone make rows that are.
     """
-    w = written(requests.select(want).filter(F.col(want).isNotNull()).distinct(), "wants")
-    i = ids.select(F.col(sha).alias("_sha")).filter("_sha is not null").distinct()
-    longest = i.agg(F.max(F.length("_sha"))).first()[0] or 0
-    lengths = sorted(r[0] for r in w.select(F.length(want)).distinct().filter(F.length(want) <= longest).collect())
-    if not lengths:
+    w = requests.select(want).filter(F.col(want).isNotNull()).distinct()
+    every = ids.select(F.col(sha).alias("_sha")).filter("_sha is not null")
+    heads = written(every.groupBy(F.substring("_sha", 1, HEAD).alias("_head")).agg(F.max(F.length("_sha")).alias("_longest")), "heads")
+    longest = heads.agg(F.max("_longest")).first()[0] or 0
+    head = small(heads.select("_head"))
+    begun = w.filter(F.length(want) >= HEAD).join(head, F.substring(want, 1, HEAD) == F.col("_head"), "left_semi")
+    w = written(begun.unionByName(w.filter(F.length(want) < HEAD)).filter(F.length(want) <= longest), "wants")
+    counts = sorted((r["count"], r["_n"]) for r in w.groupBy(F.length(want).alias("_n")).count().collect())
+    if not counts:
         return w.select(want, F.lit(None).cast("string").alias("sha")).limit(0)
-    offered = F.array(*(F.when(F.length("_sha") >= n, F.substring("_sha", 1, n) if n else F.lit("")) for n in lengths))
-    keys = i.select("_sha", F.explode(F.array_compact(offered)).alias("_p"))
-    return keys.join(small(w), F.col(want) == F.col("_p")).select(want, F.col("_sha").alias("sha"))
+    few = [n for i, (_, n) in enumerate(counts) if sum(c for c, _ in counts[: i + 1]) <= FEW]
+    many = [n for _, n in counts if n not in few]
+    i = every.distinct()
+
+    def met(lengths: list[int]) -> DataFrame:
+        offered = F.array(*(F.when(F.length("_sha") >= n, F.substring("_sha", 1, n) if n else F.lit("")) for n in lengths))
+        keys = i.select("_sha", F.explode(F.array_compact(offered)).alias("_p"))
+        return keys.join(small(w.filter(F.length(want).isin(lengths))), F.col(want) == F.col("_p")).select(want, F.col("_sha").alias("sha"))
+
+    return reduce(DataFrame.unionByName, [met(sorted(ns)) for ns in (few, many) if ns])
 
 
 def resolve_refs(requests: DataFrame, refs: DataFrame, local: DataFrame | None = None, want: str = "want", matches: DataFrame | None = None) -> DataFrame:

@@ -251,3 +251,20 @@ def test_a_scope_deletes_what_it_wrote(spark):
 def test_locations():
     assert values.Location("s3", {"bucket": "b", "prefix": "/p"}).uri() == "s3a://b/p"
     assert values.Location("posix", {"path": "/x"}).uri() == "/x"
+
+
+def test_prefixes_offer_only_lengths_that_can_match(spark, monkeypatch):
+    """Names that no id begins with make no keys; lengths with few requests are broadcast, so of ids only distinct ones are shuffled."""
+    ids = spark.createDataFrame([("abcdef",), ("abcxyz",), ("b",), (None,), ("abcdef",)], "sha string")
+    wants = spark.createDataFrame([("",), ("a",), ("ab",), ("abcd",), ("abcdefg",), ("b",), ("bc",), ("v1",), ("none23",), (None,)], "want string")
+    right = [("", "abcdef"), ("", "abcxyz"), ("", "b"), ("a", "abcdef"), ("a", "abcxyz"), ("ab", "abcdef"), ("ab", "abcxyz"), ("abcd", "abcdef"), ("b", "b")]
+    found = refs.prefix_matches(wants, ids)
+    assert sorted(map(tuple, found.collect())) == right
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_sha#" in plan and ", 1, 6)" not in plan and ", 1, 4)" in plan
+    # by both ways, a length with many requests and the others
+    monkeypatch.setattr(refs, "FEW", 3)
+    assert sorted(map(tuple, refs.prefix_matches(wants, ids).collect())) == right
+    monkeypatch.setattr(refs, "FEW", 0)
+    assert sorted(map(tuple, refs.prefix_matches(wants, ids).collect())) == right
+    assert refs.prefix_matches(wants.filter("want = 'v1'"), ids).collect() == []
