@@ -132,8 +132,10 @@ UNION ALL SELECT '//p:t', NULL, NULL, 'unversioned'""")
 def workspace_for_label(t):
     asked = wanted(t).distinct().select(F.concat("want", F.lit("|//p:t")).alias("label"))
     plain = t.region.limit(1).select(F.lit("//p:t").alias("label"))
-    df = asked.unionByName(plain).withColumn("want", labels.parse_label(F.col("label"))["ref"])
-    found = refs.resolve_refs(df.filter("want is not null"), order_refs_listing(t), local_refs(t))
+    # parsed once: a long expression that every use would repeat
+    df = written(asked.unionByName(plain).withColumn("want", labels.parse_label(F.col("label"))["ref"]), "labels")
+    # read four times below
+    found = written(refs.resolve_refs(df.filter("want is not null"), written(order_refs_listing(t), "listing"), local_refs(t)), "resolved")
     ids = found.filter("sha is not null").select("sha")
     state = refs.snapshot_status(ids.distinct(), "sha", ids.filter("substr(sha, 1, 1) >= '4'"), ids.filter("substr(sha, 1, 1) >= '8'"))
     j = df.join(found, "want", "left").join(state.withColumnRenamed("status", "snapshot"), "sha", "left")
