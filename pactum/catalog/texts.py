@@ -45,7 +45,7 @@ def import_symbols(t):
 
 @query("SELECT doc_id, token, count(*)::BIGINT AS n, min(p)::INT AS first FROM (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS p FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*') AS w FROM documents)) GROUP BY doc_id, token")
 def identifier_tokens(t):
-    return text.identifier_tokens(t.documents, "doc_id", "text").groupBy("doc_id", "token").agg(F.count("*").alias("n"), F.min("position").alias("first"))
+    return text.identifier_counts(t.documents, "doc_id", "text")
 
 
 def turn_edits(t):

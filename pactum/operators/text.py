@@ -57,6 +57,17 @@ def identifier_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(IDENTIFIER), F.lit(0))).alias("position", "token"))
 
 
+def identifier_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, token, n, first): how often each identifier occurs under a key, and its least position in a text.
+
+    Texts are dealt by key, so tokens are counted where their text lies and only texts are
+    shuffled. Texts without a key would all lie together; their tokens are dealt instead.
+    """
+    counted = lambda rows: identifier_tokens(rows, key, text).groupBy(key, "token").agg(F.count("*").alias("n"), F.min("position").alias("first"))
+    rows = df.select(key, text)
+    return counted(rows.filter(F.col(key).isNotNull()).repartition(key)).unionByName(counted(rows.filter(F.col(key).isNull())))
+
+
 #: Columns of an edit beside its key.
 EDIT = ("seq", "start_line", "start_col", "end_line", "end_col", "text")
 

@@ -268,3 +268,12 @@ def test_prefixes_offer_only_lengths_that_can_match(spark, monkeypatch):
     monkeypatch.setattr(refs, "FEW", 0)
     assert sorted(map(tuple, refs.prefix_matches(wants, ids).collect())) == right
     assert refs.prefix_matches(wants.filter("want = 'v1'"), ids).collect() == []
+
+
+def test_identifiers_are_counted_where_their_text_lies(spark):
+    """Texts with a key are shuffled once, before their tokens are made; rows of one key or of none count together."""
+    df = spark.createDataFrame([(1, "a b a"), (1, "b c"), (2, None), (3, "1 2"), (None, "x a"), (None, "a")], "id long, t string")
+    found = text.identifier_counts(df, "id", "t")
+    assert {tuple(r) for r in found.collect()} == {(1, "a", 2, 0), (1, "b", 2, 0), (1, "c", 1, 1), (None, "x", 1, 0), (None, "a", 2, 0)}
+    plan = text.identifier_counts(df.filter("id is not null"), "id", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" in plan and plan.count("Exchange hashpartitioning") <= 2
