@@ -104,3 +104,10 @@ def test_no_cast_and_no_python_in_the_plan(spark, capsys):
 def test_numbers_with_a_fraction_or_an_exponent_are_floats(spark, bad):
     kinds = spark.createDataFrame([(bad,), ("9223372036854775808",), ("7",)], "j string").select(variants.kind_of(F.parse_json("j")).alias("k")).collect()
     assert [r["k"] for r in kinds] == ["float", "integer", "integer"]
+
+
+def test_checks_of_documents_are_spread_over_all_cores(spark, sf):
+    from pactum.catalog import QUERIES
+
+    df = QUERIES["check_variant_record"](spark, sf)
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
