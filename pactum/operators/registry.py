@@ -79,9 +79,10 @@ def unresolved(df: DataFrame, label: str, registry: DataFrame, name: str) -> Dat
 
 
 def lineage_edges(df: DataFrame, source: Column, **roles: str) -> DataFrame:
-    """(source, role, position, target) of each array column in ``roles``."""
-    parts = [df.select(source.alias("source"), F.lit(role).alias("role"), F.posexplode(c).alias("position", "target")) for role, c in roles.items()]
-    return reduce(DataFrame.unionByName, parts)
+    """(source, role, position, target) of each array column in ``roles``; ``df`` is read once for all."""
+    named = [F.struct(F.lit(role).alias("role"), F.col(c).alias("targets")) for role, c in roles.items()]
+    each = df.select(source.alias("source"), F.explode(F.array(*named)).alias("_r"))
+    return each.select("source", "_r.role", F.posexplode("_r.targets").alias("position", "target"))
 
 
 def validate_by_type_name(df: DataFrame, type_name: str, value: str, limits: DataFrame) -> DataFrame:

@@ -277,3 +277,11 @@ def test_identifiers_are_counted_where_their_text_lies(spark):
     assert {tuple(r) for r in found.collect()} == {(1, "a", 2, 0), (1, "b", 2, 0), (1, "c", 1, 1), (None, "x", 1, 0), (None, "a", 2, 0)}
     plan = text.identifier_counts(df.filter("id is not null"), "id", "t")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(id#" in plan and plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_lineage_reads_its_source_once(spark):
+    df = spark.createDataFrame([(1, [5, 6], [9]), (2, None, [8]), (3, [], [None])], "k int, ins array<int>, outs array<long>")
+    found = registry.lineage_edges(df.groupBy("k").agg(F.first("ins").alias("ins"), F.first("outs").alias("outs")), F.col("k").cast("string"), input="ins", output="outs")
+    assert {tuple(r) for r in found.collect()} == {("1", "input", 0, 5), ("1", "input", 1, 6), ("1", "output", 0, 9), ("2", "output", 0, 8), ("3", "output", 0, None)}
+    assert [f.dataType.simpleString() for f in found.schema] == ["string", "string", "int", "bigint"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
