@@ -285,3 +285,11 @@ def test_lineage_reads_its_source_once(spark):
     assert {tuple(r) for r in found.collect()} == {("1", "input", 0, 5), ("1", "input", 1, 6), ("1", "output", 0, 9), ("2", "output", 0, 8), ("3", "output", 0, None)}
     assert [f.dataType.simpleString() for f in found.schema] == ["string", "string", "int", "bigint"]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_workspaces_resolve_their_requests_once(spark, sf, monkeypatch):
+    """The result reads written tables alone; no prefix of an id is searched for again in one of its uses."""
+    from pactum.catalog import QUERIES
+
+    plan = QUERIES["workspace_for_label"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan and "sha1" not in plan
