@@ -20,9 +20,9 @@ one class; only one document of each class is compared further.
    shingles in dx and dy. What a hot group shares is in no difference. An exact prefix
    join finds the pairs: shingles of a difference are ordered by how many members
    have them, and pairs meet only at a shingle after which enough others are left. Such
-   a shingle allows a member partners whose need lies in an interval; an interval join
-   by blocks of powers of two makes only these, so rows grow with members and meetings,
-   not with their square. If no common shingle is needed, both are linked with the
+   a shingle allows a member partners whose need lies in an interval: a run of rows in
+   the order of needs. One sort finds the runs and a join by blocks of places makes only
+   these, so rows grow with members and meetings, not with their square. If no common shingle is needed, both are linked with the
    member of least need at once. All other pairs that meet are confirmed on full sets.
 
 No group is gathered whole: members meet by joins whose hot keys adaptive
@@ -39,7 +39,6 @@ columns, whatever their names, are carried by ``deduplicated`` as they are.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +48,7 @@ from pyspark.sql import functions as F
 from pactum.llm import textbytes
 from pactum.llm.rowkeys import TEXT_HASH, only_rows, text_hash
 from pactum.plans.components import components
-from pactum.plans.scratch import discard, small, written
+from pactum.plans.scratch import discard, scope, small, written
 
 # Fixed parameters of the comparison.
 BANDS, ROWS = 32, 5
@@ -289,7 +288,7 @@ def _crossing(stars: DataFrame, sets: DataFrame, percent: int, parents: DataFram
     other = written(rows.filter(far).groupBy("pivot").agg(F.min("need").alias("least_far")), "least-far")
     shingles = _parts(rows.join(small(other), "pivot"), parents).select("pivot", "node", "part", "need", "least", "least_far", F.explode("differs").alias("shingle"))
     shingles = written(shingles, "difference-shingles")
-    often = shingles.groupBy("pivot", "shingle").agg(F.count("*").alias("n"), F.min("part").alias("_p"), F.max("part").alias("_q"), F.min("need").alias("low"), F.max("need").alias("high")).filter("_p <> _q").select("pivot", "shingle", "n", "low", "high")
+    often = shingles.groupBy("pivot", "shingle").agg(F.count("*").alias("n"), F.min("part").alias("_p"), F.max("part").alias("_q")).filter("_p <> _q").select("pivot", "shingle", "n")
     often = written(often, "common")
     common = shingles.join(often.hint("merge"), ["pivot", "shingle"])
     after = F.row_number().over(Window.partitionBy("pivot", "node").orderBy(F.col("n").desc(), F.col("shingle").desc())) - 1
@@ -297,16 +296,30 @@ def _crossing(stars: DataFrame, sets: DataFrame, percent: int, parents: DataFram
     reach = lambda limit: each * (1 + F.col("after")) >= F.col("need") + F.col(limit)
     y = common.filter(far & reach("least"))
     x = common.filter(reach("least_far"))
-    met = _within(x, y, percent).filter((F.col("part") != F.col("_part")) & (each * (1 + F.least("after", "_after")) >= F.col("need") + F.col("_need")))
-    met = written(met.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct(), "crossing")
+    with scope() as kept:
+        met = _within(x, y, percent).filter((F.col("part") != F.col("_part")) & (each * (1 + F.least("after", "_after")) >= F.col("need") + F.col("_need")))
+        met = written(met.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct(), "crossing")
+        kept.append(met)
     best = written(met.groupBy("a").agg(F.min("b").alias("b")), "best")
     parents = _linked(met, best, sets, percent, parents)
     discard(mixed, differ, least, sure, other, shingles, often, common, met, best)
     return parents
 
 
-#: Members of one (pivot, shingle) up to which all of them meet.
-FEW = 8
+#: Rows that stand beside each other in the order of needs and are met as one block.
+BLOCK = 16
+
+
+def _counted(batches: Iterator) -> Iterator:
+    """The rows of one range, with its number and how many of them up to each are partners (kind 0)."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    deal, n = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        upto = n + np.cumsum(batch.column("kind").to_numpy() == 0, dtype=np.int64)
+        n = int(upto[-1]) if len(upto) else n
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(upto), deal, np.int32)), pa.array(upto)], names=[*batch.schema.names, "deal", "upto"])
 
 
 def _within(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
@@ -314,27 +327,28 @@ def _within(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
 
     The shared shingle allows x a partner of need up to 2 (100 + percent) (1 + after)
     - need(x), and of two members the one of smaller need (of smaller node, if equal)
-    is x: y's need lies in an interval. Needs are counted in steps from the least,
-    ``low``, of the shingle. An interval is cut into the few whole blocks of a power
-    of two steps that make it up, and y stands in one block of each power, so rows
-    meet by an equi-join and only where the interval holds. Of few members all meet.
+    is x: in the order of (pivot, shingle, need, node) x's partners are a run of rows of
+    y. One sort of y's rows and of both ends of x's runs, dealt by ranges so that no
+    group is in one task, gives each row of y its place and each x its run. The places
+    are cut into blocks of BLOCK; x meets the blocks of its run by an equi-join. So there
+    is one row for each of y, two ends for each x that any partner may suit, and rows
+    that meet only where the run holds.
     """
-    step = math.gcd(100 + percent, 100 - percent)
-    # powers up to the one whose block holds all needs; -1 for few members
-    depth = F.when(F.col("n") <= FEW, -1).otherwise(F.length(F.bin(F.expr(f"(high - low) div {step}")))).cast("int")
-    few = F.array(F.struct(F.lit(-1).alias("power"), F.lit(0).cast("long").alias("at")))
-    at = F.expr(f"transform(sequence(0, _depth), p -> struct(p as power, shiftright(_v, p) as at))")
-    y = y.withColumn("_depth", depth).withColumn("_v", F.expr(f"(need - low) div {step}"))
-    y = y.select("pivot", "shingle", *(F.col(c).alias(f"_{c}") for c in ("node", "part", "need", "after")), F.explode(F.when(F.col("_depth") < 0, few).otherwise(at)).alias("_b"))
-    most = F.least(2 * (100 + percent) * (1 + F.col("after")) - F.col("need"), F.col("high"))
-    x = x.withColumn("_depth", depth).withColumn("_most", most).filter(F.col("_most") >= F.col("need"))
-    # steps [_from, _to); at power p the blocks from ceil(_from / 2^p) to floor(_to / 2^p), of which odd ends stand alone
-    x = x.withColumn("_from", F.expr(f"(need - low) div {step}")).withColumn("_to", F.expr(f"(_most - low) div {step} + 1"))
-    ends = f"transform(sequence(0, _depth), p -> struct(p as power, shiftright(_from + shiftleft(1L, p) - 1, p) as l, shiftright(_to, p) as r))"
-    cover = F.expr(f"flatten(transform(filter({ends}, e -> e.l < e.r), e -> filter(array(if(e.l & 1 = 1, struct(e.power as power, e.l as at), null), if(e.r & 1 = 1, struct(e.power as power, e.r - 1 as at), null)), b -> b is not null)))")
-    x = x.select("pivot", "shingle", "node", "part", "need", "after", F.explode(F.when(F.col("_depth") < 0, few).otherwise(cover)).alias("_b"))
-    x, y = (t.select("*", "_b.power", "_b.at").drop("_b") for t in (x, y))
-    return x.hint("merge").join(y, ["pivot", "shingle", "power", "at"]).filter((F.col("need") < F.col("_need")) | ((F.col("need") == F.col("_need")) & (F.col("node") < F.col("_node"))))
+    most = 2 * (100 + percent) * (1 + F.col("after")) - F.col("need")
+    columns, order = ["pivot", "shingle", "node", "part", "need", "after"], ["pivot", "shingle", "at", "by", "kind"]
+    mark = lambda at, by, kind: F.struct(at.alias("at"), by.cast("long").alias("by"), F.lit(kind).alias("kind"))
+    ends = F.explode(F.array(mark(F.col("need"), F.col("node"), 1), mark(most, F.lit((1 << 63) - 1), 2)))
+    rows = y.select(*columns, mark(F.col("need"), F.col("node"), 0).alias("_m")).union(x.filter(most >= F.col("need")).select(*columns, ends.alias("_m"))).select(*columns, "_m.*")
+    n = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    dealt = written(dealt.mapInArrow(_counted, "pivot long, shingle long, node long, part long, need long, after int, at long, by long, kind int, deal int, upto long"), "needs")
+    # one row for each range
+    before = dealt.groupBy("deal").agg(F.max("upto").alias("_n")).select("deal", F.coalesce(F.sum("_n").over(Window.orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = dealt.join(F.broadcast(before), "deal").withColumn("_upto", F.col("upto") + F.col("_before"))
+    y = placed.filter("kind = 0").select(*(F.col(c).alias(f"_{c}") for c in columns[2:]), (F.col("_upto") - 1).alias("_place")).withColumn("_block", F.expr(f"_place div {BLOCK}"))
+    x = placed.filter("kind > 0").groupBy(*columns).agg(F.min("_upto").alias("_from"), F.max("_upto").alias("_to")).filter("_from < _to")
+    x = x.withColumn("_block", F.explode(F.expr(f"sequence(_from div {BLOCK}, (_to - 1) div {BLOCK})")))
+    return x.hint("merge").join(y, "_block").filter("_place >= _from and _place < _to").drop("_block", "_place", "_from", "_to")
 
 
 def _between(pairs: DataFrame, parents: DataFrame) -> DataFrame:

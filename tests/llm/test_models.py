@@ -195,6 +195,28 @@ def test_members_meet_where_their_needs_allow_it(spark):
     assert {w for w in want if not w[0]} <= set(few) and len(few) <= 2 * 10
 
 
+def test_rows_of_a_step_grow_with_members_of_a_group(spark, monkeypatch):
+    """One row for each member and two ends for each that another may suit, in small groups and in large ones."""
+    made, write = [], neardup.written
+
+    def counted(df, name):
+        out = write(df, name)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "written", counted)
+    each = []
+    for members in (8, 40):
+        rows = [(p, 1, p * 100 + k, p * 100 + k, 20 * k * k, 10, members, 0, 20 * members**2) for p in range(5) for k in range(members)]
+        df = spark.createDataFrame(rows, "pivot long, shingle long, node long, part long, need long, after int, n long, low long, high long")
+        met = neardup._within(df, df, 80).count()
+        want = sum(20 * j * j + 20 * k * k <= 360 * 11 for k in range(members) for j in range(k + 1, members))
+        assert met == 5 * want and want
+        each.append(sum(made) / len(rows))
+        made.clear()
+    assert 1 < each[1] <= each[0] <= 3, each
+
+
 def test_pages_of_one_template_meet_where_needs_allow_it(spark, monkeypatch):
     rng = random.Random(6)
     template = [f"t{k}" for k in range(150)]
