@@ -55,6 +55,13 @@ _FULL_STOP = re.compile(rb"[.,](?:(?<=[a-z].)|(?<=\xc3[\xa0-\xb6].))(?=\s|\Z)")
 
 _SPACE = re.compile(rb"\s")
 
+#: A word that the tokenizer leaves as it is and splits into its letters and the signs after them.
+_LETTERS_SIGNS = re.compile(r"([a-z\xdf-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)")
+
+# The characters that stand for bytes in byte-level tokenizers.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = dict(zip([*_SHOWN, *sorted(set(range(256)) - set(_SHOWN))], [*_SHOWN, *range(256, 324)], strict=True))
+
 
 class _Index(dict):
     """word -> number; new words are numbered on first sight and listed in ``fresh``."""
@@ -81,6 +88,17 @@ class _Grown:
         self.n += len(more)
 
 
+class _Pieces(dict):
+    """piece -> its ids, kept with the words that hold it."""
+
+    def __init__(self, work):
+        self.work = work
+
+    def __missing__(self, piece: str) -> list[int]:
+        self[piece] = out = self.work(piece)
+        return out
+
+
 class WordEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -89,10 +107,11 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         described = json.loads(self.tokenizer.to_str())
         self.by_words = all(described[k] == v for k, v in _BY_WORDS.items())
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
-        self.index, self.ids, self.ends = _Index(), _Grown(np.uint32), _Grown(np.int64)
+        self.index, self.ids, self.ends, self.signs = _Index(), _Grown(np.uint32), _Grown(np.int64), _Pieces(self._piece)
         self.ends.append(np.zeros(1, np.int64))
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -147,12 +166,35 @@ class WordEncoder:
         return out
 
     def _learn(self, new: list[str]) -> None:
-        """Encode new words as one text; a token belongs to the word that its offset lies in."""
+        """Encode new words: letters and the signs after them as the pieces that they are, all others as one text."""
+        parts = [_LETTERS_SIGNS.fullmatch(w) for w in new]
+        others = iter(self._together([w for w, m in zip(new, parts, strict=True) if m is None]))
+        ids, ends = [], []
+        for m in parts:
+            if m is None:
+                ids += next(others)
+            else:
+                ids += self._piece(m[1])
+                if m[2]:
+                    ids += self.signs[m[2]]
+            ends.append(len(ids))
+        self.ends.append(self.ids.n + np.array(ends, np.int64))
+        self.ids.append(np.array(ids, np.uint32))
+
+    def _piece(self, piece: str) -> list[int]:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return [t.id for t in self.model.tokenize(piece)]
+
+    def _together(self, new: list[str]) -> list[list[int]]:
+        """The ids of each of some words, encoded as one text; a token belongs to the word that its offset lies in."""
+        if not new:
+            return []
         got = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        word_at = np.concatenate([[0], np.cumsum(np.fromiter((len(w) + 1 for w in new), dtype=np.int64, count=len(new)))])
-        start = np.fromiter((o[0] for o in got.offsets), dtype=np.int64, count=len(got.ids))
-        self.ends.append(self.ids.n + np.searchsorted(start, word_at[1:]))
-        self.ids.append(np.array(got.ids, np.uint32))
+        ids, last = got.ids, np.cumsum([len(w) + 1 for w in new])
+        start = np.fromiter((o[0] for o in got.offsets), dtype=np.int64, count=len(ids))
+        ends = np.searchsorted(start, last).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -259,6 +259,20 @@ def test_rows_without_an_id_stay_for_themselves(spark):
 # --- id files ---
 
 
+def test_letters_and_signs_have_the_ids_of_the_whole_text(monkeypatch):
+    enc = tokens.WordEncoder(tokens.default_tokenizer())
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abßé÷øÿÉ'.,!-<|>`~$^_ 1µªst") for _ in range(rng.randrange(40))) for _ in range(400)] + ["<|endoftext|> a<|startoftext|>", "it's l'été don't' x!?", None, ""]
+    want = [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [enc.encode(t).tolist() for t in texts] == want
+    # words of letters, with signs or without, are not sent through the tokenizer's scan of texts
+    scanned = []
+    monkeypatch.setattr(enc, "_together", lambda new: scanned.extend(new) or [])
+    enc.clear()
+    enc.encode("never örtlich seen%%% before,*** straße.$$$")
+    assert not scanned
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 65534), max_size=300), st.sampled_from([1, 7, 64, 2048]))
 def test_coder_round_trip(ids, block):
