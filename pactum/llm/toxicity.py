@@ -85,6 +85,7 @@ PHRASES = ("shut up", "get lost", "drop dead", "go to hell", "hate you", "kill y
 ADDRESS = "you your yours yourself u ur tu tú te ti usted ustedes toi vous votre du dich dir dein deine ihr euch"
 
 _LISTS = {lang: frozenset(words.split()) for lang, words in INSULTS.items()}
+_LISTED = frozenset().union(*_LISTS.values())
 _ADDRESS = frozenset(ADDRESS.split())
 _UPPER, _LOWER, _SYMBOLS = bytes(range(65, 91)), bytes(range(97, 123)), b"*#@$%"
 _MASKED, _STRETCHED = re.compile(rb"[A-Za-z][*#@$%]{2,}[A-Za-z]"), re.compile(r"([a-z])\1{3}")
@@ -172,6 +173,9 @@ class Voters:
         self.others = self.spelled + len(SPELLINGS)
         self.stems = {e[:-1]: i for e, i in self.lexicon.items() if e.endswith("*")}
         self.lengths = sorted({len(e) for e in self.stems})
+        # most words are told from all stems by their first letters
+        self.least = self.lengths[0] if self.lengths else 0
+        self.begun = {e[: self.least] for e in self.stems}
 
     def __len__(self) -> int:
         return len(self.names)
@@ -179,12 +183,15 @@ class Voters:
     def of(self, word: bytes) -> tuple[int, ...]:
         """The voters that fire on a word; the one for address needs another word beside it."""
         w = word.decode("utf-8", "replace")
-        out = [self.stems[w[:k]] for k in self.lengths if k < len(w) and w[:k] in self.stems]
+        out = []
+        if w[: self.least] in self.begun:
+            out += [self.stems[w[:k]] for k in self.lengths if k < len(w) and w[:k] in self.stems]
         if w in self.lexicon:  # what is mined is its own voter, not one of a list's
             out.append(self.lexicon[w])
-        else:
+        elif w in _LISTED:
             out += [self.others + 1 + i for i, own in enumerate(_LISTS.values()) if w in own]
-        if _STRETCHED.search(w):
+        # four equal letters leave three fewer distinct ones
+        if len(w) - len(set(w)) >= 3 and _STRETCHED.search(w):
             out.append(self.others)
         if w in _ADDRESS:
             out.append(self.others + 5)
@@ -269,6 +276,42 @@ def buckets_of(word: bytes) -> list[int]:
     return [crc(word) & (BUCKETS - 1), *(crc(b"*", crc(x)) & (BUCKETS - 1) for x in starts)]
 
 
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = (t >> 1) ^ ((t & 1) * np.uint32(0xEDB88320))
+    return t
+
+
+_CRC, _ALL_ONES = _crc_table(), np.uint32(0xFFFFFFFF)
+
+#: Bytes up to which words are taken together.
+SHORT_WORD = 64
+
+
+def bucket_rows(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """UTF-8 words of at most SHORT_WORD bytes, longest first, and ``buckets_of`` each in a column: the word's and those of its stems, -1 where there is none."""
+    words = sorted(words, key=len, reverse=True)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    data, first = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
+    out = np.full((1 + len(STEMS), len(words)), -1, np.int32)
+    row_of = np.full(SHORT_WORD + 1, -1)
+    row_of[list(STEMS)] = range(1, 1 + len(STEMS))
+    crc, chars = np.full(len(words), _ALL_ONES), np.zeros(len(words), np.int64)
+    for i in range(int(sizes.max(initial=0))):
+        m = int(np.searchsorted(-sizes, -i))  # longer words come first
+        byte = data[first[:m] + i]
+        begins = (byte & 0xC0) != 0x80
+        row = row_of[chars[:m]]
+        at = np.flatnonzero(begins & (row >= 0))  # a stem ends here and the word goes on
+        c = crc[at]
+        out[row[at], at] = (_CRC[(c ^ ord("*")) & 0xFF] ^ (c >> 8) ^ _ALL_ONES) & (BUCKETS - 1)
+        chars[:m] += begins
+        crc[:m] = _CRC[(crc[:m] ^ byte) & 0xFF] ^ (crc[:m] >> 8)
+    out[0] = (crc ^ _ALL_ONES) & (BUCKETS - 1)
+    return words, out
+
+
 def train(rows: list[tuple[int, np.ndarray, list[int]]], chance: np.ndarray, voters: int, steps: int = 120, rate: float = 0.5, keep: float = 1e-4) -> np.ndarray:
     """Weights of the buckets, the voters and a constant: logistic loss against chances, by full gradients with a step for each weight.
 
@@ -294,15 +337,36 @@ class Scorer:
 
     def __init__(self, voters: Voters, weights: np.ndarray):
         self.voters, self.weights = voters, weights.tolist()
+        self.padded = np.append(weights[:BUCKETS], 0.0)  # bucket -1 adds nothing
         self.hits: dict[bytes, tuple[int, ...]] = {}
         self.hit_words: set[bytes] = set()
         self.adds = Known(self._word, 2 * KNOWN_WORDS)
 
     def _word(self, word: bytes) -> float:
+        self._fires(word)
+        return sum([self.weights[b] for b in buckets_of(word)])
+
+    def _fires(self, word: bytes) -> None:
         if (fired := self.voters.of(word)) and word not in self.hit_words:
             self.hits[word] = fired
             self.hit_words.add(word)
-        return sum([self.weights[b] for b in buckets_of(word)])
+
+    def learn(self, texts: list[set[bytes]]) -> None:
+        """Work out what the new words of some texts add, short ones all at once."""
+        if len(self.adds) >= self.adds.most:
+            self.adds.clear()
+        new = [w for w in set().union(*texts).difference(self.adds) if len(w) <= SHORT_WORD]
+        try:
+            b" ".join(new).decode()
+        except UnicodeDecodeError:
+            return  # one by one, when they are asked for
+        new, rows = bucket_rows(new)
+        sums = np.zeros(len(new))
+        for row in rows:  # one after the other, so that the words beside it don't change a word's sum
+            sums += self.padded[row]
+        self.adds.update(zip(new, sums.tolist(), strict=True))
+        for w in new:
+            self._fires(w)
 
     def __call__(self, words: set[bytes], spellings: int) -> float:
         z = math.fsum(map(self.adds.__getitem__, words)) * max(1, len(words)) ** -0.5
@@ -448,7 +512,9 @@ def _scored(voters: Voters, weights: np.ndarray):
 
         probability = Scorer(voters, weights)
         for batch in (part for whole in batches for part in slices(whole)):
-            score = [probability(*described(x)) for x in _raw(batch)]
+            found = [described(x) for x in _raw(batch)]
+            probability.learn([words for words, _ in found])
+            score = [probability(*f) for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     return rows

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pactum.llm import idcoder, idfiles, neardup, packing, textbytes, tokens, topk, treeweight
+from pactum.llm import idcoder, idfiles, neardup, packing, textbytes, tokens, topk, toxicity, treeweight
 
 
 def low(t):
@@ -256,6 +256,28 @@ def test_rows_without_an_id_stay_for_themselves(spark):
     assert Counter(map(tuple, got)) == Counter([(5, text(1)), (None, text(2)), (None, text(2)), (3, text(3)), (None, None), (None, "")])
 
 
+# --- toxicity ---
+
+
+def test_new_words_are_worked_out_together_as_one_by_one(monkeypatch):
+    rng = random.Random(12)
+    texts = [{"".join(rng.choice("aeé日nrs") for _ in range(rng.randrange(12))).encode() for _ in range(40)} | {b"hateful", b"soooo", b"idiot", b"w" * 300} for _ in range(6)]
+    every = set().union(*texts)
+    order, rows = toxicity.bucket_rows([w for w in every if len(w) <= toxicity.SHORT_WORD])
+    assert [sorted(b for b in column if b >= 0) for column in rows.T.tolist()] == [sorted(toxicity.buckets_of(w)) for w in order]
+    voters = toxicity.Voters(["hate*", "aeé", "nrs*"])
+    weights = np.random.default_rng(3).normal(size=toxicity.BUCKETS + len(voters) + 1)
+    alone, together = (toxicity.Scorer(voters, weights) for _ in range(2))
+    want = [alone(t, 0) for t in texts]
+    one_by_one = []
+    monkeypatch.setattr(toxicity, "buckets_of", lambda w, of=toxicity.buckets_of: one_by_one.append(w) or of(w))
+    together.learn(texts)
+    assert np.allclose([together(t, 0) for t in texts], want, rtol=0, atol=1e-12) and one_by_one == [b"w" * 300]
+    broken = {b"aaaa\xff\xfeaa", b"aaaa"}
+    together.learn([broken])
+    assert together(broken, 0) == alone(broken, 0)
+
+
 # --- id files ---
 
 
