@@ -25,7 +25,7 @@ import numpy as np
 #: Ids in a block. Each block can be decoded without any other.
 BLOCK_IDS = 2048
 
-#: Blocks that are coded in step; of a longer segment they are taken lot by lot.
+#: Most blocks that are coded in step; those of a longer segment are taken in lots of about one size.
 LANES = 4096
 
 #: Ids lie below this; the number itself stands for no id.
@@ -50,6 +50,7 @@ class Frequencies:
         self.ids, self.classes = ids, classes
         self.size, self.start = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.size[ids], self.start[ids] = size, np.cumsum(size) - size
+        self.span = (self.start << 20) | self.size
         self.id_at = np.repeat(ids, size).astype(np.int32)
         self.stretched = _STRETCH[np.minimum(self.size >> (_UNIT - 12), 4095)]
 
@@ -81,7 +82,21 @@ class _Coder:
         self.range = np.full(lanes, _MASK, np.int64)
 
     def settle(self) -> None:
-        lane = np.flatnonzero(self.range < _TOP)
+        """Move on what is settled: all lanes at once, then the few that have more than 16 bits to move."""
+        low, size = self.low, self.range
+        same = (low ^ (low + size)) < _TOP
+        thin = size < _BOT
+        go = same | thin
+        if np.count_nonzero(thin > same):
+            cut = np.flatnonzero(thin > same)
+            size[cut] = -low[cut] & (_BOT - 1)
+        shift = go.astype(np.int64)
+        self._move_all(low, go, shift)
+        shift <<= 4
+        low <<= shift
+        low &= _MASK
+        size <<= shift
+        lane = np.flatnonzero(go & (size < _TOP))
         while len(lane):
             low, size = self.low[lane], self.range[lane]
             same = (low ^ (low + size)) < _TOP
@@ -93,9 +108,10 @@ class _Coder:
             self.range[lane] = size
             lane = lane[size < _TOP]
 
-    def _flag(self, one: np.ndarray, bit: np.ndarray) -> None:
-        self.low += one * ~bit
-        self.range = np.where(bit, one, self.range - one)
+    def _take(self, hit: np.ndarray, one: np.ndarray, part: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """A lane that hits keeps the range ``one``; any other an id's place in what is left of it."""
+        self.low += np.where(hit, 0, one + part * start)
+        self.range = np.where(hit, one, part * size)
 
 
 class Encoder(_Coder):
@@ -110,16 +126,14 @@ class Encoder(_Coder):
         self.out[at] = low >> 46
         self.at[lane] = at + 1
 
-    def flag(self, p16: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        self._flag((self.range >> 16) * p16, bit)
-        return bit
+    def _move_all(self, low: np.ndarray, go: np.ndarray, by: np.ndarray) -> None:
+        self.out[self.at] = low >> 46  # what doesn't go is written over later
+        self.at += by
 
-    def ids(self, lane: np.ndarray, order0: Frequencies, value: np.ndarray) -> np.ndarray:
-        """Code ``value`` in the lanes ``lane`` by order 0."""
-        part = self.range[lane] >> _UNIT
-        self.low[lane] += part * order0.start[value]
-        self.range[lane] = part * order0.size[value]
-        return value
+    def code(self, p16: np.ndarray, hit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Code whether the prediction holds and, where it doesn't, the id at ``start`` of order 0."""
+        one = (self.range >> 16) * p16
+        self._take(hit, one, (self.range - one) >> _UNIT, start, size)
 
     def finish(self) -> list[bytes]:
         for shift in (46, 30, 14):
@@ -135,74 +149,97 @@ class Decoder(_Coder):
     def __init__(self, payload: list[bytes]):
         super().__init__(len(payload))
         sizes = np.array([len(p) // 2 for p in payload]) + 8
-        self.data = np.frombuffer(b"".join(p + bytes(16) for p in payload), "<u2").astype(np.int64)
+        data = np.frombuffer(b"".join(p + bytes(16) for p in payload), "<u2")
         at = np.cumsum(sizes) - sizes
         # 62 bits are 3 words and 14 bits; the last two bits of a word go with the next
-        self.code = (self.data[at] << 46) | (self.data[at + 1] << 30) | (self.data[at + 2] << 14) | (self.data[at + 3] >> 2)
+        self.data = np.append(np.uint16(0), (data[:-1] & 3) << 14) | (data >> 2)
+        first = data.astype(np.int64)
+        self.code_at = (first[at] << 46) | (first[at + 1] << 30) | (first[at + 2] << 14) | (first[at + 3] >> 2)
         self.at = at + 4
 
     def _move(self, lane: np.ndarray, low: np.ndarray) -> None:
         at = self.at[lane]
-        two = self.data[at - 1] & 3
-        self.code[lane] = ((self.code[lane] << 16) & _MASK) | (two << 14) | (self.data[at] >> 2)
+        self.code_at[lane] = ((self.code_at[lane] << 16) & _MASK) | self.data[at]
         self.at[lane] = at + 1
 
-    def flag(self, p16: np.ndarray, bit: None) -> np.ndarray:
+    def _move_all(self, low: np.ndarray, go: np.ndarray, by: np.ndarray) -> None:
+        moved = ((self.code_at << 16) & _MASK) | self.data.take(self.at, mode="clip")
+        np.putmask(self.code_at, go, moved)
+        self.at += by
+
+    def code(self, p16: np.ndarray, guess: np.ndarray, order0: Frequencies) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the prediction held, and the id."""
         one = (self.range >> 16) * p16
-        got = self.code - self.low < one
-        self._flag(one, got)
-        return got
-
-    def ids(self, lane: np.ndarray, order0: Frequencies, value: None) -> np.ndarray:
-        part = self.range[lane] >> _UNIT
-        low = self.low[lane]
-        got = order0.id_at[np.minimum((self.code[lane] - low) // part, (1 << _UNIT) - 1)]
-        self.low[lane] = low + part * order0.start[got]
-        self.range[lane] = part * order0.size[got]
-        return got
-
-
-def _run(coder: Encoder | Decoder, order0: Frequencies, lanes: int, steps: int, ids: np.ndarray | None) -> np.ndarray:
-    """Code ``steps`` ids of each lane; ``ids`` [step, lane] when encoding."""
-    out = np.empty((steps, lanes), np.int32)
+        part = (self.range - one) >> _UNIT
+        left = self.code_at - self.low - one
+        hit = left < 0
+        # where the prediction held, what is left is below 0 and the id found is of no use
+        got = order0.id_at.take((left.view(np.uint64) // part.view(np.uint64)).view(np.int64), mode="clip")
+        span = order0.span.take(got, mode="clip")
+        self._take(hit, one, part, span >> 20, span & 0xFFFFF)
+        return hit, np.where(hit, guess, got)
+
+
+#: Steps for which an encoder works out together what depends on the ids alone.
+_AHEAD = 32
+
+
+def _slots(a: np.ndarray, b: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the id that followed ``a``, and that which followed ``b`` and ``a``, are kept."""
+    n, mixed = np.int32(len(lane)), a * np.int32(40503)
+    return ((mixed >> 5) & (_SLOTS - 1)) * n + lane, (((mixed + b * np.int32(26544)) >> 5) & (_SLOTS - 1)) * n + lane
+
+
+def _run(coder: Encoder | Decoder, order0: Frequencies, lanes: int, steps: int, ids: np.ndarray | None) -> np.ndarray | None:
+    """Code ``steps`` ids of each lane; ``ids`` [lane, step] when encoding, else they are returned as [step, lane].
+
+    Two steps of id 0 stand before the first.
+    """
+    out = np.zeros((steps + 2, lanes), np.int32) if ids is None else None
     lane = np.arange(lanes)
     n = np.int32(lanes)
     next2 = np.full(_SLOTS * lanes, _NONE << 4, np.int32)  # what last followed, and how often in a row
     next1 = np.full(_SLOTS * lanes, _NONE << 4, np.int32)
     chance = np.full(64 * lanes, 1 << 15, np.int32)  # by confidence, order and agreement of the prediction
     w_chance, w_zero = (np.full(lanes, w, np.int32) for w in (52_000, 14_000))
-    a = b = np.zeros(lanes, np.int32)
     for t in range(steps):
-        now = None if ids is None else ids[t]
-        mixed = a * np.int32(40503)
-        at1 = ((mixed >> 5) & (_SLOTS - 1)) * n + lane
-        at2 = (((mixed + b * np.int32(26544)) >> 5) & (_SLOTS - 1)) * n + lane
+        if ids is None:
+            at1, at2 = _slots(out[t + 1], out[t], lane)
+        else:
+            k = t % _AHEAD
+            if not k:
+                before = ahead[-2:] if t else np.zeros((2, lanes), np.int32)
+                ahead = np.concatenate([before, ids[:, t : t + _AHEAD].T])
+                all1, all2 = _slots(ahead[1:-1], ahead[:-2], lane)
+                starts, sizes = order0.start.take(ahead[2:], mode="clip"), order0.size.take(ahead[2:], mode="clip")
+            at1, at2 = all1[k], all2[k]
         e1, e2 = next1[at1], next2[at2]
-        g1, no2 = e1 >> 4, e2 >= _NONE << 4
+        g1, g2 = e1 >> 4, e2 >> 4
+        no2 = g2 == _NONE
         pick = np.where(no2, e1, e2)
         guess = pick >> 4
-        at_c = ((pick & 15) | no2 * np.int32(16) | (g1 == guess) * np.int32(32)) * n + lane
+        at_c = ((pick & 15) | ((no2.view(np.int8) << 4) | ((g1 == guess).view(np.int8) << 5))) * n + lane
         pc = chance[at_c]
-        sc, sz = _STRETCH[pc >> 4], order0.stretched[guess]
+        sc, sz = _STRETCH.take(pc >> 4, mode="clip"), order0.stretched.take(guess, mode="clip")
         p = _SQUASH.take(((w_chance * sc + w_zero * sz) >> 16) + 2047, mode="clip")
-        hit = coder.flag(p << 4, None if now is None else now == guess)
-        err = ((hit * np.int32(4096)) - p) * np.int32(6)
-        w_chance += (sc * err + 0x8000) >> 16
-        w_zero += (sz * err + 0x8000) >> 16
-        chance[at_c] = pc + ((hit * np.int32(65535) - pc) >> 5)
-        lost = np.flatnonzero(~hit)
-        if now is None:
-            guess[lost] = coder.ids(lost, order0, None)
-            now = guess
+        if ids is None:
+            hit, now = coder.code(p << 4, guess, order0)
+            out[t + 2] = now
         else:
-            coder.ids(lost, order0, now[lost])
+            now = ahead[k + 2]
+            hit = now == guess
+            coder.code(p << 4, hit, starts[k], sizes[k])
         coder.settle()
+        held = hit.astype(np.int32)
+        err = ((held << 12) - p) * np.int32(6)
+        w_chance += (sc * err + 0x8000) >> 16
+        w_zero += (sz * err + 0x8000) >> 16
+        chance[at_c] = pc + ((held * np.int32(65535) - pc) >> 5)
         coded = now << 4
-        next1[at1] = coded | np.minimum((e1 & 15) + 1, 15) * (g1 == now)
-        next2[at2] = coded | np.minimum((e2 & 15) + 1, 15) * (e2 >> 4 == now)
-        out[t] = now
-        a, b = now, a
-    return out
+        most = coded | 15
+        next1[at1] = np.where(g1 == now, np.minimum(e1 + 1, most), coded)
+        next2[at2] = np.where(g2 == now, np.minimum(e2 + 1, most), coded)
+    return None if out is None else out[2:]
 
 
 def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> tuple[bytes, list[bytes], list[int]]:
@@ -217,9 +254,9 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> tuple[bytes, list[byt
     grid = np.full(blocks * steps, ids[(blocks - 1) * block_ids], np.int32)
     grid[: len(ids)] = ids
     order0, out = Frequencies.of(ids), []
-    for part in np.split(grid.reshape(blocks, steps), range(LANES, blocks, LANES)):
+    for part in np.array_split(grid.reshape(blocks, steps), -(-blocks // LANES)):
         coder = Encoder(len(part), 2 * steps + 16)
-        _run(coder, order0, len(part), steps, np.ascontiguousarray(part.T))
+        _run(coder, order0, len(part), steps, part)
         out += coder.finish()
     raw = ids.astype("<u4")
     return order0.to_bytes(), out, [zlib.crc32(raw[a : a + block_ids].tobytes()) for a in range(0, len(ids), block_ids)]
@@ -230,7 +267,8 @@ def decode(order0: bytes, payload: list[bytes], crcs: list[int], n_ids: int, blo
     if not payload:
         return np.empty(0, np.uint32)
     steps = min(block_ids, n_ids)
-    frequencies, lots = Frequencies.from_bytes(order0), [payload[a : a + LANES] for a in range(0, len(payload), LANES)]
+    frequencies, n_lots = Frequencies.from_bytes(order0), -(-len(payload) // LANES)
+    lots = [payload[len(payload) * k // n_lots : len(payload) * (k + 1) // n_lots] for k in range(n_lots)]
     ids = np.concatenate([_run(Decoder(lot), frequencies, len(lot), steps, None).T.ravel() for lot in lots])[:n_ids].astype("<u4")
     for k, crc in enumerate(crcs):
         if zlib.crc32(ids[k * block_ids : (k + 1) * block_ids].tobytes()) != crc:

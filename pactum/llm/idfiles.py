@@ -5,7 +5,9 @@ or speculative tasks leave no half files, on any store that Spark reaches). A
 row is a segment: the documents in it, how many ids each has, the order-0 frequencies
 of its ids and the coded blocks of its ids with a checksum each (see ``idcoder``).
 Documents are never split between segments; a segment closes with the document that
-fills it, so a task holds the ids of one segment and of its last document.
+fills it. What a task has left after its last full segment goes into that segment, as
+a short one takes a coder nearly as many steps as a full one, so a task holds the ids of
+two segments and of their last documents.
 
 Documents are dealt by ranges of (doc_id, text hash), so part p precedes part
 p + 1 and rows of one doc_id may still part. Null doc_ids come first; null, empty and
@@ -27,7 +29,7 @@ from pactum.llm.rowkeys import text_hash
 from pactum.llm.tokens import END_ID, default_tokenizer
 from pactum.plans.scratch import written
 
-#: Ids after which a segment closes with the document that reached it.
+#: Ids after which a segment is full with the document that reached it.
 SEGMENT_IDS = 1 << 22
 
 FILE_SCHEMA = "part int, segment int, doc_ids array<long>, n_tokens array<long>, n_ids long, order0 binary, block_bytes array<int>, block_crcs array<long>, payload binary"
@@ -43,17 +45,15 @@ def _encode(tokenizer: str):
         from pactum.llm.tokens import encoder
 
         enc, part, segment = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        docs, sizes, held, n_held = [], [], [], 0
+        docs, sizes, held, n_held, full = [], [], [], 0, ([], [], [])
 
-        def close():
-            nonlocal segment, n_held
+        def close(docs, sizes, held):
+            nonlocal segment
             ids = np.concatenate(held)
             order0, blocks, crcs = idcoder.encode(ids)
-            row = {"part": [part], "segment": [segment], "doc_ids": [docs[:]], "n_tokens": [sizes[:]], "n_ids": [len(ids)], "order0": [order0], "block_bytes": [[len(b) for b in blocks]], "block_crcs": [crcs], "payload": [b"".join(blocks)]}
+            row = {"part": [part], "segment": [segment], "doc_ids": [docs], "n_tokens": [sizes], "n_ids": [len(ids)], "order0": [order0], "block_bytes": [[len(b) for b in blocks]], "block_crcs": [crcs], "payload": [b"".join(blocks)]}
             types = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
-            segment, n_held = segment + 1, 0
-            for x in (docs, sizes, held):
-                x.clear()
+            segment += 1
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
         for batch in (slice_ for whole in batches for slice_ in textbytes.slices(whole)):
@@ -67,9 +67,11 @@ def _encode(tokenizer: str):
                 held.append(np.append(ids[a:b], np.uint16(END_ID)))
                 n_held += b - a + 1
                 if n_held >= SEGMENT_IDS:
-                    yield close()
-        if docs:
-            yield close()
+                    if full[0]:
+                        yield close(*full)
+                    full, docs, sizes, held, n_held = (docs, sizes, held), [], [], [], 0
+        if full[0] or docs:
+            yield close(full[0] + docs, full[1] + sizes, full[2] + held)
 
     return rows
 

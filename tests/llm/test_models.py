@@ -295,6 +295,26 @@ def test_letters_and_signs_have_the_ids_of_the_whole_text(monkeypatch):
     assert not scanned
 
 
+def test_known_short_words_are_found_together(plain_ids):
+    enc, rng = tokens.WordEncoder(tokens.default_tokenizer()), random.Random(3)
+    texts = [" ".join("".join(rng.choice("ab\0é.,$") for _ in range(rng.randrange(1, 20))) for _ in range(3000)) for _ in range(3)]
+    texts += ["a a\0 a\0\0 \0 " + " ".join("x" * k + c for k in range(1, 40) for c in ("", ".", "\0", "y."))]
+    want = [plain_ids(t)[:-1].tolist() for t in texts]
+    assert [enc.encode(t).tolist() for t in texts] == want
+    # each short word of a text seen before has its number in the table, and none is asked for by itself
+    enc.index = type("Known", (dict,), {"fresh": []})((w, n) for w, n in enc.index.items() if len(w) > tokens.SHORT_BYTES)
+    assert [enc.encode(t).tolist() for t in texts] == want
+
+
+def test_halves_that_share_places():
+    low, high = (x.ravel().astype(np.uint64) for x in np.meshgrid(np.arange(40), np.arange(1, 41)))
+    table = tokens._Halves(2)
+    for part in np.array_split(np.arange(1600), 7):
+        assert (table.find(low[part], high[part]) == -1).all()
+        table.add(low[part], high[part], part)
+    assert table.find(low, high).tolist() == list(range(1600)) and table.find(low, high + np.uint64(40)).max() == -1
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 65534), max_size=300), st.sampled_from([1, 7, 64, 2048]))
 def test_coder_round_trip(ids, block):
@@ -369,6 +389,25 @@ def test_ids_come_back_in_order(docs, rows, plain_ids):
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
 
 
+def test_no_segment_but_a_whole_task_is_short(monkeypatch, rows, plain_ids):
+    import pyarrow as pa
+    import pyspark
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 4})()))
+    monkeypatch.setattr(idfiles, "SEGMENT_IDS", 500)
+    monkeypatch.setattr(idcoder, "LANES", 3)
+    texts = [r[1] for r in rows[:60]]
+    sizes = np.cumsum([len(plain_ids(t)) for t in texts])
+    for n in (1, 2, 60):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts[:n], pa.string())], names=["doc_id", "text"])
+        got = [x for b in idfiles._encode(tokens.default_tokenizer())(iter([batch])) for x in b.to_pylist()]
+        assert [d for x in got for d in x["doc_ids"]] == list(range(n)) and [x["segment"] for x in got] == list(range(len(got)))
+        assert sum(x["n_ids"] for x in got) == sizes[n - 1] and (len(got) == 1 or min(x["n_ids"] for x in got) >= 500)
+        back = [r for x in idfiles._decode(iter([pa.RecordBatch.from_pylist(got)])) for r in x.to_pylist()]
+        assert [r["ids_crc32"] for r in back] == [zlib.crc32(plain_ids(t).tobytes()) for t in texts[:n]]
+    assert len(got) > 1
+
+
 def test_id_files_odd_rows(empty, clashing, docs):
     assert idfiles.read_ids(idfiles.written_ids(empty)).count() == 0
     assert Counter(idfiles.read_ids(idfiles.written_ids(clashing)).collect()) == Counter(idfiles.read_ids(idfiles.written_ids(docs)).collect())
