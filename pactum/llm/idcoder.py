@@ -110,8 +110,12 @@ class _Coder:
 
     def _take(self, hit: np.ndarray, one: np.ndarray, part: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         """A lane that hits keeps the range ``one``; any other an id's place in what is left of it."""
-        self.low += np.where(hit, 0, one + part * start)
-        self.range = np.where(hit, one, part * size)
+        low = part * start
+        low += one
+        np.putmask(low, hit, 0)
+        self.low += low
+        self.range = part * size
+        np.putmask(self.range, hit, one)
 
 
 class Encoder(_Coder):
@@ -185,9 +189,18 @@ _AHEAD = 32
 
 
 def _slots(a: np.ndarray, b: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the id that followed ``a``, and that which followed ``b`` and ``a``, are kept."""
-    n, mixed = np.int32(len(lane)), a * np.int32(40503)
-    return ((mixed >> 5) & (_SLOTS - 1)) * n + lane, (((mixed + b * np.int32(26544)) >> 5) & (_SLOTS - 1)) * n + lane
+    """Where the id that followed ``a``, and that which followed ``b`` and ``a``, are kept; of the 16-bit hashes the upper 11 bits count."""
+    a, b = a.astype(np.uint16), b.astype(np.uint16)
+    one = a * np.uint16(40503)
+    two = one + b * np.uint16(26544)
+    return _places(one >> 5, lane), _places(two >> 5, lane)
+
+
+def _places(row: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    at = row.astype(np.int64)
+    at *= len(lane)
+    at += lane
+    return at
 
 
 def _run(coder: Encoder | Decoder, order0: Frequencies, lanes: int, steps: int, ids: np.ndarray | None) -> np.ndarray | None:
@@ -197,7 +210,6 @@ def _run(coder: Encoder | Decoder, order0: Frequencies, lanes: int, steps: int,
     """
     out = np.zeros((steps + 2, lanes), np.int32) if ids is None else None
     lane = np.arange(lanes)
-    n = np.int32(lanes)
     next2 = np.full(_SLOTS * lanes, _NONE << 4, np.int32)  # what last followed, and how often in a row
     next1 = np.full(_SLOTS * lanes, _NONE << 4, np.int32)
     chance = np.full(64 * lanes, 1 << 15, np.int32)  # by confidence, order and agreement of the prediction
@@ -218,7 +230,7 @@ def _run(coder: Encoder | Decoder, order0: Frequencies, lanes: int, steps: int,
         no2 = g2 == _NONE
         pick = np.where(no2, e1, e2)
         guess = pick >> 4
-        at_c = ((pick & 15) | ((no2.view(np.int8) << 4) | ((g1 == guess).view(np.int8) << 5))) * n + lane
+        at_c = _places((pick & 15).astype(np.int8) | (no2.view(np.int8) << 4) | ((g1 == guess).view(np.int8) << 5), lane)
         pc = chance[at_c]
         sc, sz = _STRETCH.take(pc >> 4, mode="clip"), order0.stretched.take(guess, mode="clip")
         p = _SQUASH.take(((w_chance * sc + w_zero * sz) >> 16) + 2047, mode="clip")

@@ -21,8 +21,8 @@ from string import punctuation
 
 import numpy as np
 
-#: Words whose ids a worker keeps; beyond it the kept ids are dropped and gathered anew.
-CACHE_WORDS = 700_000
+#: Words whose ids a worker keeps, in about 100 bytes each; beyond it they are dropped and gathered anew.
+CACHE_WORDS = 2_000_000
 
 #: New words that are encoded at a time: the tokenizer takes many bytes for each one of a text.
 LEARN_WORDS = 4096
@@ -68,18 +68,6 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = dict(zip([*_SHOWN, *sorted(set(range(256)) - set(_SHOWN))], [*_SHOWN, *range(256, 324)], strict=True))
 
 
-class _Index(dict):
-    """word -> number; new words are numbered on first sight and listed in ``fresh``."""
-
-    def __init__(self):
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.fresh.append(word)
-        return n
-
-
 #: Bytes of a word that its two 64-bit halves hold, with its length in the last byte.
 SHORT_BYTES = 15
 _LOW = np.array([(1 << 8 * min(k, 8)) - 1 for k in range(SHORT_BYTES + 1)], np.uint64)
@@ -177,6 +165,10 @@ class _Grown:
         self.n += len(more)
 
 
+def _shown(piece: str) -> str:
+    return piece.encode().decode("latin-1").translate(_BYTE_CHARS)
+
+
 class _Pieces(dict):
     """piece -> its ids, kept with the words that hold it."""
 
@@ -200,7 +192,7 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index, self.halves, self.ids, self.ends, self.signs = _Index(), _Halves(), _Grown(np.uint32), _Grown(np.int64), _Pieces(self._piece)
+        self.long, self.halves, self.ids, self.ends, self.signs = {}, _Halves(), _Grown(np.uint32), _Grown(np.int64), _Pieces(self._piece)
         self.ends.append(np.zeros(1, np.int64))
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -242,17 +234,13 @@ class WordEncoder:
         raw = b" ".join([b"", *runs, b" " * 24])
         first, end = _words(raw)
         at = self._numbers(raw, first, end)
-        if self.index.fresh:
-            for k in range(0, len(self.index.fresh), LEARN_WORDS):
-                self._learn([w.decode("utf-8", "replace") for w in self.index.fresh[k : k + LEARN_WORDS]])
-            self.index.fresh.clear()
         start = self.ends.values
         n = start[at + 1] - start[at]
         total = np.concatenate([[0], np.cumsum(n)])
         out = self.ids.values[np.repeat(start[at] - total[:-1], n) + np.arange(total[-1])]
         last = np.searchsorted(first, np.cumsum([len(x) + 1 for x in runs]))
         np.add.at(sizes, texts_of, np.diff(total[last], prepend=0))
-        if len(self.index) > CACHE_WORDS:
+        if self.ends.n > CACHE_WORDS:
             self.clear()
         return out
 
@@ -263,7 +251,14 @@ class WordEncoder:
         at = self.halves.find(low, high)
         at[size > SHORT_BYTES] = -1
         other = np.flatnonzero(at < 0)
-        at[other] = [self.index[raw[a:b]] for a, b in zip(start[other].tolist(), end[other].tolist(), strict=True)]
+        words = [raw[a:b] for a, b in zip(start[other].tolist(), end[other].tolist(), strict=True)]
+        number = {w: self.long.get(w) for w in words}
+        new = [w for w, n in number.items() if n is None]
+        number.update(zip(new, range(self.ends.n - 1, self.ends.n - 1 + len(new)), strict=True))
+        self.long.update((w, number[w]) for w in new if len(w) > SHORT_BYTES)
+        at[other] = [number[w] for w in words]
+        for k in range(0, len(new), LEARN_WORDS):
+            self._learn([w.decode("utf-8", "replace") for w in new[k : k + LEARN_WORDS]])
         short = other[size[other] <= SHORT_BYTES]
         number, first = np.unique(at[short], return_index=True)
         self.halves.add(low[short[first]], high[short[first]], number)
@@ -274,12 +269,12 @@ class WordEncoder:
         parts = [w.rstrip(punctuation) for w in new]
         pieces = [(x.isalpha() and x.islower()) if x.isascii() else _LETTERS.fullmatch(x) is not None for x in parts]
         others = iter(self._together([w for w, fits in zip(new, pieces, strict=True) if not fits]))
-        ids, ends = [], []
+        ids, ends, tokenize = [], [], self.model.tokenize
         for w, letters, fits in zip(new, parts, pieces, strict=True):
             if not fits:
                 ids += next(others)
             else:
-                ids += self._piece(letters)
+                ids += map(_ID, tokenize(letters if letters.isascii() else _shown(letters)))
                 if len(letters) < len(w):
                     ids += self.signs[w[len(letters) :]]
             ends.append(len(ids))
@@ -287,9 +282,7 @@ class WordEncoder:
         self.ids.append(np.array(ids, np.uint32))
 
     def _piece(self, piece: str) -> list[int]:
-        if not piece.isascii():
-            piece = piece.encode().decode("latin-1").translate(_BYTE_CHARS)
-        return list(map(_ID, self.model.tokenize(piece)))
+        return [t.id for t in self.model.tokenize(piece)]
 
     def _together(self, new: list[str]) -> list[list[int]]:
         """The ids of each of some words, encoded as one text; a token belongs to the word that its offset lies in."""
