@@ -58,8 +58,8 @@ _BY_WORDS = {
 _SPACE = re.compile(rb"\s")
 _IS_SPACE = np.isin(np.arange(256), list(b" \t\n\r\f\v"))
 
-#: Letters that the tokenizer leaves as they are; of such a word and signs after it, it makes two pieces.
-_LETTERS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
+#: Letters that the tokenizer does no more to than lower-case them; of such a word and signs after it, it makes two pieces.
+_LETTERS = re.compile(r"[a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 _ID = attrgetter("id")
 
@@ -166,7 +166,7 @@ class _Grown:
 
 
 def _shown(piece: str) -> str:
-    return piece.encode().decode("latin-1").translate(_BYTE_CHARS)
+    return piece.lower().encode().decode("latin-1").translate(_BYTE_CHARS)
 
 
 class _Pieces(dict):

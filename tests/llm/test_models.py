@@ -307,6 +307,17 @@ def test_known_short_words_are_found_together(plain_ids, monkeypatch):
     assert [enc.encode(t).tolist() for t in texts] == want
 
 
+def test_capital_letters_with_accents(plain_ids, monkeypatch):
+    enc = tokens.WordEncoder(tokens.default_tokenizer())
+    texts = ["Été, ÜBER ÀÞ.$ Ä. Aé×É ÉA", "<|x Éa. ÉA abcÉ<|endoftext|> É<| AÉ", "É\u0301 e\u0301É \u212bé"]
+    assert [enc.encode(t).tolist() for t in texts] == [plain_ids(t)[:-1].tolist() for t in texts]
+    enc.clear()
+    scanned = []
+    monkeypatch.setattr(enc, "_together", lambda new: scanned.extend(new) or [[]] * len(new))
+    enc.encode("Élan ÜBER$ ÀÞþ")
+    assert not scanned
+
+
 def test_halves_that_share_places():
     low, high = (x.ravel().astype(np.uint64) for x in np.meshgrid(np.arange(40), np.arange(1, 41)))
     table = tokens._Halves(2)
