@@ -410,7 +410,7 @@ def test_no_segment_but_a_whole_task_is_short(monkeypatch, rows, plain_ids):
     monkeypatch.setattr(idcoder, "LANES", 3)
     texts = [r[1] for r in rows[:60]]
     sizes = np.cumsum([len(plain_ids(t)) for t in texts])
-    for n in (1, 2, 60):
+    for n in (1, 2, 40, 45, 50, 55, 60):
         batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts[:n], pa.string())], names=["doc_id", "text"])
         got = [x for b in idfiles._encode(tokens.default_tokenizer())(iter([batch])) for x in b.to_pylist()]
         assert [d for x in got for d in x["doc_ids"]] == list(range(n)) and [x["segment"] for x in got] == list(range(len(got)))
